@@ -118,9 +118,9 @@ class Rolling:
             return np.zeros(0, np.uint64)
         if len(self.powers) < n:
             room = 1 << (n - 1).bit_length()
-            self.powers = np.cumprod(np.concatenate(([1], np.full(room - 1, _BASE, np.uint64))).astype(np.uint64), dtype=np.uint64)
-            inverse = pow(_BASE, -1, 1 << 64)
-            self.inverse = np.cumprod(np.concatenate(([1], np.full(room - 1, inverse, np.uint64))).astype(np.uint64), dtype=np.uint64)
+            self.powers, self.inverse = np.full(room, _BASE, np.uint64), np.full(room, pow(_BASE, -1, 1 << 64), np.uint64)
+            self.powers[0] = self.inverse[0] = 1
+            self.powers, self.inverse = np.cumprod(self.powers), np.cumprod(self.inverse)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(self.values[data] * self.powers[:n], out=sums[1:])
         return mix64((sums[k:] - sums[: n - k + 1]) * self.inverse[: n - k + 1])
