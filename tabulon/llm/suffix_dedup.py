@@ -10,8 +10,8 @@
    or if its context stands for several. An anchor with a single distinct context needs no order.
 4. Spans of repeated windows are gathered by document and merged.
 
-An anchor with more than `HOT` contexts does not become one task: its windows are dealt out by their
-own 128-bit hashes and counted.
+Equal contexts of a map task travel once, with their places. An anchor that more than `HOT` documents hold does
+not become one task: its windows are dealt out by their own 128-bit hashes and counted.
 
 Defined cases: a null text is empty; rows without doc_id are left out, of rows that repeat one the smallest
 text counts (their repeats don't count as copies); texts shorter than span lose nothing unless covered,
@@ -24,14 +24,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.llm.common import mix64, one_each, slices, written
 from tabulon.llm.minhash_forest import groups_of, starts_of
 
-HOT = 200_000
-SLICE = 2 << 20
+HOT = 300_000
+SLICE = 1 << 20
 _BASE = 0x5851F42D4C957F2D
 
 
@@ -108,8 +109,8 @@ def suffix_array(text: list[int]) -> list[int]:
 class Rolling:
     """Hashes of all k-grams of bytes: differences of prefix sums modulo 2^64."""
 
-    def __init__(self) -> None:
-        self.values = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    def __init__(self, seed: int = 0) -> None:
+        self.values = mix64(np.arange(1 + 256 * seed, 257 + 256 * seed, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         self.powers = self.inverse = np.ones(1, np.uint64)
 
     def __call__(self, data: np.ndarray, k: int) -> np.ndarray:
@@ -138,14 +139,14 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
-ANCHORS = "key long, doc_id long, at int, low short, high short"
+ANCHORS = "key long, doc_id long, at int, low short, high short, first boolean"
 
 
 def anchors(docs: DataFrame, span: int, gram: int) -> DataFrame:
-    """key (of the k-gram), doc_id, at (its byte), low and high (its windows start at at - low .. at - high)."""
+    """key (of the k-gram), doc_id, at (its byte), low and high (its windows start at at - low .. at - high); first: of its key in the document."""
 
     def find(batches):
-        rolling, names = Rolling(), ["key", "doc_id", "at", "low", "high"]
+        rolling, names = Rolling(), ["key", "doc_id", "at", "low", "high", "first"]
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for first, texts in slices(batch.column(1), SLICE):
@@ -166,34 +167,48 @@ def anchors(docs: DataFrame, span: int, gram: int) -> DataFrame:
                 low, high, place = windows[cut[:-1]], windows[cut[1:] - 1], own[cut[:-1]]
                 doc = owner[low]
                 start = stops[doc] - sizes[doc]
-                columns = [pa.array(grams[place].view(np.int64)), pa.array(ids[first + doc], pa.int64()), pa.array(place - start, pa.int32()), pa.array(place - low, pa.int16()), pa.array(place - high, pa.int16())]
+                own = grams[place]
+                order = np.lexsort((place, own, doc))
+                new = np.ones(len(order), bool)
+                new[1:] = (own[order][1:] != own[order][:-1]) | (doc[order][1:] != doc[order][:-1])
+                leads = np.empty(len(order), bool)
+                leads[order] = new
+                columns = [pa.array(own.view(np.int64)), pa.array(ids[first + doc], pa.int64()), pa.array(place - start, pa.int32()), pa.array(place - low, pa.int16()), pa.array(place - high, pa.int16()), pa.array(leads)]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.select("doc_id", "text").mapInArrow(find, ANCHORS)
 
 
-CONTEXTS = "key long, doc_id long, start int, low short, context binary"
+CONTEXTS = "key long, low short, context binary, at array<struct<doc_id:long,start:int>>"
+PLACES = pa.list_(pa.struct([("doc_id", pa.int64()), ("start", pa.int32())]))
 
 
 def contexts(docs: DataFrame, found: DataFrame, span: int) -> DataFrame:
-    """key, doc_id, start (of the context in the document), low (of the anchor in the context), context."""
+    """key, low (of the anchor in the context), context, at (where it starts); equal ones of a batch are one row."""
     lists = found.groupBy("doc_id").agg(F.collect_list(F.struct("key", "at", "low", "high")).alias("found"))
 
     def cut(batches):
-        kinds, names = (pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.binary()), ["key", "doc_id", "start", "low", "context"]
+        def batch_of(out: dict[tuple, list]) -> pa.RecordBatch:
+            columns = zip(*out, strict=True) if out else ((), (), ())
+            arrays = [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int16(), pa.binary()), strict=True)]
+            return pa.RecordBatch.from_arrays([*arrays, pa.array(list(out.values()), PLACES)], names=["key", "low", "context", "at"])
+
         for batch in batches:
-            out: list[tuple] = []
+            out: dict[tuple, list] = {}
             held = 0
-            for doc_id, text, anchors in zip(*(c for c in batch.columns), strict=True):
+            for doc_id, text, anchors in zip(*batch.columns, strict=True):
                 data, doc_id = text.as_py().encode(), doc_id.as_py()
                 for x in anchors.as_py():
                     start = x["at"] - x["low"]
-                    out.append((x["key"], doc_id, start, x["low"], data[start : x["at"] - x["high"] + span]))
-                    held += len(out[-1][-1])
-                if held > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kinds[i]) for i in range(5)], names=names)
-                    out, held = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kinds[i]) for i in range(5)], names=names)
+                    row = (x["key"], x["low"], data[start : x["at"] - x["high"] + span])
+                    if row not in out:
+                        out[row] = []
+                        held += len(row[-1]) + 200
+                    out[row].append((doc_id, start))
+                if held > 16 << 20:
+                    yield batch_of(out)
+                    out, held = {}, 0
+            yield batch_of(out)
 
     return docs.join(lists, "doc_id").select("doc_id", "text", "found").mapInArrow(cut, CONTEXTS)
 
@@ -240,66 +255,91 @@ def repeated_in(distinct: list[bytes], times: np.ndarray, span: int) -> list[np.
     return [again[s : s + len(c) - span + 1] | (t > 1) for s, c, t in zip(starts, distinct, times, strict=True)]
 
 
+RUNS = "doc_id long, start int, stop int"
+
+
+def runs_of(ids: list[int], starts: list[int], stops: list[int]) -> pa.RecordBatch:
+    """Runs with those of a document that touch merged."""
+    doc, start, stop = np.array(ids, np.int64), np.array(starts, np.int64), np.array(stops, np.int64)
+    order = np.lexsort((start, doc))
+    doc, start, stop = doc[order], start[order], stop[order]
+    if len(doc):
+        change = np.concatenate(([True], doc[1:] != doc[:-1]))
+        shift = np.cumsum(change) * (1 << 32)  # documents apart on one line
+        reach = np.maximum.accumulate(stop + shift)
+        new = np.concatenate(([True], (start + shift)[1:] > reach[:-1]))
+        last = np.concatenate((np.flatnonzero(new)[1:] - 1, [len(doc) - 1]))
+        doc, start, stop = doc[new], start[new], reach[last] - shift[last]
+    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], names=["doc_id", "start", "stop"])
+
+
 def repeated_windows(rows: DataFrame, span: int) -> DataFrame:
     """doc_id, start, stop of runs of repeated windows (bytes covered), from the contexts of each key together."""
 
     def search(batches):
         for table in groups_of(batches, 1):
-            keys, ids, starts, lows = (table.column(c).to_numpy() for c in ("key", "doc_id", "start", "low"))
-            data = table.column("context").to_pylist()
+            keys, lows = table.column("key").to_numpy(), table.column("low").to_numpy()
+            data, places = table.column("context").to_pylist(), table.column("at")
             group = np.repeat(np.arange(len(at := starts_of([keys])) - 1), np.diff(at))
+            times = np.asarray(pc.list_value_length(places))
             right = shared_lengths(group, [c[low:] for c, low in zip(data, lows, strict=True)])
             left = shared_lengths(group, [c[:low][::-1] for c, low in zip(data, lows, strict=True)])
-            out: list[tuple[int, int, int]] = []
+            several = times > 1  # shared with itself, from end to end
+            sizes = np.fromiter(map(len, data), np.int64, len(data))
+            right, left = np.where(several, sizes - lows, right), np.where(several, lows, left)
+            out: tuple[list, list, list] = ([], [], [])
             able = left + right >= span
             for g in np.unique(group[able]):
-                rows = at[g] + np.flatnonzero(able[at[g] : at[g + 1]])
                 trimmed: dict[bytes, list[tuple[int, int]]] = {}
-                for i in rows:
-                    begin = lows[i] - left[i]
-                    trimmed.setdefault(data[i][begin : lows[i] + right[i]], []).append((i, int(starts[i] + begin)))
+                for i in at[g] + np.flatnonzero(able[at[g] : at[g + 1]]):
+                    begin = int(lows[i] - left[i])
+                    trimmed.setdefault(data[i][begin : lows[i] + right[i]], []).extend((x["doc_id"], x["start"] + begin) for x in places[i].as_py())
                 distinct = list(trimmed)
-                times = np.array([len(trimmed[c]) for c in distinct])
+                counts = np.array([len(trimmed[c]) for c in distinct])
                 if len(distinct) > 1:
-                    marks = repeated_in(distinct, times, span)
+                    marks = repeated_in(distinct, counts, span)
                 else:
-                    marks = [np.full(len(distinct[0]) - span + 1, times[0] > 1)]
+                    marks = [np.full(len(distinct[0]) - span + 1, counts[0] > 1)]
                 for context, mark in zip(distinct, marks, strict=True):
-                    edges = np.flatnonzero(np.diff(np.concatenate(([0], mark, [0]))))
-                    for begin, end in edges.reshape(-1, 2):
-                        out += [(int(ids[i]), first + int(begin), first + int(end) - 1 + span) for i, first in trimmed[context]]
-            kinds = (pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kinds[i]) for i in range(3)], names=["doc_id", "start", "stop"])
+                    edges = np.flatnonzero(np.diff(np.concatenate(([0], mark, [0])))).reshape(-1, 2).tolist()
+                    for doc_id, first in trimmed[context] if edges else ():
+                        for begin, end in edges:
+                            out[0].append(doc_id)
+                            out[1].append(first + begin)
+                            out[2].append(first + end - 1 + span)
+            yield runs_of(*out)
 
-    ordered = rows.repartition("key").sortWithinPartitions("key")
-    return ordered.mapInArrow(search, "doc_id long, start int, stop int")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(search, RUNS)
 
 
 def counted_windows(rows: DataFrame, span: int) -> DataFrame:
     """The same for keys that are too hot for one task: windows by their own hashes."""
 
     def hashed(batches):
+        one, two = Rolling(1), Rolling(2)
+        pairs = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
         for batch in batches:
-            out: list[tuple[int, int, bytes]] = []
-            for row in batch.to_pylist():
-                context = row["context"]
-                out += [(row["doc_id"], row["start"] + k, hashlib.blake2b(context[k : k + span], digest_size=16).digest()) for k in range(len(context) - span + 1)]
-            kinds = (pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kinds[i]) for i in range(3)], names=["doc_id", "start", "hash"])
+            found = []
+            for context in batch.column(0).to_pylist():
+                data = np.frombuffer(context, np.uint8)
+                found.append([{"a": a, "b": b} for a, b in zip(one(data, span).view(np.int64).tolist(), two(data, span).view(np.int64).tolist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pairs), batch.column(1)], names=["hashes", "at"])
 
-    windows = rows.mapInArrow(hashed, "doc_id long, start int, hash binary")
-    several = windows.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
-    return windows.join(several, "hash", "left_semi").select("doc_id", "start", (F.col("start") + span).alias("stop"))
+    windows = rows.select("context", "at").mapInArrow(hashed, "hashes array<struct<a:long,b:long>>, at array<struct<doc_id:long,start:int>>")
+    windows = windows.select("at", F.posexplode("hashes").alias("k", "h")).select("at", "k", "h.a", "h.b")
+    several = windows.groupBy("a", "b").agg(F.sum(F.size("at")).alias("n")).filter("n > 1").select("a", "b")
+    start = F.col("p.start") + F.col("k")
+    return windows.join(several, ["a", "b"], "left_semi").select("k", F.explode("at").alias("p")).select("p.doc_id", start.alias("start"), (start + span).alias("stop"))
 
 
-def repeated_spans(docs: DataFrame, span: int = 200, gram: int = 32) -> DataFrame:
+def repeated_spans(docs: DataFrame, span: int = 200, gram: int = 32, hot_documents: int = HOT) -> DataFrame:
     """doc_id, text, spans: array<struct<start, stop>> of bytes to remove, in any order, touching or overlapping."""
     docs = one_each(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
     each = written(anchors(docs, span, gram), "anchors")
     beside = Window.partitionBy("key").orderBy("doc_id", "at")
     several = each.withColumn("__p", F.lag("at").over(beside)).withColumn("__f", F.lead("at").over(beside)).filter("__p is not null or __f is not null").drop("__p", "__f")
     rows = contexts(docs, several, span)
-    hot = each.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("key")
+    hot = each.filter("first").groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > hot_documents).select("key")
     hot = written(hot, "hot")
     if hot.limit(1).count():
         rows = written(rows, "contexts")
