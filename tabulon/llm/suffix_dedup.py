@@ -25,7 +25,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm.common import mix64, one_each, slices, written
@@ -336,8 +336,8 @@ def repeated_spans(docs: DataFrame, span: int = 200, gram: int = 32, hot_documen
     """doc_id, text, spans: array<struct<start, stop>> of bytes to remove, in any order, touching or overlapping."""
     docs = one_each(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
     each = written(anchors(docs, span, gram), "anchors")
-    beside = Window.partitionBy("key").orderBy("doc_id", "at")
-    several = each.withColumn("__p", F.lag("at").over(beside)).withColumn("__f", F.lead("at").over(beside)).filter("__p is not null or __f is not null").drop("__p", "__f")
+    keys = each.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    several = each.drop("first").join(keys, "key", "left_semi")  # a join, not a window: a hot key's rows can be split
     rows = contexts(docs, several, span)
     hot = each.filter("first").groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > hot_documents).select("key")
     hot = written(hot, "hot")
