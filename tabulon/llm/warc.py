@@ -73,13 +73,13 @@ def head(kind: str, record_id: str, block: bytes, **fields: str | None) -> bytes
     return "\r\n".join([*lines, f"Content-Length: {len(block)}", "", ""]).encode()
 
 
-def page_records(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, segment_bytes: int, chunk_bytes: int) -> Iterator[bytes]:
-    """The records of one page, without the closing separator."""
+def page_records(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None, segment_bytes: int, chunk_bytes: int) -> Iterator[bytes]:
+    """The records of one page, without the closing separator. A revisit needs no payload, but its size and digest."""
     record_id = f"urn:page:{'' if page_id is None else page_id}:{uuid.uuid4().hex}"
-    common = {"WARC_Target_URI": None if url is None else " ".join(url.split()), "WARC_Payload_Digest": f"sha256:{hashlib.sha256(payload).hexdigest()}"}
+    common = {"WARC_Target_URI": None if url is None else " ".join(url.split()), "WARC_Payload_Digest": f"sha256:{digest}"}
     start = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     if refers_to is not None:
-        block = f"{start}Content-Length: {len(payload)}\r\n\r\n".encode()
+        block = f"{start}Content-Length: {size}\r\n\r\n".encode()
         profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
         yield head("revisit", record_id, block, **common, WARC_Profile=profile, WARC_Refers_To=f"<urn:page:{refers_to}>") + block
         return
@@ -100,15 +100,23 @@ def page_records(page_id: int | None, url: str | None, payload: bytes, refers_to
 def write_archives(pages: DataFrame, path: str, least: int = 100, segment_bytes: int = 32 << 10, chunk_bytes: int = 8 << 10, records_per_file: int = 5000) -> None:
     """Pages (page_id, url, html) as gzipped archives in the folder path; payloads from `least` bytes on are written once."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    keyed = pages.withColumn("__digest", F.when(F.octet_length("html") >= least, F.sha2("html", 256)))
+    keyed = pages.withColumn("__sha", F.sha2("html", 256)).withColumn("__size", F.octet_length("html"))
+    keyed = keyed.withColumn("__digest", F.when(F.col("__size") >= least, F.col("__sha")))
     firsts = keyed.filter("__digest is not null").groupBy("__digest").agg(F.min("page_id").alias("__first"), F.count("*").alias("__n")).filter("__n > 1").drop("__n")
-    decided = keyed.join(firsts, "__digest", "left").select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("__first")), F.col("__first")).alias("refers_to"))
+    again = F.when(~F.col("page_id").eqNullSafe(F.col("__first")), F.col("__first"))
+    decided = keyed.join(firsts, "__digest", "left").select("page_id", "url", F.when(again.isNull(), F.col("html")).alias("html"), "__size", "__sha", again.alias("refers_to"))
 
     def records(batches):
         for batch in batches:
-            out = []
-            for page_id, url, html, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                out += [r.decode() for r in page_records(page_id, url, html.encode(), refers_to, segment_bytes, chunk_bytes)]
+            out, held = [], 0
+            for row in zip(*batch.columns, strict=True):
+                page_id, url, html, size, digest, refers_to = (x.as_py() for x in row)
+                for r in page_records(page_id, url, (html or "").encode(), size, digest, refers_to, segment_bytes, chunk_bytes):
+                    out.append(r.decode())
+                    held += len(r)
+                if held > 4 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+                    out, held = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
     decided.mapInArrow(records, "value string").write.option("lineSep", SEPARATOR).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
