@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import itertools
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import slices, spread, text_of, words_of, written
+from tabulon.llm.common import mix64, slices, spread, text_of, words_of, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -34,58 +35,77 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 class WordIds:
     """Ids of words by a `tokenizers` file; the vocabulary splits at white space, so words are independent.
 
-    Keeps the ids of up to `room` words from batch to batch.
+    Keeps the ids of up to `room` words from slice to slice, found by a 128-bit hash.
     """
 
-    def __init__(self, path: str, room: int = 600_000):
+    def __init__(self, path: str, room: int = 2_000_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.room, self.known = Tokenizer.from_file(path), room, {}
+        self.tokenizer, self.room = Tokenizer.from_file(path), room
+        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-
-    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        return np.fromiter(map(len, found), np.int64, len(found)), np.fromiter(itertools.chain.from_iterable(found), np.uint32)
+        self.values = [mix64(np.arange(1 + k, 257 + k, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for k in (0, 256)]
+
+    def _hashes(self, words: pa.Array) -> list[np.ndarray]:
+        sizes = np.asarray(pc.binary_length(words), dtype=np.int64)
+        data = np.frombuffer(words.cast(pa.binary()).buffers()[2] or b"", np.uint8)[: int(sizes.sum())]
+        starts = np.cumsum(sizes) - sizes
+        place = np.arange(len(data)) - np.repeat(starts, sizes)
+        power = np.full(int(sizes.max()), 0x5851F42D4C957F2D, np.uint64)
+        power[0] = 1
+        power = np.cumprod(power)[place]
+        return [mix64(np.add.reduceat(v[data] * power, starts)) for v in self.values]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets)."""
         offsets, numbers, distinct = words_of(texts)
-        words = distinct.to_pylist()
-        place = np.fromiter((self.known.get(w, -1) for w in words), np.int64, len(words))
-        new = np.flatnonzero(place < 0)
-        sizes, ids = self._encode([words[i] for i in new]) if len(new) else (np.zeros(0, np.int64), np.zeros(0, np.uint32))
-        first = np.cumsum(sizes) - sizes
-        kept = len(self.known)
-        if take := min(len(new), self.room - kept):
-            self._keep([words[i] for i in new[:take]], sizes[:take], ids[: int(sizes[:take].sum())])
-        n, start = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
-        old = place >= 0
+        if not len(numbers):
+            return np.zeros(0, np.uint32), offsets
+        used = np.unique(numbers)
+        if len(used) < len(distinct):
+            numbers, distinct = np.searchsorted(used, numbers), distinct.take(pa.array(used))
+        # capitals are lowered by the vocabulary's own normaliser, but for its special tokens, which come first
+        plain = pc.if_else(pc.match_substring(distinct, "<|"), distinct, pc.ascii_lower(distinct)).dictionary_encode()
+        numbers, distinct = plain.indices.to_numpy().astype(np.int64)[numbers], pa.concat_arrays([plain.dictionary])
+        key, check = self._hashes(distinct)
+        n, start = np.empty(len(distinct), np.int64), np.empty(len(distinct), np.int64)
+        place = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
+        old = (self.keys[place] == key) & (self.checks[place] == check) if len(self.keys) else np.zeros(len(key), bool)
         n[old], start[old] = self.sizes[place[old]], self.starts[place[old]]
-        n[new], start[new] = sizes, first + self.used
-        pool = np.concatenate((self.ids[: self.used], ids)) if len(new) else self.ids
+        pool, new = self.ids, np.flatnonzero(~old)
+        if len(new):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(distinct.take(pa.array(new)).to_pylist(), add_special_tokens=False)]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            ids = np.fromiter(itertools.chain.from_iterable(found), np.uint32)
+            n[new], start[new] = sizes, self.used + np.cumsum(sizes) - sizes
+            need = self.used + len(ids)
+            if len(self.ids) < need:
+                self.ids = np.concatenate((self.ids, np.zeros(max(need - len(self.ids), len(self.ids) // 2), np.uint32)))
+            pool = self.ids
+            pool[self.used : need] = ids
+            if len(self.keys) + len(new) <= self.room:
+                self.used = need
+                order = np.argsort(key[new], kind="stable")
+                at = np.searchsorted(self.keys, key[new][order])
+                self.keys, self.checks = np.insert(self.keys, at, key[new][order]), np.insert(self.checks, at, check[new][order])
+                self.starts, self.sizes = np.insert(self.starts, at, start[new][order].astype(np.int32)), np.insert(self.sizes, at, sizes[order].astype(np.int32))
         each = n[numbers]
         total = np.concatenate(([0], np.cumsum(each)))
         return pool[spread(start[numbers], each)], total[offsets]
 
-    def _keep(self, words: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
-        count = len(self.known)
-        while len(self.starts) < count + len(words):
-            self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
-        while len(self.ids) < self.used + len(ids):
-            self.ids = np.resize(self.ids, 2 * len(self.ids))
-        self.starts[count : count + len(words)] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[count : count + len(words)] = sizes
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        self.known.update(zip(words, range(count, count + len(words)), strict=True))
+
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One for each Python worker, so that later tasks know the words of earlier ones."""
+    return WordIds(path)
 
 
-def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, slice_bytes: int = 6 << 20) -> DataFrame:
+def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, slice_bytes: int = 4 << 20) -> DataFrame:
     """The pieces of each document: its ids, then end_id, cut only where longer than capacity."""
 
     def cut(batches):
-        encode = WordIds(tokenizer_path)
+        encode = word_ids(tokenizer_path)
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
             out: list[tuple] = []
