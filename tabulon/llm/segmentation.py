@@ -23,6 +23,7 @@ from __future__ import annotations
 import heapq
 import math
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -290,11 +291,17 @@ def decoded(ids, vocabulary: Vocabulary) -> str:
     return b"".join(map(vocabulary.data.__getitem__, ids)).decode(errors="replace")[1:]
 
 
+@lru_cache(maxsize=1)
+def segmenter_of(model_path: str, n: int) -> Segmenter:
+    """One for each Python worker."""
+    return Segmenter(Vocabulary(model_path), n)
+
+
 def nbest_digest(docs: DataFrame, model_path: str, n: int = 4, slice_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, n_pieces, ids_crc32, best_score, nbest_scores, nbest_crc32 and round_trip of each text."""
 
     def run(batches):
-        segmenter = Segmenter(Vocabulary(model_path), n)
+        segmenter = segmenter_of(model_path, n)
         names = ["doc_id", "n_pieces", "ids_crc32", "best_score", "nbest_scores", "nbest_crc32", "round_trip"]
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.bool_())
         for batch in batches:
