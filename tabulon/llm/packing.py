@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import mix64, slices, spread, text_of, words_of, written
+from tabulon.llm.common import mix64, slices, spread, text_of, tidied, words_of, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -38,7 +38,7 @@ class WordIds:
     Keeps the ids of up to `room` words from slice to slice, found by a 128-bit hash.
     """
 
-    def __init__(self, path: str, room: int = 2_000_000):
+    def __init__(self, path: str, room: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.room = Tokenizer.from_file(path), room
@@ -75,7 +75,9 @@ class WordIds:
         n[old], start[old] = self.sizes[place[old]], self.starts[place[old]]
         pool, new = self.ids, np.flatnonzero(~old)
         if len(new):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(distinct.take(pa.array(new)).to_pylist(), add_special_tokens=False)]
+            found: list[list[int]] = []
+            for at in range(0, len(new), 8192):  # an encoding takes far more room than its ids
+                found += [e.ids for e in self.tokenizer.encode_batch_fast(distinct.take(pa.array(new[at : at + 8192])).to_pylist(), add_special_tokens=False)]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             ids = np.fromiter(itertools.chain.from_iterable(found), np.uint32)
             n[new], start[new] = sizes, self.used + np.cumsum(sizes) - sizes
@@ -121,7 +123,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kinds[i]) for i in range(5)], names=list(names))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(tidied(cut), PIECES)
 
 
 def configurations(histogram: np.ndarray, capacity: int, classes: int = 256, rounds: int = 1500, rate: float = 0.3) -> list[tuple[tuple[int, ...], float]]:
