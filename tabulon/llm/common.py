@@ -71,10 +71,14 @@ def give_back() -> None:
 
 
 Batches = Iterator[pa.RecordBatch]
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def tidied(function: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
-    """A function for mapInArrow that gives freed memory back after each batch."""
+def in_batches(function: Callable[[Batches], Batches], schema: str, most: int = 16 << 20) -> Callable[[DataFrame], DataFrame]:
+    """For DataFrame.transform: mapInArrow with batches of at most about `most` bytes, giving freed memory back.
+
+    A session with a larger limit is set to `most`: batches of long texts are held several times, in the JVM too.
+    """
 
     def run(batches: Batches) -> Batches:
         def each() -> Batches:
@@ -86,7 +90,13 @@ def tidied(function: Callable[[Batches], Batches]) -> Callable[[Batches], Batche
         yield from function(each())
         give_back()
 
-    return run
+    def apply(df: DataFrame) -> DataFrame:
+        limit = int(str(df.sparkSession.conf.get(BATCH)).rstrip("b"))
+        if not 0 < limit <= most:
+            df.sparkSession.conf.set(BATCH, most)
+        return df.mapInArrow(run, schema)
+
+    return apply
 
 
 def slices(texts: pa.Array, max_bytes: int) -> Iterator[tuple[int, pa.Array]]:

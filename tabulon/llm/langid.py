@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import mix64, slices, spread, tidied, words_of
+from tabulon.llm.common import in_batches, mix64, slices, spread, words_of
 
 UNDETERMINED = "und"
 
@@ -84,7 +84,7 @@ def learn(docs: DataFrame, learn_per_language: int = 2000, buckets: int = 1 << 1
 
     sampled = known.filter(chance < share[F.col("lang")]).select("lang", "text")
     counts = np.zeros((buckets, len(sizes)), np.float64)
-    for lang, gram, n in sampled.mapInArrow(tidied(count), "lang int, gram int, n long").groupBy("lang", "gram").agg(F.sum("n")).collect():  # buckets x languages at most
+    for lang, gram, n in sampled.transform(in_batches(count, "lang int, gram int, n long")).groupBy("lang", "gram").agg(F.sum("n")).collect():  # buckets x languages at most
         counts[gram, lang] = n
     totals = counts.sum(axis=0)
     return LanguageModel(tuple(sorted(sizes)), np.log((counts + smoothing) / (totals + smoothing * buckets)).astype(np.float32))
@@ -159,7 +159,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = (),
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang_pred", "score"])
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string, score double"])
-    return docs.select(*sent).mapInArrow(tidied(predict), schema)
+    return docs.select(*sent).transform(in_batches(predict, schema))
 
 
 def language_id(docs: DataFrame, learn_per_language: int = 2000) -> DataFrame:

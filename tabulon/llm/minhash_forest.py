@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import mix64, one_each, slices, tidied, words_of, written
+from tabulon.llm.common import in_batches, mix64, one_each, slices, words_of, written
 from tabulon.llm.graph import components
 
 BLOCK = 256
@@ -130,7 +130,7 @@ def signed(docs: DataFrame, size: int, functions: int) -> DataFrame:
                 signature = [values[i].tobytes() if offsets[i + 1] > offsets[i] else None for i in range(len(texts))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(a), pa.array(b), pa.array(signature, pa.binary())], names=["doc_id", "key_a", "key_b", "signature"])
 
-    return docs.select("doc_id", "text").mapInArrow(tidied(sign), SIGNED)
+    return docs.select("doc_id", "text").transform(in_batches(sign, SIGNED))
 
 
 def block_pairs(rows: DataFrame, group: list[str], order: str, size: int) -> DataFrame:
@@ -232,7 +232,7 @@ def likely(members: DataFrame, least_equal: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
 
     ordered = members.repartition("tree", "node", "i", "j").sortWithinPartitions("tree", "node", "i", "j")
-    return ordered.select("tree", "node", "i", "j", "class_id", "side", "signature").mapInArrow(tidied(compare), "a long, b long")
+    return ordered.select("tree", "node", "i", "j", "class_id", "side", "signature").transform(in_batches(compare, "a long, b long"))
 
 
 def overlaps(sets: list[np.ndarray], others: list[np.ndarray] | None) -> np.ndarray:
@@ -296,7 +296,7 @@ def verified(members: DataFrame, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["class_id", "links", "root"])
 
     ordered = members.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-    return ordered.select("root", "i", "j", "class_id", "size", "side", "shingles").mapInArrow(tidied(verify), VERIFIED)
+    return ordered.select("root", "i", "j", "class_id", "size", "side", "shingles").transform(in_batches(verify, VERIFIED))
 
 
 def with_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -311,7 +311,7 @@ def with_sets(docs: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(c.slice(first, len(texts)) for c in batch.columns[:-1]), pa.array(data, pa.binary())], names=[*keep, "shingles"])
 
     schema = ", ".join([*(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep), "shingles binary"])
-    return docs.select(*keep, "text").mapInArrow(tidied(fill), schema)
+    return docs.select(*keep, "text").transform(in_batches(fill, schema))
 
 
 def tries(classes: DataFrame, trees: int, depth: int, matched: int) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import mix64, slices, spread, text_of, tidied, words_of, written
+from tabulon.llm.common import in_batches, mix64, slices, spread, text_of, words_of, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -123,7 +123,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kinds[i]) for i in range(5)], names=list(names))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(tidied(cut), PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).transform(in_batches(cut, PIECES))
 
 
 def configurations(histogram: np.ndarray, capacity: int, classes: int = 256, rounds: int = 1500, rate: float = 0.3) -> list[tuple[tuple[int, ...], float]]:

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import mix64, slices, spread, text_of, tidied
+from tabulon.llm.common import in_batches, mix64, slices, spread, text_of
 
 SPACE = "▁"
 #: Begins a token that no space precedes.
@@ -314,4 +314,4 @@ def nbest_digest(docs: DataFrame, model_path: str, n: int = 4, slice_bytes: int
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kinds[i]) for i in range(7)], names=names)
 
     schema = "doc_id long, n_pieces long, ids_crc32 long, best_score double, nbest_scores array<double>, nbest_crc32 array<long>, round_trip boolean"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(tidied(run), schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).transform(in_batches(run, schema))

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import mix64, one_each, slices, tidied, written
+from tabulon.llm.common import in_batches, mix64, one_each, slices, written
 from tabulon.llm.minhash_forest import groups_of, starts_of
 
 HOT = 300_000
@@ -176,7 +176,7 @@ def anchors(docs: DataFrame, span: int, gram: int) -> DataFrame:
                 columns = [pa.array(own.view(np.int64)), pa.array(ids[first + doc], pa.int64()), pa.array(place - start, pa.int32()), pa.array(place - low, pa.int16()), pa.array(place - high, pa.int16()), pa.array(leads)]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(tidied(find), ANCHORS)
+    return docs.select("doc_id", "text").transform(in_batches(find, ANCHORS))
 
 
 CONTEXTS = "key long, low short, context binary, at array<struct<doc_id:long,start:int>>"
@@ -210,7 +210,7 @@ def contexts(docs: DataFrame, found: DataFrame, span: int) -> DataFrame:
                     out, held = {}, 0
             yield batch_of(out)
 
-    return docs.join(lists, "doc_id").select("doc_id", "text", "found").mapInArrow(tidied(cut), CONTEXTS)
+    return docs.join(lists, "doc_id").select("doc_id", "text", "found").transform(in_batches(cut, CONTEXTS))
 
 
 def shared_lengths(group: np.ndarray, strings: list[bytes]) -> np.ndarray:
@@ -309,7 +309,7 @@ def repeated_windows(rows: DataFrame, span: int) -> DataFrame:
                             out[2].append(first + end - 1 + span)
             yield runs_of(*out)
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(tidied(search), RUNS)
+    return rows.repartition("key").sortWithinPartitions("key").transform(in_batches(search, RUNS))
 
 
 def counted_windows(rows: DataFrame, span: int) -> DataFrame:
@@ -325,7 +325,7 @@ def counted_windows(rows: DataFrame, span: int) -> DataFrame:
                 found.append([{"a": a, "b": b} for a, b in zip(one(data, span).view(np.int64).tolist(), two(data, span).view(np.int64).tolist(), strict=True)])
             yield pa.RecordBatch.from_arrays([pa.array(found, pairs), batch.column(1)], names=["hashes", "at"])
 
-    windows = rows.select("context", "at").mapInArrow(tidied(hashed), "hashes array<struct<a:long,b:long>>, at array<struct<doc_id:long,start:int>>")
+    windows = rows.select("context", "at").transform(in_batches(hashed, "hashes array<struct<a:long,b:long>>, at array<struct<doc_id:long,start:int>>"))
     windows = windows.select("at", F.posexplode("hashes").alias("k", "h")).select("at", "k", "h.a", "h.b")
     several = windows.groupBy("a", "b").agg(F.sum(F.size("at")).alias("n")).filter("n > 1").select("a", "b")
     start = F.col("p.start") + F.col("k")
@@ -336,7 +336,7 @@ def repeated_spans(docs: DataFrame, span: int = 200, gram: int = 32, hot_documen
     """doc_id, text, spans: array<struct<start, stop>> of bytes to remove, in any order, touching or overlapping."""
     docs = one_each(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
     each = written(anchors(docs, span, gram), "anchors")
-    keys = each.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    keys = written(each.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "keys")
     several = each.drop("first").join(keys, "key", "left_semi")  # a join, not a window: a hot key's rows can be split
     rows = contexts(docs, several, span)
     hot = each.filter("first").groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > hot_documents).select("key")
@@ -380,7 +380,7 @@ def dedup_digest(spans: DataFrame) -> DataFrame:
                 out.append((len(data), sum(b - a for a, b in cut), len(cut), hashlib.sha256(without(data, cut)).hexdigest()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string())))], names=names)
 
-    return spans.mapInArrow(tidied(digest), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return spans.transform(in_batches(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 
 
 def kept_texts(spans: DataFrame) -> DataFrame:
@@ -392,4 +392,4 @@ def kept_texts(spans: DataFrame) -> DataFrame:
                 left = [without(t.as_py().encode(), merged(s.as_py())).decode(errors="ignore") for t, s in zip(texts, batch.column(2).slice(first, len(texts)), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(left, pa.string())], names=["doc_id", "text"])
 
-    return spans.mapInArrow(tidied(keep), "doc_id long, text string")
+    return spans.transform(in_batches(keep, "doc_id long, text string"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import new_folder, tidied
+from tabulon.llm.common import in_batches, new_folder
 
 SEPARATOR = "\r\n\r\n"
 
@@ -119,7 +119,7 @@ def write_archives(pages: DataFrame, path: str, least: int = 100, segment_bytes:
                     out, held = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
-    decided.mapInArrow(tidied(records), "value string").write.option("lineSep", SEPARATOR).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    decided.transform(in_batches(records, "value string")).write.option("lineSep", SEPARATOR).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
 def parsed(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -208,10 +208,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], kinds[i]) for i in range(5)], names=names)
 
-    found = spark.read.format("binaryFile").load(path).select("content").mapInArrow(tidied(rows), ROW)
+    found = spark.read.format("binaryFile").load(path).select("content").transform(in_batches(rows, ROW))
     first = [F.max(c).alias(c) for c in ("page_id", "record_type", "refers_to", "payload_bytes", "payload_digest", "total")]
     parts = F.sort_array(F.collect_list(F.when(F.col("segment").isNotNull(), F.struct("segment", "data")))).alias("parts")
-    return found.groupBy("record_id").agg(*first, parts).mapInArrow(tidied(joined), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return found.groupBy("record_id").agg(*first, parts).transform(in_batches(joined, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"))
 
 
 def warc_round_trip(pages: DataFrame, least: int = 100, segment_bytes: int = 32 << 10) -> DataFrame:
