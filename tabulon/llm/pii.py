@@ -59,7 +59,7 @@ PATTERNS = {
     "secret": r"(?i)(?<![a-z_])(?:" + "|".join(SECRET_NAMES) + r")\x20?[=:]\x20?[\"']?[A-Za-z0-9+/_-]{12,}+[\"']?",
     "person": r"(?<![A-Za-z])(?:" + "|".join(TITLES) + r")\.?\x20[A-Z][a-z]++(?:\x20[A-Z][a-z]++)?",
 }
-BYTE = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
+BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 
 
 def prepared(kind: str, text: Column) -> Column:

@@ -114,9 +114,11 @@ def nbest(word: str, vocabulary: Vocabulary, n: int, best: list[float] | None =
     """The n best (score, cuts from 0 to the word's length), by backward A* search with exact heuristic."""
     best = best or forward(word, vocabulary)[0]
     found, count = [], 0
-    heap = [(-best[-1], 0, len(word), 0.0, None)]  # minus (forward score + score behind), order of pushing, place, score behind, path behind
+    # minus (forward score + score behind), place, order of pushing, score behind, path behind; of paths that are equal but
+    # for rounding the one nearest the start goes on, or a run of one character would open them all
+    heap = [(-round(best[-1], 6), len(word), 0, 0.0, None)]
     while heap and len(found) < n:
-        total, _, at, behind, path = heapq.heappop(heap)
+        _, at, _, behind, path = heapq.heappop(heap)
         if at == 0:
             cuts = [0]
             while path:
@@ -126,7 +128,7 @@ def nbest(word: str, vocabulary: Vocabulary, n: int, best: list[float] | None =
             continue
         for start, score in vocabulary.edges(word, at):
             count += 1
-            heapq.heappush(heap, (-(best[start] + score + behind), count, start, score + behind, (at, path)))
+            heapq.heappush(heap, (-round(best[start] + score + behind, 6), start, count, score + behind, (at, path)))
     return found
 
 

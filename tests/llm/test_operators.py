@@ -1,0 +1,396 @@
+"""The operators against brute force, and on the odd cases: nulls, empty and long texts, repeats, empty tables, extra columns."""
+
+import collections
+import hashlib
+import itertools
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+
+from pyspark.sql import functions as F
+
+from tabulon.llm import ann, langid, minhash_forest, packing, pii, segmentation, simhash, suffix_dedup, url_filter, warc
+from tabulon.llm.graph import components
+from tabulon.llm.queries import URL_RULES
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, spans string, key long"
+PASSAGE = "the quick brown fox jumps over the lazy dog while seven wizards mix potions in the old tower and nobody knows why they keep on doing it every night of the week until the sun comes up again over the far green hills"
+ODD = [
+    (0, None), (1, ""), (2, " \n\t "), (3, "short"), (4, PASSAGE), (5, PASSAGE), (6, "Intro. " + PASSAGE + " end é."), (7, PASSAGE.upper()), (8, "1 2 3 " * 3000),
+    (9, "mail a.b@c.org, +1 (222) 555-0100; 10.0.0.1 4111 1111 1111 1111 token = \"abcdef0123456789abcd\""), (10, "x" * 30_000), (11, "日本語 текст ﬁ"), (12, PASSAGE.replace("fox", "cat")), (13, "\x01\x02\x03 a@b.c\x01"), (None, "no id"),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [(i, t, None if i == 3 else "en", None, None, "clash", 7) for i, t in ODD]
+    return spark.createDataFrame(rows, DOCS)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return dict(docs.select("doc_id", "text").collect())
+
+
+TEXTS = {i: t or "" for i, t in ODD if i is not None}
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+# ---------------------------------------------------------------- packing
+
+
+def test_packing(odd, none):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(WORDS)
+    rows = packing.best_fit_packing(odd, WORDS, capacity=512).collect()
+    by_doc = collections.defaultdict(list)
+    for r in rows:
+        by_doc[r.doc_id].append(r)
+    for i, t in ODD:
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
+        cut = [ids[k : k + 512] for k in range(0, len(ids), 512)]
+        own = sorted(by_doc[i], key=lambda r: r.piece)
+        assert [(r.piece, r.start, r.length, r.ids_crc32) for r in own] == [(k, 512 * k, len(c), zlib.crc32(np.array(c, "<u4").tobytes())) for k, c in enumerate(cut)]
+    sequences = collections.defaultdict(list)
+    for r in rows:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for own in sequences.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 512
+    assert len(sequences) == -(-sum(r.length for r in rows) // 512)
+    assert packing.best_fit_packing(none, WORDS).count() == 0
+
+
+@pytest.mark.parametrize("lengths", [[], [512], [300] * 7, [200, 300, 212] * 5, list(range(1, 513))])
+def test_plan_places_every_piece_once(lengths):
+    histogram = np.bincount(lengths, minlength=513) if lengths else np.zeros(513, np.int64)
+    plan = packing.rounded(histogram, 512, packing.configurations(histogram, 512, rounds=60))
+    given, used = collections.Counter(), collections.Counter()
+    for length, _, count, sequence, _ in zip(*(plan[k] for k in ("length", "rank", "count", "sequence", "offset")), strict=True):
+        given[int(length)] += int(count)
+        for s in range(sequence, sequence + count):
+            used[s] += int(length)
+    assert given == collections.Counter(lengths)
+    assert max(used.values(), default=0) <= 512
+
+
+# ---------------------------------------------------------------- near duplicates
+
+
+def shingle_set(text):
+    w = text.lower().split()
+    return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def links_of(all_texts):
+    sets, holders, common = {i: shingle_set(t) for i, t in all_texts.items()}, collections.defaultdict(list), collections.Counter()
+    for i, s in sets.items():
+        for g in s:
+            holders[g].append(i)
+    for h in holders.values():
+        common.update(itertools.combinations(sorted(h), 2))
+    return [(a, b) for (a, b), c in common.items() if c / (len(sets[a]) + len(sets[b]) - c) >= 0.8]
+
+
+@pytest.mark.parametrize("which", ["odd", "docs"])
+def test_jaccard_join(request, texts, which):
+    frame, own = request.getfixturevalue(which), TEXTS if which == "odd" else texts
+    rows = {r.doc_id: r for r in minhash_forest.jaccard_join(frame).collect()}
+    assert rows.keys() == own.keys()
+    pairs = links_of(own)
+    count = collections.Counter(i for p in pairs for i in p)
+    root = {i: i for i in own}
+    for _ in own:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    for i, r in rows.items():
+        assert r.n_links == count[i] and r.group_id == root[i]
+
+
+def test_near_copies_in_several_blocks(spark):
+    base = [f"w{k}" for k in range(120)]
+    rows = [(k, " ".join(base[:60] + [f"x{k}"] + base[60:])) for k in range(600)]
+    out = minhash_forest.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r.group_id, r.n_links) for r in out.collect()} == {(0, 599)}
+
+
+def test_join_of_nothing(none):
+    assert minhash_forest.jaccard_join(none).count() == 0
+
+
+def test_components(spark):
+    edges = [(k, k + 1) for k in range(100, 130)] + [(5, 3), (9, 3), (7, 7), (40, 9)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{k: 100 for k in range(101, 131)}, 5: 3, 9: 3, 40: 3}
+
+
+# ---------------------------------------------------------------- segmentation
+
+
+def all_paths(vocabulary, text, n):
+    word, out = segmentation.SPACE + text.replace(" ", segmentation.SPACE), []
+
+    def go(at, score, cuts):
+        if at == len(word):
+            out.append((score, vocabulary.ids_of(word, cuts)))
+        for end in range(at + 1, min(len(word), at + vocabulary.longest) + 1):
+            s = vocabulary.scores.get(word[at:end], segmentation.UNKNOWN if end == at + 1 else None)
+            if s is not None:
+                go(end, score + s, [*cuts, end])
+
+    go(0, 0.0, [0])
+    return sorted(out, key=lambda x: -x[0])[:n]
+
+
+def test_nbest_against_enumeration():
+    vocabulary = segmentation.Vocabulary(PIECES)
+    tests = ["the cat", "Hello  wo", "a\nb c", "ﬁé ñ", "x\x02y z", " ", "日本 go", "\n\n", "\x02\n\x02 q"]
+    for text, (ids, paths) in zip(tests, segmentation.Segmenter(vocabulary, 4).texts(pa.array(tests)), strict=True):
+        want = all_paths(vocabulary, text, 4)
+        assert np.allclose([s for s, _ in paths], [s for s, _ in want])
+        assert segmentation.decoded(ids.tolist(), vocabulary) == text
+
+
+def test_segmentation_round_trip(odd, none):
+    rows = {r.doc_id: r for r in segmentation.nbest_digest(odd, PIECES).collect()}
+    assert len(rows) == len(ODD) and all(r.round_trip for r in rows.values())
+    assert rows[0].n_pieces == rows[1].n_pieces == 0
+    assert all(r.nbest_scores == sorted(r.nbest_scores, reverse=True) for r in rows.values())
+    assert segmentation.nbest_digest(none, PIECES).count() == 0
+
+
+# ---------------------------------------------------------------- suffix arrays
+
+
+def test_suffix_array():
+    draw = np.random.default_rng(1)
+    for _ in range(500):
+        text = [*draw.integers(1, draw.integers(2, 5), draw.integers(0, 20)).tolist(), 0]
+        assert suffix_dedup.suffix_array(text) == sorted(range(len(text)), key=lambda i, t=text: t[i:])
+
+
+def brute_dedup(own, span):
+    data = {i: t.encode() for i, t in own.items()}
+    seen = collections.Counter(d[k : k + span] for d in data.values() for k in range(len(d) - span + 1))
+    out = {}
+    for i, d in data.items():
+        gone = bytearray(len(d))
+        for k in range(len(d) - span + 1):
+            if seen[d[k : k + span]] > 1:
+                gone[k : k + span] = b"\1" * span
+        out[i] = (len(d), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(bytes(b for b, g in zip(d, gone, strict=True) if not g)).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 1])
+@pytest.mark.parametrize("which", ["odd", "docs"])
+def test_dedup(request, texts, which, hot):
+    frame, own = request.getfixturevalue(which), TEXTS if which == "odd" else texts
+    spans = suffix_dedup.repeated_spans(frame, hot_documents=hot)
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.dedup_digest(spans).collect()}
+    assert got == brute_dedup(own, 200)
+
+
+def test_dedup_of_nothing(none):
+    assert suffix_dedup.dedup_digest(suffix_dedup.repeated_spans(none)).count() == 0
+
+
+# ---------------------------------------------------------------- archives
+
+
+def test_archives(spark):
+    big = "é<p>" * 40_000
+    rows = [(5, "http://a/", "x" * 100), (3, "http://b/\r\nc", "x" * 100), (4, None, "x" * 99), (6, None, "x" * 99), (1, "u", big), (2, "u", big), (7, "u", None), (None, "u", "y" * 300), (8, "u", "y" * 300), (9, "u", "WARC/1.1\r\n\r\n\r\n" * 20)]
+    pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, record_type int")
+    got = {r.page_id: tuple(r)[1:] for r in warc.warc_round_trip(pages, segment_bytes=3000).collect()}
+    refers = {5: 3, 2: 1, None: 8}
+    want = {i: (len((h or "").encode()), hashlib.sha256((h or "").encode()).hexdigest(), "revisit" if i in refers else "response", refers.get(i)) for i, _, h in rows}
+    assert got == want
+    assert warc.warc_round_trip(pages.limit(0)).count() == 0
+
+
+def test_chunks():
+    for data in (b"", b"a", "é日".encode() * 1000, b"x" * 4096):
+        assert warc.dechunked(warc.chunked(data, 7)) == data
+    with pytest.raises(ValueError):
+        warc.dechunked(b"5\r\nab\r\n0\r\n\r\n")
+
+
+# ---------------------------------------------------------------- personal data
+
+KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def keeps(kind, match):
+    digits = re.sub("[^0-9]", "", match)
+    luhn = sum(int(c) if k % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for k, c in enumerate(reversed(digits))) % 10 == 0
+    return {"email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in match.split(".")), "card": 14 <= len(digits) <= 19 and luhn, "phone": 10 <= len(digits) <= 15}[kind]
+
+
+def base_spans(text):
+    found = sorted((m.start(), k, m.end()) for k, (kind, p) in enumerate(KINDS.items()) for m in re.finditer(p, text) if keeps(kind, m.group()))
+    return ",".join(f"{list(KINDS)[k]}:{a}:{b}" for a, k, b in found)
+
+
+TRICKY = ["a@b.c%d@e.f", "a@b@c.d", "..a@b..c a@b.c.", "1.2.3.4.5.6.7.8 256.1.1.1 001.02.3.4", "4111-1111-1111-1111 4111  1111 4111111111111111-", "+1+22222222222 (1)", "+1 (222) 555-0100.", "é😀 x@y.z 😀 9.9.9.9", "a." * 20_000 + "b@" + "c." * 20_000 + "d", "4 1" * 9000, "+1" + " 2" * 9000]
+
+
+def test_pii(spark, odd, docs, texts, none):
+    tricky = spark.createDataFrame(list(enumerate(TRICKY)), "doc_id long, text string")
+    for frame, own in ((tricky, dict(enumerate(TRICKY))), (odd, {i: t or "" for i, t in ODD}), (docs, texts)):
+        rows = {r.doc_id: r for r in pii.pii_digest(pii.pii_spans(frame)).collect()}
+        assert rows.keys() == own.keys()
+        for i, t in own.items():
+            want = base_spans(t)
+            assert rows[i].base_sha256 == hashlib.sha256(want.encode()).hexdigest(), t[:80]
+            assert set(filter(None, want.split(","))) <= set(rows[i].spans.split(","))
+            assert sum(tuple(rows[i])[1:5]) == len(list(filter(None, want.split(","))))
+    assert pii.pii_digest(pii.pii_spans(none)).count() == 0
+
+
+def test_masking(odd):
+    rows = pii.pii_spans(odd.filter("doc_id in (3, 9)"), keep=("text",)).select("doc_id", pii.masked(F.col("text"), F.col("spans")).alias("t")).collect()
+    got = dict(map(tuple, rows))
+    assert got[3] == "short" and got[9].startswith("mail <EMAIL>, <PHONE>; <IP> <CARD> ")
+
+
+# ---------------------------------------------------------------- neighbours
+
+
+def test_neighbours(spark):
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(1500, 10)).astype(np.float32)
+    x[100:400] = x[100]
+    bad = [(1500, None), (1600, [0.0] * 10), (1700, [float("nan")] * 10), (1800, [None] * 10), (1900, [1.0, 2.0]), (None, [1.0] * 10)]
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + bad
+    frame = spark.createDataFrame([(a, b, 1) for a, b in rows], "vec_id long, embedding array<float>, score int")
+    got = collections.defaultdict(list)
+    for r in ann.nearest(frame, block_rows=400, block_queries=4).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert sorted(got) == list(range(0, 1500, 100))
+    hits = 0
+    for q, found in got.items():
+        d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(axis=1))
+        d[q] = np.inf
+        best = np.lexsort((np.arange(1500), d))[:10]
+        hits += len({v for v, _ in found} & set(best.tolist()))
+        assert all(abs(s - d[v]) < 1e-9 for v, s in found)
+        assert [(s, v) for v, s in found] == sorted((s, v) for v, s in found)
+        if 100 <= q < 400:
+            assert [v for v, _ in found] == best.tolist()
+    assert hits >= 0.9 * 150
+    assert ann.nearest(frame.limit(0)).count() == 0
+    assert ann.nearest(frame.filter("vec_id = 200")).count() == 0
+
+
+# ---------------------------------------------------------------- urls
+
+
+def judged(url):
+    if not url or "://" not in url:
+        return "", "", None
+    rest = url.split("://", 1)[1]
+    host = re.split("[/?#]", rest, maxsplit=1)[0]
+    path = re.split("[?#]", rest[len(host) :], maxsplit=1)[0]
+    host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+    fits = [(len(h + p), h + p, v) for v, h, p in URL_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return host, path, max(fits)[1:] if fits else None
+
+
+URLS = [None, "", "nourl", "http://", "http://A.COM", "http://a.com/", "http://www.example.com/en/x?y#z", "HTTP://Example.com/en/", "x://y://z.net/es/", "http://net/fr/a", "http://xnet/fr/", "http://ÀB.com/?q", "http://q.org/a?b=1&c=2", "http://net/es", "http://" + "a" * 5000 + ".org/"]
+
+
+def test_urls(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url")
+    frame = pages.union(spark.createDataFrame([(-k, u) for k, u in enumerate(URLS, 1)], pages.schema)).withColumn("host", F.lit(1))
+    urls = {r.page_id: r.url for r in frame.collect()}
+    rows = url_filter.url_verdicts(frame, URL_RULES).collect()
+    assert {r.page_id for r in rows} == urls.keys()
+    for r in rows:
+        host, path, rule = judged(urls[r.page_id])
+        assert (r.host, r.path, r.rule) == (host, path, rule[0] if rule else None)
+        assert r.verdict == rule[1] if rule else r.verdict in ("allow", "block")
+    assert url_filter.url_verdicts(frame.limit(0), URL_RULES).count() == 0
+    assert {r.verdict for r in url_filter.url_verdicts(spark.createDataFrame([(1, "x")], "page_id long, url string"), URL_RULES).collect()} == {"allow"}
+
+
+def test_trees_learn():
+    draw = np.random.default_rng(5)
+    x = draw.uniform(size=(2000, len(url_filter.FEATURES)))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 3] > 0.3)).astype(float)
+    bias, trees = url_filter.boosted(x[:1500], y[:1500])
+    score = bias + 0.3 * sum(t.predict(x[1500:]) for t in trees)
+    assert ((score > 0) == y[1500:]).mean() > 0.95
+
+
+# ---------------------------------------------------------------- fingerprints
+
+
+def test_fingerprints(odd, docs, texts, none):
+    for frame, own in ((odd, TEXTS), (docs, texts)):
+        rows = {r.doc_id: r for r in simhash.edited_fingerprints(frame).collect()}
+        ids = sorted(own, reverse=True)
+        assert rows.keys() == own.keys()
+        prints = {int(r.fingerprint, 16) for r in rows.values()}
+        for k, i in enumerate(ids):
+            t, following = own[i], ids[(k + 1) % len(ids)]
+            n = len(t) // 3
+            r = rows[i]
+            assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256((t[: len(t) - n] + own[following][:n]).encode()).hexdigest()
+            f = int(r.fingerprint, 16)
+            assert r.near_next == 1 - (f ^ int(rows[following].fingerprint, 16)).bit_count() / 64
+            assert r.near_edited == 1 - (f ^ int(r.edited_fingerprint, 16)).bit_count() / 64
+            assert r.n_near == sum(1 for g in prints if g != f and (f ^ g).bit_count() <= 3)
+        assert rows[min(own)].doc_id == min(own)
+    assert simhash.edited_fingerprints(none).count() == 0
+
+
+def test_near_search(spark):
+    draw = np.random.default_rng(2)
+    base = int(draw.integers(1 << 62))
+    prints = {base} | {base ^ (1 << a) ^ (1 << b) for a in range(40) for b in range(a + 1, 40)} | {int(v) for v in draw.integers(1 << 62, size=200)}
+    got = dict(map(tuple, simhash.near_counts(spark.createDataFrame([(p,) for p in prints], "fingerprint long")).collect()))
+    want = {p: sum(1 for q in prints if p != q and (p ^ q).bit_count() <= 3) for p in prints}
+    assert got == {p: n for p, n in want.items() if n}
+
+
+# ---------------------------------------------------------------- languages
+
+
+def test_languages(spark, odd, none):
+    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = langid.language_id(frame).join(frame.select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in rows if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
+    assert sum(r.lang == r.lang_pred for r in held) >= 0.97 * len(held)
+    out = {r.doc_id: r for r in langid.language_id(odd).collect()}
+    assert len(out) == len(ODD) and {out[i].lang_pred for i in (0, 1, 2, 8)} == {"und"} and out[4].lang_pred == "en"
+    assert langid.language_id(none).count() == 0
+    assert {r.lang_pred for r in langid.language_id(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_mixture_shares():
+    chances = np.array([[1, 1e-6]] * 30 + [[1e-6, 1]] * 10, np.float32)
+    shares, _ = langid.mixture(chances, np.array([0, 40]), np.ones((1, 2)), 20)
+    assert abs(shares[0, 0] - 0.75) < 0.01
