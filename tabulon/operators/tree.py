@@ -35,8 +35,8 @@ def levels(sheet: DataFrame, name: str, parent: str) -> DataFrame:
     its ancestor 2^r steps up, so a chain of a billion names takes thirty rounds.
     """
     rows = sheet.withColumn("__name", strip(F.col(f"`{name}`"))).withColumn("__parent", strip(F.col(f"`{parent}`")))
-    names = rows.filter("__name <> ''").select(F.col("__name").alias("n")).distinct()
-    edges = rows.join(names, rows["__parent"] == names["n"], "left").select("__name", F.col("n").alias("up"), ROW)
+    names = rows.filter("__name <> ''").select(F.col("__name").alias("__known")).distinct()
+    edges = rows.select("__name", "__parent", ROW).join(names, F.col("__parent") == F.col("__known"), "left").select("__name", F.col("__known").alias("up"), ROW)
     # a name is free as soon as one of its rows is; else it hangs on its first row's parent
     steps = edges.filter("__name <> ''").groupBy("__name").agg(F.max(F.col("up").isNull().cast("int")).alias("free"), F.min_by("up", ROW).alias("up"))
     steps = _stored(steps.select(F.col("__name").alias("n"), F.when(F.col("free") == 1, None).otherwise(F.col("up")).alias("up"), F.when(F.col("free") == 1, 0).otherwise(1).cast("long").alias("d")))
@@ -47,7 +47,7 @@ def levels(sheet: DataFrame, name: str, parent: str) -> DataFrame:
         steps = _stored(steps.join(above, "up", "left").select("n", F.col("up2").alias("up"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d")))
         reach *= 2
     known = steps.filter("up is null").select(F.col("n").alias("__parent"), (F.col("d") + 1).alias("__above"))
-    inside = names.select(F.col("n").alias("__parent"), F.lit(True).alias("__inside"))
+    inside = names.select(F.col("__known").alias("__parent"), F.lit(True).alias("__inside"))
     out = rows.join(known, "__parent", "left").join(inside, "__parent", "left")
     return out.withColumn("level", F.when(F.col("__inside").isNull(), F.lit(0).cast("long")).otherwise(F.col("__above"))).select(*sheet.columns, "level")
 
