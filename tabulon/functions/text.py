@@ -11,14 +11,17 @@ from pyspark.sql import functions as F
 # Company-form tokens that a comparison key drops.
 COMPANY_FORMS = ("pte", "ltd", "llc", "inc", "co", "corp", "limited", "plc", "sdn", "bhd", "berhad")
 
+# The characters that count as white space at the ends of a cell.
+WHITE_SPACE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 
 def filled(c: Column | str) -> Column:
     return F.coalesce(F.col(c).cast("string") if isinstance(c, str) else c.cast("string"), F.lit(""))
 
 
 def strip(c: Column | str) -> Column:
-    """Without any white space at the ends; Spark's trim takes spaces only."""
-    return F.regexp_replace(filled(c), r"(?U)^\s+|\s+$", "")
+    """Without any white space at the ends; trim alone takes spaces only."""
+    return F.btrim(filled(c), F.lit(WHITE_SPACE))
 
 
 def blank(c: Column | str) -> Column:
@@ -42,23 +45,20 @@ def tokens(c: Column | str) -> Column:
     return F.filter(F.split(F.lower(filled(c)), "[^a-z0-9]+"), lambda t: t != "")
 
 
-def words(c: Column | str) -> Column:
-    """Case-folded runs of letters and digits of any script."""
-    return F.filter(F.split(F.regexp_replace(casefold(c), r"[^\p{L}\p{N}]", " "), " +"), lambda t: t != "")
+def spaced(c: Column | str) -> Column:
+    """Case-folded runs of letters and digits of any script, one space apart."""
+    return F.trim(F.regexp_replace(casefold(c), r"[^\p{L}\p{N}]++", " "))
 
 
 def compare_key(c: Column | str) -> Column:
     """Words without company forms; a value of nothing but company forms keeps them."""
-    return F.array_join(_kept(words(c)), " ")
+    plain = spaced(c)
+    kept = F.trim(F.regexp_replace(F.concat(F.lit(" "), plain, F.lit(" ")), " (?:" + "|".join(COMPANY_FORMS) + ")(?= )", ""))
+    return F.when(kept == "", plain).otherwise(kept)
 
 
 def token_signature(c: Column | str) -> Column:
-    return F.array_join(F.array_sort(_kept(words(c))), " ")
-
-
-def _kept(all_words: Column) -> Column:
-    kept = F.filter(all_words, lambda t: ~t.isin(*COMPANY_FORMS))
-    return F.when(F.size(kept) > 0, kept).otherwise(all_words)
+    return F.array_join(F.array_sort(F.split(compare_key(c), " ")), " ")
 
 
 def snake(c: Column | str) -> Column:

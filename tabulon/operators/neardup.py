@@ -34,12 +34,12 @@ def deletions(c: Column, k: int) -> Column:
 
 
 def _pieces(c: Column, k: int) -> Column:
-    """struct<mark> of the k + 1 pieces of c: its length, the piece's number and the piece."""
+    """Marks (hashes of length, number and text) of the k + 1 pieces of c; what meets by chance is verified away."""
     n = F.length(c)
     marks = []
     for p in range(k + 1):
         start, end = F.floor(n * p / (k + 1)), F.floor(n * (p + 1) / (k + 1))
-        marks.append(F.concat_ws("\u0001", n.cast("string"), F.lit(str(p)), F.substring(c, (start + 1).cast("int"), (end - start).cast("int"))))
+        marks.append(F.xxhash64(n.cast("int"), F.lit(p), F.substring(c, (start + 1).cast("int"), (end - start).cast("int"))))
     return F.array(*marks)
 
 
@@ -53,14 +53,14 @@ def _probes(c: Column, k: int) -> Column:
             for shift in range(-k, k + 1):
                 at = start + shift
                 piece = F.substring(c, (at + 1).cast("int"), (end - start).cast("int"))
-                out.append(F.when((at >= 0) & (at + end - start <= F.length(c)), F.concat_ws("\u0001", n.cast("string"), F.lit(str(p)), piece)))
+                out.append(F.when((at >= 0) & (at + end - start <= F.length(c)), F.xxhash64(n.cast("int"), F.lit(p), piece)))
     return F.array_distinct(F.array_compact(F.array(*out)))
 
 
 def close_strings(strings: DataFrame, column: str, k: int = 2) -> DataFrame:
     """a, b, distance: pairs a < b of distinct strings at most k edits apart."""
     distinct = strings.select(F.col(column).alias("s")).distinct()
-    short = distinct.filter(F.length("s") <= SHORT + k).select("s", F.explode(deletions(F.col("s"), k)).alias("m"))
+    short = distinct.filter(F.length("s") <= SHORT + k).select("s", F.explode(deletions(F.col("s"), k)).alias("m")).select("s", F.xxhash64("m").alias("m"))
     pairs = short.alias("x").join(short.alias("y"), (F.col("x.m") == F.col("y.m")) & (F.col("x.s") < F.col("y.s"))).select(F.col("x.s").alias("a"), F.col("y.s").alias("b"))
     long = distinct.filter(F.length("s") > SHORT)
     held = long.select(F.col("s").alias("p"), F.explode(_pieces(F.col("s"), k)).alias("m"))
