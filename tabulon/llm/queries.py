@@ -73,4 +73,40 @@ def oracle_sql() -> dict[str, str]:
 
 
 #: Where SQL can express the whole result. The others are held against brute force in tests/llm.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_ngram_jaccard_join": r"""
+WITH RECURSIVE d AS (SELECT doc_id, min(coalesce(text, '')) AS text FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id),
+w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[ \t\n\v\f\r]+'), lambda x: x <> '') AS words FROM d),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+        ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END)) AS shingles,
+        CASE WHEN len(words) = 0 THEN doc_id END AS alone FROM w),
+c AS MATERIALIZED (SELECT min(doc_id) AS class_id, count(*) AS size, len(shingles) AS n, shingles, alone FROM s GROUP BY shingles, alone),
+e AS MATERIALIZED (SELECT class_id, unnest(shingles) AS shingle FROM c WHERE alone IS NULL),
+common AS (SELECT a.class_id AS a, b.class_id AS b, count(*) AS k FROM e a JOIN e b ON a.shingle = b.shingle AND a.class_id <> b.class_id GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT a, b, y.size FROM common JOIN c x ON x.class_id = a JOIN c y ON y.class_id = b WHERE k >= 0.8 * (x.n + y.n - k) - 1e-6),
+reach AS (SELECT class_id AS a, class_id AS b FROM c UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+g AS (SELECT a AS class_id, min(b) AS group_id FROM reach GROUP BY a),
+l AS (SELECT a AS class_id, sum(size) AS links FROM links GROUP BY a)
+SELECT s.doc_id, c.class_id, g.group_id, CAST(coalesce(l.links, 0) + c.size - 1 AS BIGINT) AS n_links
+FROM s JOIN c ON c.shingles = s.shingles AND c.alone IS NOT DISTINCT FROM s.alone JOIN g ON g.class_id = c.class_id LEFT JOIN l ON l.class_id = c.class_id
+""",
+    "op4_suffix_array_dedup": """
+WITH d AS MATERIALIZED (SELECT doc_id, encode(min(coalesce(text, ''))) AS data FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id),
+w AS MATERIALIZED (SELECT doc_id, pos, md5_number(data[pos:pos + 199]) AS h FROM (SELECT doc_id, data, unnest(range(1, octet_length(data) - 198)) AS pos FROM d)),
+r AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+m AS (SELECT doc_id, pos, pos > lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 200 AS later FROM w SEMI JOIN r USING (h)),
+runs AS (SELECT doc_id, min(pos) AS low, max(pos) + 200 AS high FROM (SELECT doc_id, pos, count_if(coalesce(later, false)) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM m) GROUP BY doc_id, run),
+k AS (SELECT doc_id, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY low), 1) AS begin_at, low AS end_at, high - low AS removed FROM (SELECT * FROM runs UNION ALL SELECT doc_id, octet_length(data) + 1, NULL FROM d))
+SELECT d.doc_id, octet_length(any_value(data)) AS n_bytes, CAST(coalesce(sum(removed), 0) AS BIGINT) AS n_removed, count(removed) AS n_spans,
+       sha256(unhex(string_agg(hex(data[begin_at:end_at - 1]), '' ORDER BY begin_at))) AS kept_sha256
+FROM d JOIN k USING (doc_id) GROUP BY d.doc_id
+""",
+    "op5_warc": """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, p.payload_digest,
+       CASE WHEN first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM p LEFT JOIN f ON f.payload_digest = p.payload_digest AND payload_bytes >= 100
+""",
+}
