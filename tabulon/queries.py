@@ -350,7 +350,25 @@ def near_dup_pairs(spark, d):
     return out.select("a_row", "b_row", F.col("edit_distance").cast("long").alias("edit_distance"), F.array_join(F.array_sort("signals"), ",").alias("signals"), F.array_join("differing_fields", ",").alias("differing"))
 
 
-@query("clean")
+@query(
+    "clean",
+    r"""WITH cells AS (SELECT doc_id + 2 AS row_no, trim(coalesce(text, ''), e' \t\n\r') AS v, trim(coalesce(lang, '')) AS lang, trim(coalesce(source, '')) AS source FROM documents),
+k AS (SELECT *, replace(lower(v), 'ß', 'ss') AS dkey FROM cells WHERE v <> ''),
+g AS (SELECT min(lang) = max(lang) AND min(source) = max(source) AS same FROM k GROUP BY dkey HAVING count(*) > 1),
+plain AS (SELECT row_no, dkey, trim(regexp_replace(dkey, '[^\p{L}\p{N}]+', ' ', 'g')) AS p FROM k),
+kept AS (SELECT *, array_to_string(list_filter(string_split(p, ' '), lambda x: x NOT IN ('pte', 'ltd', 'llc', 'inc', 'co', 'corp', 'limited', 'plc', 'sdn', 'bhd', 'berhad')), ' ') AS w FROM plain),
+c AS (SELECT row_no, dkey, CASE WHEN w = '' THEN p ELSE w END AS ckey FROM kept),
+n AS (SELECT row_no, dkey, ckey, md5(array_to_string(list_sort(string_split(ckey, ' ')), ' ')) AS signature, length(ckey) AS n FROM c),
+pairs AS (SELECT count(*) AS n FROM n a JOIN n b ON a.row_no < b.row_no AND a.dkey <> b.dkey AND (a.signature = b.signature OR abs(a.n - b.n) <= 2)
+  WHERE CASE WHEN a.signature = b.signature THEN true
+    WHEN contains(b.ckey, substr(a.ckey, 1, a.n // 3)) OR contains(b.ckey, substr(a.ckey, a.n // 3 + 1, a.n // 3)) OR contains(b.ckey, substr(a.ckey, 2 * (a.n // 3) + 1))
+    THEN levenshtein(a.ckey, b.ckey) <= 2 ELSE false END),
+found AS (SELECT 'duplicate_row' AS kind, CASE WHEN bool_and(same) THEN 'warning' ELSE 'error' END AS severity, 'text' AS source, count(*) || ' duplicated keys' AS detail, count(*) AS n FROM g
+  UNION ALL SELECT 'missing_value', 'error', 'text', 'key', count(*) FROM cells WHERE v = ''
+  UNION ALL SELECT 'missing_value', 'error', 'lang', 'required', count(*) FROM cells WHERE lang = ''
+  UNION ALL SELECT 'possible_duplicate_row', 'warning', 'text', n || ' pairs', n FROM pairs)
+SELECT kind || ':' || source AS conflict_key, kind, severity, source, CAST(NULL AS VARCHAR) AS target, detail, n AS count FROM found WHERE n > 0""",
+)
 def clean(spark, d):
     """The flagship: every conflict of the documents sheet."""
     return analysis.clean(documents(spark, d), "text", ["lang"])
