@@ -2,30 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.functions.text import strip
 from tabulon.operators.profile import ROW
-
-
-def _stored(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder and read back, so that a loop's lineage stays short."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="tabulon-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/tree-{uuid.uuid4().hex}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from tabulon.sources.shared import new_folder, removed, stored
 
 
 def levels(sheet: DataFrame, name: str, parent: str) -> DataFrame:
@@ -39,12 +21,15 @@ def levels(sheet: DataFrame, name: str, parent: str) -> DataFrame:
     edges = rows.select("__name", "__parent", ROW).join(names, F.col("__parent") == F.col("__known"), "left").select("__name", F.col("__known").alias("up"), ROW)
     # a name is free as soon as one of its rows is; else it hangs on its first row's parent
     steps = edges.filter("__name <> ''").groupBy("__name").agg(F.max(F.col("up").isNull().cast("int")).alias("free"), F.min_by("up", ROW).alias("up"))
-    steps = _stored(steps.select(F.col("__name").alias("n"), F.when(F.col("free") == 1, None).otherwise(F.col("up")).alias("up"), F.when(F.col("free") == 1, 0).otherwise(1).cast("long").alias("d")))
+    path = new_folder(sheet.sparkSession, "tree")
+    steps = stored(steps.select(F.col("__name").alias("n"), F.when(F.col("free") == 1, None).otherwise(F.col("up")).alias("up"), F.when(F.col("free") == 1, 0).otherwise(1).cast("long").alias("d")), path)
     total = steps.count()
     reach = 1
     while reach <= total and steps.filter("up is not null").limit(1).count():
         above = steps.select(F.col("n").alias("up"), F.col("up").alias("up2"), F.col("d").alias("d2"))
-        steps = _stored(steps.join(above, "up", "left").select("n", F.col("up2").alias("up"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d")))
+        before, path = path, new_folder(sheet.sparkSession, "tree")
+        steps = stored(steps.join(above, "up", "left").select("n", F.col("up2").alias("up"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d")), path)
+        removed(sheet.sparkSession, before)
         reach *= 2
     known = steps.filter("up is null").select(F.col("n").alias("__parent"), (F.col("d") + 1).alias("__above"))
     inside = names.select(F.col("__known").alias("__parent"), F.lit(True).alias("__inside"))

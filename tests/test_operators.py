@@ -2,7 +2,11 @@
 
 import itertools
 import random
+import subprocess
+import sys
+import time
 import zipfile
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -210,3 +214,23 @@ def test_same_for_any_partitions(spark):
         seen.add(str(sorted(map(str, neardup.near_duplicate_pairs(rows.repartition(n), "Name", ["Email"]).collect()))))
     spark.conf.set("spark.sql.shuffle.partitions", 8)
     assert len(seen) == 1
+
+
+def test_intermediate_tables_go_with_the_session(tmp_path):
+    code = f"""
+from pyspark.sql import SparkSession
+from tabulon.sources.shared import new_folder, removed, stored, written
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {str(tmp_path)!r}).getOrCreate()
+path = new_folder(spark, "a")
+assert stored(spark.range(3), path).count() == 3
+removed(spark, path)
+assert written(spark.range(5), "b").count() == 5
+from pathlib import Path
+assert len(list(Path({str(tmp_path)!r}).glob("tabulon-*/*"))) == 1
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120, cwd=Path(__file__).parent.parent)
+    for _ in range(100):
+        if not list(tmp_path.glob("tabulon-*")):
+            break
+        time.sleep(0.1)
+    assert not list(tmp_path.glob("tabulon-*"))
