@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.llm import langid, minhash_forest, packing, pii, suffix_dedup
-from tabulon.llm.common import table, written
+from tabulon.llm.common import table
+from tabulon.sources.shared import new_folder, removed, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -61,7 +62,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = new_folder(spark, f"stage-{name}")
+        docs = stored(stage(spark, docs, sf_dir), path)
+        if before:
+            removed(spark, before)
+        before = path
     return docs

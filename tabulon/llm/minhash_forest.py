@@ -28,8 +28,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import in_batches, mix64, one_each, slices, words_of, written
+from tabulon.llm.common import in_batches, mix64, one_each, slices, words_of
 from tabulon.llm.graph import components
+from tabulon.sources.shared import written
 
 BLOCK = 256
 PACKET = 2048

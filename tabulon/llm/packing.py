@@ -27,7 +27,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import in_batches, mix64, slices, spread, text_of, words_of, written
+from tabulon.llm.common import in_batches, mix64, slices, spread, text_of, words_of
+from tabulon.sources.shared import written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 

@@ -27,7 +27,8 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import text_of, written
+from tabulon.llm.common import text_of
+from tabulon.sources.shared import written
 
 BASE = ("email", "ip", "card", "phone")
 #: All kinds, in the order in which spans with one start are listed.

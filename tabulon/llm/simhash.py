@@ -21,7 +21,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import one_each, written
+from tabulon.llm.common import one_each
+from tabulon.sources.shared import written
 
 RUN = 16_384
 PACKET = 256

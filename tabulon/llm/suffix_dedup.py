@@ -28,8 +28,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import in_batches, mix64, one_each, slices, written
+from tabulon.llm.common import in_batches, mix64, one_each, slices
 from tabulon.llm.minhash_forest import groups_of, starts_of
+from tabulon.sources.shared import written
 
 HOT = 300_000
 SLICE = 1 << 20

@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import in_batches, new_folder
+from tabulon.llm.common import in_batches
+from tabulon.sources.shared import new_folder
 
 SEPARATOR = "\r\n\r\n"
 
