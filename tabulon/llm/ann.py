@@ -110,7 +110,7 @@ def leading(scores: np.ndarray, count: int) -> np.ndarray:
     return np.concatenate((over, np.flatnonzero(scores == edge)[: count - len(over)]))
 
 
-def nearest(vectors: DataFrame, k: int = 10, every: int = 100, sample: int = 8000, block_rows: int = 8192, block_queries: int = 1024, rerank: int = 100) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 10, every: int = 100, sample: int = 8000, block_rows: int = 8192, block_queries: int = 8192, rerank: int = 100) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of each row whose vec_id is divisible by every."""
     ok = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull()
     sound = ok & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
