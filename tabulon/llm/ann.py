@@ -4,7 +4,9 @@ The nearest vector x to q has the largest q.x - |x|^2 / 2, a maximum inner produ
 approximate q.x; |x| is kept as it is. Codebooks (16 entries, so four bits, for each pair of dimensions)
 are fitted to a bounded sample under the anisotropic loss, which weighs the residual's part parallel to
 the vector more than the orthogonal part. Queries scan the codes with eight-bit tables; the best
-`rerank` of each block of rows are compared exactly, in double precision.
+`rerank` of each block of rows are compared exactly and give a radius. A row is nowhere nearer than its
+code's distance less its residual's norm and the tables' rounding; every row of the block for which that
+is within the radius is compared exactly too, in double precision, so no neighbour is lost.
 
 Every row is indexed. Of equal vectors only the k + 1 smallest ids are scanned, which loses no result.
 Rows and queries are dealt into blocks of bounded size, and each pair of blocks is one group.
@@ -88,17 +90,23 @@ def fitted(sample: np.ndarray, width: int = 2, threshold: float = 0.2, rounds: i
     return Codebooks(dimension, books.centres.astype(np.float32)), weight
 
 
-def scanned(queries: np.ndarray, codes: np.ndarray, half_norms: np.ndarray, books: Codebooks) -> np.ndarray:
-    """Approximate q.x - |x|^2 / 2 (queries x rows) from eight-bit tables of four-bit codes."""
-    parts = books.split(queries.astype(np.float32))
-    tables = np.einsum("qpw,pew->qpe", parts, books.centres)
+def decode(codes: np.ndarray, books: Codebooks) -> np.ndarray:
+    """The vectors that codes stand for."""
+    parts = books.centres.astype(np.float64)[np.arange(codes.shape[1]), codes]
+    return parts.reshape(len(codes), -1)[:, : books.dimension]
+
+
+def scanned(queries: np.ndarray, codes: np.ndarray, books: Codebooks) -> tuple[np.ndarray, np.ndarray]:
+    """(approximate q.x (queries x rows) from eight-bit tables of four-bit codes, how far each query's are from q.decode(codes) at most)."""
+    parts = books.split(queries.astype(np.float64))
+    tables = np.einsum("qpw,pew->qpe", parts, books.centres.astype(np.float64))
     low = tables.min(axis=2, keepdims=True)
     step = np.maximum((tables - low).max(axis=(1, 2)), 1e-12) / 255
     small = np.rint((tables - low) / step[:, None, None]).astype(np.uint16)
     sums = np.zeros((len(queries), len(codes)), np.uint16 if codes.shape[1] <= 256 else np.uint32)
     for p in range(codes.shape[1]):
         sums += np.take(small[:, p], codes[:, p], axis=1)
-    return sums * step[:, None].astype(np.float32) + low.sum(axis=(1, 2))[:, None].astype(np.float32) - half_norms[None].astype(np.float32)
+    return sums * step[:, None] + low.sum(axis=(1, 2))[:, None], step * codes.shape[1] / 2
 
 
 def leading(scores: np.ndarray, count: int) -> np.ndarray:
@@ -141,12 +149,28 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, sample: int = 800
         rows = rows.sort_values("vec_id", kind="stable")
         ids, x, q = rows["vec_id"].to_numpy(), np.stack(rows["embedding"].to_numpy()), np.stack(asked["embedding"].to_numpy())
         exact_x, codes = x.astype(np.float64), encode(x, books, weight)
-        half, out = (exact_x**2).sum(axis=1) / 2, []
+        stand = decode(codes, books)
+        norms, stand_norms, rest = (exact_x**2).sum(axis=1), (stand**2).sum(axis=1), np.sqrt(((exact_x - stand) ** 2).sum(axis=1))
+        out = []
         for at in range(0, len(q), 128):
-            scores = scanned(q[at : at + 128], codes, half, books)
-            for query_id, vector, score in zip(asked["vec_id"].to_numpy()[at : at + 128], q[at : at + 128].astype(np.float64), scores, strict=True):
-                found = leading(score, rerank + 1)
-                found = found[ids[found] != query_id]
+            query_ids, vectors = asked["vec_id"].to_numpy()[at : at + 128], q[at : at + 128].astype(np.float64)
+            products, error = scanned(vectors, codes, books)
+            own = query_ids[:, None] == ids[None]
+            radius = np.full(len(vectors), np.inf)
+            for i, vector in enumerate(vectors):
+                found = leading(products[i] - norms / 2, rerank + 1)
+                found = found[~own[i, found]]
+                if len(found) >= k:
+                    radius[i] = np.sqrt(np.partition(((exact_x[found] - vector) ** 2).sum(axis=1), k - 1)[k - 1])
+            sizes = (vectors**2).sum(axis=1)[:, None]
+            slack = 1e-9 * (sizes + norms[None])  # more than rounding in double precision
+            least = np.sqrt(np.maximum(sizes + stand_norms[None] - 2 * (products + error[:, None]) - slack, 0)) - rest[None]
+            near = ~(least > (radius * (1 + 1e-9))[:, None]) & ~own
+            needed = np.flatnonzero(near.any(axis=0))
+            squares = sizes + norms[needed][None] - 2 * (vectors @ exact_x[needed].T)
+            inside = near[:, needed] & ~(squares - slack[:, needed] > (radius**2)[:, None])
+            for i, (query_id, vector) in enumerate(zip(query_ids, vectors, strict=True)):
+                found = needed[inside[i]]
                 distance = np.sqrt(((exact_x[found] - vector) ** 2).sum(axis=1))
                 best = np.lexsort((ids[found], distance))[:k]
                 out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[found][best], "score": distance[best]}))

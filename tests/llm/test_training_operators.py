@@ -304,6 +304,22 @@ def test_neighbours(spark):
     assert ann.nearest(frame.filter("vec_id = 200")).count() == 0
 
 
+def test_neighbours_among_near_copies(spark):
+    draw = np.random.default_rng(11)
+    x = draw.normal(size=(3000, 64))
+    x[::3] = x[0] + 0.01 * draw.normal(size=(1000, 64))  # a third of the rows
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = collections.defaultdict(list)
+    for r in ann.nearest(frame, every=50).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert sorted(got) == list(range(0, 3000, 50))
+    for q, found in got.items():
+        d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(axis=1))
+        d[q] = np.inf
+        assert found == np.lexsort((np.arange(3000), d))[:10].tolist()
+
+
 # ---------------------------------------------------------------- urls
 
 
