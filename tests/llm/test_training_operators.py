@@ -382,6 +382,12 @@ def test_fingerprints(odd, docs, texts, none):
     assert simhash.edited_fingerprints(none).count() == 0
 
 
+def test_fingerprint_of_one_long_word(spark):
+    frame = spark.createDataFrame([(1, "continue " * 20_000), (2, "continue")], "doc_id long, text string")
+    got = {r.doc_id: r for r in simhash.edited_fingerprints(frame).collect()}
+    assert got[1].n_chars == 180_000 and got[1].fingerprint == got[2].fingerprint
+
+
 def test_near_search(spark):
     draw = np.random.default_rng(2)
     base = int(draw.integers(1 << 62))
