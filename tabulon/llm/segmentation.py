@@ -1,8 +1,8 @@
 """Operator 3, SentencePiece encoding and decoding with N-best segmentation.
 
-A text's lattice has the vocabulary's pieces as edges. No piece goes on after a space mark that follows another
-character, so the lattice of a text is a row of independent lattices, one for each word with the space before it
-(a line break is a word of its own).
+A text's lattice has the vocabulary's pieces as edges. No piece goes on from another character to a space mark, so
+the lattice of a text is a row of independent lattices, one for each run of spaces with the word after it (a line break
+begins a word of its own). A vocabulary with other pieces is refused.
 
 1. Forward Viterbi scores of all distinct words of a slice at once, as arrays.
 2. The best path. A second-best path of a word leaves the best path at one edge, which gives the word's gap.
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
 import zlib
 from functools import lru_cache
 
@@ -34,8 +35,12 @@ from pyspark.sql import functions as F
 from tabulon.llm.common import in_batches, mix64, slices, spread, text_of
 
 SPACE = "▁"
-#: Begins a token that no space precedes.
-BARE = "\x02"
+#: Stands between words.
+CUT = "\x02"
+#: A line break, or a run of spaces with what follows it.
+WORD = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
+#: Sums nearer to each other than this are ties.
+TIE = 1e-9
 PIECE_COST = 4.0
 UNKNOWN = -30.0
 WIDTHS = (6, 9, 12, 16, 24, 40)
@@ -57,9 +62,9 @@ class Vocabulary:
                 self.data[i] = bytes([int(piece[3:5], 16)])
             elif not model.is_control(i) and not model.is_unknown(i):
                 self.data[i] = piece.replace(SPACE, " ").encode()
-                rank = -model.get_score(i)
-                if rank < 1e8 or len(piece) == 1:  # longer pieces of no rank are never made by merges
-                    self.ids[piece], self.scores[piece] = i, -math.log1p(min(rank, count)) - PIECE_COST
+                self.ids[piece], self.scores[piece] = i, -math.log1p(min(-model.get_score(i), count)) - PIECE_COST
+        if any("\n" in p or SPACE in p.lstrip(SPACE) for p in self.ids):
+            raise ValueError(f"{path} has pieces that go on over a line break or to a space mark")
         self.longest = max(map(len, self.ids))
         points = [np.frombuffer(p.encode("utf-32-le"), np.uint32) for p in self.ids]
         hashes = np.array([self._hash(p) for p in points], np.uint64)
@@ -104,9 +109,9 @@ def forward(word: str, vocabulary: Vocabulary) -> tuple[list[float], list[int]]:
     """(best score up to each place, where the last edge of it begins)."""
     best, back = [0.0] + [-math.inf] * len(word), [0] * (len(word) + 1)
     for end in range(1, len(word) + 1):
-        for start, score in vocabulary.edges(word, end):
-            if best[start] + score > best[end]:
-                best[end], back[end] = best[start] + score, start
+        sums = [(start, best[start] + score) for start, score in vocabulary.edges(word, end)]
+        best[end] = max(s for _, s in sums)
+        back[end] = next(start for start, s in sums if s >= best[end] - TIE)
     return best, back
 
 
@@ -175,8 +180,9 @@ class Segmenter:
         for end in range(1, width + 1):
             k = min(end, most)
             values = np.stack([best[:, end - length] + edge[length - 1, :, end] for length in range(k, 0, -1)], axis=1)
-            first = values.argmax(axis=1)
-            best[:, end], back[:, end] = values[rows, first], k - first
+            best[:, end] = values.max(axis=1)
+            first = (values >= best[:, end, None] - TIE).argmax(axis=1)
+            back[:, end] = k - first
             if k > 1:
                 values[rows, first] = -np.inf
                 with np.errstate(invalid="ignore"):
@@ -238,18 +244,21 @@ class Segmenter:
 
     def texts(self, texts: pa.Array):
         """For each text: (ids, [(score, ids' CRC) of the n best])."""
-        normal = pc.replace_substring(pc.replace_substring(texts, SPACE, " "), "\n", f" {BARE}\n {BARE}")
-        tokens = pc.split_pattern(normal, " ")
-        marked = np.asarray(pc.match_substring(texts, BARE))
-        if marked.any():  # the marker itself is in a text: cut it here
+        normal = pc.replace_substring(pc.replace_substring(texts, SPACE, " "), " ", CUT + SPACE)
+        normal = pc.binary_join_element_wise(SPACE, pc.replace_substring(normal, "\n", f"{CUT}\n{CUT}"), "")
+        for _ in range(2):  # pairs of space marks first, then the pairs
+            normal = pc.replace_substring(normal, SPACE + CUT + SPACE, SPACE + SPACE)
+        tokens = pc.split_pattern(normal, CUT)
+        marked = np.asarray(pc.match_substring(texts, CUT))
+        if marked.any():  # the cut itself is in a text
             rows = tokens.to_pylist()
             for i in np.flatnonzero(marked):
-                rows[i] = [x for k, line in enumerate(texts[i].as_py().replace(SPACE, " ").split("\n")) for x in ([f"{BARE}\n"] if k else []) + [BARE + (SPACE if j or not k else "") + w for j, w in enumerate(line.split(" "))]]
+                rows[i] = WORD.findall(SPACE + texts[i].as_py().replace(" ", SPACE))
             tokens = pa.array(rows, pa.list_(pa.string()))
         offsets = np.concatenate(([0], np.cumsum(np.asarray(pc.list_value_length(tokens), dtype=np.int64))))
         coded = tokens.flatten().dictionary_encode()
         numbers = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        words = [w[1:] if w.startswith(BARE) else SPACE + w for w in coded.dictionary.to_pylist()]
+        words = coded.dictionary.to_pylist()
         scores, gaps, ids, counts = self.words(words)
         starts = np.cumsum(counts) - counts
         empty = np.asarray(pc.equal(pc.binary_length(texts), 0))

@@ -172,6 +172,35 @@ def test_nbest_against_enumeration():
         assert segmentation.decoded(ids.tolist(), vocabulary) == text
 
 
+def best_sums(pieces, text, n):
+    """The n best scores over all pieces of the model, without cutting the text into words."""
+    word = segmentation.SPACE + text.replace(" ", segmentation.SPACE)
+    best = [[0.0]]
+    for end in range(1, len(word) + 1):
+        sums = [x + pieces.get(word[start:end], segmentation.UNKNOWN) for start in range(end) if word[start:end] in pieces or end == start + 1 for x in best[start]]
+        best.append(sorted(sums, reverse=True)[:n])
+    return best[-1]
+
+
+def test_runs_of_spaces_against_all_pieces():
+    import sentencepiece
+
+    model, pieces = sentencepiece.SentencePieceProcessor(model_file=PIECES), {}
+    for i in range(model.get_piece_size()):
+        if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i)):
+            pieces[model.id_to_piece(i)] = -np.log1p(min(-model.get_score(i), model.get_piece_size())) - segmentation.PIECE_COST
+    tests = [f"{a}{' ' * k}{b}" for k in range(1, 45) for a, b in (("x", "word"), ("x", ""), ("", "word"), ("if:\n", "pass  # it"), ("é\x02", "\nq"))]
+    tests += ["a  \n   b \n\n    c", f"a {segmentation.SPACE} b", " " * 5000]
+    vocabulary = segmentation.Vocabulary(PIECES)
+    ids_of_runs = set()
+    for text, (ids, paths) in zip(tests, segmentation.Segmenter(vocabulary, 4).texts(pa.array(tests)), strict=True):
+        assert np.allclose([s for s, _ in paths], best_sums(pieces, text, 4), rtol=0, atol=1e-6), text
+        assert len({c for _, c in paths}) == len(paths), text
+        assert segmentation.decoded(ids.tolist(), vocabulary) == text.replace(segmentation.SPACE, " ")
+        ids_of_runs |= set(ids.tolist())
+    assert {259, 260, 273, 355, 359, 428, 558, 569, 756, 1417, 2287, 2600, 5390, 17422} <= ids_of_runs
+
+
 def test_segmentation_round_trip(odd, none):
     rows = {r.doc_id: r for r in segmentation.nbest_digest(odd, PIECES).collect()}
     assert len(rows) == len(ODD) and all(r.round_trip for r in rows.values())
