@@ -1,8 +1,8 @@
 """The corpus pipeline: documents in, packed training sequences out.
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which is
-written as Parquet and read again as the next one's docs. All but the last return COLUMNS. Rows without
-doc_id can't be told apart and leave at the near-duplicate stage.
+written as Parquet and read again as the next one's docs. All but the last return COLUMNS. Each row is a
+document of its own, also where rows repeat a doc_id or have none; doc_id stays as it is.
 """
 
 from __future__ import annotations
@@ -13,11 +13,19 @@ from pyspark.sql import functions as F
 
 from tabulon.llm import langid, minhash_forest, packing, pii, suffix_dedup
 from tabulon.llm.common import table
-from tabulon.sources.shared import new_folder, removed, stored
+from tabulon.sources.shared import new_folder, removed, stored, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with row_key, a long: doc_id if that tells rows apart, else numbers in the order of doc_id, rows without one last."""
+    if not docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count():
+        return docs.withColumn("row_key", F.col("doc_id").cast("long"))
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]  # the hash parts the rows of one doc_id
+    return written(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("row_key", F.monotonically_increasing_id()), "keyed")
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in no language: no text, or no letter in it. lang becomes the prediction."""
     found = langid.identify(docs.select(*COLUMNS), langid.learn(docs), COLUMNS).filter(F.col("lang_pred") != langid.UNDETERMINED)
@@ -26,15 +34,18 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each group of near duplicates."""
-    stays = minhash_forest.jaccard_join(docs).filter("doc_id = group_id").select("doc_id")
-    return docs.select(*COLUMNS).join(stays, "doc_id", "left_semi")
+    docs = keyed(docs)
+    judged = minhash_forest.jaccard_join(docs.select(F.col("row_key").alias("doc_id"), "text"))
+    stays = judged.filter("doc_id = group_id").select(F.col("doc_id").alias("row_key"))
+    return docs.join(stays, "row_key", "left_semi").select(*COLUMNS)
 
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes what repeats across or within documents."""
-    kept = suffix_dedup.kept_texts(suffix_dedup.repeated_spans(docs))
-    rest = docs.select("doc_id", "lang", "source")
-    return kept.join(rest, "doc_id").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    docs = keyed(docs)
+    kept = suffix_dedup.kept_texts(suffix_dedup.repeated_spans(docs.select(F.col("row_key").alias("doc_id"), "text")))
+    rest = docs.select("row_key", "doc_id", "lang", "source")
+    return kept.withColumnRenamed("doc_id", "row_key").join(rest, "row_key").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

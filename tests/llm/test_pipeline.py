@@ -27,3 +27,17 @@ def test_stages(spark, tmp_path):
     assert "me@here.org" not in out["pii"][5].text and "<EMAIL>" in out["pii"][5].text
     assert set(out["packing"]) == {1, 5, 6, 7}
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(out["packing"])
+
+
+def test_each_row_is_a_document(spark, tmp_path):
+    texts = {name: " ".join(f"{name}{k}" for k in range(90)) for name in ("alpha", "beta", "gamma", "delta")}
+    rows = [(1, texts["alpha"]), (1, texts["alpha"]), (1, texts["beta"]), (2, texts["alpha"] + " more"), (None, texts["gamma"]), (None, texts["delta"]), (None, texts["beta"])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = sorted([("1", texts["alpha"]), ("1", texts["beta"]), ("None", texts["gamma"]), ("None", texts["delta"])])
+    for name in ("near_duplicates", "repeated_passages"):
+        docs = dict(corpus_pipeline.STAGES)[name](spark, docs, str(tmp_path))
+        docs.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert sorted((str(r.doc_id), r.text) for r in docs.collect()) == want
+    packed = dict(corpus_pipeline.STAGES)["packing"](spark, docs, str(tmp_path)).collect()
+    assert len(packed) == 4 and len({(r.sequence_id, r.offset) for r in packed}) == 4
