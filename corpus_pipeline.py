@@ -27,8 +27,11 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in no language: no text, or no letter in it. lang becomes the prediction."""
-    found = langid.identify(docs.select(*COLUMNS), langid.learn(docs), COLUMNS).filter(F.col("lang_pred") != langid.UNDETERMINED)
+    """Drops documents in no language: no text, or no letter in it. lang becomes the prediction, or stays where no language could be learned."""
+    model = langid.learn(docs)
+    if not model.languages:
+        return docs.filter(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
+    found = langid.identify(docs.select(*COLUMNS), model, COLUMNS).filter(F.col("lang_pred") != langid.UNDETERMINED)
     return found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 

@@ -1,5 +1,7 @@
 """The pipeline on small documents: what each stage decides takes effect."""
 
+import zlib
+
 import pytest
 
 pytest.importorskip("public_tokenizers")
@@ -41,3 +43,14 @@ def test_each_row_is_a_document(spark, tmp_path):
         assert sorted((str(r.doc_id), r.text) for r in docs.collect()) == want
     packed = dict(corpus_pipeline.STAGES)["packing"](spark, docs, str(tmp_path)).collect()
     assert len(packed) == 4 and len({(r.sequence_id, r.offset) for r in packed}) == 4
+
+
+def test_no_language_to_learn(spark, tmp_path):
+    rows = [(1, "some words", None), (2, None, None), (3, "123 456", None), (4, "日本語", None), (5, "", None)]
+    stage = dict(corpus_pipeline.STAGES)["language_id"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang in rows], schema)
+    assert {(r.doc_id, r.text, r.lang) for r in stage(spark, docs, str(tmp_path)).collect()} == {rows[0], rows[3]}
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 3 == 1)
+    docs = spark.createDataFrame([(held, "some words", "en", "s", 10)], schema)  # the only labelled row is held out
+    assert [(r.doc_id, r.lang) for r in stage(spark, docs, str(tmp_path)).collect()] == [(held, "en")]
