@@ -1,11 +1,13 @@
-"""Operator 2, n-gram Jaccard join: a MinHash LSH forest, then exact verification.
+"""Operator 2, n-gram Jaccard join: banded MinHash LSH in place of an LSH forest, then exact verification.
 
 1. Each text becomes its set of word shingles. Texts with equal sets form a class; only classes go on.
-2. A class has one label for each tree: the values of `depth` MinHash functions. The trees are tries over
-   sorted labels; two classes meet in a tree where their labels share a prefix. `matched_depth` starts at
-   whole labels and shortens the prefix until the chance that a pair at the threshold meets in some tree
-   reaches the target recall.
-3. Within the tries' nodes, whole signatures are compared; a spanning forest of the likely pairs links
+2. A class has one label for each tree: the values of `depth` MinHash functions. Two classes meet in a tree
+   where their labels share a prefix of the matched depth. `matched_depth` computes that one depth, before
+   any data is seen, as the longest at which a pair at the threshold meets in some tree with the target
+   recall; the prefix is hashed to one key. So this is banding: labels are not sorted, and prefixes are not
+   shortened by what they match. A forest that shortens all its prefixes down to the same recall ends with
+   the same pairs, as those that share a longer prefix share this one too.
+3. Within the nodes (equal keys of a tree), whole signatures are compared; a spanning forest of the likely pairs links
    classes into candidate groups. No row exists for a pair.
 4. All pairs of a candidate group are verified exactly on their shingle sets, in blocks of `BLOCK` classes
    against each other, so neither a hot trie node nor a large group is one task. Each block pair gives the
