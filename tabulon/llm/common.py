@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulon.sources.shared import written
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,11 +23,15 @@ def text_of(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def one_each(docs: DataFrame) -> DataFrame:
-    """doc_id, text: one row for each doc_id, of repeated ids the smallest text; rows without doc_id are left out."""
-    docs = docs.filter("doc_id is not null").select("doc_id", text_of().alias("text"))
-    twice = docs.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return docs.groupBy("doc_id").agg(F.min("text").alias("text")) if twice else docs
+def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """docs with row_key, a long of its own for each row, and whether that is doc_id.
+
+    It is where doc_id tells rows apart; else rows are numbered in the order of doc_id, those without one last.
+    """
+    if not docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count():
+        return docs.withColumn("row_key", F.col("doc_id").cast("long")), True
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]  # the hash parts the rows of one doc_id
+    return written(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("row_key", F.monotonically_increasing_id()), "keyed"), False
 
 
 def give_back() -> None:
@@ -37,17 +43,37 @@ def give_back() -> None:
         pass
 
 
+#: What this Python worker keeps from task to task: one thing at most, see `resident`.
+_KEPT: dict[tuple, object] = {}
+
+
+def resident(name: tuple, make: Callable[[], object]) -> object:
+    """make()'s value, kept in this Python worker until a task begins that names another."""
+    if name not in _KEPT:
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def keep_only(name: tuple | None) -> None:
+    for other in [k for k in _KEPT if k != name]:
+        del _KEPT[other]
+    give_back()
+
+
 Batches = Iterator[pa.RecordBatch]
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def in_batches(function: Callable[[Batches], Batches], schema: str, most: int = 16 << 20) -> Callable[[DataFrame], DataFrame]:
+def in_batches(function: Callable[[Batches], Batches], schema: str, most: int = 8 << 20, keeps: tuple | None = None) -> Callable[[DataFrame], DataFrame]:
     """For DataFrame.transform: mapInArrow with batches of at most about `most` bytes, giving freed memory back.
 
+    keeps: the name of what function keeps by `resident`; all else that earlier tasks kept in the worker goes first.
     A session with a larger limit is set to `most`: batches of long texts are held several times, in the JVM too.
     """
 
     def run(batches: Batches) -> Batches:
+        keep_only(keeps)
+
         def each() -> Batches:
             for batch in batches:
                 yield batch
@@ -95,6 +121,37 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return offsets, numbers, distinct
 
 
+def groups_of(batches: Batches, keys: int) -> Iterator[pa.Table]:
+    """Tables of whole groups, from batches sorted by their first `keys` columns."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k) for k in range(keys)]
+        change = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            values = c.to_numpy(zero_copy_only=False)
+            change[1:] |= values[1:] != values[:-1]
+        if held and any(held[-1].column(k)[-1].as_py() != columns[k][0].as_py() for k in range(keys)):
+            yield pa.Table.from_batches(held)
+            held = []
+        last = int(np.flatnonzero(change)[-1]) if change.any() else 0
+        if last:
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def starts_of(columns: list[np.ndarray]) -> np.ndarray:
+    """Where each group begins, and the end."""
+    change = np.zeros(len(columns[0]), bool)
+    for c in columns:
+        change[1:] |= c[1:] != c[:-1]
+    return np.concatenate(([0], np.flatnonzero(change), [len(columns[0])]))
+
+
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The numbers start, start + 1, ... of each run, one run after another."""
     total = int(lengths.sum())

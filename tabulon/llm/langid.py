@@ -57,7 +57,7 @@ def lettered(words: pa.Array) -> np.ndarray:
     return np.asarray(pc.match_substring_regex(words, r"\pL"), dtype=bool)
 
 
-def learn(docs: DataFrame, learn_per_language: int = 2000, buckets: int = 1 << 15, smoothing: float = 0.5, slice_bytes: int = 4 << 20) -> LanguageModel:
+def learn(docs: DataFrame, learn_per_language: int = 2000, buckets: int = 1 << 15, smoothing: float = 0.5, slice_bytes: int = 1 << 20) -> LanguageModel:
     """From doc_id, text, lang of documents that are not held out."""
     known = docs.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull())
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row for each language
@@ -141,7 +141,7 @@ def languages_of(texts: pa.Array, model: LanguageModel, rounds: int = 8, penalty
     return best, np.clip(score, 0, 1)
 
 
-def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = (), slice_bytes: int = 4 << 20) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = (), slice_bytes: int = 1 << 20) -> DataFrame:
     """The columns in keep, then lang_pred and score of each row's text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages floats
     sent = [*keep] if "text" in keep else [*keep, "text"]

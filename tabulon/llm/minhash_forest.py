@@ -1,47 +1,56 @@
-"""Operator 2, n-gram Jaccard join: banded MinHash LSH in place of an LSH forest, then exact verification.
-
-1. Each text becomes its set of word shingles. Texts with equal sets form a class; only classes go on.
-2. A class has one label for each tree: the values of `depth` MinHash functions. Two classes meet in a tree
-   where their labels share a prefix of the matched depth. `matched_depth` computes that one depth, before
-   any data is seen, as the longest at which a pair at the threshold meets in some tree with the target
-   recall; the prefix is hashed to one key. So this is banding: labels are not sorted, and prefixes are not
-   shortened by what they match. A forest that shortens all its prefixes down to the same recall ends with
-   the same pairs, as those that share a longer prefix share this one too.
-3. Within the nodes (equal keys of a tree), whole signatures are compared; a spanning forest of the likely pairs links
-   classes into candidate groups. No row exists for a pair.
-4. All pairs of a candidate group are verified exactly on their shingle sets, in blocks of `BLOCK` classes
-   against each other, so neither a hot trie node nor a large group is one task. Each block pair gives the
-   number of links of each class and a spanning forest of the links.
+"""Operator 2, n-gram Jaccard join: MinHash LSH forest, then exact verification.
+
+1. Each text becomes its set of word shingles. Texts with equal sets form a class; only classes go on, and only sets
+   that are large enough to have a different set as near as the threshold.
+2. Forest. A class has one label for each of `trees` tries: the values of `depth` MinHash functions. Two classes that
+   share a prefix of a label lie below one node of that trie. `floor_depth` is the shortest prefix that the target
+   recall can ask for, at the threshold; the nodes of that depth are dealt out as tasks.
+3. Below a node, labels are sorted, and each class walks up from its whole label to shorter prefixes (`walk`). At
+   each step it compares whole signatures with the classes that share the prefix. The similarities of those it has
+   met so far, each weighted by the chance of meeting it, estimate the recall that all tries together reach with
+   this prefix; one more pair at the threshold is assumed unseen. The class stops as soon as the estimate reaches the
+   target: among many close copies at long prefixes, without any only at the floor.
+4. A spanning forest of the likely pairs links classes into candidate groups. No row exists for a pair.
+5. Pairs of a candidate group are verified exactly on their shingle sets, in blocks of at most `BLOCK` classes and
+   about `BLOCK_BYTES` bytes against each other. Classes lie in bands of size, and only sets of one or of adjacent bands can be
+   as near as the threshold, so blocks further apart never meet. Each block pair gives the number of links of
+   each class and a spanning forest of the links.
 
 Words are split at white space and lower-cased. A text of fewer words than a shingle is one shingle.
 
-Defined cases: a null text is empty; a text without words is a class of its own without links; rows without
-doc_id are left out, of rows that repeat one the smallest text counts; an empty table gives no rows; other
-columns are ignored.
+Defined cases: a null text is empty; a text without words is a class of its own without links; each row is a document of
+its own, also where doc_ids repeat or are null (rows without one come last); very long texts are held one at a time; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import in_batches, mix64, one_each, slices, words_of
+from tabulon.llm.common import groups_of, in_batches, keyed, mix64, slices, starts_of, text_of, words_of
 from tabulon.llm.graph import components
 from tabulon.sources.shared import written
 
 BLOCK = 256
+BLOCK_BYTES = 4 << 20
 PACKET = 2048
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 
-def matched_depth(threshold: float, trees: int, depth: int, target: float) -> int:
+def met(similarity: float | np.ndarray, trees: int, prefix: int) -> float | np.ndarray:
+    """How likely a pair shares a prefix of that length in some tree."""
+    return 1 - (1 - similarity**prefix) ** trees
+
+
+def floor_depth(threshold: float, trees: int, depth: int, target: float) -> int:
     """The longest prefix at which a pair as similar as threshold meets with probability target; at least 1."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < target:
+    while depth > 1 and met(threshold, trees, depth) < target:
         depth -= 1
     return depth
 
@@ -81,8 +90,8 @@ def unique_sets(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return hashes[keep], np.concatenate(([0], np.cumsum(np.bincount(owner[keep], minlength=len(offsets) - 1))))
 
 
-def set_keys(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit keys of each set of hashes, which needs no order but takes each hash once."""
+def set_keys(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two 64-bit keys of each set of hashes, which needs no order but takes each hash once, and its size."""
     owner = np.repeat(np.arange(len(offsets) - 1, dtype=np.uint64), np.diff(offsets))
     short = (owner << np.uint64(44)) | (hashes >> np.uint64(20))
     short = np.sort(short)
@@ -99,7 +108,7 @@ def set_keys(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
         if full.any():
             key[full] = np.add.reduceat(mix64(value ^ np.uint64(seed)), at[full])
         out.append(key.view(np.int64))
-    return out[0], out[1]
+    return out[0], out[1], sizes
 
 
 def minima(hashes: np.ndarray, offsets: np.ndarray, functions: int, seed: int = 1) -> np.ndarray:
@@ -118,66 +127,36 @@ def minima(hashes: np.ndarray, offsets: np.ndarray, functions: int, seed: int =
     return out
 
 
-SIGNED = "doc_id long, key_a long, key_b long, signature binary"
+SIGNED = "row_key long, key_a long, key_b long, n int, signature binary"
 
 
 def signed(docs: DataFrame, size: int, functions: int) -> DataFrame:
-    """doc_id, the keys of its shingle set, and its MinHash signature (null without words)."""
+    """row_key, the keys and the size of its shingle set, and its MinHash signature (null without words)."""
 
     def sign(batches):
         for batch in batches:
             for first, texts in slices(batch.column(1), SLICE):
                 hashes, offsets = shingles(texts, size)
-                a, b = set_keys(hashes, offsets)
+                a, b, n = set_keys(hashes, offsets)
                 values = minima(hashes, offsets, functions)
                 signature = [values[i].tobytes() if offsets[i + 1] > offsets[i] else None for i in range(len(texts))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(a), pa.array(b), pa.array(signature, pa.binary())], names=["doc_id", "key_a", "key_b", "signature"])
+                columns = [batch.column(0).slice(first, len(texts)), pa.array(a), pa.array(b), pa.array(n, pa.int32()), pa.array(signature, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["row_key", "key_a", "key_b", "n", "signature"])
 
-    return docs.select("doc_id", "text").transform(in_batches(sign, SIGNED))
+    return docs.select("row_key", "text").transform(in_batches(sign, SIGNED))
 
 
-def block_pairs(rows: DataFrame, group: list[str], order: str, size: int) -> DataFrame:
-    """rows dealt into blocks of size within each group, and each row to all pairs of blocks i <= j that hold its block.
+def dealt(rows: DataFrame, group: list[str], size: int) -> DataFrame:
+    """rows of groups of several, dealt into blocks of about `size`, and each row to all pairs of blocks i <= j that hold its block.
 
-    Adds i, j and side (the row's own block). Groups of one row are dropped.
+    Adds i, j, left and right (whether the row is in block i, in block j). Counts come from a hash aggregate and a join, so
+    no task holds a group.
     """
-    window = Window.partitionBy(*group)
-    rows = rows.withColumn("side", F.floor((F.row_number().over(window.orderBy(order)) - 1) / size).cast("int"))
-    rows = rows.withColumn("__n", F.count("*").over(window)).filter("__n > 1")
-    other = F.explode(F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / size).cast("int"))).alias("__other")
-    rows = rows.select("*", other).drop("__n")
-    return rows.select("*", F.least("side", "__other").alias("i"), F.greatest("side", "__other").alias("j")).drop("__other")
-
-
-def groups_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """Tables of whole groups, from batches sorted by their first `keys` columns."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(k) for k in range(keys)]
-        change = np.zeros(batch.num_rows, bool)
-        for c in columns:
-            values = c.to_numpy(zero_copy_only=False)
-            change[1:] |= values[1:] != values[:-1]
-        if held and any(held[-1].column(k)[-1].as_py() != columns[k][0].as_py() for k in range(keys)):
-            yield pa.Table.from_batches(held)
-            held = []
-        last = int(np.flatnonzero(change)[-1]) if change.any() else 0
-        if last:
-            yield pa.Table.from_batches([*held, batch.slice(0, last)])
-            held = []
-        held.append(batch.slice(last))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def starts_of(columns: list[np.ndarray]) -> np.ndarray:
-    """Where each group begins, and the end."""
-    change = np.zeros(len(columns[0]), bool)
-    for c in columns:
-        change[1:] |= c[1:] != c[:-1]
-    return np.concatenate(([0], np.flatnonzero(change), [len(columns[0])]))
+    counts = rows.groupBy(*group).agg(F.ceil(F.count("*") / size).cast("int").alias("__blocks"), F.count("*").alias("__n")).filter("__n > 1").drop("__n")
+    rows = rows.join(counts, group).withColumn("__side", F.pmod(F.xxhash64("class_id"), F.col("__blocks")).cast("int"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)).alias("__other"))
+    rows = rows.select("*", F.least("__side", "__other").alias("i"), F.greatest("__side", "__other").alias("j"))
+    return rows.select("*", (F.col("__side") == F.col("i")).alias("left"), (F.col("__side") == F.col("j")).alias("right")).drop("__side", "__other", "__blocks")
 
 
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -195,47 +174,87 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return root
 
 
-def likely(members: DataFrame, least_equal: int) -> DataFrame:
-    """Spanning edges (a, b) of the classes whose signatures agree in at least least_equal places, by trie node."""
+def equal_values(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many places each signature of a agrees with each of b."""
+    if len(a) * len(b) <= 4096:
+        return (a[:, None] == b[None]).sum(axis=2, dtype=np.uint8)
+    out = np.zeros((len(a), len(b)), np.uint8)
+    for f in range(a.shape[1]):
+        out += a[:, f][:, None] == b[:, f][None]
+    return out
+
+
+def walk(values: np.ndarray, below: np.ndarray, left: np.ndarray, right: np.ndarray, trees: int, floor: int, threshold: float, target: float, least_equal: int) -> tuple[np.ndarray, np.ndarray]:
+    """Likely pairs (places) that left meets in right, from whole labels up to prefixes of `floor` values.
+
+    below: what follows the floor in the labels, 16 bits for each value, the first uppermost.
+    """
+    out_a, out_b = [], []
+    deepest = floor + 4
+    right = right[np.argsort(below[right], kind="stable")]
+    for p in range(0, len(left), 64):
+        part = left[p : p + 64]
+        apart = below[part][:, None] ^ below[right][None]
+        likeness = np.zeros(apart.shape, np.float32)
+        active, waiting = np.ones(len(part), bool), part[:, None] != right[None]
+        for depth in range(deepest, floor - 1, -1):
+            bits = np.uint64(16 * (deepest - depth))
+            reached = waiting & active[:, None] if depth == floor else waiting & active[:, None] & (apart >> bits == 0)
+            rows, columns = np.flatnonzero(reached.any(axis=1)), np.flatnonzero(reached.any(axis=0))
+            if len(rows):
+                block = np.ix_(rows, columns)
+                equal = equal_values(values[part[rows]], values[right[columns]])
+                good = reached[block] & (equal >= least_equal)
+                u, v = np.nonzero(good)
+                out_a.append(part[rows[u]])
+                out_b.append(right[columns[v]])
+                likeness[rows[u], columns[v]] = equal[u, v] / values.shape[1]
+                waiting &= ~reached
+            if depth == floor:
+                break
+            u, v = np.nonzero(likeness)
+            similar = likeness[u, v].astype(np.float64)
+            weight = similar**-depth  # one over the chance of meeting it in this tree
+            total = np.bincount(u, weight, len(part)) + 1
+            caught = np.bincount(u, weight * met(similar, trees, depth), len(part)) + met(threshold, trees, depth)
+            active &= caught < target * total
+            if not active.any():
+                break
+    return np.concatenate([*out_a, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*out_b, np.zeros(0, np.int64)]).astype(np.int64)
+
+
+def likely(members: DataFrame, trees: int, depth: int, floor: int, threshold: float, target: float, least_equal: int) -> DataFrame:
+    """Spanning edges (a, b) of the classes that meet below the nodes and whose signatures agree in at least least_equal places."""
 
     def compare(batches):
         for table in groups_of(batches, 4):
             cols = [table.column(k).to_numpy() for k in range(4)]
-            ids, sides = table.column("class_id").to_numpy(), table.column("side").to_numpy()
+            ids, lefts, rights = (table.column(c).to_numpy() for c in ("class_id", "left", "right"))
             values = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(len(ids), -1)
+            own = values.reshape(len(ids), trees, depth)[np.arange(len(ids)), cols[0]]
+            below = np.zeros(len(ids), np.uint64)
+            for k in range(4):
+                below = below << np.uint64(16) | (own[:, floor + k].astype(np.uint64) if floor + k < depth else np.uint64(0))
             at = starts_of(cols)
-            out_a, out_b = [], []
             two = np.flatnonzero(np.diff(at) == 2)
-            x, y = at[two], at[two] + 1
+            x, y = at[two], at[two] + 1  # they meet at the floor at the latest
             same = (values[x] == values[y]).sum(axis=1) >= least_equal
-            out_a.append(ids[x[same]])
-            out_b.append(ids[y[same]])
+            out_a, out_b = [ids[x[same]]], [ids[y[same]]]
             for g in np.flatnonzero(np.diff(at) > 2):
                 start, end = at[g], at[g + 1]
-                i, j = cols[2][start], cols[3][start]
-                left = start + np.flatnonzero(sides[start:end] == i)
-                right = start + np.flatnonzero(sides[start:end] == j)
-                ea, eb = [], []
-                for p in range(0, len(left), 64):
-                    part = left[p : p + 64]
-                    equal = np.zeros((len(part), len(right)), np.uint8)
-                    for f in range(values.shape[1]):
-                        equal += values[part, f][:, None] == values[right, f][None]
-                    u, v = np.nonzero(equal >= least_equal)
-                    ea.append(part[u])
-                    eb.append(right[v])
+                a, b = walk(values, below, start + np.flatnonzero(lefts[start:end]), start + np.flatnonzero(rights[start:end]), trees, floor, threshold, target, least_equal)
                 order = np.argsort(ids[start:end], kind="stable")  # places by id, so that roots are smallest ids
                 place = np.empty(end - start, np.int64)
                 place[order] = np.arange(end - start)
-                own = ids[start:end][order]
-                root = roots(end - start, place[np.concatenate(ea) - start], place[np.concatenate(eb) - start])
+                here = ids[start:end][order]
+                root = roots(end - start, place[a - start], place[b - start])
                 far = root != np.arange(end - start)
-                out_a.append(own[far])
-                out_b.append(own[root[far]])
+                out_a.append(here[far])
+                out_b.append(here[root[far]])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
 
     ordered = members.repartition("tree", "node", "i", "j").sortWithinPartitions("tree", "node", "i", "j")
-    return ordered.select("tree", "node", "i", "j", "class_id", "side", "signature").transform(in_batches(compare, "a long, b long"))
+    return ordered.select("tree", "node", "i", "j", "class_id", "left", "right", "signature").transform(in_batches(compare, "a long, b long"))
 
 
 def overlaps(sets: list[np.ndarray], others: list[np.ndarray] | None) -> np.ndarray:
@@ -262,22 +281,50 @@ def overlaps(sets: list[np.ndarray], others: list[np.ndarray] | None) -> np.ndar
 VERIFIED = "class_id long, links long, root long"
 
 
+def banded(classes: DataFrame, threshold: float) -> DataFrame:
+    """class_id, size, root and the block pairs (bands, i, j) in which the class is verified, with left and right.
+
+    classes: class_id, size, n (of its set), root. Sets as near as the threshold lie in one band or in adjacent ones. bands
+    is 2 b for a block pair of band b, and 2 b + 1 for a block of b against one of b + 1.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / threshold + 1e-4)).cast("int")
+    rows = classes.withColumn("band", band)
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.col("n") * 8) / BLOCK_BYTES)).cast("int")
+    counts = rows.groupBy("root", "band").agg(blocks.alias("blocks"))
+    own = counts.select("root", "band", F.col("blocks").alias("own"))
+    above = counts.select("root", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
+    under = counts.select("root", (F.col("band") + 1).alias("band"), F.col("blocks").alias("under"))
+    counts = own.join(above, ["root", "band"], "left").join(under, ["root", "band"], "left")
+    rows = rows.join(counts, ["root", "band"]).withColumn("side", F.pmod(F.xxhash64("class_id"), F.col("own")).cast("int"))
+    numbers = lambda c: F.when(F.col(c).isNotNull(), F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
+    pair = lambda bands, i, j, left, right: F.struct(bands.cast("int").alias("bands"), i.alias("i"), j.alias("j"), left.alias("left"), right.alias("right"))
+    side, yes, no = F.col("side"), F.lit(True), F.lit(False)
+    same = F.transform(numbers("own"), lambda o: pair(2 * F.col("band"), F.least(side, o), F.greatest(side, o), side <= o, side >= o))
+    lower = F.transform(numbers("above"), lambda o: pair(2 * F.col("band") + 1, side, o, yes, no))
+    upper = F.transform(numbers("under"), lambda o: pair(2 * F.col("band") - 1, o, side, no, yes))
+    return rows.select("class_id", "size", "root", F.explode(F.concat(same, lower, upper)).alias("p")).select("class_id", "size", "root", "p.*")
+
+
+VERIFIED = "class_id long, links long, root long"
+
+
 def verified(members: DataFrame, threshold: float) -> DataFrame:
     """class_id, links (documents of linked classes) and root (a linked class, for spanning) for each block pair."""
 
     def verify(batches):
-        for table in groups_of(batches, 3):
-            group, i, j = (table.column(k).to_numpy() for k in range(3))
-            ids, sizes, sides = (table.column(c).to_numpy() for c in ("class_id", "size", "side"))
+        for table in groups_of(batches, 4):
+            keys = [table.column(k).to_numpy() for k in range(4)]
+            ids, sizes, lefts, rights = (table.column(c).to_numpy() for c in ("class_id", "size", "left", "right"))
             data = table.column("shingles")
-            at = starts_of([group, i, j])
-            out: list[list[np.ndarray]] = [[], [], []]
+            at = starts_of(keys)
+            out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(3)]
             for start, end in zip(at[:-1], at[1:], strict=True):
+                left, right = np.flatnonzero(lefts[start:end]), np.flatnonzero(rights[start:end])
+                if not len(left) or not len(right) or end - start < 2:
+                    continue
                 sets = [np.frombuffer(data[k].as_py(), np.uint64) for k in range(start, end)]
                 n = np.array([len(s) for s in sets])
-                left = np.flatnonzero(sides[start:end] == i[start])
-                right = np.flatnonzero(sides[start:end] == j[start])
-                one = i[start] == j[start]
+                one = bool((lefts[start:end] & rights[start:end]).all())
                 common = overlaps([sets[k] for k in left], None if one else [sets[k] for k in right])
                 linked = common >= threshold * (n[left][:, None] + n[right][None] - common) - 1e-6
                 if one:
@@ -298,8 +345,9 @@ def verified(members: DataFrame, threshold: float) -> DataFrame:
                 out[2].append(ids[start:end][order][root[place]][far])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["class_id", "links", "root"])
 
-    ordered = members.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-    return ordered.select("root", "i", "j", "class_id", "size", "side", "shingles").transform(in_batches(verify, VERIFIED))
+    key = ["root", "bands", "i", "j"]
+    ordered = members.repartition(*key).sortWithinPartitions(*key)
+    return ordered.select(*key, "class_id", "size", "left", "right", "shingles").transform(in_batches(verify, VERIFIED))
 
 
 def with_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -313,41 +361,54 @@ def with_sets(docs: DataFrame, size: int) -> DataFrame:
                 data = [hashes[offsets[k] : offsets[k + 1]].tobytes() for k in range(len(texts))]
                 yield pa.RecordBatch.from_arrays([*(c.slice(first, len(texts)) for c in batch.columns[:-1]), pa.array(data, pa.binary())], names=[*keep, "shingles"])
 
-    schema = ", ".join([*(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep), "shingles binary"])
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "shingles binary"])
     return docs.select(*keep, "text").transform(in_batches(fill, schema))
 
 
-def tries(classes: DataFrame, trees: int, depth: int, matched: int) -> DataFrame:
-    """class_id, tree, node: the nodes at the matched depth, of labels that are depth values long."""
-    label = lambda t: F.substring("signature", 2 * depth * t + 1, 2 * matched)
-    nodes: list[Column] = [F.struct(F.lit(t).alias("tree"), F.xxhash64(label(t)).alias("node")) for t in range(trees)]
-    return classes.select("class_id", F.explode(F.array(*nodes)).alias("x")).select("class_id", "x.tree", "x.node")
-
+def nodes(classes: DataFrame, trees: int, depth: int, floor: int) -> DataFrame:
+    """class_id, tree, node: where the class's labels lie at the floor of each trie."""
+    prefix = lambda t: F.substring("signature", 2 * depth * t + 1, 2 * floor)
+    each: list[Column] = [F.struct(F.lit(t).alias("tree"), F.xxhash64(prefix(t)).alias("node")) for t in range(trees)]
+    return classes.select("class_id", F.explode(F.array(*each)).alias("x")).select("class_id", "x.tree", "x.node")
 
-def jaccard_join(docs: DataFrame, threshold: float = 0.8, size: int = 5, trees: int = 16, depth: int = 5, target: float = 0.9995) -> DataFrame:
-    """doc_id, class_id, group_id, n_links of each document.
 
-    class_id: the smallest doc_id with the same shingle set. n_links: other documents whose Jaccard similarity
-    is at least threshold. group_id: the smallest doc_id connected by such links.
-    """
-    docs = one_each(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
+def linked_rows(docs: DataFrame, threshold: float = 0.8, size: int = 5, trees: int = 16, depth: int = 8, target: float = 0.9995) -> DataFrame:
+    """row_key, class_id, group_id, n_links of each row of docs (row_key, text), where ids are row_keys."""
     marked = written(signed(docs, size, trees * depth), "signed")
-    key = [F.when(F.col("signature").isNull(), F.col("doc_id")).otherwise(F.col("key_a")).alias("key_a"), F.when(F.col("signature").isNull(), F.lit(None)).otherwise(F.col("key_b")).alias("key_b")]
-    of = marked.select("doc_id", *key, "signature")
-    classes = written(of.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("size"), F.min("signature").alias("signature")), "classes")
-    worded = classes.filter("signature is not null")
-    met = block_pairs(tries(worded, trees, depth, matched_depth(threshold, trees, depth, target)), ["tree", "node"], "class_id", PACKET)
-    met = met.join(worded.select("class_id", "signature"), "class_id")
+    key = [F.when(F.col("signature").isNull(), F.col("row_key")).otherwise(F.col("key_a")).alias("key_a"), F.when(F.col("signature").isNull(), F.lit(None)).otherwise(F.col("key_b")).alias("key_b")]
+    of = marked.select("row_key", *key, "n", "signature")
+    # equal sets have one signature, so min takes any of them
+    classes = written(of.groupBy("key_a", "key_b").agg(F.min("row_key").alias("class_id"), F.count("*").alias("size"), F.min("n").alias("n"), F.min("signature").alias("signature")), "classes")
+    able = classes.filter(F.col("signature").isNotNull() & (F.col("n") >= threshold / (1 - threshold) - 1e-6))
+    floor = floor_depth(threshold, trees, depth, target)
+    together = dealt(nodes(able, trees, depth, floor), ["tree", "node"], PACKET).join(able.select("class_id", "signature"), "class_id")
     spread_of = (threshold * (1 - threshold) * trees * depth) ** 0.5
-    near = components(likely(met, int(threshold * trees * depth - 4 * spread_of)))
+    least_equal = int(threshold * trees * depth - 4 * spread_of)
+    near = components(likely(together, trees, depth, floor, threshold, target, least_equal))
     near = near.select(F.col("node").alias("class_id"), "root").union(near.select(F.col("root").alias("class_id"), "root").distinct())
-    near = near.join(worded.select("class_id", "size"), "class_id")
-    texts = docs.join(near.select(F.col("class_id").alias("doc_id"), "root", "size"), "doc_id")
-    sets = with_sets(texts.select(F.col("doc_id").alias("class_id"), "root", "size", "text"), size)
-    found = written(verified(block_pairs(sets, ["root"], "class_id", BLOCK), threshold), "links")
+    near = near.join(able.select("class_id", "size", "n"), "class_id")
+    texts = docs.select(F.col("row_key").alias("class_id"), "text").join(near.select("class_id"), "class_id", "left_semi")
+    sets = with_sets(texts, size)
+    found = written(verified(banded(near, threshold).join(sets, "class_id"), threshold), "links")
     linked = found.groupBy("class_id").agg(F.sum("links").alias("links"))
     grouped = components(found.select(F.col("class_id").alias("a"), F.col("root").alias("b")))
     out = classes.join(linked, "class_id", "left").join(grouped.select(F.col("node").alias("class_id"), F.col("root").alias("group_id")), "class_id", "left")
     out = out.select("key_a", "key_b", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
     joined = of.alias("d").join(out.alias("c"), F.col("d.key_a").eqNullSafe(F.col("c.key_a")) & F.col("d.key_b").eqNullSafe(F.col("c.key_b")))
-    return joined.select("doc_id", "class_id", "group_id", "n_links")
+    return joined.select("row_key", "class_id", "group_id", "n_links")
+
+
+def jaccard_join(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:
+    """doc_id, class_id, group_id, n_links of each document.
+
+    class_id: the smallest doc_id with the same shingle set. n_links: other documents whose Jaccard similarity
+    is at least threshold. group_id: the smallest doc_id connected by such links.
+    """
+    docs, own = keyed(docs.select("doc_id", text_of().alias("text")))
+    out = linked_rows(docs, threshold, size)
+    if own:
+        return out.withColumnRenamed("row_key", "doc_id")
+    for name in ("row_key", "class_id", "group_id"):
+        ids = docs.select(F.col("row_key").alias(name), F.col("doc_id").cast("long").alias(f"__{name}"))
+        out = out.join(ids, name).drop(name)
+    return out.select(F.col("__row_key").alias("doc_id"), F.col("__class_id").alias("class_id"), F.col("__group_id").alias("group_id"), "n_links")

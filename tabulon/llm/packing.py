@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import itertools
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import in_batches, mix64, slices, spread, text_of, words_of
+from tabulon.llm.common import in_batches, mix64, resident, slices, spread, text_of, words_of
 from tabulon.sources.shared import written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -36,10 +35,10 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 class WordIds:
     """Ids of words by a `tokenizers` file; the vocabulary splits at white space, so words are independent.
 
-    Keeps the ids of up to `room` words from slice to slice, found by a 128-bit hash.
+    Keeps the ids of words from slice to slice, found by a 128-bit hash, in at most `room` bytes.
     """
 
-    def __init__(self, path: str, room: int = 1_200_000):
+    def __init__(self, path: str, room: int = 24 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.room = Tokenizer.from_file(path), room
@@ -84,10 +83,10 @@ class WordIds:
             n[new], start[new] = sizes, self.used + np.cumsum(sizes) - sizes
             need = self.used + len(ids)
             if len(self.ids) < need:
-                self.ids = np.concatenate((self.ids, np.zeros(max(need - len(self.ids), len(self.ids) // 2), np.uint32)))
+                self.ids = np.concatenate((self.ids, np.zeros(max(need - len(self.ids), len(self.ids) // 4), np.uint32)))
             pool = self.ids
             pool[self.used : need] = ids
-            if len(self.keys) + len(new) <= self.room:
+            if 24 * (len(self.keys) + len(new)) + 4 * need <= self.room:
                 self.used = need
                 order = np.argsort(key[new], kind="stable")
                 at = np.searchsorted(self.keys, key[new][order])
@@ -98,17 +97,11 @@ class WordIds:
         return pool[spread(start[numbers], each)], total[offsets]
 
 
-@lru_cache(maxsize=1)
-def word_ids(path: str) -> WordIds:
-    """One for each Python worker, so that later tasks know the words of earlier ones."""
-    return WordIds(path)
-
-
-def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, slice_bytes: int = 4 << 20) -> DataFrame:
+def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, slice_bytes: int = 1 << 20) -> DataFrame:
     """The pieces of each document: its ids, then end_id, cut only where longer than capacity."""
 
     def cut(batches):
-        encode = word_ids(tokenizer_path)
+        encode = resident(("words", tokenizer_path), lambda: WordIds(tokenizer_path))  # later tasks know the words of earlier ones
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
             out: list[tuple] = []
@@ -124,7 +117,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kinds[i]) for i in range(5)], names=list(names))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).transform(in_batches(cut, PIECES))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).transform(in_batches(cut, PIECES, keeps=("words", tokenizer_path)))
 
 
 def configurations(histogram: np.ndarray, capacity: int, classes: int = 256, rounds: int = 1500, rate: float = 0.3) -> list[tuple[tuple[int, ...], float]]:

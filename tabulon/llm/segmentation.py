@@ -13,7 +13,7 @@ begins a word of its own). A vocabulary with other pieces is refused.
 The vocabulary holds merge ranks, not probabilities; a piece of rank r scores -log(1 + r) - `PIECE_COST`
 (Zipf's law). A character that no piece holds is spelt in byte pieces.
 
-Defined cases: null and empty texts have one path without pieces; a literal space mark counts as a space; ties go to
+Defined cases: null and empty texts have one path without pieces; a literal space mark counts as a space, so round_trip is false for such a text; ties go to
 the path whose last pieces are longer; repeated rows are encoded each; an empty table gives no rows; other columns are
 ignored.
 """
@@ -24,7 +24,6 @@ import heapq
 import math
 import re
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import in_batches, mix64, slices, spread, text_of
+from tabulon.llm.common import in_batches, mix64, resident, slices, spread, text_of
 
 SPACE = "▁"
 #: Stands between words.
@@ -302,10 +301,9 @@ def decoded(ids, vocabulary: Vocabulary) -> str:
     return b"".join(map(vocabulary.data.__getitem__, ids)).decode(errors="replace")[1:]
 
 
-@lru_cache(maxsize=1)
 def segmenter_of(model_path: str, n: int) -> Segmenter:
     """One for each Python worker."""
-    return Segmenter(Vocabulary(model_path), n)
+    return resident(("segmenter", model_path, n), lambda: Segmenter(Vocabulary(model_path), n))
 
 
 def nbest_digest(docs: DataFrame, model_path: str, n: int = 4, slice_bytes: int = 4 << 20) -> DataFrame:
@@ -319,10 +317,10 @@ def nbest_digest(docs: DataFrame, model_path: str, n: int = 4, slice_bytes: int
             doc_ids, out = batch.column(0).to_pylist(), []
             for first, texts in slices(batch.column(1), slice_bytes):
                 for k, (ids, paths) in enumerate(segmenter.texts(texts)):
-                    same = decoded(ids.tolist(), segmenter.vocabulary) == texts[k].as_py().replace(SPACE, " ")
+                    same = decoded(ids.tolist(), segmenter.vocabulary) == texts[k].as_py()
                     rounded = [round(s, 6) for s, _ in paths]
                     out.append((doc_ids[first + k], len(ids), paths[0][1], rounded[0], rounded, [c for _, c in paths], same))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kinds[i]) for i in range(7)], names=names)
 
     schema = "doc_id long, n_pieces long, ids_crc32 long, best_score double, nbest_scores array<double>, nbest_crc32 array<long>, round_trip boolean"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).transform(in_batches(run, schema))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).transform(in_batches(run, schema, keeps=("segmenter", model_path, n)))

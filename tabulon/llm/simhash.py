@@ -9,9 +9,10 @@ Near fingerprints: 64 bits are cut into blocks; fingerprints within `radius` bit
 that puts them first); only fingerprints that share a key are compared, each pair in the first table that
 holds both. Members of a key are compared in packets of `PACKET`, so no row exists for a pair.
 
-Defined cases: a null text is empty; an empty text has fingerprint 0; rows without doc_id are left out;
-of rows that repeat a doc_id the one with the smallest text counts; an empty table gives no rows; a
-single document is its own next; other columns of the input are ignored.
+Defined cases: a null text is empty; an empty text has fingerprint 0; each row is a document of its own, also where
+doc_ids repeat or are null (in descending order those without one come first); a very long text is one row's string,
+its words are summed in runs; an empty table gives no rows; a single document is its own next; other columns of the
+input are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import one_each
+from tabulon.llm.common import keyed, text_of
 from tabulon.sources.shared import written
 
 #: 3 * RUN must stay below 2^15: the top counter ends at the sign bit.
@@ -60,21 +61,21 @@ def hexed(fingerprint: Column) -> Column:
     return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))
 
 
-def successors(ids: DataFrame) -> DataFrame:
-    """doc_id, next_id: the next in descending order, after the last the first; ids are distinct."""
-    ordered = ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+def successors(rows: DataFrame) -> DataFrame:
+    """row_key, next_key: the next in descending order, after the last the first; row_keys are distinct."""
+    ordered = rows.repartitionByRange("row_key").sortWithinPartitions("row_key")
     at = F.monotonically_increasing_id()
-    ordered = written(ordered.select("doc_id", F.shiftright(at, 33).alias("part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("at")), "order")
+    ordered = written(ordered.select("row_key", F.shiftright(at, 33).alias("part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("at")), "order")
     parts = sorted(ordered.groupBy("part").count().collect())  # one row for each partition of the sort
     before, total = {}, 0
     for part, n in parts:
         before[part], total = total, total + n
     if not total:
-        return ids.select("doc_id", F.col("doc_id").alias("next_id"))
-    starts = ids.sparkSession.createDataFrame(list(before.items()), "part long, before long")
-    placed = ordered.join(F.broadcast(starts), "part").select("doc_id", (F.col("at") + F.col("before")).alias("place"))
-    after = placed.select(F.col("doc_id").alias("next_id"), F.pmod(F.col("place") + 1, F.lit(total)).alias("place"))
-    return placed.join(after, "place").select("doc_id", "next_id")
+        return rows.select("row_key", F.col("row_key").alias("next_key"))
+    starts = rows.sparkSession.createDataFrame(list(before.items()), "part long, before long")
+    placed = ordered.join(F.broadcast(starts), "part").select("row_key", (F.col("at") + F.col("before")).alias("place"))
+    after = placed.select(F.col("row_key").alias("next_key"), F.pmod(F.col("place") + 1, F.lit(total)).alias("place"))
+    return placed.join(after, "place").select("row_key", "next_key")
 
 
 def near_counts(fingerprints: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
@@ -114,18 +115,22 @@ def edited_fingerprints(docs: DataFrame, radius: int = 3) -> DataFrame:
     doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and n_near: how many
     other fingerprints of documents are within radius bits.
     """
-    docs = one_each(docs)
-    order = successors(docs.select("doc_id"))
+    docs, _ = keyed(docs.select("doc_id", text_of().alias("text")))
+    order = successors(docs.select("row_key"))
     third = lambda n: F.floor(n / 3).cast("int")
-    sizes = order.join(docs.select("doc_id", F.length("text").alias("n")), "doc_id").select(F.col("doc_id").alias("before_id"), F.col("next_id").alias("doc_id"), "n")
-    heads = docs.join(sizes, "doc_id").select(F.col("before_id").alias("doc_id"), F.left("text", third(F.col("n"))).alias("head"))
+    sizes = order.join(docs.select("row_key", F.length("text").alias("n")), "row_key").select(F.col("row_key").alias("before_key"), F.col("next_key").alias("row_key"), "n")
+    heads = docs.join(sizes, "row_key").select(F.col("before_key").alias("row_key"), F.left("text", third(F.col("n"))).alias("head"))
     n = F.length("text")
-    both = docs.join(heads, "doc_id").select("doc_id", n.cast("long").alias("n_chars"), "text", F.concat(F.left("text", n - third(n)), "head").alias("edited"))
-    both = both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.explode(F.array(F.struct(F.lit(0).alias("which"), "text"), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))).alias("v"))
-    key = ["doc_id", "n_chars", "edited_sha256", "which"]
-    marks = written(votes(both.select("doc_id", "n_chars", "edited_sha256", "v.which", "v.text"), key, "text"), "fingerprints")
-    own, edited = marks.filter("which = 0"), marks.filter("which = 1").select("doc_id", F.col("fingerprint").alias("edited"))
-    nexts = own.select(F.col("doc_id").alias("next_id"), F.col("fingerprint").alias("following"))
-    joined = own.join(edited, "doc_id").join(order, "doc_id").join(nexts, "next_id").join(near_counts(own, radius), "fingerprint", "left")
+    key = ["row_key", "doc_id", "n_chars", "edited_sha256", "which"]
+    both = docs.join(heads, "row_key").select("row_key", "doc_id", n.cast("long").alias("n_chars"), "text", F.concat(F.left("text", n - third(n)), "head").alias("edited"))
+    versions = F.explode(F.array(F.struct(F.lit(0).alias("which"), "text"), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))).alias("v")
+    both = both.select("row_key", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), versions)
+    marks = written(votes(both.select(*key[:-1], "v.which", "v.text"), key, "text"), "fingerprints")
+    own, edited = marks.filter("which = 0"), marks.filter("which = 1").select("row_key", F.col("fingerprint").alias("edited"))
+    nexts = own.select(F.col("row_key").alias("next_key"), F.col("fingerprint").alias("following"))
+    joined = own.join(edited, "row_key").join(order, "row_key").join(nexts, "next_key").join(near_counts(own, radius), "fingerprint", "left")
     near_edited, near_next = (likeness(F.col("fingerprint"), F.col(c)) for c in ("edited", "following"))
-    return joined.select("doc_id", "n_chars", "edited_sha256", hexed(F.col("fingerprint")).alias("fingerprint"), hexed(F.col("edited")).alias("edited_fingerprint"), near_edited.alias("near_edited"), near_next.alias("near_next"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
+    return joined.select(
+        "doc_id", "n_chars", "edited_sha256", hexed(F.col("fingerprint")).alias("fingerprint"), hexed(F.col("edited")).alias("edited_fingerprint"),
+        near_edited.alias("near_edited"), near_next.alias("near_next"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
+    )

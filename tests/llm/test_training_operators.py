@@ -109,13 +109,13 @@ def links_of(all_texts):
         for g in s:
             holders[g].append(i)
     for h in holders.values():
-        common.update(itertools.combinations(sorted(h), 2))
+        common.update(itertools.combinations(sorted(h, key=lambda i: (i is None, i)), 2))
     return [(a, b) for (a, b), c in common.items() if c / (len(sets[a]) + len(sets[b]) - c) >= 0.8]
 
 
 @pytest.mark.parametrize("which", ["odd", "docs"])
 def test_jaccard_join(request, texts, which):
-    frame, own = request.getfixturevalue(which), TEXTS if which == "odd" else texts
+    frame, own = request.getfixturevalue(which), {i: t or "" for i, t in ODD} if which == "odd" else texts
     rows = {r.doc_id: r for r in minhash_forest.jaccard_join(frame).collect()}
     assert rows.keys() == own.keys()
     pairs = links_of(own)
@@ -123,11 +123,58 @@ def test_jaccard_join(request, texts, which):
     root = {i: i for i in own}
     for _ in own:
         for a, b in pairs:
-            root[a] = root[b] = min(root[a], root[b])
+            root[a] = root[b] = min(root[a], root[b], key=lambda i: (i is None, i))
     for i, r in rows.items():
         assert r.n_links == count[i] and r.group_id == root[i]
 
 
+def test_similarities_near_the_threshold(spark):
+    """Sets of many sizes whose similarities lie on both sides of 0.8, chains and hot nodes among them."""
+    draw, rows = np.random.default_rng(9), []
+    for group in range(60):
+        base = [f"g{group}w{k}" for k in range(int(draw.integers(8, 200)))]
+        for _ in range(int(draw.integers(2, 14))):
+            words = list(base)
+            for k in draw.choice(len(words), int(draw.integers(0, max(2, len(words) // 30))), replace=False):
+                words[k] = f"x{draw.integers(1 << 40)}"
+            rows.append(words[: len(words) - int(draw.integers(0, len(words) // 6 + 1))])
+            base = words if draw.integers(4) == 0 else base
+    texts = {k: " ".join(w) for k, w in enumerate(rows)}
+    got = {r.doc_id: r.n_links for r in minhash_forest.jaccard_join(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    pairs = links_of(texts)
+    want = collections.Counter(i for p in pairs for i in p)
+    assert len(pairs) > 300
+    lost = sum(want[i] - got[i] for i in texts)
+    assert 0 <= lost <= 0.001 * 2 * len(pairs) and all(got[i] <= want[i] for i in texts)
+
+
+def test_walk_stops_early_among_close_copies():
+    draw = np.random.default_rng(3)
+    trees, depth, floor = 16, 8, 4
+    one = draw.integers(0, 1 << 16, trees * depth, dtype=np.uint16)
+    values = np.repeat(one[None], 200, axis=0)
+    for row in values:
+        row[draw.choice(trees * depth, 2, replace=False)] = draw.integers(0, 1 << 16, 2)
+    far = values.copy()
+    far[:, 40:] = draw.integers(0, 1 << 16, (200, 88))  # they share the first tree's prefix, and little else
+    both = np.concatenate((values, far))
+    both[:200, 4:8], both[200:, 4:8] = one[4:8], one[4:8] + np.arange(200, dtype=np.uint16)[:, None] + 1
+    below = np.zeros(400, np.uint64)
+    for k in range(4):
+        below = below << np.uint64(16) | both[:, floor + k].astype(np.uint64)
+    seen = []
+    equal_values = minhash_forest.equal_values
+    try:
+        minhash_forest.equal_values = lambda a, b: seen.append(len(a) * len(b)) or equal_values(a, b)
+        a, b = minhash_forest.walk(both, below, np.arange(200), np.arange(400), trees, floor, 0.8, 0.9995, 84)
+        assert len(a) == 200 * 199 and sum(seen) == 200 * 200  # close copies don't meet the others of the node
+        seen.clear()
+        minhash_forest.walk(both, below, np.arange(200, 400), np.arange(400), trees, floor, 0.8, 0.9995, 84)
+        assert sum(seen) >= 200 * 400  # those without a link go to the floor
+    finally:
+        minhash_forest.equal_values = equal_values
+
+
 def test_near_copies_in_several_blocks(spark):
     base = [f"w{k}" for k in range(120)]
     rows = [(k, " ".join(base[:60] + [f"x{k}"] + base[60:])) for k in range(600)]
@@ -204,6 +251,7 @@ def test_runs_of_spaces_against_all_pieces():
 def test_segmentation_round_trip(odd, none):
     rows = {r.doc_id: r for r in segmentation.nbest_digest(odd, PIECES).collect()}
     assert len(rows) == len(ODD) and all(r.round_trip for r in rows.values())
+    assert not segmentation.nbest_digest(odd.limit(1).selectExpr("1L as doc_id", f"'a{segmentation.SPACE}b' as text"), PIECES).first().round_trip
     assert rows[0].n_pieces == rows[1].n_pieces == 0
     assert all(r.nbest_scores == sorted(r.nbest_scores, reverse=True) for r in rows.values())
     assert segmentation.nbest_digest(none, PIECES).count() == 0
@@ -232,15 +280,68 @@ def brute_dedup(own, span):
     return out
 
 
-@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 1])
+@pytest.mark.parametrize("many", [suffix_dedup.MANY, 2])
 @pytest.mark.parametrize("which", ["odd", "docs"])
-def test_dedup(request, texts, which, hot):
-    frame, own = request.getfixturevalue(which), TEXTS if which == "odd" else texts
-    spans = suffix_dedup.repeated_spans(frame, hot_documents=hot)
+def test_dedup(request, texts, which, many):
+    frame, own = request.getfixturevalue(which), dict(ODD) if which == "odd" else texts
+    spans = suffix_dedup.repeated_spans(frame, many=many)
     got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.dedup_digest(spans).collect()}
+    assert got == brute_dedup({i: t or "" for i, t in own.items()}, 200)
+
+
+def planted(draw, n, alphabet, sizes, common):
+    """Texts that share passages, lines, and contexts of one line; some repeat themselves."""
+    word = lambda k: "".join(draw.choice(list(alphabet), k))
+    line, passage = word(90), word(400)
+    out = []
+    for _ in range(n):
+        kind, body = draw.integers(common), word(int(draw.integers(*sizes)))
+        out.append(body + [line, passage, passage[50:310], word(5) * 120, "=" * int(draw.integers(150, 500)), "", line + word(120) + line][kind % 7] + word(int(draw.integers(*sizes))))
+    return out
+
+
+@pytest.mark.parametrize("many, largest", [(1 << 16, 1 << 17), (1 << 16, 600), (3, 600)])
+@pytest.mark.parametrize("alphabet", ["abcdefgh é", "ab"])
+def test_dedup_of_crowded_keys(spark, monkeypatch, alphabet, many, largest):
+    draw = np.random.default_rng(len(alphabet) + many)
+    own = dict(enumerate(planted(draw, 150, alphabet, (0, 300), 7)))
+    own[150] = own[3] + own[4]
+    own[151] = "=" * 20_000 + "ab" * 5_000 + "=" * 250
+    frame = spark.createDataFrame(list(own.items()), "doc_id long, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.dedup_digest(suffix_dedup.repeated_spans(frame, many=many)).collect()}
+    assert got == brute_dedup(own, 200)
+    if largest < 1 << 17:  # in a task: the offsets are halved before a suffix array is built
+        line = "abcdefghijklmnopqrstuvwxyz 0123456789 the line that all of them share in the middle of what differs".encode()
+        side = lambda: bytes(draw.integers(97, 99, 100).astype(np.uint8))
+        sides = [side() for _ in range(6)]
+        contexts = [sides[draw.integers(6)] + line + sides[draw.integers(6)] for _ in range(40)]
+        distinct = sorted(set(contexts))
+        monkeypatch.setattr(suffix_dedup, "LARGEST", largest)
+        marks = suffix_dedup.repeats(distinct, np.full(len(distinct), 100), np.array([contexts.count(c) for c in distinct]), 200, 0, 168)
+        seen = collections.Counter(c[k : k + 200] for c in contexts for k in range(len(c) - 199) if k <= 100)
+        for c, mark in zip(distinct, marks, strict=True):
+            assert [bool(m) for m in mark[:101]] == [seen[c[k : k + 200]] > 1 for k in range(min(101, len(mark)))]
+
+
+def test_long_texts_come_in_parts(spark, monkeypatch):
+    draw = np.random.default_rng(4)
+    body = "".join(draw.choice(list("abcdef "), 3 * suffix_dedup.SLICE))
+    own = {1: body, 2: "x" + body[suffix_dedup.SLICE - 300 : suffix_dedup.SLICE + 300] + "y", 3: "-=" * suffix_dedup.SLICE, 4: "=-" * 150}
+    frame = spark.createDataFrame(list(own.items()), "doc_id long, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.dedup_digest(suffix_dedup.repeated_spans(frame)).collect()}
     assert got == brute_dedup(own, 200)
 
 
+def test_rows_that_repeat_a_doc_id(spark):
+    rows = [(1, PASSAGE), (1, PASSAGE), (1, None), (None, PASSAGE + " and more"), (2, "unlike"), (None, None), (2, "unlike")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter(tuple(r) for r in suffix_dedup.dedup_digest(suffix_dedup.repeated_spans(frame)).collect())
+    each = brute_dedup({k: t or "" for k, (_, t) in enumerate(rows)}, 200)
+    assert got == collections.Counter((i, *each[k]) for k, (i, _) in enumerate(rows))
+    links = sorted((str(r.doc_id), str(r.class_id), str(r.group_id), r.n_links) for r in minhash_forest.jaccard_join(frame).collect())
+    assert links == sorted([("1", "1", "1", 2), ("1", "1", "1", 2), ("1", "1", "1", 0), ("None", "None", "1", 2), ("2", "2", "2", 1), ("2", "2", "2", 1), ("None", "None", "None", 0)])
+
+
 def test_dedup_of_nothing(none):
     assert suffix_dedup.dedup_digest(suffix_dedup.repeated_spans(none)).count() == 0
 
@@ -392,10 +493,23 @@ def test_trees_learn():
 # ---------------------------------------------------------------- fingerprints
 
 
+def voted(text):
+    """The fingerprint by a plain vote of words, with the 64-bit hash that Spark's function gives."""
+    import xxhash
+
+    score = [0] * 64
+    for word in re.split("[ \n\t\r\v\f]", text.lower()):
+        weight = 0 if not word else 1 if len(word) <= 3 else 2 if len(word) <= 6 else 3
+        h = xxhash.xxh64_intdigest(word.encode(), seed=42)
+        for b in range(64):
+            score[b] += weight if h >> b & 1 else -weight
+    return sum(1 << b for b in range(64) if score[b] > 0)
+
+
 def test_fingerprints(odd, docs, texts, none):
-    for frame, own in ((odd, TEXTS), (docs, texts)):
+    for frame, own in ((odd, {i: t or "" for i, t in ODD}), (docs, texts)):
         rows = {r.doc_id: r for r in simhash.edited_fingerprints(frame).collect()}
-        ids = sorted(own, reverse=True)
+        ids = sorted(own, key=lambda i: (i is None, i), reverse=True)
         assert rows.keys() == own.keys()
         prints = {int(r.fingerprint, 16) for r in rows.values()}
         for k, i in enumerate(ids):
@@ -407,7 +521,7 @@ def test_fingerprints(odd, docs, texts, none):
             assert r.near_next == 1 - (f ^ int(rows[following].fingerprint, 16)).bit_count() / 64
             assert r.near_edited == 1 - (f ^ int(r.edited_fingerprint, 16)).bit_count() / 64
             assert r.n_near == sum(1 for g in prints if g != f and (f ^ g).bit_count() <= 3)
-        assert rows[min(own)].doc_id == min(own)
+            assert f == voted(t) and int(r.edited_fingerprint, 16) == voted(t[: len(t) - n] + own[following][:n])
     assert simhash.edited_fingerprints(none).count() == 0
 
 
