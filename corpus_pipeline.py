@@ -12,20 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.llm import langid, minhash_forest, packing, pii, suffix_dedup
-from tabulon.llm.common import table
-from tabulon.sources.shared import new_folder, removed, stored, written
+from tabulon.llm.common import keyed, table, text_of
+from tabulon.sources.shared import new_folder, removed, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with row_key, a long: doc_id if that tells rows apart, else numbers in the order of doc_id, rows without one last."""
-    if not docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count():
-        return docs.withColumn("row_key", F.col("doc_id").cast("long"))
-    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]  # the hash parts the rows of one doc_id
-    return written(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("row_key", F.monotonically_increasing_id()), "keyed")
-
-
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in no language: no text, or no letter in it. lang becomes the prediction, or stays where no language could be learned."""
     model = langid.learn(docs)
@@ -36,19 +28,16 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near duplicates."""
-    docs = keyed(docs)
-    judged = minhash_forest.jaccard_join(docs.select(F.col("row_key").alias("doc_id"), "text"))
-    stays = judged.filter("doc_id = group_id").select(F.col("doc_id").alias("row_key"))
-    return docs.join(stays, "row_key", "left_semi").select(*COLUMNS)
+    """Keeps of each group of near duplicates the document with the smallest doc_id."""
+    docs, _ = keyed(docs)
+    judged = minhash_forest.linked_rows(docs.select("row_key", text_of().alias("text")))
+    return docs.join(judged.filter("row_key = group_id").select("row_key"), "row_key", "left_semi").select(*COLUMNS)
 
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes what repeats across or within documents."""
-    docs = keyed(docs)
-    kept = suffix_dedup.kept_texts(suffix_dedup.repeated_spans(docs.select(F.col("row_key").alias("doc_id"), "text")))
-    rest = docs.select("row_key", "doc_id", "lang", "source")
-    return kept.withColumnRenamed("doc_id", "row_key").join(rest, "row_key").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    kept = suffix_dedup.kept_texts(suffix_dedup.repeated_spans(docs, keep=("lang", "source")), ("lang", "source"))
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
