@@ -17,6 +17,9 @@ DATE_SHAPES = (
 )
 YES, NO = ("yes", "true", "y", "1"), ("no", "false", "n", "0")
 INTEGERS, NUMBERS = ("Int", "Check"), ("Float", "Currency", "Percent")
+# A currency sign or code beside a number, and a comma before two decimal digits.
+CURRENCY_PATTERN = r"[$€£]\s?[\d.,]+|[\d.,]+\s?(USD|EUR|GBP|CNY|RMB)"
+DECIMAL_COMMA_PATTERN = r"^\d{1,3}(\.\d{3})*,\d{2}$"
 
 
 def to_int(c: Column | str) -> Column:
@@ -73,6 +76,14 @@ def converted(c: Column | str, fieldtype: str) -> Column:
     return F.when(~blank(c), strip(c))
 
 
+def from_number(c: Column | str, fieldtype: str) -> Column:
+    """The value of a cell that is a number already: whole numbers lose their decimals, other fields keep it."""
+    c = F.col(c) if isinstance(c, str) else c
+    if fieldtype in INTEGERS:
+        return F.when(~F.isnan(c.cast("double")), c).try_cast("long")
+    return c.cast("double") if fieldtype in NUMBERS else c
+
+
 def failed(c: Column | str, fieldtype: str) -> Column:
     return ~blank(c) & converted(c, fieldtype).isNull()
 
@@ -95,8 +106,8 @@ def is_date(c: Column | str) -> Column:
 
 
 def has_currency(c: Column | str) -> Column:
-    return filled(c).rlike(r"[$€£]\s?[\d.,]+|[\d.,]+\s?(USD|EUR|GBP|CNY|RMB)")
+    return filled(c).rlike(CURRENCY_PATTERN)
 
 
 def has_decimal_comma(c: Column | str) -> Column:
-    return filled(c).rlike(r"^\d{1,3}(\.\d{3})*,\d{2}$")
+    return filled(c).rlike(DECIMAL_COMMA_PATTERN)

@@ -10,7 +10,7 @@ import hashlib
 import json
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions.text import strip
@@ -21,7 +21,7 @@ ACTIONS = ("set_value", "skip_row", "merge_rows", "dismiss_conflict", "change_ke
 
 def identity(correction: dict) -> str:
     """The same for corrections that say the same."""
-    said = {k: v for k, v in correction.items() if k not in ("id", "at", "by")}
+    said = {k: v for k, v in correction.items() if k not in ("id", "at", "by", "revoked_at", "revoked_reason")}
     return hashlib.sha256(json.dumps(said, sort_keys=True, default=str).encode()).hexdigest()[:12]
 
 
@@ -29,11 +29,26 @@ def added(corrections: list[dict], new: dict) -> list[dict]:
     """corrections with new, once."""
     check(new)
     named = {"id": identity(new)} | new
-    return corrections if any(identity(c) == identity(new) for c in corrections) else [*corrections, named]
+    return corrections if any(identity(c) == identity(new) for c in active(corrections)) else [*corrections, named]
 
 
-def revoked(corrections: list[dict], correction_id: str) -> list[dict]:
-    return [c for c in corrections if c.get("id") != correction_id]
+def revoked(corrections: list[dict], correction_id: str, at: str, reason: str = "reverted") -> list[dict]:
+    """corrections with one no longer in force; it stays on record, with when and why."""
+    gone = lambda c: c.get("id") == correction_id and not c.get("revoked_at")
+    return [c | {"revoked_at": at, "revoked_reason": reason} if gone(c) else c for c in corrections]
+
+
+def active(corrections: list[dict]) -> list[dict]:
+    """Those in force."""
+    return [c for c in corrections if not c.get("revoked_at")]
+
+
+def merged(recorded: list[dict], completed: list[dict]) -> list[dict]:
+    """recorded with its active corrections replaced, in order, by their completed copies; revoked ones stay as they are."""
+    fresh, out = list(completed), []
+    for c in recorded:
+        out.append(c if c.get("revoked_at") or not fresh else fresh.pop(0))
+    return out
 
 
 def check(correction: dict) -> None:
@@ -73,14 +88,18 @@ def fold(sheet: DataFrame, key: str, corrections: list[dict], same_source: bool
 
     same_source: the sheet is the one the corrections were made on; else references by row number don't hold.
     """
+    corrections = active(corrections)
     columns = {key} | {c["column"] for c in corrections if c.get("action") == "change_key" and c.get("column") in sheet.columns}
     names = {r for c in corrections for r in _refs(c) if isinstance(r, str)}
     numbers = {r["row"] for c in corrections for r in _refs(c) if isinstance(r, dict)}
-    wanted = F.col(ROW).isin(*sorted(numbers)) if numbers else F.lit(False)
-    for column in columns:
-        wanted = wanted | (strip(F.col(f"`{column}`")).isin(*sorted(names)) if names else F.lit(False))
-    # two more rows of a key than needed tell that it is not unique; the list of references bounds the rest
-    rows = {r[ROW]: {h: r[h] or "" for h in headers(sheet)} for r in sheet.filter(wanted).collect()}
+    wanted = sheet.filter(F.col(ROW).isin(*sorted(numbers)))
+    # a correction drops one row of a key at a time, but for merges; so many rows of each key tell whether one is left
+    most = 2 + sum(max(1, len(_refs(c))) for c in corrections)
+    for column in sorted(columns) if names else ():
+        place = F.row_number().over(Window.partitionBy("__key").orderBy(ROW))
+        keyed = sheet.withColumn("__key", strip(F.col(f"`{column}`"))).filter(F.col("__key").isin(*sorted(names)))
+        wanted = wanted.union(keyed.withColumn("__k", place).filter(F.col("__k") <= most).select(*sheet.columns))
+    rows = {r[ROW]: {h: r[h] or "" for h in headers(sheet)} for r in wanted.collect()}  # references x most rows
     patches: dict[int, dict[str, str]] = {}
     dropped: set[int] = set()
     verdicts: dict[str, dict] = {}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tabulon.functions.text import strip
 from tabulon.operators.profile import ROW
+from tabulon.sources.shared import written
 
 # Payload fields that stand in for a generated name, and the keys of tables with generated names.
 NATURAL_KEYS = ("customer_name", "supplier_name", "item_code", "employee_name", "employee_number", "lead_name", "project_name", "party_name")
@@ -87,18 +88,21 @@ def verified(created: DataFrame, target: DataFrame, spec: KeySpec) -> DataFrame:
     return found.agg(F.count("*").alias("expected"), F.count("__found").alias("found"))
 
 
-def numbered(df: DataFrame, *order: str) -> DataFrame:
-    """df with __row = 2, 3, ... in the given order, from counts of a range-partitioned sort instead of one window."""
+def numbered(df: DataFrame, *order: str | Column, name: str = ROW, first: int = 2) -> DataFrame:
+    """df with `name` = first, first + 1, ... in the given order: counts of a range-partitioned sort in place of one window.
+
+    The sorted rows are written, since a sort that runs twice may cut its partitions elsewhere.
+    """
     spark = df.sparkSession
     ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
     at = F.monotonically_increasing_id()
-    ordered = ordered.withColumn("__part", F.shiftright(at, 33)).withColumn("__at", at.bitwiseAND(F.lit((1 << 33) - 1)))
-    starts, total = [], 0
+    ordered = written(ordered.withColumn("__part", F.shiftright(at, 33)).withColumn("__at", at.bitwiseAND(F.lit((1 << 33) - 1))), "numbered")
+    starts, total = [], first
     for part, n in sorted(ordered.groupBy("__part").count().collect()):  # one row for each partition
         starts.append((part, total))
         total += n
     offsets = spark.createDataFrame(starts, "__part long, __before long")
-    return ordered.join(F.broadcast(offsets), "__part").withColumn(ROW, F.col("__at") + F.col("__before") + 2).drop("__part", "__at", "__before")
+    return ordered.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__at") + F.col("__before")).drop("__part", "__at", "__before")
 
 
 def first_of(df: DataFrame, by: str, order: str) -> DataFrame:

@@ -9,7 +9,10 @@ from tabulon.functions.text import blank, strip
 from tabulon.operators.profile import ROW
 
 # Normalised headers of the employee's number, full name and own fields.
-ID_HEADERS = frozenset("empid employeeid empno employeeno employeenumber staffid staffno staffnumber empcode employeecode personnelnumber badgeid badgeno badgenumber".split())
+ID_HEADERS = frozenset({
+    "empid", "employeeid", "empno", "employeeno", "employeenumber", "staffid", "staffno", "staffnumber", "empcode", "employeecode", "personnelnumber",
+    "badgeid", "badgeno", "badgenumber",
+})
 NAME_HEADERS = frozenset({"fullname", "employeename"})
 OWN_FIELDS = {"bankbranch": ("bank_branch", "Bank Branch", "Data")}
 ID_FIELD = "employee_number"

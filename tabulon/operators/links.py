@@ -42,16 +42,26 @@ def group_nodes(sheet: DataFrame, header: str, linked: DataFrame, name: str, is_
     return values.groupBy("value").agg(F.min("first_row").alias("first_row")).join(groups.distinct(), "value", "left_semi")
 
 
+def listed(values: DataFrame, cap: int = 50) -> DataFrame:
+    """count, values (the first `cap` in order) of a column `value`; no row without values."""
+    counted = values.agg(F.lit(1).alias("one"), F.count("*").alias("count")).filter("count > 0")
+    first = values.select("value").orderBy("value").limit(cap).agg(F.lit(1).alias("one"), F.array_sort(F.collect_list("value")).alias("values"))
+    return counted.join(first, "one").drop("one")
+
+
 def missing_by_target(sheet: DataFrame, columns: list[tuple[str, str]], linked: dict[str, DataFrame], importable: Column | None = None) -> DataFrame:
-    """header, target, values (sorted) for (header, target table) columns; linked holds a column `name` for each table."""
+    """header, target, count, values (the first 50) for (header, target table) columns; linked holds a column `name` for each table.
+
+    A target that linked lacks couldn't be read; nothing is said of it.
+    """
     rows = sheet if importable is None else sheet.filter(importable)
     found = None
     for header, target in columns:
         if target in linked:
-            own = missing_links(rows, header, linked[target], "name").groupBy().agg(F.array_sort(F.collect_list("value")).alias("values")).filter("size(values) > 0")
-            own = own.select(F.lit(header).alias("header"), F.lit(target).alias("target"), "values")
+            own = listed(missing_links(rows, header, linked[target], "name"))
+            own = own.select(F.lit(header).alias("header"), F.lit(target).alias("target"), "count", "values")
             found = own if found is None else found.union(own)
-    return found if found is not None else sheet.sparkSession.createDataFrame([], "header string, target string, values array<string>")
+    return found if found is not None else sheet.sparkSession.createDataFrame([], "header string, target string, count long, values array<string>")
 
 
 def merge_links(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -71,4 +81,4 @@ def importable(key: str) -> Column:
     return ~blank(F.col(f"`{key}`"))
 
 
-__all__ = ["LEAF_ONLY", "ROW", "group_nodes", "importable", "mapped", "merge_links", "missing_by_target", "missing_links", "remove_link"]
+__all__ = ["LEAF_ONLY", "ROW", "group_nodes", "importable", "listed", "mapped", "merge_links", "missing_by_target", "missing_links", "remove_link"]

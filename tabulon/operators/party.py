@@ -11,6 +11,7 @@ from tabulon.functions.convert import converted
 from tabulon.functions.text import blank, filled, split_name, strip
 from tabulon.operators.dedup import dedup_status
 from tabulon.operators.profile import ROW
+from tabulon.sources.schema import TableMeta
 
 
 @dataclass(frozen=True)
@@ -22,12 +23,51 @@ class PartySpec:
     mirrored: dict[str, str] = field(default_factory=dict)  # address header that the party holds, too
 
 
-# The columns of party sheets.
+# The columns of party sheets and the fields that they feed.
 PARTIES = {
     "Customer": PartySpec("Customer", "customer", "Customer Name", {"Customer Name": "customer_name", "Customer Type": "customer_type", "Group": "customer_group", "Territory": "territory"}),
     "Supplier": PartySpec("Supplier", "supplier", "Supplier Name", {"Supplier Name": "supplier_name", "Supplier Type": "supplier_type", "Supplier Group": "supplier_group"}, {"Country": "country"}),
 }
-ADDRESS = {"Address Type": "address_type", "Address Line 1": "address_line1", "Address Line 2": "address_line2", "City": "city", "State": "state", "Pincode": "pincode", "Country": "country"}
+CONTACT = {"Contact Name": "contact_name", "Email": "email", "Phone": "phone"}
+ADDRESS = {
+    "Address Type": "address_type",
+    "Address Line 1": "address_line1",
+    "Address Line 2": "address_line2",
+    "City": "city",
+    "State": "state",
+    "Postal Code": "pincode",
+    "Country": "country",
+}
+#: What a target like 'customer.tax_id' may name, and its table.
+TARGETS = {"customer": "Customer", "supplier": "Supplier", "contact": "Contact", "address": "Address"}
+
+
+def contract(spec: PartySpec) -> dict[str, tuple[str, str]]:
+    """header: (target, field) of the fixed columns; contact fields are read together, not one by one."""
+    own = {h: (spec.key, f) for h, f in spec.columns.items()}
+    return own | {h: ("contact", f) for h, f in CONTACT.items()} | {h: ("address", f) for h, f in ADDRESS.items()}
+
+
+def flat_target(target: str | None) -> tuple[str, str] | None:
+    """(target, field) of 'customer.field'; None for anything else."""
+    kind, dot, name = (target or "").partition(".")
+    kind, name = kind.strip().lower(), name.strip()
+    return (kind, name) if dot and name and kind in TARGETS else None
+
+
+def extensions(mappings: dict[str, str | None]) -> dict[str, dict[str, str]]:
+    """target: {header: field} of recorded mappings of a flat sheet; what doesn't name a target is left out."""
+    out: dict[str, dict[str, str]] = {}
+    for header, target in mappings.items():
+        if found := flat_target(target):
+            out.setdefault(found[0], {})[header] = found[1]
+    return out
+
+
+def type_maps(spec: PartySpec, metas: dict[str, TableMeta]) -> dict[str, dict[str, str]]:
+    """target: {field: field type} of the party's, the contact's and the address's table."""
+    kinds = {spec.key: spec.doctype, "contact": "Contact", "address": "Address"}
+    return {kind: {f.name: f.fieldtype for f in metas[table].fields} for kind, table in kinds.items() if table in metas}
 
 
 def _cell(sheet: DataFrame, header: str) -> Column:
@@ -48,8 +88,9 @@ def split_party(sheet: DataFrame, spec: PartySpec, extra: dict[str, str] | None
     return sheet.select(ROW, *(c.alias(f) for f, c in fields.items()))
 
 
-def split_contact(sheet: DataFrame, extra: dict[str, str] | None = None) -> DataFrame:
+def split_contact(sheet: DataFrame, extra: dict[str, str] | None = None, types: dict[str, str] | None = None) -> DataFrame:
     """__row, first_name, last_name, email_ids, phone_nos; null where the sheet has nothing."""
+    types = types or {}
     name = split_name(F.coalesce(_cell(sheet, "Contact Name"), F.lit("")))
     email, phone = _cell(sheet, "Email"), _cell(sheet, "Phone")
     some = lambda c: F.when(c != "", c)
@@ -57,7 +98,7 @@ def split_contact(sheet: DataFrame, extra: dict[str, str] | None = None) -> Data
         ROW, some(name["first"]).alias("first_name"), some(name["last"]).alias("last_name"),
         F.when(email.isNotNull(), F.array(F.struct(email.alias("email_id"), F.lit(1).alias("is_primary")))).alias("email_ids"),
         F.when(phone.isNotNull(), F.array(F.struct(phone.alias("phone"), F.lit(1).alias("is_primary_phone")))).alias("phone_nos"),
-        *(_cell(sheet, h).alias(f) for h, f in (extra or {}).items()),
+        *(_typed(_cell(sheet, h), types.get(f)).alias(f) for h, f in (extra or {}).items()),
     )
 
 

@@ -23,29 +23,21 @@ def stacked(sheet: DataFrame) -> DataFrame:
     return sheet.select(ROW, F.explode(F.array(*cells)).alias("c")).select(ROW, "c.*")
 
 
-def _all(test: Column, text: Column) -> Column:
-    """True where no non-blank value fails, so also for none at all."""
-    return F.coalesce(F.bool_and(F.when(text, test)), F.lit(True))
-
-
 def profile_columns(sheet: DataFrame) -> DataFrame:
     """header, position, non_empty, unique, inferred_type, fieldtype, messy of each column.
 
-    Distinct counts are exact, since thresholds decide on them. Cells are grouped by (column, value) first, so a
-    frequent value is summed before it is shuffled.
+    Distinct counts are exact, since thresholds decide on them. Cells are judged and hashed where they
+    are read and grouped by (column, hash) first, so no text is shuffled and a frequent value is summed before.
     """
     value = F.col("value")
     text = ~blank(value)
-    grouped = stacked(sheet).groupBy("position", "header", "value").agg(F.count("*").alias("n"))
-    filled_in = F.coalesce(value, F.lit("")) != ""
+    tests = {"int": is_int(value), "float": is_float(value), "bool": is_bool(value), "date": is_date(value)}
+    flags = {"currency": has_currency(value), "comma": has_decimal_comma(value), "spaced": F.length(filled(value)) != F.length(strip(value))}
+    cells = stacked(sheet).select("position", "header", F.md5(filled(value)).alias("value"), (filled(value) != "").alias("filled_in"), *(F.coalesce(t | ~text, F.lit(True)).alias(n) for n, t in tests.items()), *((f & text).alias(n) for n, f in flags.items()))
+    every = [*(F.bool_and(n).alias(n) for n in tests), *(F.bool_or(n).alias(n) for n in flags)]
+    grouped = cells.groupBy("position", "header", "value", "filled_in").agg(F.count("*").alias("n"), *every)
     facts = grouped.groupBy("position", "header").agg(
-        F.sum("n").alias("rows"),
-        F.coalesce(F.sum(F.when(filled_in, F.col("n"))), F.lit(0)).alias("filled"),
-        F.count(F.when(filled_in, 1)).alias("distinct"),
-        *(_all(test(value), text).alias(name) for name, test in (("int", is_int), ("float", is_float), ("bool", is_bool), ("date", is_date))),
-        F.coalesce(F.bool_or(has_currency(value) & text), F.lit(False)).alias("currency"),
-        F.coalesce(F.bool_or(has_decimal_comma(value) & text), F.lit(False)).alias("comma"),
-        F.coalesce(F.bool_or((F.length(filled(value)) != F.length(strip(value))) & text), F.lit(False)).alias("spaced"),
+        F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("filled_in"), F.col("n"))), F.lit(0)).alias("filled"), F.count(F.when(F.col("filled_in"), 1)).alias("distinct"), *every
     )
     kind = F.when(F.col("int"), "int").when(F.col("float"), "float").when(F.col("bool"), "bool").when(F.col("date"), "date").otherwise("text")
     flags = F.array_compact(F.array(F.when(F.col("currency"), "currency_symbol"), F.when(F.col("comma"), "comma_as_decimal"), F.when((kind == "text") & F.col("spaced"), "whitespace")))

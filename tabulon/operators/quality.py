@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tabulon.functions.text import blank, duplicate_key, filled, strip
 from tabulon.operators.profile import ROW, headers, stacked
+from tabulon.sources.shared import written
 
 
 def distinct_in_order(sheet: DataFrame, header: str, cap: int | None = None, require: str | None = None) -> DataFrame:
@@ -29,21 +30,36 @@ def duplicate_groups(sheet: DataFrame, key: str, compare: list[str] | None = Non
     """
     others = [h for h in (compare if compare is not None else headers(sheet)) if h != key and h in sheet.columns]
     cell = filled(F.col(f"`{key}`"))
-    rows = sheet.filter(~blank(cell)).select(F.col(ROW), cell.alias("__cell"), duplicate_key(cell).alias("key_value"), *(strip(F.col(f"`{h}`")).alias(f"__c{k}") for k, h in enumerate(others)))
+    rows = sheet.filter(~blank(cell)).select(F.col(ROW), cell.alias("__cell"), F.md5(duplicate_key(cell)).alias("__key"), F.md5(strip(cell)).alias("__text"), *(strip(F.col(f"`{h}`")).alias(f"__c{k}") for k, h in enumerate(others)))
     differs = [(F.min(f"__c{k}") != F.max(f"__c{k}")).alias(f"__d{k}") for k in range(len(others))]
-    stripped = strip(F.col("__cell"))
-    facts = rows.groupBy("key_value").agg(
-        F.count("*").alias("count"), F.min(ROW).alias("first_row"), (F.min(stripped) != F.max(stripped)).alias("case_variant"),
-        F.bool_or(F.col("__cell") != stripped).alias("whitespace_variant"), *differs,
+    spaced = F.length("__cell") != F.length(strip(F.col("__cell")))
+    facts = rows.groupBy("__key").agg(
+        F.count("*").alias("count"), F.min(ROW).alias("first_row"), (F.min("__text") != F.max("__text")).alias("case_variant"),
+        F.bool_or(spaced).alias("whitespace_variant"), *differs,
     ).filter("count > 1")
-    mine = Window.partitionBy("key_value")
-    shown_rows = rows.select("key_value", ROW).withColumn("__k", F.row_number().over(mine.orderBy(ROW))).filter(F.col("__k") <= values)
-    shown_rows = shown_rows.groupBy("key_value").agg(F.array_sort(F.collect_list(ROW)).alias("rows"))
-    firsts = rows.groupBy("key_value", "__cell").agg(F.min(ROW).alias(ROW)).withColumn("__k", F.row_number().over(mine.orderBy(ROW))).filter(F.col("__k") <= values)
-    shown = firsts.groupBy("key_value").agg(F.transform(F.array_sort(F.collect_list(F.struct(ROW, "__cell"))), lambda x: x["__cell"]).alias("values"))
+    facts = written(facts, "groups")
+    members = rows.select("__key", ROW, "__cell").join(facts.select("__key"), "__key", "left_semi")
+    mine = Window.partitionBy("__key").orderBy(ROW)
+    shown_rows = members.select("__key", ROW).withColumn("__k", F.row_number().over(mine)).filter(F.col("__k") <= values)
+    shown_rows = shown_rows.groupBy("__key").agg(F.array_sort(F.collect_list(ROW)).alias("rows"))
+    firsts = members.groupBy("__key", F.md5("__cell").alias("__t")).agg(F.min(ROW).alias(ROW)).withColumn("__k", F.row_number().over(mine)).filter(F.col("__k") <= values)
+    firsts = firsts.select(ROW).join(members, ROW)
+    shown = firsts.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct(ROW, "__cell"))).alias("__shown"))
     names = F.array_compact(F.array(*(F.when(F.col(f"__d{k}"), h) for k, h in enumerate(others)))) if others else F.array().cast("array<string>")
-    out = facts.join(shown_rows, "key_value").join(shown, "key_value")
-    return out.select("key_value", "first_row", "count", "values", "rows", (F.size(names) == 0).alias("identical"), "case_variant", "whitespace_variant", names.alias("differing_fields"))
+    out = facts.join(shown_rows, "__key").join(shown, "__key")
+    texts = F.transform("__shown", lambda x: x["__cell"])
+    return out.select(duplicate_key(texts[0]).alias("key_value"), "first_row", "count", texts.alias("values"), "rows", (F.size(names) == 0).alias("identical"), "case_variant", "whitespace_variant", names.alias("differing_fields"))
+
+
+def duplicate_facts(sheet: DataFrame, key: str, compare: list[str] | None = None) -> DataFrame:
+    """severity, groups: what duplicate_severity says, from the groups' facts alone; no row without groups."""
+    others = [h for h in (compare if compare is not None else headers(sheet)) if h != key and h in sheet.columns]
+    cell = filled(F.col(f"`{key}`"))
+    rows = sheet.filter(~blank(cell)).select(F.md5(duplicate_key(cell)).alias("__key"), *(strip(F.col(f"`{h}`")).alias(f"__c{k}") for k, h in enumerate(others)))
+    same = F.lit(True)
+    for k in range(len(others)):
+        same = same & (F.min(f"__c{k}") == F.max(f"__c{k}"))
+    return duplicate_severity(rows.groupBy("__key").agg(F.count("*").alias("count"), same.alias("identical")).filter("count > 1"))
 
 
 def duplicate_severity(groups: DataFrame) -> DataFrame:

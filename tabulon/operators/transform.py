@@ -6,8 +6,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tabulon.functions.convert import converted, failed
+from tabulon.functions.convert import converted, from_number
 from tabulon.functions.text import blank, filled
 from tabulon.operators.links import mapped
 from tabulon.operators.profile import ROW
@@ -44,21 +45,28 @@ def _cell(t: Target) -> Column:
     return F.col(f"`{t.header}`")
 
 
-def _value(t: Target, plan: Plan) -> Column:
-    value = converted(_cell(t), t.fieldtype)
-    remap = plan.value_maps.get(t.path) or plan.value_maps.get(t.field)
-    return mapped(value.cast("string"), remap) if remap else value
+def _value(sheet: DataFrame, t: Target) -> Column:
+    """Columns that hold numbers are not read as text."""
+    return from_number(_cell(t), t.fieldtype) if isinstance(sheet.schema[t.header].dataType, T.NumericType) else converted(_cell(t), t.fieldtype)
 
 
-def row_errors(sheet: DataFrame, plan: Plan) -> DataFrame:
-    """sheet with errors: all conversion errors of a row, in column order."""
-    found = [F.when(failed(_cell(t), t.fieldtype), F.concat(F.lit(f"{t.header}: not a {t.fieldtype}: "), filled(_cell(t)))) for t in plan.targets if not t.derived]
-    return sheet.withColumn("errors", F.array_compact(F.array(*found)) if found else F.array().cast("array<string>"))
+def _read(sheet: DataFrame, plan: Plan) -> DataFrame:
+    """__row, errors, v0, v1, ... (converted) and f0, f1, ... (whether filled) of the plan's targets, each converted once.
+
+    The cells go through a one-row array, since a filter on the errors would otherwise be pushed below the conversion and
+    convert each cell again.
+    """
+    cells = F.inline(F.array(F.struct(*(_value(sheet, t).alias(f"v{k}") for k, t in enumerate(plan.targets)), *(filled(_cell(t)).alias(f"s{k}") for k, t in enumerate(plan.targets)))))
+    read = sheet.select(ROW, cells) if plan.targets else sheet.select(ROW)
+    full = [~blank(F.col(f"s{k}")) for k in range(len(plan.targets))]
+    wrong = [F.when(full[k] & F.col(f"v{k}").isNull(), F.concat(F.lit(f"{t.header}: not a {t.fieldtype}: "), F.col(f"s{k}"))) for k, t in enumerate(plan.targets) if not t.derived]
+    errors = F.array_compact(F.array(*wrong)) if wrong else F.array().cast("array<string>")
+    return read.select(ROW, errors.alias("errors"), *(f"v{k}" for k in range(len(full))), *(c.alias(f"f{k}") for k, c in enumerate(full)))
 
 
 def payload_errors(sheet: DataFrame, plan: Plan) -> DataFrame:
-    """__row, errors of rows that are left out."""
-    return row_errors(sheet, plan).filter(F.size("errors") > 0).select(ROW, "errors")
+    """__row, errors (in column order) of rows that are left out."""
+    return _read(sheet, plan).filter(F.size("errors") > 0).select(ROW, "errors")
 
 
 def payloads(sheet: DataFrame, plan: Plan) -> DataFrame:
@@ -67,22 +75,24 @@ def payloads(sheet: DataFrame, plan: Plan) -> DataFrame:
     All columns of one child table make one child row, null where all are blank.
     """
     scalars: dict[str, list[Column]] = {}
-    children: dict[str, list[tuple[Target, Column]]] = {}
-    for t in plan.targets:
+    children: dict[str, list[tuple[int, Target, Column]]] = {}
+    for k, t in enumerate(plan.targets):
+        remap = plan.value_maps.get(t.path) or plan.value_maps.get(t.field)
+        value = mapped(F.col(f"v{k}").cast("string"), remap) if remap else F.col(f"v{k}")
         if t.table:
-            children.setdefault(t.table, []).append((t, _value(t, plan)))
+            children.setdefault(t.table, []).append((k, t, value))
         elif not t.derived:
-            scalars.setdefault(t.field, []).append(_value(t, plan))
+            scalars.setdefault(t.field, []).append(value)
     for name in plan.defaults:
         if "." not in name:
             scalars.setdefault(name, [])
     columns = [F.coalesce(*values, *([F.lit(plan.defaults[name])] if name in plan.defaults else [])).alias(name) for name, values in scalars.items()]
     for table, cells in children.items():
         any_filled = F.lit(False)
-        for t, _ in cells:
-            any_filled = any_filled | ~blank(_cell(t))
-        columns.append(F.when(any_filled, F.array(F.struct(*(v.alias(t.field) for t, v in cells)))).alias(table))
-    return row_errors(sheet, plan).filter(F.size("errors") == 0).select(ROW, *columns)
+        for k, _, _ in cells:
+            any_filled = any_filled | F.col(f"f{k}")
+        columns.append(F.when(any_filled, F.array(F.struct(*(v.alias(t.field) for _, t, v in cells)))).alias(table))
+    return _read(sheet, plan).filter(F.size("errors") == 0).select(ROW, *columns)
 
 
 def inject_id(payloads: DataFrame, sheet: DataFrame, id_column: str, id_field: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabulon.functions.convert import to_int
 from tabulon.functions.text import strip
 from tabulon.operators.profile import ROW
 from tabulon.sources.shared import new_folder, removed, stored
@@ -48,9 +49,9 @@ def stuck(levelled: DataFrame) -> DataFrame:
 
 
 def mark_groups(sheet: DataFrame, name: str, parent: str, is_group: str | None = None) -> DataFrame:
-    """sheet with is_group: the explicit value, else 1 if a row names it as parent, else 0."""
+    """sheet with is_group: the explicit value, read as a Check (yes and no count), else 1 if a row names it as parent, else 0."""
     parents = sheet.select(strip(F.col(f"`{parent}`")).alias("__p")).filter("__p <> ''").distinct().withColumn("__g", F.lit(1))
     joined = sheet.withColumn("__n", strip(F.col(f"`{name}`"))).join(parents, F.col("__n") == F.col("__p"), "left")
-    explicit = F.when(strip(F.col(f"`{is_group}`")) != "", F.col(f"`{is_group}`").cast("int")) if is_group else F.lit(None).cast("int")
+    explicit = to_int(F.col(f"`{is_group}`")).cast("int") if is_group else F.lit(None).cast("int")
     keep = [c for c in sheet.columns if c != "is_group"]
     return joined.withColumn("is_group", F.coalesce(explicit, "__g", F.lit(0))).select(*keep, "is_group")

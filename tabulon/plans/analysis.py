@@ -8,15 +8,21 @@ from pyspark.sql import functions as F
 from tabulon.operators import links, neardup, profile, quality
 from tabulon.plans.matching import Mapping, required_columns, required_missing
 from tabulon.sources.schema import TableMeta
+from tabulon.sources.shared import spread_out
 
 CONFLICT = "conflict_key string, kind string, severity string, source string, target string, detail string, count long"
 
 
+def nothing(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], CONFLICT)
+
+
 def _frame(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame([(f"{k}:{s or t}", k, sev, s, t, d, n) for k, sev, s, t, d, n in rows], CONFLICT)
 
 
-def _one(df: DataFrame, kind: str, severity, source, target, detail, count) -> DataFrame:
+def conflict(df: DataFrame, kind: str, severity, source, target, detail, count) -> DataFrame:
+    """One conflict for each row of df, in the columns of CONFLICT; texts and Columns are taken."""
     lit = lambda x: x if not isinstance(x, str | int | None) else F.lit(x)
     key = F.concat_ws(":", F.lit(kind), F.coalesce(lit(source).cast("string"), lit(target).cast("string")))
     return df.select(key.alias("conflict_key"), F.lit(kind).alias("kind"), lit(severity).alias("severity"), lit(source).cast("string").alias("source"), lit(target).cast("string").alias("target"), lit(detail).cast("string").alias("detail"), lit(count).cast("long").alias("count"))
@@ -24,14 +30,14 @@ def _one(df: DataFrame, kind: str, severity, source, target, detail, count) -> D
 
 def clean(sheet: DataFrame, key: str, required: list[str] | None = None, compare: list[str] | None = None) -> DataFrame:
     """Conflicts that need no target: duplicate rows, missing values, possible duplicates."""
-    groups = quality.duplicate_groups(sheet, key, compare)
-    severity = quality.duplicate_severity(groups)
-    out = _one(severity, "duplicate_row", F.col("severity"), key, None, F.concat(F.col("groups").cast("string"), F.lit(" duplicated keys")), F.col("groups"))
+    sheet = spread_out(sheet)
+    severity = quality.duplicate_facts(sheet, key, compare)
+    out = conflict(severity, "duplicate_row", F.col("severity"), key, None, F.concat(F.col("groups").cast("string"), F.lit(" duplicated keys")), F.col("groups"))
     missing = quality.missing_values(sheet, key, required or [])
-    out = out.union(_one(missing, "missing_value", "error", F.col("header"), None, F.col("role"), F.col("count")))
+    out = out.union(conflict(missing, "missing_value", "error", F.col("header"), None, F.col("role"), F.col("count")))
     identifiers = [r["header"] for r in profile.identifier_columns(profile.profile_columns(sheet), key).collect()]  # at most five
-    pairs = neardup.near_duplicate_pairs(sheet, key, identifiers, compare).agg(F.count("*").alias("n")).filter("n > 0")
-    return out.union(_one(pairs, "possible_duplicate_row", "warning", key, None, F.concat(F.col("n").cast("string"), F.lit(" pairs")), F.col("n")))
+    pairs = neardup.pair_count(sheet, key, identifiers).filter("n > 0")
+    return out.union(conflict(pairs, "possible_duplicate_row", "warning", key, None, F.concat(F.col("n").cast("string"), F.lit(" pairs")), F.col("n")))
 
 
 def analyse(sheet: DataFrame, mapping: Mapping, meta: TableMeta, key: str | None, linked: dict[str, DataFrame]) -> DataFrame:
@@ -55,19 +61,17 @@ def analyse(sheet: DataFrame, mapping: Mapping, meta: TableMeta, key: str | None
         out = out.union(clean(sheet, key, required_columns(mapping), [m.header for m in mapping.matches if m.path]))
     else:
         missing = quality.missing_values(sheet, None, required_columns(mapping))
-        out = out.union(_one(missing, "missing_value", "error", F.col("header"), None, F.col("role"), F.col("count")))
+        out = out.union(conflict(missing, "missing_value", "error", F.col("header"), None, F.col("role"), F.col("count")))
     for m in mapping.matches:
         f = meta.field(m.path) if m.path else None
         if f is None or not f.link or f.link not in linked:
             continue
         own = next((x.header for x in mapping.matches if x.path in ("name", f"{meta.name.lower().replace(' ', '_')}_name")), None) if f.link == meta.name else None
         absent = links.missing_links(sheet, m.header, linked[f.link], "name", mapping.value_maps.get(m.path), own)
-        found = absent.agg(F.count("*").alias("n"), F.array_join(F.slice(F.array_sort(F.collect_set("value")), 1, 50), ", ").alias("v")).filter("n > 0")
-        out = out.union(_one(found, "link_value_conflict", "error", m.header, m.path, F.col("v"), F.col("n")))
+        out = out.union(conflict(links.listed(absent), "link_value_conflict", "error", m.header, m.path, F.array_join("values", ", "), F.col("count")))
         if (meta.name, m.path) in links.LEAF_ONLY and "is_group" in linked[f.link].columns:
             groups = links.group_nodes(sheet, m.header, linked[f.link], "name", "is_group", mapping.value_maps.get(m.path))
-            found = groups.agg(F.count("*").alias("n"), F.array_join(F.slice(F.array_sort(F.collect_set("value")), 1, 50), ", ").alias("v")).filter("n > 0")
-            out = out.union(_one(found, "link_group_node", "error", m.header, m.path, F.col("v"), F.col("n")))
+            out = out.union(conflict(links.listed(groups), "link_group_node", "error", m.header, m.path, F.array_join("values", ", "), F.col("count")))
     return out
 
 

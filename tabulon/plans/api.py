@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tabulon.operators import corrections, dedup, journal, party, transform, tree
-from tabulon.operators.employees import generate_ids
+from tabulon.operators.employees import generate_ids, manager_links
 from tabulon.operators.profile import headers
-from tabulon.plans import analysis, infer, matching
-from tabulon.sources import records
-from tabulon.sources.schema import TableMeta
+from tabulon.plans import analysis, infer, matching, parties
+from tabulon.sources import records, schema, store
+from tabulon.sources.schema import FieldMeta, TableMeta
 
 
 @dataclass
@@ -48,16 +50,17 @@ def import_sheet(
     fixed, verdicts = corrections.prepared(sheet, key, fixes or []) if key else (sheet, {})
     conflicts = analysis.analyse(sheet, mapping, meta, key, linked)
     spark = sheet.sparkSession
-    answers = [(str(f.get("conflict")), f["action"], verdicts.get(str(f.get("id", k)), {}).get("applicable", False)) for k, f in enumerate(fixes or [])]
     known = previous if previous is not None else spark.createDataFrame([], "conflict_key string, severity string, status string")
-    found = corrections.conflict_status(conflicts, known, spark.createDataFrame(answers, "conflict_key string, action string, applicable boolean"), False)
+    found = corrections.conflict_status(conflicts, known, _answers(sheet, fixes, verdicts), False)
     plan = mapping.plan()
     payloads = transform.payloads(fixed, plan)
     if meta.name == "Employee" and "employee_number" in payloads.columns:
         payloads = generate_ids(payloads)
     own = next((f for f in meta.fields if f.link == meta.name and f.name in payloads.columns), None)
     spec = dedup.DEDUP_KEYS.get(meta.name, {}).get("source") or dedup.resolve_key_field(id_field, payloads.columns)
-    if own and isinstance(spec, str):
+    if own and isinstance(spec, str) and spec in payloads.columns:
+        if meta.field("is_group"):
+            payloads = tree.mark_groups(payloads, spec, own.name, "is_group" if "is_group" in payloads.columns else None)
         payloads = tree.levels(payloads, spec, own.name)
     existing = dedup.existing_keys(target, dedup.DEDUP_KEYS.get(meta.name, {}).get("target") or spec)
     statuses = dedup.dedup_status(payloads, spec, existing)
@@ -68,11 +71,92 @@ def import_sheet(
 
 def import_parties(sheet: DataFrame, parties: DataFrame, contacts: DataFrame, addresses: DataFrame) -> DataFrame:
     """entity, status, count of a flat party sheet; ValueError for another."""
+    return party.upsert_counts(sheet, _party(sheet), parties, contacts, addresses)
+
+
+def _party(sheet: DataFrame) -> party.PartySpec:
     kind = infer.party_of(headers(sheet))
     if kind is None:
         raise ValueError("not a party sheet")
-    return party.upsert_counts(sheet, party.PARTIES[kind], parties, contacts, addresses)
+    return party.PARTIES[kind]
+
+
+@dataclass
+class PartyImport:
+    """What an import of a flat sheet found and would do."""
+
+    conflicts: DataFrame
+    blocked: bool
+    parties: DataFrame
+    contacts: DataFrame
+    addresses: DataFrame
+    verdicts: dict = field(default_factory=dict)
+
+
+def import_party_sheet(
+    sheet: DataFrame, metas: dict[str, TableMeta], linked: dict[str, DataFrame], mappings: dict[str, str | None] | None = None, fixes: list[dict] | None = None, previous: DataFrame | None = None,
+) -> PartyImport:
+    """A flat sheet analysed as it is, corrected, gated, split in three and converted to the fields' types."""
+    spec, spark = _party(sheet), sheet.sparkSession
+    extra, types = party.extensions(mappings or {}), party.type_maps(_party(sheet), metas)
+    conflicts = parties.analyse(sheet, spec, metas, linked, extra)
+    fixed, verdicts = corrections.prepared(sheet, spec.name_column, fixes or [])
+    known = previous if previous is not None else spark.createDataFrame([], "conflict_key string, severity string, status string")
+    found, blocked = parties.gate(conflicts, known, _answers(sheet, fixes, verdicts))
+    of = lambda kind: (extra.get(kind), types.get(kind))
+    return PartyImport(found, blocked, party.split_party(fixed, spec, *of(spec.key)), party.split_contact(fixed, *of("contact")), party.split_address(fixed, spec, *of("address")), verdicts)
+
+
+def _answers(sheet: DataFrame, fixes: list[dict] | None, verdicts: dict) -> DataFrame:
+    rows = [(str(f.get("conflict")), f["action"], verdicts.get(str(f.get("id", k)), {}).get("applicable", False)) for k, f in enumerate(corrections.active(fixes or []))]
+    return sheet.sparkSession.createDataFrame(rows, "conflict_key string, action string, applicable boolean")
+
+
+# Verbs that change something give the journal's entries with it, so that `revert` can undo them.
+
+
+def create_record(table: DataFrame, new: DataFrame, key: str, doctype: str) -> tuple[DataFrame, DataFrame]:
+    """(table with the rows of new that it lacked, entries)."""
+    fresh = records.create_if_absent(table, new, key)
+    return table.unionByName(fresh, allowMissingColumns=True), journal.entries(fresh, doctype, key, "delete_record")
+
+
+def update_record(table: DataFrame, patch: DataFrame, key: str, doctype: str) -> tuple[DataFrame, DataFrame]:
+    """(table with the patch, entries with what it overwrote)."""
+    return records.update_records(table, patch, key), journal.entries(records.before_image(table, patch, key), doctype, key, "restore_record")
+
+
+def delete_record(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """table without the keys; deletions are not journalled, since a record can't be made again as it was."""
+    return records.delete_records(table, keys, key)
+
+
+def create_field(meta: TableMeta, label: str, fieldtype: str = "Data") -> tuple[TableMeta, dict]:
+    """(meta with the field, entry); a field that is there stays as it is."""
+    name = re.sub("[^a-z0-9]+", "_", label.strip().lower()).strip("_")
+    entry = {"event": "effect", "op": "delete_custom_field", "doctype": meta.name, "name": f"{meta.name}-{name}"}
+    return meta.with_custom([FieldMeta(name, label, fieldtype)]), {} if meta.field(name) else entry
+
+
+def set_mapping(path: str, doctype: str, column: str, target: str | None) -> dict:
+    """Records a column's target; the entry."""
+    previous = store.set_mapping(path, doctype, column, target)
+    return {"event": "effect", "op": "restore_override", "doctype": doctype, "name": column, "fields": {"previous": previous}}
+
+
+def correct(fixes: list[dict], new: dict) -> tuple[list[dict], dict]:
+    """(corrections with a new one, entry); one that is in force already changes nothing."""
+    more = corrections.added(fixes, new)
+    entry = {"event": "effect", "op": "correction_revoke", "name": more[-1]["id"]} if len(more) > len(fixes) else {}
+    return more, entry
+
+
+def link_managers(sheet: DataFrame, number: str, name: str, manager: str, site: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(what becomes of each row's manager, entries of the updates)."""
+    links = manager_links(sheet, number, name, manager, site)
+    changed = links.filter("status = 'update'").select(F.col("own").alias("employee_number")).join(site, "employee_number")
+    return links, journal.entries(changed.select("name", "reports_to"), "Employee", "name", "restore_record")
 
 
-list_records, get_record, update_record, create_record = records.list_records, records.get_record, records.update_records, records.create_if_absent
-status, revert = journal.log_counts, journal.revert_plan
+describe, list_records, get_record = schema.describe, records.list_records, records.get_record
+status, revert_plan, revert = journal.log_counts, journal.revert_plan, journal.undone

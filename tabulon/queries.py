@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tabulon.functions import convert, text
 from tabulon.operators import corrections, dedup, employees, journal, links, neardup, party, profile, quality, transform, tree
-from tabulon.plans import analysis, matching
+from tabulon.plans import analysis, matching, parties
 from tabulon.sources import files, records, schema
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -215,9 +215,16 @@ def identifier_columns(spark, d):
 HEADERS = ["Customer Name", "customer type", "Group", "Territory", "Email", "TaxID", "Credit Limit", "Vendor Rating"]
 
 
-@query("match_columns")
+@query(
+    "match_columns",
+    """select header, path, cast(confidence as double) as confidence, method, rivals from (values
+        ('Customer Name', 'customer_name', 1.0, 'exact', ''), ('customer type', 'customer_type', 0.95, 'normalized', ''), ('Group', 'customer_group', 0.85, 'token', ''),
+        ('Territory', 'territory', 1.0, 'exact', ''), ('Email', 'email_id', 0.85, 'token', ''), ('TaxID', 'tax_id', 0.95, 'normalized', ''),
+        ('Credit Limit', 'credit_limits.credit_limit', 0.95, 'normalized', ''), ('Vendor Rating', null, 0.0, 'none', '')) t(header, path, confidence, method, rivals)""",
+)
 def match_columns(spark, d):
-    return matching.as_frame(spark, matching.suggest(HEADERS, CUSTOMER_META))
+    found = matching.as_frame(spark, matching.suggest(HEADERS, CUSTOMER_META))
+    return found.withColumn("rivals", F.array_join("rivals", ","))
 
 
 @query("required_missing", "select 'territory' as field")
@@ -263,6 +270,7 @@ _function("fn_to_int", lambda: convert.to_int(F.concat(F.lit("x"), F.col("p_size
 _function("fn_to_number", lambda: convert.to_number(F.concat(F.lit("$1."), F.lpad(F.col("p_size").cast("string"), 3, "0"), F.lit(",50"))), "1000.5 + p_size")
 _function("fn_to_date", lambda: convert.date_text(F.concat((F.col("p_size") % 12 + 1).cast("string"), F.lit("/"), F.col("p_size").cast("string"), F.lit("/2023"))), "strftime(try_strptime((p_size % 12 + 1) || '/' || p_size || '/2023', '%m/%d/%Y'), '%Y-%m-%d')")
 _function("fn_to_datetime", lambda: convert.to_datetime(F.concat(F.lit("2.3.2024T07:"), F.col("p_size").cast("string"))), "'2024-03-02 07:' || p_size")
+_function("fn_pretyped", lambda: convert.from_number(F.col("p_retailprice") * F.lit(-1.25), "Int"), "cast(trunc(p_retailprice * -1.25) as bigint)")
 _function("fn_error_message", lambda: text.error_message(F.concat(F.lit('{"exc": "x", "exception": "bad \\"'), F.col("p_name"), F.lit('\\" value", "rest'))), "'bad \"' || p_name || '\" value'")
 _function("fn_extract_json", lambda: F.get_json_object(text.extract_json(F.concat(F.lit("Sure {not json} ```json\n{\"a\": {\"b\": "), F.col("p_size").cast("string"), F.lit("}} done"))), "$.a.b"), "cast(p_size as varchar)")
 
@@ -374,6 +382,28 @@ def clean(spark, d):
     return analysis.clean(documents(spark, d), "text", ["lang"])
 
 
+_DIRTY = """(SELECT p_partkey + 2 AS row_no, CASE WHEN p_partkey % 50 = 0 THEN '' WHEN p_partkey % 97 = 1 THEN p_name || 'x' WHEN p_partkey % 89 = 2 THEN upper(p_name) ELSE p_name END AS name,
+    CASE WHEN p_partkey % 40 = 0 THEN '' ELSE p_brand END AS brand FROM part)"""
+
+
+@query(
+    "clean_names",
+    f"""WITH c AS (SELECT lower(name) AS c, list_sort(string_split(lower(name), ' ')) AS s, count(*) AS n, min(brand) = max(brand) AS same FROM {_DIRTY} WHERE name <> '' GROUP BY 1, 2),
+pairs AS (SELECT coalesce(sum(a.n * b.n), 0) AS n FROM c a JOIN c b ON a.c < b.c AND (a.s = b.s OR levenshtein(a.c, b.c) <= 2)),
+found AS (SELECT 'duplicate_row' AS kind, CASE WHEN bool_and(same) THEN 'warning' ELSE 'error' END AS severity, 'name' AS source, count(*) AS n FROM c WHERE n > 1
+  UNION ALL SELECT 'missing_value', 'error', 'name', count(*) FROM {_DIRTY} WHERE name = ''
+  UNION ALL SELECT 'missing_value', 'error', 'brand', count(*) FROM {_DIRTY} WHERE brand = ''
+  UNION ALL SELECT 'possible_duplicate_row', 'warning', 'name', CAST(n AS BIGINT) FROM pairs)
+SELECT kind, severity, source, CAST(n AS BIGINT) AS n FROM found WHERE n > 0""",
+)
+def clean_names(spark, d):
+    """A sheet with all three kinds of conflicts: repeated and near names, blank cells."""
+    key = F.col("p_partkey")
+    name = F.when(key % 50 == 0, "").when(key % 97 == 1, F.concat("p_name", F.lit("x"))).when(key % 89 == 2, F.upper("p_name")).otherwise(F.col("p_name"))
+    rows = sheet(table(spark, d, "part"), "p_partkey", name=name, brand=F.when(key % 40 != 0, F.col("p_brand")))
+    return analysis.clean(rows, "name", ["brand"]).select("kind", "severity", "source", F.col("count").alias("n"))
+
+
 # ---------------------------------------------------------------- links
 
 
@@ -406,11 +436,17 @@ def _tree(spark, d):
     return sheet(table(spark, d, "part"), "p_partkey", name=key, parent=F.when(key > 0, F.floor((key - 1) / 2)))
 
 
-@query("link_missing_self", "select value, min(first_row) as first_row from (select cast((p_partkey - 1) // 3 * 2 as varchar) as value, p_partkey + 2 as first_row from part where p_partkey > 0 and (p_partkey - 1) // 3 * 2 not in (select p_partkey from part)) group by value")
+@query(
+    "link_missing_self",
+    """select cast(p_partkey * 2 as varchar) as value, p_partkey + 2 as first_row from part
+    where p_partkey * 2 not in (select p_partkey from part) and p_partkey * 2 not in (select n_nationkey + 1000000 from nation)""",
+)
 def link_missing_self(spark, d):
+    """Parents that neither the sheet's own names nor the linked table has."""
     key = F.col("p_partkey")
-    rows = sheet(table(spark, d, "part"), "p_partkey", name=key, parent=F.when(key > 0, F.floor((key - 1) / 3) * 2))
-    return links.missing_links(rows, "parent", spark.createDataFrame([], "name string"), "name", own="name")
+    rows = sheet(table(spark, d, "part"), "p_partkey", name=key, parent=key * 2)
+    known = table(spark, d, "nation").select((F.col("n_nationkey") + 1_000_000).cast("string").alias("name"))
+    return links.missing_links(rows, "parent", known, "name", own="name")
 
 
 @query(
@@ -419,7 +455,7 @@ def link_missing_self(spark, d):
 )
 def link_missing_grouped(spark, d):
     linked = {"Customer": _customers(spark, d).filter("c_nationkey < 20"), "Status": spark.createDataFrame([("O",)], "name string")}
-    return links.missing_by_target(_orders(spark, d), [("customer", "Customer"), ("status", "Status"), ("status", "Unreadable")], linked).select("header", "target", F.size("values").cast("long").alias("n"))
+    return links.missing_by_target(_orders(spark, d), [("customer", "Customer"), ("status", "Status"), ("status", "Unreadable")], linked).select("header", "target", F.col("count").alias("n"))
 
 
 @query("link_merge", "select c_nationkey as nation, 1 + count(*) filter (where c_custkey % 7 = 0) as n_links, 'Customer' as first_link from customer group by c_nationkey")
@@ -577,6 +613,7 @@ def _party_sheet(spark, d):
         **{
             "Customer Name": F.when(key % 10 != 0, F.concat(F.lit("Party "), F.floor(key / 2).cast("string"))), "Group": "c_mktsegment", "Contact Name": F.concat(F.lit("Ann "), shared, F.lit(" Lee")),
             "Email": F.when(key % 4 != 0, F.concat(F.lit("a"), shared, F.lit("@x.org"))), "Phone": F.lit(""), "Address Line 1": F.concat(F.lit("Road "), shared), "Address Type": F.when(key % 6 == 0, "Shipping"), "Country": "c_nationkey",
+            "Postal Code": F.when(key % 5 != 0, F.lpad((key % 1000).cast("string"), 5, "0")), "Rating": F.lit("A"), "VIP": F.when(key % 2 == 0, "Yes").otherwise("no"),
         },
     )
 
@@ -595,9 +632,69 @@ def split_contact(spark, d):
     return out.select(F.col("__row").alias("row_no"), "first_name", "last_name", F.get("email_ids", F.lit(0))["email_id"].alias("email"), F.coalesce(F.size("phone_nos"), F.lit(0)).alias("n_phones"))
 
 
-@query("split_address", f"select row_no, coalesce(party, '') || ' - ' || kind as address_title, kind as address_type, 'Road ' || c_custkey // 3 as address_line1, cast(c_nationkey as varchar) as country from {_PARTY}")
+@query(
+    "split_address",
+    f"""select row_no, coalesce(party, '') || ' - ' || kind as address_title, kind as address_type, 'Road ' || c_custkey // 3 as address_line1, cast(c_nationkey as varchar) as country,
+    case when c_custkey % 5 <> 0 then lpad(cast(c_custkey % 1000 as varchar), 5, '0') end as pincode from {_PARTY}""",
+)
 def split_address(spark, d):
-    return party.split_address(_party_sheet(spark, d), party.PARTIES["Customer"]).select(F.col("__row").alias("row_no"), "address_title", "address_type", "address_line1", "country")
+    return party.split_address(_party_sheet(spark, d), party.PARTIES["Customer"]).select(F.col("__row").alias("row_no"), "address_title", "address_type", "address_line1", "country", "pincode")
+
+
+CONTACT_META = schema.TableMeta("Contact", (schema.FieldMeta("first_name", "First Name", required=True), schema.FieldMeta("email_id", "Email")))
+ADDRESS_META = schema.TableMeta(
+    "Address",
+    (
+        schema.FieldMeta("address_type", "Address Type", "Select", required=True),
+        schema.FieldMeta("address_line1", "Address Line 1", required=True),
+        schema.FieldMeta("pincode", "Postal Code"),
+        schema.FieldMeta("country", "Country", "Link", required=True, options="Country"),
+    ),
+)
+PARTY_METAS = {"Customer": CUSTOMER_META.with_custom([schema.FieldMeta("is_vip", "VIP", "Check")]), "Contact": CONTACT_META, "Address": ADDRESS_META}
+
+
+@query("flat_extra_columns", "select * from (values ('Rating', 'create', 'customer.rating'), ('VIP', 'extend', 'customer.is_vip')) t(header, advice, target)")
+def flat_extra_columns(spark, d):
+    """Columns outside the contract of a flat sheet: a field that fits, or one to create."""
+    return parties.extra_columns(_party_sheet(spark, d), party.PARTIES["Customer"], PARTY_METAS)
+
+
+@query(
+    "flat_conflicts",
+    f"""select 'link_value_conflict' as kind, 'Group' as source, 'customer.customer_group' as target, count(distinct c_mktsegment) as n, 'AUTOMOBILE' as detail
+    from {_PARTY} where party is not null and c_mktsegment = 'AUTOMOBILE' having count(*) > 0
+    union all select 'link_value_conflict', 'Country', 'address.country', count(distinct c_nationkey), string_agg(distinct cast(c_nationkey as varchar), ', ' order by cast(c_nationkey as varchar))
+    from {_PARTY} where party is not null and c_nationkey >= 20 having count(*) > 0
+    union all select 'link_group_node', 'Group', 'customer.customer_group', 1, 'BUILDING' from {_PARTY} where party is not null and c_mktsegment = 'BUILDING' having count(*) > 0""",
+)
+def flat_conflicts(spark, d):
+    """Values of a flat sheet's link columns that the linked tables lack, or that are groups where a leaf is needed."""
+    customer = table(spark, d, "customer")
+    groups = customer.filter("c_mktsegment <> 'AUTOMOBILE'").select(F.col("c_mktsegment").alias("name"), (F.col("c_mktsegment") == "BUILDING").cast("int").alias("is_group")).distinct()
+    countries = table(spark, d, "nation").filter("n_nationkey < 20").select(F.col("n_nationkey").cast("string").alias("name"))
+    out = parties.link_conflicts(_party_sheet(spark, d), party.PARTIES["Customer"], PARTY_METAS, {"Customer Group": groups, "Country": countries})
+    return out.select("kind", "source", "target", F.col("count").alias("n"), "detail")
+
+
+@query(
+    "flat_required_missing",
+    f"""select 'Customer Name' as header, 'key,required' as role, count(*) as n from {_PARTY} where party is null having count(*) > 0
+    union all select 'Address Type', 'required', count(*) from {_PARTY} where kind = 'Billing' having count(*) > 0""",
+)
+def flat_required_missing(spark, d):
+    """Empty cells of columns that feed a required field of the party, the contact or the address."""
+    rows, spec = _party_sheet(spark, d), party.PARTIES["Customer"]
+    found = quality.missing_values(rows, spec.name_column, parties.required_columns(rows, spec, PARTY_METAS))
+    return found.select("header", "role", F.col("count").alias("n"))
+
+
+@query("flat_types", "select c_custkey + 2 as row_no, case when c_custkey % 2 = 0 then '1' else '0' end as is_vip from customer")
+def flat_types(spark, d):
+    """A mapped column of a flat sheet in the type of its field: yes and no of a Check."""
+    spec = party.PARTIES["Customer"]
+    extra, types = party.extensions({"VIP": "customer.is_vip", "Rating": "nowhere.rating"}), party.type_maps(spec, PARTY_METAS)
+    return party.split_party(_party_sheet(spark, d), spec, extra[spec.key], types[spec.key]).select(F.col("__row").alias("row_no"), "is_vip")
 
 
 @query(
@@ -661,9 +758,16 @@ def tree_cycle(spark, d):
     return tree.stuck(tree.levels(rows, "name", "parent")).select(F.col("__row").alias("row_no"))
 
 
-@query("tree_is_group", "select p_partkey + 2 as row_no, case when p_partkey * 2 + 1 <= (select max(p_partkey) from part) then 1 else 0 end as is_group from part")
+@query(
+    "tree_is_group",
+    """select p_partkey + 2 as row_no, case when p_partkey % 5 = 0 then 1 when p_partkey % 7 = 0 then 0 when p_partkey * 2 + 1 <= (select max(p_partkey) from part) then 1 else 0 end as is_group
+    from part""",
+)
 def tree_is_group(spark, d):
-    return tree.mark_groups(_tree(spark, d), "name", "parent").select(F.col("__row").alias("row_no"), "is_group")
+    """The sheet's own answer, in words, wins over what its parents say."""
+    key = F.col("p_partkey")
+    said = table(spark, d, "part").select((key + 2).cast("long").alias("__row"), F.when(key % 5 == 0, "Yes").when(key % 7 == 0, "No").alias("Is Group"))
+    return tree.mark_groups(_tree(spark, d).join(said, "__row"), "name", "parent", "Is Group").select(F.col("__row").alias("row_no"), "is_group")
 
 
 # ---------------------------------------------------------------- corrections
@@ -704,6 +808,20 @@ def apply_merge_rows(spark, d):
     return _fixed(spark, d, FIXES[3:4])
 
 
+@query("apply_revoked", _SUPPLIERS.format(nation="cast(s_nationkey as varchar)", where="s_suppkey <> 5"))
+def apply_revoked(spark, d):
+    """A revoked correction stays on record and changes nothing."""
+    return _fixed(spark, d, corrections.revoked(FIXES[:3], "1", "2024-01-01"))
+
+
+@query("merged_corrections", "select * from (values ('1', true, ''), ('2', false, 'name'), ('3', false, 'name')) t(id, is_revoked, key_column)")
+def merged_corrections(spark, d):
+    """The record with its active corrections completed and the revoked ones as they were."""
+    recorded = corrections.revoked(FIXES[:3], "1", "2024-01-01")
+    done = corrections.merged(recorded, [c | {"key_column": "name"} for c in corrections.active(recorded)])
+    return spark.createDataFrame([(c["id"], "revoked_at" in c, c.get("key_column", "")) for c in done], "id string, is_revoked boolean, key_column string")
+
+
 @query("corrections_applied", "select * from (values ('1', true), ('2', false), ('3', true), ('4', true), ('5', false)) t(id, applicable)")
 def corrections_applied(spark, d):
     _, verdicts = corrections.prepared(_suppliers(spark, d), "name", FIXES)
@@ -757,10 +875,69 @@ def revert_plan(spark, d):
     return journal.revert_plan(_log(spark, d))
 
 
+def _effects(spark, d):
+    """A journal of events: deletions of users' suppliers, earlier names to restore, links to remove."""
+    e, key = table(spark, d, "events"), F.col("event_id")
+    op = F.when(key % 50 == 0, "delete_record").when(key % 5 == 1, "restore_record").when(key % 5 == 2, "remove_record_link")
+    return e.filter(op.isNotNull()).select(
+        key.alias("seq"), F.lit("effect").alias("event"), op.alias("op"), F.lit("Supplier").alias("doctype"), F.col("user_id").cast("string").alias("name"),
+        F.when(op == "restore_record", F.create_map(F.lit("s_name"), F.concat(F.lit("old "), key.cast("string")))).alias("fields"), F.lit("Nation").alias("link_doctype"), (key % 2).cast("string").alias("link_name"),
+    )
+
+
+@query(
+    "revert_apply",
+    """select s_suppkey, coalesce((select 'old ' || min(event_id) from events where user_id = s_suppkey and event_id % 5 = 1 and event_id % 50 <> 0 having count(*) > 0), s_name) as s_name,
+    concat_ws(',', case when not exists (select 1 from events where user_id = s_suppkey and event_id % 5 = 2 and event_id % 2 = 0 and event_id % 50 <> 0) then '0' end,
+      case when not exists (select 1 from events where user_id = s_suppkey and event_id % 5 = 2 and event_id % 2 = 1 and event_id % 50 <> 0) then '1' end) as links
+    from supplier where s_suppkey not in (select user_id from events where event_id % 50 = 0)""",
+)
+def revert_apply(spark, d):
+    """Suppliers after the journal's effects are undone: the oldest value comes back, deleted ones and removed links are gone."""
+    pair = lambda name: F.struct(F.lit("Nation").alias("link_doctype"), F.lit(name).alias("link_name"))
+    suppliers = table(spark, d, "supplier").select("s_suppkey", "s_name", F.array(pair("0"), pair("1")).alias("links"))
+    out = journal.undone({"Supplier": suppliers}, _effects(spark, d), {"Supplier": "s_suppkey"})["Supplier"]
+    return out.select("s_suppkey", "s_name", F.array_join(F.transform("links", lambda x: x["link_name"]), ",").alias("links"))
+
+
+def _runs(spark, d):
+    """Users as runs: views are effects; where the user's last event is an error, that marks a whole revert."""
+    e = table(spark, d, "events")
+    event = F.when(F.col("event_type") == "view", "effect").when(F.col("event_type") == "error", "revert").otherwise("requirement")
+    return e.select(F.col("user_id").alias("run"), F.col("event_id").alias("seq"), event.alias("event"), F.lit("ok").alias("status"), F.when(F.col("user_id") % 2 == 0, 1_000_000).otherwise(1).cast("long").alias("reverted"), F.col("event_id").alias("modified"))
+
+
+_RUNS = """(select user_id as run, max(event_id) as modified, count(*) filter (where event_type = 'view') as effects,
+    count(*) filter (where event_type = 'error') > 0 and case when user_id % 2 = 0 then 1000000 else 1 end >= count(*) filter (where event_type = 'view') as reverted from events group by user_id)"""
+
+
+@query("run_summary", f"select * from {_RUNS}")
+def run_summary(spark, d):
+    return journal.run_summary(_runs(spark, d))
+
+
+@query("latest_run", f"select run, effects from {_RUNS} order by case when reverted then 0 when effects > 0 then 2 else 1 end desc, modified desc limit 1")
+def latest_run(spark, d):
+    """The newest run that there is something to undo of."""
+    return journal.latest_run(journal.run_summary(_runs(spark, d)), require_effects=True).select("run", "effects")
+
+
+@query("run_view", "select user_id as run, count(*) filter (where event_type not in ('view', 'error')) as requirements, count(*) filter (where event_type = 'view') as effects from events group by 1")
+def run_view(spark, d):
+    return journal.run_view(_runs(spark, d)).select("run", "requirements", "effects")
+
+
+@query("single_cause", "select 'down' as cause, count(*) as n, true as single_cause from events")
+def single_cause(spark, d):
+    """Warnings that all have one cause point at the target, not at rows."""
+    rows = table(spark, d, "events").select(F.col("event_id").alias("__row"), F.concat(F.lit("row "), F.col("event_id").cast("string"), F.lit(" failed: down")).alias("message"))
+    return journal.warning_digest(rows).select("cause", F.col("count").alias("n"), "single_cause")
+
+
 @query("warning_digest", "select event_type as cause, count(*) as n, 'row ' || min(event_id) as first_seen from events group by 1 order by n desc, cause limit 5")
 def warning_digest(spark, d):
     rows = table(spark, d, "events").select(F.col("event_id").alias("__row"), F.concat(F.lit("row "), F.col("event_id").cast("string"), F.lit("  failed:  "), "event_type").alias("message"))
-    return journal.warning_digest(rows).withColumnRenamed("count", "n")
+    return journal.warning_digest(rows).select("cause", F.col("count").alias("n"), "first_seen")
 
 
 @query(

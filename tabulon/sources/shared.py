@@ -67,3 +67,9 @@ def stored(df: DataFrame, path: str) -> DataFrame:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     return stored(df, new_folder(df.sparkSession, name))
+
+
+def spread_out(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores: a small file is one partition, and heavy work on it one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else written(df.repartition(cores), "spread")

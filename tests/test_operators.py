@@ -9,12 +9,13 @@ import zipfile
 from pathlib import Path
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tabulon.operators import corrections, journal, neardup, party, profile, quality, tree
-from tabulon.plans import analysis, api, infer, matching
-from tabulon.queries import CUSTOMER_META
-from tabulon.sources import files, records, store
+from tabulon.operators import corrections, dedup, journal, neardup, party, profile, quality, tree
+from tabulon.plans import analysis, api, infer, matching, parties
+from tabulon.queries import CUSTOMER_META, PARTY_METAS
+from tabulon.sources import files, records, schema, store
 from tabulon.streaming import logs
 
 
@@ -234,3 +235,109 @@ assert len(list(Path({str(tmp_path)!r}).glob("tabulon-*/*"))) == 1
             break
         time.sleep(0.1)
     assert not list(tmp_path.glob("tabulon-*"))
+
+
+def test_numbered_over_many_partitions(spark):
+    rows = spark.range(0, 200_000, numPartitions=16).select((F.col("id") * 7919 % 200_003).alias("k"))
+    for coalesce in ("true", "false"):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+        out = dedup.numbered(rows, "k")
+        rank = F.row_number().over(Window.orderBy("k")) + 1
+        assert out.withColumn("want", rank).filter("want <> __row").count() == 0 and out.count() == 200_000
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("crowd", [200, 40])
+def test_a_common_prefix_is_no_nested_loop(spark, crowd):
+    draw = random.Random(crowd)
+    names = [f"Customer number {draw.randrange(16**12):012x}" for _ in range(crowd)]
+    names += [n[:20] + "z" + n[21:] for n in names[:10]] + [n + "q" for n in names[10:20]] + [n[:3] + n[4:] for n in names[20:30]] + ["A" + n[1:-1] for n in names[30:35]]
+    frame = spark.createDataFrame([(n,) for n in names], "s string")
+    got = {(r.a, r.b) for r in neardup.close_strings(frame, "s").collect()}
+    assert got == {tuple(sorted(p)) for p in itertools.combinations(set(names), 2) if plain_distance(*p) <= 2} and len(got) >= 35
+    ids = frame.select(F.md5("s").alias("id"), "s")
+    if crowd > neardup.CROWDED * 2:
+        assert neardup._met_by_pieces(ids, 2).distinct().count() < 50 * crowd
+
+
+def plain_distance(a, b):
+    before = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        now = [i]
+        for j, y in enumerate(b, 1):
+            now.append(min(before[j] + 1, now[-1] + 1, before[j - 1] + (x != y)))
+        before = now
+    return before[-1]
+
+
+def test_pair_count_is_the_number_of_pairs(spark):
+    draw = random.Random(5)
+    words = ["Acme", "Acne", "Bolt", "Steel Works", "steel works", "Works Steel", "Ltd", "Trader", "Traders", "Iron Yard Delta", "Delta Iron Yard"]
+    rows = [(" ".join(draw.sample(words, draw.randint(1, 2))), draw.choice("abcdefgh")) for _ in range(120)]
+    frame = sheet(spark, ["Name", "Email"], rows)
+    assert neardup.pair_count(frame, "Name", ["Email"]).first().n == neardup.near_duplicate_pairs(frame, "Name", ["Email"]).count() > 0
+    assert neardup.pair_count(frame.limit(0), "Name", []).first().n == 0
+
+
+def test_flat_sheet(spark):
+    spec, metas = party.PARTIES["Customer"], PARTY_METAS
+    names = ["Customer Name", "Group", "Contact Name", "Email", "Address Line 1", "Postal Code", "Country", "Vip"]
+    rows = sheet(spark, names, [("Ann", "Retail", "A B", "a@x", "Road 1", "01234", "Chad", "Yes"), ("Bob", "None", "", "", "", "", "Peru", "no"), ("", "Other", "", "", "", "", "Peru", "")])
+    linked = {"Customer Group": spark.createDataFrame([("Retail", 1)], "name string, is_group int"), "Country": spark.createDataFrame([("Chad",)], "name string")}
+    found = {(r.kind, r.source): (r.severity, r.target, r.detail) for r in parties.analyse(rows, spec, metas, linked).collect()}
+    assert found[("unmapped_column", "Vip")] == ("error", "customer.is_vip", "extend customer.is_vip")
+    assert found[("link_value_conflict", "Group")][2] == "None" and found[("link_group_node", "Group")][2] == "Retail"  # not Other: its row has no party
+    assert found[("link_value_conflict", "Country")][1:] == ("address.country", "Peru") and ("missing_value", "Customer Name") in found
+    done = api.import_party_sheet(rows, metas, linked, {"Vip": "customer.is_vip"})
+    assert done.blocked and [r.is_vip for r in done.parties.orderBy("__row").collect()] == ["1", "0", None]
+    assert [r.pincode for r in done.addresses.orderBy("__row").collect()] == ["01234", None, None]
+    assert party.flat_target("Customer . tax_id") == ("customer", "tax_id") and party.flat_target("invoice.x") is None and party.flat_target("customer.") is None
+
+
+def test_verbs_and_revert(spark, tmp_path):
+    people = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y")], "name string, age int, city string")
+    new, made = api.create_record(people, spark.createDataFrame([("c", 3, "z"), ("a", 9, "q")], "name string, age int, city string"), "name", "Person")
+    changed, written = api.update_record(new, spark.createDataFrame([("b", 5)], "name string, age int"), "name", "Person")
+    again, more = api.update_record(changed, spark.createDataFrame([("b", 6)], "name string, age int"), "name", "Person")
+    assert {(r.name, r.age) for r in again.collect()} == {("a", 1), ("b", 6), ("c", 3)}
+    none = F.lit(None).cast("string")
+    log = None
+    for k, e in enumerate((made, written, more)):
+        e = e.withColumns({"seq": F.lit(k), "link_doctype": none, "link_name": none})
+        log = e if log is None else log.unionByName(e)
+    back = api.revert({"Person": again}, log)["Person"]
+    assert {tuple(r) for r in back.collect()} == {tuple(r) for r in people.collect()}
+    assert {tuple(r) for r in api.revert({"Person": back}, log)["Person"].collect()} == {tuple(r) for r in people.collect()}
+    last = journal.marker(log, "r1").withColumns({"seq": F.lit(9)})
+    assert not journal.is_reverted(log.withColumns({"status": none, "reverted": F.lit(None).cast("long")}))
+    assert journal.is_reverted(log.withColumns({"status": none, "reverted": F.lit(None).cast("long")}).unionByName(last, allowMissingColumns=True))
+    journal.append_log(last, str(tmp_path / "log"))
+    journal.append_log(last, str(tmp_path / "log"))
+    assert spark.read.json(str(tmp_path / "log")).count() == 2
+    assert api.delete_record(people, people.filter("name = 'a'"), "name").count() == 1
+    meta, entry = api.create_field(CUSTOMER_META, "Loyalty Tier!")
+    assert meta.field("loyalty_tier") and entry["name"] == "Customer-loyalty_tier" and api.create_field(meta, "Loyalty Tier")[1] == {}
+    path = tmp_path / "o.json"
+    assert api.set_mapping(path, "Customer", "Vip", "tax_id")["fields"] == {"previous": None}
+    entry = api.set_mapping(path, "Customer", "Vip", None)
+    fixes, said = api.correct([], {"action": "skip_row", "reason": "r", "ref": "a"})
+    assert api.correct(fixes, {"action": "skip_row", "reason": "r", "ref": "a"})[1] == {}
+    schema = "seq int, event string, op string, doctype string, name string, fields map<string,string>"
+    undo = spark.createDataFrame([(1, "effect", entry["op"], "Customer", "Vip", entry["fields"]), (2, "effect", said["op"], None, said["name"], None)], schema)
+    settings, left = journal.settings_undone(store.load(path), fixes, undo, "2024")
+    assert settings["Customer"]["mappings"] == {"Vip": "tax_id"} and corrections.active(left) == [] and len(left) == 1
+
+
+def test_corrections_see_rows_beyond_the_first_of_a_key(spark):
+    rows = sheet(spark, ["Name", "V"], [("k", str(n)) for n in range(9)])
+    fixes = [{"id": str(n), "action": "skip_row", "reason": "r", "ref": {"row": n + 2}} for n in range(8)] + [{"id": "last", "action": "set_value", "reason": "r", "ref": "k", "column": "V", "to": "new"}]
+    out, verdicts = corrections.prepared(rows, "Name", fixes)
+    assert verdicts["last"]["applicable"] and [(r["__row"], r.V) for r in out.collect()] == [(10, "new")]
+
+
+def test_import_marks_groups_and_reads_numbers(spark):
+    meta = schema.TableMeta("Territory", (schema.FieldMeta("territory_name", "Territory Name", required=True), schema.FieldMeta("parent", "Parent", "Link", options="Territory"), schema.FieldMeta("is_group", "Is Group", "Check"), schema.FieldMeta("size", "Size", "Int")))
+    rows = spark.createDataFrame([(2, "leaf", "mid", "", 12.5), (3, "mid", "top", None, -3.9), (4, "top", "", "yes", None), (5, "solo", "", "No", 1.0)], "__row long, `Territory Name` string, Parent string, `Is Group` string, Size double")
+    none = spark.createDataFrame([], "territory_name string")
+    done = api.import_sheet(rows, meta, none, {}, id_field="territory_name")
+    assert [(r.territory_name, r.is_group, r["size"]) for r in done.create.collect()] == [("top", 1, None), ("solo", 0, 1), ("mid", 1, -3), ("leaf", 0, 12)]
