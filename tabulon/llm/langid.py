@@ -9,7 +9,8 @@ log-likelihood exceeds a penalty that grows with the logarithm of the document's
 The prediction is the largest proportion in the selected set, and that proportion is its score.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; without labelled documents all
-are `und`; ties go to the language that sorts first; repeated rows are judged alike; an empty table gives
+are `und`; ties go to the language that sorts first; rows are judged each, also where doc_ids repeat; a very long text
+is held alone; an empty table gives
 no rows; rows with a null lang or doc_id teach nothing; other columns are ignored.
 """
 
@@ -103,19 +104,20 @@ def mixture(chances: np.ndarray, offsets: np.ndarray, allowed: np.ndarray, round
     return shares, np.add.reduceat(np.log(np.maximum(joint, 1e-30)), offsets[:-1], dtype=np.float64)
 
 
-def languages_of(texts: pa.Array, model: LanguageModel, rounds: int = 8, penalty: float = 2.0, notice: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
-    """(number of the language, -1 for none; score) of each text."""
+def languages_of(texts: pa.Array, model: LanguageModel, rounds: int = 8, penalty: float = 2.0, notice: float = 0.02) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the language, -1 for none; score; texts x languages: whether the text's set holds the language) of each text."""
     best, score, count = np.full(len(texts), -1), np.zeros(len(texts)), len(model.languages)
+    inside = np.zeros((len(texts), count), bool)
     offsets, numbers, distinct = words_of(pc.fill_null(texts, ""))
     if not len(numbers) or not count:
-        return best, score
+        return best, score, inside
     letters = lettered(distinct)
     keep = letters[numbers]
     kept = np.concatenate(([0], np.cumsum(keep)))
     offsets, numbers = kept[offsets], numbers[keep]
     full = np.flatnonzero(np.diff(offsets))
     if not len(full):
-        return best, score
+        return best, score, inside
     offsets = np.append(offsets[full], offsets[-1])
     grams, n = grams_of(distinct, model.scores.shape[0])
     logs = np.add.reduceat(model.scores[grams], np.cumsum(n) - n, axis=0)
@@ -126,6 +128,7 @@ def languages_of(texts: pa.Array, model: LanguageModel, rounds: int = 8, penalty
     single = np.add.reduceat(np.log(np.maximum(chances, 1e-13)), offsets[:-1], axis=0, dtype=np.float64)
     top = single.argmax(axis=1)
     best[full], score[full] = top, shares[np.arange(len(full)), top]
+    inside[full, top] = True
     value, sizes = single.max(axis=1), np.diff(offsets)
     for k in range(2, count + 1):  # sets of the k largest proportions, where the k-th is worth a look
         look = np.flatnonzero(shares[np.arange(len(full)), order[:, k - 1]] >= notice)
@@ -138,11 +141,12 @@ def languages_of(texts: pa.Array, model: LanguageModel, rounds: int = 8, penalty
         better = log > value[look]
         at = look[better]
         value[at], best[full[at]], score[full[at]] = log[better], part[better].argmax(axis=1), part[better].max(axis=1)
-    return best, np.clip(score, 0, 1)
+        inside[full[at]] = allowed[better] > 0
+    return best, np.clip(score, 0, 1), inside
 
 
 def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = (), slice_bytes: int = 1 << 20) -> DataFrame:
-    """The columns in keep, then lang_pred and score of each row's text."""
+    """The columns in keep, then lang_pred, score and languages (the chosen set, in order of name) of each row's text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages floats
     sent = [*keep] if "text" in keep else [*keep, "text"]
 
@@ -150,18 +154,19 @@ def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = (),
         model = shared.value
         names = np.array([*model.languages, UNDETERMINED], dtype=object)
         for batch in batches:
-            found, scores = [], []
+            found, scores, sets = [], [], []
             for _, texts in slices(batch.column(sent.index("text")), slice_bytes):
-                best, score = languages_of(texts, model)
+                best, score, inside = languages_of(texts, model)
                 found.append(names[best])
                 scores.append(score)
-            columns = [*batch.columns[: len(keep)], pa.array(np.concatenate(found or [[]]), pa.string()), pa.array(np.concatenate(scores or [[]]), pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang_pred", "score"])
+                sets += [names[:-1][own].tolist() for own in inside]
+            columns = [*batch.columns[: len(keep)], pa.array(np.concatenate(found or [[]]), pa.string()), pa.array(np.concatenate(scores or [[]]), pa.float64()), pa.array(sets, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang_pred", "score", "languages"])
 
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string, score double"])
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string, score double, languages array<string>"])
     return docs.select(*sent).transform(in_batches(predict, schema))
 
 
 def language_id(docs: DataFrame, learn_per_language: int = 2000) -> DataFrame:
-    """doc_id, held_out, lang_pred, score."""
-    return identify(docs, learn(docs, learn_per_language), ("doc_id",)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    """doc_id, held_out, lang_pred, score, languages."""
+    return identify(docs, learn(docs, learn_per_language), ("doc_id",)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "languages")

@@ -3,20 +3,23 @@
 The program has one variable for each way of filling a sequence (a configuration) and one
 covering row for each length class. Multiplicative weights hold the prices of the classes; the
 configuration to raise next comes from a knapsack dynamic program over those prices. Rounding
-realises the configurations with exact lengths, closing each sequence with the best-fitting
-length in stock; what the rounding leaves is packed longest first with the same best fit.
+realises the configurations with exact lengths, whole numbers of sequences first, then one of each configuration
+with a large fraction left; each sequence is closed with the best-fitting length in stock. What the rounding leaves is
+packed longest first with the same best fit. The prices of the program with lengths rounded down bound the number of
+sequences from below (`least_sequences`).
 
 The histogram has at most `capacity` rows whatever the input, so the program runs on the driver.
 Every step of the rounding uses up a length or a configuration, so the plan that goes back to
 the executors has at most (lengths + configurations) steps, too.
 
-Defined cases: a null text is empty; an empty text is the single closing id; repeated rows are
-packed once each; an empty table gives no rows; other columns of the input are ignored.
+Defined cases: a null text is empty; an empty text is the single closing id; rows are packed once each, also where doc_ids
+repeat or are null; a very long text is held alone; an empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 import zlib
 
 import numpy as np
@@ -120,19 +123,22 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).transform(in_batches(cut, PIECES, keeps=("words", tokenizer_path)))
 
 
-def configurations(histogram: np.ndarray, capacity: int, classes: int = 256, rounds: int = 1500, rate: float = 0.3) -> list[tuple[tuple[int, ...], float]]:
-    """The linear program's solution: (classes of the items, number of sequences), by multiplicative weights.
+def program(histogram: np.ndarray, capacity: int, classes: int = 256, rounds: int = 1500, rate: float = 0.3, relaxed: bool = False) -> tuple[list[tuple[tuple[int, ...], float]], float]:
+    """(the linear program's solution: (classes of the items, number of sequences), its lower bound), by multiplicative weights.
 
-    histogram[l]: pieces of length l. A class is a length in units of capacity / classes, to the nearest.
+    histogram[l]: pieces of length l. A class is a length in units of capacity / classes, to the nearest; relaxed: rounded
+    down, so that every true packing is one of the program's and prices bound its sequences from below: no configuration is
+    worth more than the best one, so all needs together, at those prices, take at least their worth divided by that.
     """
     unit = capacity / classes
     lengths = np.flatnonzero(histogram)
-    of = np.clip(np.rint(lengths / unit).astype(int), 1, classes)
+    of = (lengths / unit).astype(int) if relaxed else np.clip(np.rint(lengths / unit).astype(int), 1, classes)
     need = np.bincount(of, weights=histogram[lengths], minlength=classes + 1)
+    need[0] = 0
     present = need > 0
     if not present.any():
-        return []
-    weight, times = np.where(present, 1.0, 0.0), {}
+        return [], 0.0
+    weight, times, bound = np.where(present, 1.0, 0.0), {}, 0.0
     for _ in range(rounds):
         price = np.where(present, weight / np.maximum(need, 1), -1.0)
         best, choice = np.zeros(classes + 1), np.zeros(classes + 1, int)
@@ -140,6 +146,7 @@ def configurations(histogram: np.ndarray, capacity: int, classes: int = 256, rou
             value = price[1 : room + 1] + best[room - 1 :: -1][:room]
             k = int(value.argmax())
             best[room], choice[room] = (value[k], k + 1) if value[k] > best[room - 1] else (best[room - 1], 0)
+        bound = max(bound, float(weight.sum() / best[classes]))
         used, room = np.zeros(classes + 1, int), classes
         while room > 0:
             if choice[room]:
@@ -155,7 +162,17 @@ def configurations(histogram: np.ndarray, capacity: int, classes: int = 256, rou
         times[items] = times.get(items, 0.0) + step
     volume = sum(sum(items) * x for items, x in times.items())
     scale = float((need * np.arange(classes + 1)).sum()) / volume
-    return sorted(((items, x * scale) for items, x in times.items()), key=lambda p: (-p[1], p[0]))
+    return sorted(((items, x * scale) for items, x in times.items()), key=lambda p: (-p[1], p[0])), bound
+
+
+def configurations(histogram: np.ndarray, capacity: int, classes: int = 256, rounds: int = 1500) -> list[tuple[tuple[int, ...], float]]:
+    return program(histogram, capacity, classes, rounds)[0]
+
+
+def least_sequences(histogram: np.ndarray, capacity: int, classes: int = 256, rounds: int = 300) -> int:
+    """No packing has fewer sequences: the relaxed program's bound, or the volume's."""
+    bound = program(histogram, capacity, classes, rounds, relaxed=True)[1]
+    return max(-int(-(np.arange(len(histogram)) * histogram).sum() // capacity), math.ceil(bound - 1e-6))
 
 
 def rounded(histogram: np.ndarray, capacity: int, solution: list[tuple[tuple[int, ...], float]], classes: int = 256) -> dict[str, np.ndarray]:
@@ -193,8 +210,9 @@ def rounded(histogram: np.ndarray, capacity: int, solution: list[tuple[tuple[int
             room -= length
         return chosen
 
-    for items, times in solution:
-        left = int(times)
+    # whole sequences first, then one of each configuration with a fraction left, the largest first
+    parts = sorted(((items, times - int(times)) for items, times in solution), key=lambda p: -p[1])
+    for items, left in [*((items, int(times)) for items, times in solution), *((items, 1) for items, part in parts if part > 0.25)]:
         while left > 0:
             taken[:] = 0
             chosen: list[int] = []
@@ -222,7 +240,7 @@ def rounded(histogram: np.ndarray, capacity: int, solution: list[tuple[tuple[int
 
 
 def pack(pieces: DataFrame, capacity: int = 4096, buckets: int = 128) -> DataFrame:
-    """pieces plus sequence_id and offset: gapless sequences of at most capacity ids.
+    """pieces plus sequence_id and offset: gapless sequences of at most capacity ids; lower_bound: no packing has fewer sequences.
 
     pieces needs doc_id, piece and length, and should be a stored table, since it is read twice. Each
     length is ranked in `buckets` parts, so that one common length is not one task.
@@ -234,6 +252,7 @@ def pack(pieces: DataFrame, capacity: int = 4096, buckets: int = 128) -> DataFra
     for row in parts.groupBy("length").agg(F.sum("__n").alias("n")).collect():  # at most `capacity` rows
         histogram[row["length"]] = row["n"]
     plan = spark.sparkContext.broadcast(rounded(histogram, capacity, configurations(histogram, capacity)))
+    least = least_sequences(histogram, capacity)
     before = F.sum("__n").over(Window.partitionBy("length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
     parts = parts.select("length", "__part", F.coalesce(before, F.lit(0)).alias("__before"))
     rank = F.row_number().over(Window.partitionBy("length", "__part").orderBy("doc_id", "piece")) - 1
@@ -247,7 +266,7 @@ def pack(pieces: DataFrame, capacity: int = 4096, buckets: int = 128) -> DataFra
 
     ranked = pieces.withColumn("__rank", rank).join(parts, ["length", "__part"]).withColumn("__rank", F.col("__rank") + F.col("__before"))
     placed_at = ranked.withColumn("__at", placed(F.col("length"), F.col("__rank").cast("long")))
-    return placed_at.select(*(c for c in pieces.columns if not c.startswith("__")), "__at.sequence_id", "__at.offset")
+    return placed_at.select(*(c for c in pieces.columns if not c.startswith("__")), "__at.sequence_id", "__at.offset", F.lit(least).cast("long").alias("lower_bound"))
 
 
 def best_fit_packing(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:

@@ -1,22 +1,25 @@
 """Operator 6, PII by weak supervision, in DataFrame functions only.
 
-1. Candidates: one regular expression for each kind marks its matches in the text; their places
-   follow from the lengths of the parts between the marks.
-2. Labelers vote on each candidate: strict form (regex), gazetteer, cue words to the left and to
-   the right (context), and surroundings. A vote is 1, -1 or 0 (abstains).
-3. The counts of each pattern of votes, over all documents, feed an expectation-maximisation that
-   estimates how reliable each labeler is and how likely each pattern is personal data.
-4. A logistic span classifier is fitted to those probabilities. It decides on the candidates beyond
-   the base rules; matches of the base rules always stay.
-
-What is collected is one row for each pattern of votes, at most kinds x 3 ^ labelers.
+1. Candidates. One regular expression for each source marks its matches in the text; their places follow from the
+   lengths of the parts between the marks. The base rules give four kinds; wider sources add what they miss: addresses
+   spelt with (at) and (dot), numbers without a country's code, long tokens that could be secrets, pairs of capitalised words.
+2. Labelers vote on each candidate: form (regex), gazetteer, cue words to the left and to the right (context), and
+   what touches it. A vote is 1, -1 or 0 (abstains).
+3. The counts of each pattern of votes, over all documents, feed an expectation-maximisation that estimates for each
+   kind how each labeler votes on personal data and on the rest. Matches of the base rules are known examples.
+4. A logistic span classifier is fitted to the probabilities of a bounded sample of candidates. Its features are its own, beside
+   the votes: length, shares of digits and capitals, separators, the characters and the words next to the span. It
+   decides on the candidates beyond the base rules; matches of the base rules always stay.
+
+What is collected is one row for each pattern of votes, at most kinds x 2 x 3 ^ labelers, and the sample.
 
 Loops over groups in Java's regular expressions recurse and overflow on long texts, so repeated
 groups are written as single character classes over a text whose inner separators are marked first,
 one character for one character. The control characters used as marks count as other characters.
 
-Defined cases: null and empty texts have no spans; repeated rows are judged each; an empty table gives
-no rows and trains nothing; other columns of the input are ignored; places are code points.
+Defined cases: null and empty texts have no spans; rows are judged each, also where doc_ids repeat or are null; a very long
+text is one row's string; an empty table gives no rows and trains nothing; other columns of the input are ignored; places
+are code points.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,105 +37,138 @@ from tabulon.sources.shared import written
 BASE = ("email", "ip", "card", "phone")
 #: All kinds, in the order in which spans with one start are listed.
 KINDS = (*BASE, "secret", "person")
+#: Where candidates come from, with their kind.
+SOURCES = {**{k: k for k in KINDS}, "spelt_email": "email", "local_phone": "phone"}
 LABELERS = ("form", "gazetteer", "left", "right", "edge")
+#: The classifier's own features, with how many values each has.
+FEATURES = {"size": 8, "digits": 5, "capitals": 5, "separators": 5, "before": 7, "after": 7, "word_before": 32, "word_after": 32}
 
 # Gazetteers and cue words.
-TOP_DOMAINS = "com net org edu gov mil int info io de fr es uk eu us ch at it nl be".split()
-SECRET_NAMES = "password passwd pwd token secret api_key apikey access_key private_key client_secret".split()
-TITLES = "Mr Mrs Ms Dr Prof Herr Frau Mme Sr Sra".split()
-GIVEN_NAMES = "Anna Carlos Claire Daniel David Emma Hans James Jean John Juan Julia Karl Laura Lucia Maria Marie Mary Michael Paul Peter Pierre Robert Sarah Thomas William".split()
+TOP_DOMAINS = ["com", "net", "org", "edu", "gov", "mil", "int", "info", "io", "de", "fr", "es", "uk", "eu", "us", "ch", "at", "it", "nl", "be"]
+SECRET_NAMES = ["password", "passwd", "pwd", "token", "secret", "api_key", "apikey", "access_key", "private_key", "client_secret"]
+TITLES = ["Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Mme", "Sr", "Sra"]
+GIVEN_NAMES = ["Anna", "Carlos", "Claire", "Daniel", "David", "Emma", "Hans", "James", "Jean", "John", "Juan", "Julia", "Karl", "Laura", "Lucia", "Maria", "Marie", "Mary", "Michael", "Paul", "Peter", "Pierre", "Robert", "Sarah", "Thomas", "William"]
+FUNCTION_WORDS = ["a", "an", "and", "as", "at", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with", "der", "die", "das", "und", "ist", "von", "le", "la", "les", "de", "et", "est", "el", "los", "y", "que", "un", "une"]
+NO_NAMES = ["License", "Licence", "Public", "General", "Commons", "Software", "Foundation", "University", "Institute", "Street", "Road", "Avenue", "Company", "Limited", "New", "United", "North", "South", "East", "West", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday", "January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
 CUES = {
-    "email": "mail e-mail contact write correo courriel kontakt",
-    "ip": "ip server host address from addr login",
-    "card": "card visa credit payment karte carte tarjeta pay",
-    "phone": "phone call tel mobile fax telefon teléfono téléphone",
-    "secret": "key login auth credential set use",
-    "person": "name by from signed contact author",
+    "email": ["mail", "e-mail", "contact", "write", "correo", "courriel", "kontakt", "reach"],
+    "ip": ["ip", "server", "host", "address", "from", "addr", "login"],
+    "card": ["card", "visa", "credit", "payment", "karte", "carte", "tarjeta", "pay"],
+    "phone": ["phone", "call", "tel", "mobile", "fax", "telefon", "teléfono", "téléphone", "ring"],
+    "secret": ["key", "login", "auth", "credential", "bearer", "password", "token", "secret"],
+    "person": ["name", "by", "from", "signed", "contact", "author", "ask", "dear"],
 }
-AGAINST = "version release section chapter isbn"
+AGAINST = ["version", "release", "section", "chapter", "isbn", "commit", "sha", "checksum", "build", "order", "page", "figure"]
 
 MARK, DOT, JOIN, OTHER = "\u0001", "\u0003", "\u0004", "\u0002"
 LOCAL = rf"[A-Za-z0-9._%+{DOT}-]"
+_TOKEN = r"[A-Za-z0-9+/_-]"
 PATTERNS = {
     "email": rf"(?:\G|(?<!{LOCAL})){LOCAL}++@[A-Za-z0-9-]++{DOT}[A-Za-z0-9{DOT}-]++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": rf"[0-9][0-9{JOIN}]++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "secret": r"(?i)(?<![a-z_])(?:" + "|".join(SECRET_NAMES) + r")\x20?[=:]\x20?[\"']?[A-Za-z0-9+/_-]{12,}+[\"']?",
-    "person": r"(?<![A-Za-z])(?:" + "|".join(TITLES) + r")\.?\x20[A-Z][a-z]++(?:\x20[A-Z][a-z]++)?",
+    # what follows a secret's name, or any long token with letters and digits
+    "secret": rf"(?i)(?<=(?:{'|'.join(SECRET_NAMES)})\x20?[=:]\x20?[\"']?){_TOKEN}{{8,}}+|(?<![A-Za-z0-9+/_.@-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z]){_TOKEN}{{16,}}+(?![@.])",
+    "person": rf"(?<![A-Za-z])(?!(?:{'|'.join(TITLES)})\.?\x20)[A-Z][a-z]{{1,20}}+\x20[A-Z][a-z]{{1,20}}+",
+    "spelt_email": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]{1,64}+\x20?(?:\(dot\)|\[dot\]|\x20dot\x20|\.)\x20?[A-Za-z]{2,10}+",
+    "local_phone": r"(?<![0-9+.(-])(?<!\+[0-9]{1,3}[\x20.-])(?<![0-9][\x20.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9]|[.-][0-9])",
 }
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 
 
-def prepared(kind: str, text: Column) -> Column:
+def prepared(source: str, text: Column) -> Column:
     """The text with inner separators marked, as long as before."""
     text = F.translate(text, MARK + DOT + JOIN, OTHER * 3)
-    if kind == "email":
+    if source == "email":
         return F.regexp_replace(text, r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", DOT)
-    if kind == "card":
+    if source == "card":
         return F.regexp_replace(text, r"(?<=[0-9])[\x20-](?=[0-9])", JOIN)
     return text
 
 
-def possible(kind: str, text: Column) -> Column:
-    """False only where the kind can't occur; cheaper than its pattern."""
+def possible(source: str, text: Column) -> Column:
+    """False only where the source can't match; cheaper than its pattern."""
     return {
         "email": text.contains("@"),
         "ip": text.rlike(r"[0-9]\.[0-9]"),
         "card": text.rlike(r"[0-9][0-9\x20-]{12,}+"),
         "phone": text.contains("+"),
-        "secret": text.contains("=") | text.contains(":"),
-        "person": text.rlike(r"(?:" + "|".join(TITLES) + r")\.?\x20[A-Z]"),
-    }[kind]
+        "secret": text.rlike(r"[0-9]|[=:]"),
+        "person": text.rlike(r"[a-z]\x20[A-Z][a-z]"),
+        "spelt_email": text.rlike(r"(?i)at[)\]\x20]"),
+        "local_phone": text.rlike(r"[0-9]{3}[\x20.-][0-9]{4}"),
+    }[source]
 
 
-def passes(kind: str, match: Column) -> Column:
-    """The base rule's further conditions."""
+def passes(source: str, match: Column) -> Column:
+    """The base rule's further conditions; other sources have none."""
     digits = F.regexp_replace(match, "[^0-9]", "")
     return {
-        "email": F.lit(True),
         "ip": match.rlike(rf"^{BYTE}\.{BYTE}\.{BYTE}\.{BYTE}$"),
         "card": F.length(digits).between(14, 19) & F.call_function("luhn_check", digits),
         "phone": F.length(digits).between(10, 15),
-    }.get(kind, F.lit(True))
+    }.get(source, F.lit(True))
 
 
 def vote(yes: Column, no: Column | None = None) -> Column:
     return (F.when(yes, 1) if no is None else F.when(yes, 1).when(no, -1)).otherwise(0).cast("byte")
 
 
+def any_of(words: list[str]) -> str:
+    return "(?i)(?<![a-z])(?:" + "|".join(words) + ")(?![a-z])"
+
+
 def votes(kind: str, match: Column, left: Column, right: Column) -> list[Column]:
     """What LABELERS say about a match."""
-    any_of = lambda words: "(?i)(?<![a-z])(?:" + "|".join(words) + ")(?![a-z])"
+    titled = r"(?<![A-Za-z])(?:" + "|".join(TITLES) + r")\.?\x20$"
+    first, second = F.substring_index(match, " ", 1), F.substring_index(match, " ", -1)
     form = {
-        "email": match.rlike(r"^[A-Za-z0-9][A-Za-z0-9._%+-]*+@") & ~match.contains(".."),
-        "ip": match.rlike(r"^[1-9][0-9]{0,2}(?:\.(?:0|[1-9][0-9]{0,2})){3}$"),
-        "card": F.length(F.regexp_replace(match, "[^0-9]", "")).between(15, 16),
-        "phone": match.rlike(r"^\+[0-9]{1,3}[\x20(]"),
-        "secret": match.rlike(r"[0-9]") & match.rlike(r"(?:[=:])\x20?[\"']?.{16}"),
-        "person": match.rlike(r"\x20[A-Z][a-z]+\x20[A-Z][a-z]+$"),
+        "email": vote(match.rlike(r"^[A-Za-z0-9][A-Za-z0-9._%+-]*+@|[(\[](?i:at)[)\]]"), match.contains("..") | match.rlike(r"(?i)\x20at\x20")),
+        "ip": vote(match.rlike(r"^[1-9][0-9]{0,2}(?:\.(?:0|[1-9][0-9]{0,2})){3}$")),
+        "card": vote(F.length(F.regexp_replace(match, "[^0-9]", "")).between(15, 16), F.lit(True)),
+        "phone": vote(match.rlike(r"^\+[0-9]{1,3}[\x20(]|^\([0-9]{3}\)|^([0-9]{3})([\x20.-])[0-9]{3}\2"), ~match.startswith("+")),
+        "secret": vote(match.rlike(r"^(?:AKIA|ghp_|gho_|sk-|xox)|^(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9]).{20}"), match.rlike(r"^[A-Za-z]+[-_]?[0-9]{1,4}$|^[0-9a-f]{8}-[0-9a-f]{4}-|^[0-9-]+$|/.*/|^[A-Za-z]+[0-9]*(?:[-_][A-Za-z0-9]{1,8}){3}")),
+        "person": vote(left.rlike(titled), (first == second) | (F.length(first) < 3) | (F.length(second) < 3)),
     }[kind]
+    words = r"(?i)^(?:" + "|".join(FUNCTION_WORDS) + r")(?:\x20|$)|\x20(?:" + "|".join(FUNCTION_WORDS) + r")$"
     listed = {
-        "email": match.rlike(r"(?i)\.(?:" + "|".join(TOP_DOMAINS) + ")$"),
-        "ip": ~match.rlike(r"^(?:0|127|255)\."),
-        "card": match.rlike("^[3-6]"),
-        "phone": match.rlike(r"^\+(?:1|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|7|8[1246]|9[0-58])"),
-        "secret": match.rlike(r"(?i)^(?:password|passwd|token|secret|api_key)"),
-        "person": match.rlike(r"(?:" + "|".join(GIVEN_NAMES) + ")"),
+        "email": vote(match.rlike(r"(?i)(?:\.|[)\]\x20])(?:" + "|".join(TOP_DOMAINS) + ")$"), F.lit(True)),
+        "ip": vote(~match.rlike(r"^(?:0|127|255)\."), F.lit(True)),
+        "card": vote(match.rlike("^[3-6]")),
+        "phone": vote(match.rlike(r"^\+(?:1|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|7|8[1246]|9[0-58])|^\(?[2-9]"), F.lit(True)),
+        "secret": vote(left.rlike(r"(?i)(?:" + "|".join(SECRET_NAMES) + r")\x20?[=:]\x20?[\"']?$")),
+        "person": vote(first.isin(*GIVEN_NAMES), match.rlike(words) | first.isin(*NO_NAMES) | second.isin(*NO_NAMES)),
     }[kind]
-    cues = any_of(CUES[kind].split())
+    cues = any_of(CUES[kind])
+    near = left.rlike(cues[:-len("(?![a-z])")] + r"(?![a-z])[^A-Za-z]{0,4}$") if kind == "person" else left.rlike(cues)
+    after = {"person": right.rlike(r"^\x20(?:wrote|said|called|lives|was\x20born)|^'s\x20"), "secret": right.rlike(r"^[\"']")}.get(kind, right.rlike(cues))
+    edge = {
+        # a run of capitalised words is a headline, not a name
+        "person": vote(left.rlike(r"[a-z,:]\x20$") & right.rlike(r"^(?:[.,;]|\x20[a-z])"), (~left.rlike(titled) & left.rlike(r"(?<![A-Za-z])[A-Z][a-z]*\x20$|(?:^|[.!?\n][\x20\n]*)$")) | right.rlike(r"^\x20[A-Z]")),
+        "secret": vote(F.size(F.array_distinct(F.split(match, ""))) >= 9, F.size(F.array_distinct(F.split(match, ""))) < 7),
+    }.get(kind, vote(~left.rlike(r"[\w]$") & ~right.rlike(r"^[\w]"), left.rlike(r"[0-9]\.?$") | right.rlike(r"^\.?[0-9]")))
+    return [form, listed, vote(near, left.rlike(any_of(AGAINST))), vote(after), edge]
+
+
+def features(match: Column, left: Column, right: Column) -> list[Column]:
+    """What the classifier sees, as numbers below FEATURES."""
+    share = lambda what: F.least(F.floor(5 * F.length(F.regexp_replace(match, what, "")) / F.greatest(F.length(match), F.lit(1))), F.lit(4))
+    kind_of = lambda c: F.when(c == "", 0).when(c.rlike(r"\s"), 1).when(c.rlike("[\"'`]"), 2).when(c.rlike("[=:]"), 3).when(c.rlike("[.,;!?]"), 4).when(c.rlike(r"\w"), 5).otherwise(6)
+    word = lambda c, pattern: F.pmod(F.crc32(F.lower(F.regexp_extract(c, pattern, 1)).cast("binary")), F.lit(32))
     return [
-        vote(form, ~form),
-        vote(listed, ~listed),
-        vote(left.rlike(cues), left.rlike(any_of(AGAINST.split()))),
-        vote(right.rlike(cues)),
-        vote(~left.rlike(r"[\w]$") & ~right.rlike(r"^[\w]"), left.rlike(r"[0-9]\.?$") | right.rlike(r"^\.?[0-9]")),
-    ]
+        F.least(F.floor(F.log2(F.greatest(F.length(match), F.lit(1)))), F.lit(7)), share("[^0-9]"), share("[^A-Z]"), F.least(F.length(F.regexp_replace(match, "[A-Za-z0-9]", "")), F.lit(4)),
+        kind_of(F.right(left, F.lit(1))), kind_of(F.left(right, F.lit(1))), word(left, r"([A-Za-z]+)[^A-Za-z]*$"), word(right, r"^[^A-Za-z]*([A-Za-z]+)"),
+    ]
+
+
+NAMES = (*LABELERS, *FEATURES)
+TYPE = "array<struct<kind:tinyint,start:int,stop:int,base:boolean," + ",".join(f"{x}:tinyint" for x in NAMES) + ">>"
 
 
-def candidates(text: Column, kind: str, reach: int = 32) -> Column:
-    """array<struct<kind, start, stop, base, votes...>> of one kind, in order."""
-    parts = F.split(F.regexp_replace(prepared(kind, text), PATTERNS[kind], f"{MARK}$0{MARK}"), MARK)
+def candidates(text: Column, source: str, reach: int = 32) -> Column:
+    """array<struct<kind, start, stop, base, votes..., features...>> of one source, in order."""
+    parts, kind = F.split(F.regexp_replace(prepared(source, text), PATTERNS[source], f"{MARK}$0{MARK}"), MARK), SOURCES[source]
 
     def from_parts(parts: Column) -> Column:
         ends = F.aggregate(
@@ -143,83 +180,129 @@ def candidates(text: Column, kind: str, reach: int = 32) -> Column:
         def one(both: Column, i: Column) -> Column:
             parts, ends = both["parts"], both["ends"]
             match, left = F.translate(parts[i], DOT, "."), F.right(F.translate(parts[i - 1], DOT, "."), F.lit(reach))
-            if kind == "card":
+            if source == "card":
                 match = F.translate(match, JOIN, "-")
             right = F.left(F.translate(F.coalesce(F.get(parts, i + 1), F.lit("")), DOT, "."), F.lit(reach))
-            fields = zip(LABELERS, votes(kind, match, left, right), strict=True)
+            fields = zip(NAMES, [*votes(kind, match, left, right), *features(match, left, right)], strict=True)
             return F.struct(
                 F.lit(KINDS.index(kind)).cast("byte").alias("kind"), F.get(ends, i - 1).alias("start"), F.get(ends, i).alias("stop"),
-                (passes(kind, match) if kind in BASE else F.lit(False)).alias("base"), *(v.alias(n) for n, v in fields),
+                (passes(source, match) if source in BASE else F.lit(False)).alias("base"), *(v.cast("byte").alias(n) for n, v in fields),
             )
 
         both = F.array(F.struct(parts.alias("parts"), ends.alias("ends")))
         found = F.flatten(F.transform(both, lambda b: F.transform(F.sequence(F.lit(1), F.size(b["parts"]) - 2, F.lit(2)), lambda i: one(b, i))))
-        return F.filter(found, lambda x: x["base"]) if kind in BASE else found
+        return F.filter(found, lambda x: x["base"]) if source in BASE else found
 
     none = F.array().cast(TYPE)
     marked = F.flatten(F.transform(F.array(parts), lambda p: F.when(F.size(p) > 2, from_parts(p)).otherwise(none)))
-    return F.when(possible(kind, text), marked).otherwise(none)
+    return F.when(possible(source, text), marked).otherwise(none)
 
 
-TYPE = "array<struct<kind:tinyint,start:int,stop:int,base:boolean," + ",".join(f"{x}:tinyint" for x in LABELERS) + ">>"
+Pattern = tuple[tuple[int, ...], bool]
+#: How a labeler is believed to vote on personal data; on the rest with the signs changed.
+YES = {1: 0.4, 0: 0.5, -1: 0.1}
+SURE = 0.65
 
 
-def reliabilities(counts: list[tuple[tuple[int, ...], float]], rounds: int = 30) -> list[float]:
-    """The probability of each pattern of votes, by expectation-maximisation over labelers that err independently.
+def reliabilities(counts: dict[Pattern, float], rounds: int = 40, weight: float = 0.1) -> tuple[dict[Pattern, float], list[dict[int, tuple[float, float]]]]:
+    """(the probability that candidates with each pattern of votes are personal data, each labeler's chances of a vote on such and on others).
 
-    Starts from the share of votes for; counts are smoothed, so that a labeler is never quite certain.
+    counts: how many candidates have each (votes, base). Expectation-maximisation over labelers that err independently; one
+    that abstains says nothing.
+    Matches of the base rules are known to be personal data. The prior belief, worth `weight` of all candidates, is that labelers are
+    rather right than wrong and that most of what no rule matches is not personal, so the two classes can't change places.
     """
-    chance = [(1 + sum(v > 0 for v in p)) / (2 + sum(v != 0 for v in p)) for p, _ in counts]
-    for _ in range(rounds):
-        tables, prior = [], sum(n * c for (_, n), c in zip(counts, chance, strict=True))
-        total = sum(n for _, n in counts)
-        prior = (prior + 1) / (total + 2)
-        for k in range(len(LABELERS)):
-            yes, no = defaultdict(lambda: 0.5), defaultdict(lambda: 0.5)
-            for (p, n), c in zip(counts, chance, strict=True):
-                yes[p[k]] += n * c
-                no[p[k]] += n * (1 - c)
-            a, b = sum(yes[v] for v in (-1, 0, 1)), sum(no[v] for v in (-1, 0, 1))
-            tables.append({v: math.log(yes[v] / a) - math.log(no[v] / b) for v in (-1, 0, 1)})
-        odds = [math.log(prior / (1 - prior)) + sum(t[v] for t, v in zip(tables, p, strict=True)) for p, _ in counts]
-        chance = [1 / (1 + math.exp(-max(-30, min(30, o)))) for o in odds]
-    return chance
-
-
-def classifier(counts: list[tuple[tuple[int, ...], float]], chance: list[float], rounds: int = 400, rate: float = 0.5, decay: float = 0.001) -> list[float]:
-    """Weights (bias first) of a logistic regression on the votes, fitted to the probabilities."""
-    weights, total = [0.0] * (1 + len(LABELERS)), sum(n for _, n in counts)
+    belief = 1 + weight * sum(counts.values())
+    tables, prior = [{v: (YES[v], YES[-v]) for v in (-1, 0, 1)} for _ in LABELERS], 0.1
+    chance: dict[Pattern, float] = {}
+    for step in range(rounds):
+        if step:
+            free = [(n, chance[p]) for p, n in counts.items() if not p[1]]
+            prior = (sum(n * c for n, c in free) + 2 * belief) / (sum(n for n, _ in free) + 20 * belief)
+            tables = []
+            for k in range(len(LABELERS)):
+                yes, no = ({v: (YES[w * v]) * belief for v in (-1, 0, 1)} for w in (1, -1))
+                for p, n in counts.items():
+                    yes[p[0][k]] += n * chance[p]
+                    no[p[0][k]] += n * (1 - chance[p])
+                a, b = sum(yes.values()), sum(no.values())
+                tables.append({v: (yes[v] / a, no[v] / b) for v in (-1, 0, 1)})
+        odds = {p: math.log(prior / (1 - prior)) + sum(said(t, v) for t, v in zip(tables, p[0], strict=True) if v) for p in counts}
+        chance = {p: 0.98 if p[1] else 1 / (1 + math.exp(-max(-30.0, min(30.0, o)))) for p, o in odds.items()}
+    return chance, tables
+
+
+def said(table: dict[int, tuple[float, float]], v: int) -> float:
+    """What a vote adds to the log odds. Of those that speak, at least `SURE` are taken to be right in either class.
+
+    Without that bound, candidates that all labelers see alike would make the classes the same.
+    """
+    yes, no = (max(table[w][c] / (table[1][c] + table[-1][c]), SURE) for w, c in ((1, 0), (-1, 1)))
+    return math.log(yes / (1 - no)) if v > 0 else math.log((1 - yes) / no)
+
+
+def columns_of(rows: np.ndarray) -> np.ndarray:
+    """The one-hot columns of votes (-1 .. 1) and features, side by side, as their places."""
+    sizes = np.array([3] * len(LABELERS) + list(FEATURES.values()))
+    shift = np.array([1] * len(LABELERS) + [0] * len(FEATURES))
+    return rows + shift + (np.cumsum(sizes) - sizes)
+
+
+def classifier(rows: np.ndarray, chance: np.ndarray, rounds: int = 300, rate: float = 1.0, decay: float = 0.002) -> tuple[float, np.ndarray]:
+    """(bias, weight of each one-hot column) of a logistic regression fitted to probabilities."""
+    width = 3 * len(LABELERS) + sum(FEATURES.values())
+    weights, bias, at = np.zeros(width), 0.0, columns_of(rows)
     for _ in range(rounds):
-        slope = [decay * w for w in weights]
-        for (p, n), c in zip(counts, chance, strict=True):
-            x = (1, *p)
-            gap = 1 / (1 + math.exp(-max(-30, min(30, sum(w * v for w, v in zip(weights, x, strict=True)))))) - c
-            for k, v in enumerate(x):
-                slope[k] += n / total * gap * v
-        weights = [w - rate * s for w, s in zip(weights, slope, strict=True)]
-    return weights
-
-
-def pii_spans(docs: DataFrame, threshold: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns in keep, and spans array<struct<kind, start, stop, base>> by start, then kind."""
+        gap = 1 / (1 + np.exp(-np.clip(bias + weights[at].sum(axis=1), -30, 30))) - chance
+        slope = np.bincount(at.ravel(), np.repeat(gap, at.shape[1]), width) / len(rows)
+        weights -= rate * (slope + decay * weights)
+        bias -= rate * gap.mean()
+    return bias, weights
+
+
+def fitted(found: DataFrame, sample: int) -> dict[int, tuple[float, np.ndarray]]:
+    """The classifier of each kind, from rows of candidates; about `sample` of a kind are looked at one by one."""
+    patterns: dict[int, dict[Pattern, float]] = defaultdict(dict)
+    for row in sorted(found.groupBy("kind", "base", *LABELERS).count().collect()):
+        patterns[row["kind"]][tuple(row[x] for x in LABELERS), row["base"]] = float(row["count"])
+    if not patterns:
+        return {}
+    shares = F.create_map(*(F.lit(x) for kind, own in patterns.items() for x in (kind, min(1.0, sample / sum(own.values())))))
+    drawn = F.pmod(F.xxhash64("start", "stop", "__id", *NAMES), F.lit(1 << 20)) < shares[F.col("kind").cast("int")] * (1 << 20)
+    rows = found.filter(drawn).groupBy("kind", "base", *NAMES).count().collect()  # about sample rows of a kind at most
+    out = {}
+    for kind, own in patterns.items():
+        chance, _ = reliabilities(own)
+        mine = sorted(r for r in rows if r["kind"] == kind)
+        if mine:
+            each = np.array([[r[n] for n in NAMES] for r in mine]).repeat([r["count"] for r in mine], axis=0)
+            given = np.array([chance[tuple(r[x] for x in LABELERS), r["base"]] for r in mine]).repeat([r["count"] for r in mine])
+            out[kind] = classifier(each, given)
+    return out
+
+
+def pii_spans(docs: DataFrame, threshold: float = 0.5, keep: tuple[str, ...] = (), sample: int = 5000) -> DataFrame:
+    """doc_id, the columns in keep, and spans array<struct<start, kind, stop, base>> by start, then kind."""
     text = text_of()
-    found = F.concat(*(candidates(text, kind) for kind in KINDS))
+    found = F.concat(*(candidates(text, source) for source in SOURCES))
     docs = written(docs.select("doc_id", *keep, found.alias("__found")), "pii")
-    counted = docs.select(F.explode("__found").alias("c")).groupBy("c.kind", *(f"c.{x}" for x in LABELERS)).count().collect()
-    by_kind = defaultdict(list)
-    for row in sorted(counted):
-        by_kind[row["kind"]].append((tuple(row[x] for x in LABELERS), float(row["count"])))
-    weights = {kind: classifier(counts, reliabilities(counts)) for kind, counts in by_kind.items()}
+    models = fitted(docs.select(F.xxhash64("doc_id").alias("__id"), F.explode("__found").alias("c")).select("__id", "c.*"), sample)
 
     def accepted(c: Column) -> Column:
         ok = c["base"]
-        for kind, w in weights.items():
-            score = sum((F.lit(x) * c[name] for x, name in zip(w[1:], LABELERS, strict=True)), F.lit(w[0]))
+        for kind, (bias, weights) in models.items():
+            score, at = F.lit(float(bias)), 0
+            for name in NAMES:
+                size = FEATURES.get(name, 3)
+                place = c[name].cast("int") + (1 if name in FEATURES else 2)
+                score = score + F.element_at(F.array(*(F.lit(float(w)) for w in weights[at : at + size])), place)
+                at += size
             ok = ok | ((c["kind"] == kind) & (score > math.log(threshold / (1 - threshold))))
         return ok
 
     slim = lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["stop"].alias("stop"), c["base"].alias("base"))
-    return docs.select("doc_id", *keep, F.array_sort(F.transform(F.filter("__found", accepted), slim)).alias("spans"))
+    spans = F.array_sort(F.transform(F.filter("__found", accepted), slim)) if models else F.array().cast("array<struct<start:int,kind:tinyint,stop:int,base:boolean>>")
+    return docs.select("doc_id", *keep, spans.alias("spans"))
 
 
 def listed(spans: Column) -> Column:
@@ -229,10 +312,10 @@ def listed(spans: Column) -> Column:
 
 
 def pii_digest(spans: DataFrame) -> DataFrame:
-    """Counts of the base kinds, a digest of the base spans, and all spans as text."""
+    """Counts of the base kinds, a digest of the base spans, all spans as text, and how many there are."""
     of = lambda k: F.size(F.filter("spans", lambda c: c["base"] & (c["kind"] == k))).cast("long")
     base = F.filter("spans", lambda c: c["base"])
-    return spans.select("doc_id", *(of(k).alias(f"n_{kind}") for k, kind in enumerate(BASE)), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return spans.select("doc_id", *(of(k).alias(f"n_{kind}") for k, kind in enumerate(BASE)), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def masked(text: Column, spans: Column) -> Column:

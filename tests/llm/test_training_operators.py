@@ -95,6 +95,31 @@ def test_plan_places_every_piece_once(lengths):
     assert max(used.values(), default=0) <= 512
 
 
+def best_fit_decreasing(lengths, capacity):
+    room = []
+    for x in sorted(lengths, reverse=True):
+        fits = [k for k, r in enumerate(room) if r >= x]
+        if fits:
+            room[min(fits, key=lambda k: room[k])] -= x
+        else:
+            room.append(capacity - x)
+    return len(room)
+
+
+def test_the_program_beats_best_fit():
+    """Lengths on which best fit needs 11 sequences for every 9."""
+    n, capacity = 20, 4096
+    lengths = [2080] * 6 * n + [1088] * 6 * n + [1056] * 6 * n + [960] * 12 * n
+    histogram = np.bincount(lengths, minlength=capacity + 1)
+    count = lambda solution: int((plan := packing.rounded(histogram, capacity, solution))["sequence"].max() + plan["count"][plan["sequence"].argmax()])
+    planned = count(packing.configurations(histogram, capacity))
+    assert best_fit_decreasing(lengths, capacity) == 11 * n and planned <= 9.3 * n and planned < count([])
+    assert 8.9 * n <= packing.least_sequences(histogram, capacity) <= 9 * n
+    for own in ([], [3000] * 10, [4096, 1, 1], [1400] * 9):
+        assert packing.least_sequences(np.bincount(own, minlength=capacity + 1), capacity) <= best_fit_decreasing(own, capacity)
+    assert packing.least_sequences(np.bincount([3000] * 10, minlength=capacity + 1), capacity) == 10
+
+
 # ---------------------------------------------------------------- near duplicates
 
 
@@ -399,6 +424,67 @@ def test_pii(spark, odd, docs, texts, none):
     assert pii.pii_digest(pii.pii_spans(none)).count() == 0
 
 
+def test_reliabilities_of_planted_labelers():
+    """Votes drawn with known chances: the estimates come near them, and the probabilities tell the classes apart."""
+    draw = np.random.default_rng(8)
+    right, silent = [0.95, 0.8, 0.7, 0.9, 0.6], [0.1, 0.3, 0.5, 0.6, 0.2]
+    counts, truth = collections.Counter(), collections.defaultdict(list)
+    for _ in range(6000):
+        real = bool(draw.random() < 0.3)
+        given = tuple(0 if draw.random() < s else (1 if (draw.random() < r) == real else -1) for r, s in zip(right, silent, strict=True))
+        counts[given, False] += 1
+        truth[given, False].append(real)
+    chance, tables = pii.reliabilities(counts)
+    for table, r, s in zip(tables, right, silent, strict=True):
+        assert abs(table[1][0] / (1 - table[0][0]) - r) < 0.12 and abs(table[0][0] - s) < 0.15
+    good = sum((chance[p] > 0.5) == real for p, own in truth.items() for real in own)
+    assert good > 0.9 * 6000
+    assert sum(c > 0.5 for c in pii.reliabilities({((0, -1, 0, 0, 1), False): 500, ((-1, -1, 0, 0, 0), False): 900})[0].values()) == 0  # nothing personal at all
+
+
+def test_added_spans(spark):
+    """Planted personal data beyond the base rules among text that looks like it; precision and recall of what is added."""
+    draw = np.random.default_rng(6)
+    pick = lambda *a: a[draw.integers(len(a))]
+    hexed = lambda n: "".join(draw.choice(list("0123456789abcdef"), n))
+    rows, want = [], set()
+    for i in range(600):
+        text, own = "some words here and there ", []
+
+        def put(value, kind):
+            own.append((len(text), KIND_OF[kind], len(text) + len(value)))
+
+        kind = i % 8
+        if kind == 0:
+            value = f"jane{i}{pick(' (at) ', '(at)', ' [at] ')}example{pick(' (dot) ', '(dot)', ' [dot] ')}{pick('com', 'org', 'de')}"
+            text += pick("mail ", "contact: ", "write to ")
+            put(value, "email")
+        elif kind == 1:
+            value = f"{pick('(212) 555', '415-555', '650.555')}{{}}{draw.integers(1000, 9999)}"
+            value = value.format("." if "." in value else "-")
+            text += pick("call ", "phone: ", "tel ", "fax ")
+            put(value, "phone")
+        elif kind == 2:
+            value = hexed(32)
+            text += pick('api_key = "', 'secret: "', 'password="', "token=")
+            put(value, "secret")
+        elif kind == 3:
+            value = f"{pick('Maria', 'John', 'Anna', 'Peter')} {pick('Lopez', 'Smith', 'Keller', 'Duran')}"
+            text += pick("we met Dr. ", "signed by Mrs. ", "dear Mr ")
+            put(value, "person")
+        else:
+            value = [f"commit {hexed(40)}", f"chapter-2024 of section{i}-part-two-three", "The New Old House Stands", f"order 123 456 {draw.integers(100000, 999999)}"][kind - 4]
+        rows.append((i, text + value + pick('" and so on', ", he said.", " and more")))
+        want |= {(i, *x) for x in own}
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, s.start, s.kind, s.stop) for r in pii.pii_spans(frame).collect() for s in r.spans if not s.base}
+    assert len(got & want) >= 0.9 * len(want), sorted(want - got)[:5]
+    assert len(got & want) >= 0.9 * len(got), [rows[g[0]][1][g[1] : g[3]] for g in sorted(got - want)[:5]]
+
+
+KIND_OF = {k: n for n, k in enumerate(pii.KINDS)}
+
+
 def test_masking(odd):
     rows = pii.pii_spans(odd.filter("doc_id in (3, 9)"), keep=("text",)).select("doc_id", pii.masked(F.col("text"), F.col("spans")).alias("t")).collect()
     got = dict(map(tuple, rows))
@@ -481,6 +567,27 @@ def test_urls(spark):
     assert {r.verdict for r in url_filter.url_verdicts(spark.createDataFrame([(1, "x")], "page_id long, url string"), URL_RULES).collect()} == {"allow"}
 
 
+def test_held_out_hosts_and_suffixes(spark):
+    """Trees tell spam hosts they have not seen; a suffix that is always blocked blocks nothing by itself."""
+    draw = np.random.default_rng(2)
+    rows = []
+    for k in range(3000):
+        bad = draw.random() < 0.4
+        host = ("-".join(draw.choice(["casino", "win", "free", "pills", "bets"], 3)) + str(draw.integers(10**4, 10**6)) if bad else "".join(draw.choice(list("abcdefgh"), 8))) + f"h{k % 400}"
+        rows.append((k, f"http://{host}.{'net' if bad else 'com'}/{'x' * int(draw.integers(1, 9))}/{draw.integers(10**6) if bad else ''}?a=1" + "&b=2" * int(3 * bad)))
+    rows += [(10_000 + k, f"http://{''.join(draw.choice(list('abcdefgh'), 8))}.net/zz/") for k in range(300)]  # no rule, and nothing bad but the suffix
+    frame = spark.createDataFrame(rows, "page_id long, url string")
+    rules = [("block", "net", "/x"), ("allow", "com", "/")]
+    out = {r.page_id: r for r in url_filter.url_verdicts(frame, rules).collect()}
+    assert all(out[k].rule == ("net/x" if ".net" in u else "com/") for k, u in rows[:3000])
+    assert sum(out[10_000 + k].verdict == "allow" for k in range(300)) >= 285
+    x = np.array([[float(len(u)), u.count("-"), sum(c.isdigit() for c in u)] + [0.0] * 6 for _, u in rows[:3000]])
+    y = np.array([float(".net" in u) for _, u in rows[:3000]])
+    assert url_filter.held_out_area(x, y, np.array([k % 400 % 5 for k in range(3000)])) > 0.95
+    assert url_filter.area(np.array([1.0, 2, 2, 3]), np.array([0.0, 0, 1, 1])) == 0.875
+    assert url_filter.url_verdicts(spark.createDataFrame([(None, "http://a.net/x"), (None, None), (None, None)], "page_id long, url string"), rules).count() == 3
+
+
 def test_trees_learn():
     draw = np.random.default_rng(5)
     x = draw.uniform(size=(2000, len(url_filter.FEATURES)))
@@ -555,6 +662,16 @@ def test_languages(spark, odd, none):
     assert {r.lang_pred for r in langid.language_id(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_sets(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.learn(frame)
+    longest = {lang: max((r.text for r in frame.filter(F.col("lang") == lang).select("text").limit(300).collect()), key=len)[:4000] for lang in ("de", "fr")}
+    made = spark.createDataFrame([(1, longest["de"]), (2, longest["fr"] + " " + longest["de"]), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in langid.identify(made, model, ("doc_id",)).collect()}
+    assert got[1].languages == ["de"] and got[2].languages == ["de", "fr"] and got[3].languages == [] and got[3].lang_pred == "und"
+    assert 0.3 < got[2].score < 0.7
+
+
 def test_mixture_shares():
     chances = np.array([[1, 1e-6]] * 30 + [[1e-6, 1]] * 10, np.float32)
     shares, _ = langid.mixture(chances, np.array([0, 40]), np.ones((1, 2)), 20)
