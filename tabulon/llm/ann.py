@@ -8,12 +8,15 @@ the vector more than the orthogonal part. Queries scan the codes with eight-bit
 code's distance less its residual's norm and the tables' rounding; every row of the block for which that
 is within the radius is compared exactly too, in double precision, so no neighbour is lost.
 
-Every row is indexed. Of equal vectors only the k + 1 smallest ids are scanned, which loses no result.
-Rows and queries are dealt into blocks of bounded size, and each pair of blocks is one group.
+Every row is indexed: coded once and written into the cell of its nearest coarse centre. A query is first compared with its
+own cell; that bounds how far its neighbours can be, and of the other cells only those that reach into that radius (their
+centre's distance less the farthest member's) are scanned. So where vectors have structure most cells are left out, and
+where they have none all are compared; recall is 1 either way. Of equal vectors only the k + 1 smallest ids are scanned, which
+loses no result. Cells and the queries that need them are dealt into blocks of bounded size, and each pair of blocks is one group.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do
 those whose dimension is not the most frequent (of ties the smallest), nor rows without vec_id; of rows that
-repeat a query's vec_id the smallest vector counts; ties go to the smaller vec_id; an empty table gives no
+repeat a query's vec_id the smallest vector asks; ties go to the smaller vec_id; an empty table gives no
 rows; other columns are ignored.
 """
 
@@ -26,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabulon.sources.shared import written
+
 ENTRIES = 16
 
 
@@ -118,7 +123,27 @@ def leading(scores: np.ndarray, count: int) -> np.ndarray:
     return np.concatenate((over, np.flatnonzero(scores == edge)[: count - len(over)]))
 
 
-def nearest(vectors: DataFrame, k: int = 10, every: int = 100, sample: int = 8000, block_rows: int = 8192, block_queries: int = 8192, rerank: int = 100) -> DataFrame:
+def distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows to centres, in double precision."""
+    out = np.empty((len(x), len(centres)))
+    for at in range(0, len(x), 512):
+        part = x[at : at + 512].astype(np.float64)
+        squares = (part**2).sum(axis=1)[:, None] + (centres**2).sum(axis=1)[None] - 2 * part @ centres.T
+        out[at : at + 512] = np.sqrt(np.maximum(squares, 0))
+    return out
+
+
+def coarse(sample: np.ndarray, count: int, rounds: int = 10, seed: int = 5) -> np.ndarray:
+    """Centres of cells, by k-means over the sample."""
+    centres = sample[np.random.default_rng(seed).permutation(len(sample))[:count]].astype(np.float64)
+    for _ in range(rounds):
+        own = distances(sample, centres).argmin(axis=1)
+        for c in np.unique(own):
+            centres[c] = sample[own == c].mean(axis=0)
+    return centres
+
+
+def nearest(vectors: DataFrame, k: int = 10, every: int = 100, sample: int = 8000, block_rows: int = 8192, block_queries: int = 8192, rerank: int = 100, cells: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of each row whose vec_id is divisible by every."""
     ok = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull()
     sound = ok & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
@@ -136,19 +161,60 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, sample: int = 800
     shared = vectors.sparkSession.sparkContext.broadcast((books, weight))
     copies = Window.partitionBy("embedding").orderBy("vec_id")
     rows = clean.withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= k + 1).drop("copy")
-    row_blocks, query_blocks = -(-sizes["n"] // block_rows), max(1, -(-sizes["q"] // block_queries))
-    numbered = lambda n: F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
-    asked = clean.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    rows = rows.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(row_blocks)).alias("r"), F.explode(numbered(query_blocks)).alias("q"))
-    asked = asked.select("vec_id", "embedding", F.explode(numbered(row_blocks)).alias("r"), F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(query_blocks)).alias("q"))
+    centres = coarse(np.array([r["embedding"] for r in learn], np.float32), min(cells, max(1, -(-sizes["n"] // block_rows))))
+    places = vectors.sparkSession.sparkContext.broadcast(centres)
+
+    def coded(frames):
+        books, weight = shared.value
+        for frame in frames:
+            x = np.stack(frame["embedding"].to_numpy()) if len(frame) else np.zeros((0, books.dimension), np.float32)
+            away = distances(x, places.value)
+            cell = away.argmin(axis=1)
+            codes = [c.tobytes() for c in encode(x, books, weight)] if len(x) else []
+            yield frame.assign(cell=cell.astype(np.int32), away=away[np.arange(len(x)), cell], codes=codes)
+
+    kept = written(rows.mapInPandas(coded, "vec_id long, embedding array<float>, cell int, away double, codes binary"), "codes")
+    facts = {r["cell"]: (r["n"], r["far"]) for r in kept.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("far")).collect()}  # at most `cells` rows
+    reach = np.array([facts.get(c, (0, -1.0))[1] for c in range(len(centres))])
+    blocks = {c: -(-n // block_rows) for c, (n, _) in facts.items()}
+    asked = written(clean.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
+
+    def needing(frames, first: bool):
+        """The cells that each query needs: its own, or those others that reach into its radius."""
+        for frame in frames:
+            x = np.stack(frame["embedding"].to_numpy()) if len(frame) else np.zeros((0, centres.shape[1]), np.float32)
+            away = np.where(reach[None] < 0, np.inf, distances(x, places.value))
+            own = away.argmin(axis=1)
+            if first:
+                need = np.zeros(away.shape, bool)
+                need[np.arange(len(x)), own] = True
+            else:
+                need = (away - reach[None] <= frame["radius"].to_numpy()[:, None] + 1e-6 * (1 + np.where(np.isfinite(away), away, 0.0) + reach[None])) & np.isfinite(away)
+                need[np.arange(len(x)), own] = False
+            i, c = np.nonzero(need)
+            radius = np.full(len(i), np.inf) if first else frame["radius"].to_numpy()[i]
+            yield pd.DataFrame({"vec_id": frame["vec_id"].to_numpy()[i], "embedding": frame["embedding"].to_numpy()[i], "radius": radius, "cell": c.astype(np.int32)})
+
+    def compared(queries: DataFrame) -> DataFrame:
+        """query_id, vec_id, score of the k nearest in each block of rows of the cells that queries (vec_id, embedding, radius, cell) name."""
+        queries = written(queries, "asked")
+        asking = {r["cell"]: -(-r["n"] // block_queries) for r in queries.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # at most `cells` rows
+        if not asking:
+            return vectors.sparkSession.createDataFrame([], schema)
+        number = lambda of: F.create_map(*(F.lit(x) for c in asking for x in (c, of[c])))[F.col("cell")]
+        rows_of, asks_of = number(blocks), number(asking)
+        every_one = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1))
+        left = queries.select("cell", "vec_id", "embedding", "radius", F.pmod(F.xxhash64("vec_id", F.lit(2)), asks_of).alias("q"), every_one(rows_of).alias("r"))
+        right = kept.filter(F.col("cell").isin(*asking)).select("cell", "vec_id", "embedding", "codes", F.pmod(F.xxhash64("vec_id", F.lit(1)), rows_of).alias("r"), every_one(asks_of).alias("q"))
+        return left.groupBy("cell", "r", "q").cogroup(right.groupBy("cell", "r", "q")).applyInPandas(meet, schema)
 
     def meet(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(rows):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        books, weight = shared.value
+        books, _ = shared.value
         rows = rows.sort_values("vec_id", kind="stable")
         ids, x, q = rows["vec_id"].to_numpy(), np.stack(rows["embedding"].to_numpy()), np.stack(asked["embedding"].to_numpy())
-        exact_x, codes = x.astype(np.float64), encode(x, books, weight)
+        exact_x, codes = x.astype(np.float64), np.frombuffer(b"".join(rows["codes"]), np.uint8).reshape(len(rows), -1)
         stand = decode(codes, books)
         norms, stand_norms, rest = (exact_x**2).sum(axis=1), (stand**2).sum(axis=1), np.sqrt(((exact_x - stand) ** 2).sum(axis=1))
         out = []
@@ -156,12 +222,12 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, sample: int = 800
             query_ids, vectors = asked["vec_id"].to_numpy()[at : at + 128], q[at : at + 128].astype(np.float64)
             products, error = scanned(vectors, codes, books)
             own = query_ids[:, None] == ids[None]
-            radius = np.full(len(vectors), np.inf)
+            radius = asked["radius"].to_numpy()[at : at + 128].copy()
             for i, vector in enumerate(vectors):
                 found = leading(products[i] - norms / 2, rerank + 1)
                 found = found[~own[i, found]]
                 if len(found) >= k:
-                    radius[i] = np.sqrt(np.partition(((exact_x[found] - vector) ** 2).sum(axis=1), k - 1)[k - 1])
+                    radius[i] = min(radius[i], np.sqrt(np.partition(((exact_x[found] - vector) ** 2).sum(axis=1), k - 1)[k - 1]))
             sizes = (vectors**2).sum(axis=1)[:, None]
             slack = 1e-9 * (sizes + norms[None])  # more than rounding in double precision
             least = np.sqrt(np.maximum(sizes + stand_norms[None] - 2 * (products + error[:, None]) - slack, 0)) - rest[None]
@@ -176,6 +242,13 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, sample: int = 800
                 out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[found][best], "score": distance[best]}))
         return pd.concat(out)
 
-    found = asked.groupBy("r", "q").cogroup(rows.groupBy("r", "q")).applyInPandas(meet, schema).distinct()
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def leaders(found: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+        return found.distinct().withColumn("rank", rank).filter(F.col("rank") <= k)
+
+    wanted = "vec_id long, embedding array<float>, radius double, cell int"
+    near = written(leaders(compared(asked.mapInPandas(lambda frames: needing(frames, True), wanted))), "near")
+    bound = near.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("radius"))
+    bounded = asked.join(bound, "vec_id", "left").withColumn("radius", F.coalesce("radius", F.lit(float("inf"))))
+    far = compared(bounded.mapInPandas(lambda frames: needing(frames, False), wanted))
+    return leaders(near.select("query_id", "vec_id", "score").union(far)).select("query_id", "rank", "vec_id", "score")

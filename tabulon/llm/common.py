@@ -23,14 +23,14 @@ def text_of(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """docs with row_key, a long of its own for each row, and whether that is doc_id.
+def keyed(docs: DataFrame, own: str = "doc_id", text: str = "text") -> tuple[DataFrame, bool]:
+    """docs with row_key, a long of its own for each row, and whether that is the column `own`.
 
-    It is where doc_id tells rows apart; else rows are numbered in the order of doc_id, those without one last.
+    It is where `own` tells rows apart; else rows are numbered in its order, those without one last.
     """
-    if not docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count():
-        return docs.withColumn("row_key", F.col("doc_id").cast("long")), True
-    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]  # the hash parts the rows of one doc_id
+    if not docs.groupBy(own).count().filter(f"count > 1 or {own} is null").limit(1).count():
+        return docs.withColumn("row_key", F.col(own).cast("long")), True
+    order = [F.col(own).asc_nulls_last(), F.xxhash64(text)]  # the hash parts the rows of one id
     return written(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("row_key", F.monotonically_increasing_id()), "keyed"), False
 
 

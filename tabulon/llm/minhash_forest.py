@@ -39,7 +39,7 @@ from tabulon.sources.shared import written
 
 BLOCK = 256
 BLOCK_BYTES = 4 << 20
-PACKET = 2048
+PACKET = 512
 SLICE = 1 << 20
 
 

@@ -1,17 +1,23 @@
 """Operator 5, WARC: writing archives, and reading them with segment reassembly.
 
 Writing: one record for each page, as a chunked HTTP response; a payload that another page with a
-smaller id already has becomes a revisit. A block longer than `segment_bytes` is written as a first
-segment and continuation records. Archives are gzip files of WARC/1.1 records, made by Spark's own
-text writer (records are valid UTF-8, the record separator is the line separator), so they go to any
-file system that Spark can write, and a lost task's file is written again whole.
+smaller id already has becomes a revisit, which names the response's record. A block longer than `segment_bytes` is written
+as a first segment and continuation records. Archives are gzip files of WARC/1.1 records and about `archive_bytes` of payload, made by
+Spark's own text writer (records are valid UTF-8, the record separator is the line separator), so they go to any
+file system that Spark can write, and a lost task's file is written again whole. That writer makes one gzip member of a
+file, not one of each record.
+
+Only ids and digests are compared to find equal payloads; pages are joined with the result by their own key, so a payload
+that many pages share is no task's alone.
 
 Reading: records are cut by Content-Length; continuation records are grouped by origin identifier,
-ordered by segment number, checked against the total length, and the chunked framing is decoded.
+ordered by segment number, checked against the total length, and the chunked framing is decoded. A revisit must name a
+response that is there and has its digest.
 
 Defined cases: a null payload is empty; a null url has no WARC-Target-URI; a null id is larger than
-any other; rows that repeat a response's id and payload are responses themselves; an empty table gives
-an archive without records; other columns of the input are ignored.
+any other; rows that repeat a response's id and payload are responses themselves; other rows are records of their own, also
+where page_ids repeat; a very long payload is held alone, in segments; an empty table gives an archive without records; other
+columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -19,15 +25,14 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import in_batches
-from tabulon.sources.shared import new_folder
+from tabulon.llm.common import in_batches, keyed
+from tabulon.sources.shared import new_folder, written
 
 SEPARATOR = "\r\n\r\n"
 
@@ -74,15 +79,19 @@ def head(kind: str, record_id: str, block: bytes, **fields: str | None) -> bytes
     return "\r\n".join([*lines, f"Content-Length: {len(block)}", "", ""]).encode()
 
 
-def page_records(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None, segment_bytes: int, chunk_bytes: int) -> Iterator[bytes]:
-    """The records of one page, without the closing separator. A revisit needs no payload, but its size and digest."""
-    record_id = f"urn:page:{'' if page_id is None else page_id}:{uuid.uuid4().hex}"
+def record_name(page_id: int | None, row_key: int) -> str:
+    return f"urn:page:{'' if page_id is None else page_id}:{row_key}"
+
+
+def page_records(page_id: int | None, row_key: int, url: str | None, payload: bytes, size: int, digest: str, refers_to: str | None, segment_bytes: int, chunk_bytes: int) -> Iterator[bytes]:
+    """The records of one page, without the closing separator. A revisit needs no payload, but its size, its digest and the response's record."""
+    record_id = record_name(page_id, row_key)
     common = {"WARC_Target_URI": None if url is None else " ".join(url.split()), "WARC_Payload_Digest": f"sha256:{digest}"}
     start = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     if refers_to is not None:
         block = f"{start}Content-Length: {size}\r\n\r\n".encode()
         profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-        yield head("revisit", record_id, block, **common, WARC_Profile=profile, WARC_Refers_To=f"<urn:page:{refers_to}>") + block
+        yield head("revisit", record_id, block, **common, WARC_Profile=profile, WARC_Refers_To=f"<{refers_to}>") + block
         return
     block = f"{start}Transfer-Encoding: chunked\r\n\r\n".encode() + chunked(payload, chunk_bytes)
     if len(block) <= segment_bytes:
@@ -98,29 +107,37 @@ def page_records(page_id: int | None, url: str | None, payload: bytes, size: int
         at, number = end, number + 1
 
 
-def write_archives(pages: DataFrame, path: str, least: int = 100, segment_bytes: int = 32 << 10, chunk_bytes: int = 8 << 10, records_per_file: int = 5000) -> None:
+def write_archives(pages: DataFrame, path: str, least: int = 100, segment_bytes: int = 32 << 10, chunk_bytes: int = 8 << 10, archive_bytes: int = 64 << 20) -> None:
     """Pages (page_id, url, html) as gzipped archives in the folder path; payloads from `least` bytes on are written once."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    keyed = pages.withColumn("__sha", F.sha2("html", 256)).withColumn("__size", F.octet_length("html"))
-    keyed = keyed.withColumn("__digest", F.when(F.col("__size") >= least, F.col("__sha")))
-    firsts = keyed.filter("__digest is not null").groupBy("__digest").agg(F.min("page_id").alias("__first"), F.count("*").alias("__n")).filter("__n > 1").drop("__n")
-    again = F.when(~F.col("page_id").eqNullSafe(F.col("__first")), F.col("__first"))
-    decided = keyed.join(firsts, "__digest", "left").select("page_id", "url", F.when(again.isNull(), F.col("html")).alias("html"), "__size", "__sha", again.alias("refers_to"))
+    pages, _ = keyed(pages, "page_id", "html")
+    slim = written(pages.select("row_key", "page_id", F.octet_length("html").alias("__size"), F.sha2("html", 256).alias("__sha")), "digests")
+    # row_keys are in the order of page_ids
+    firsts = slim.filter(F.col("__size") >= least).groupBy("__sha").agg(F.min("row_key").alias("__key"), F.count("*").alias("__n")).filter("__n > 1")
+    firsts = firsts.join(slim.select(F.col("row_key").alias("__key"), F.col("page_id").alias("__page")), "__key").select("__sha", "__key", "__page")
+    again = slim.filter(F.col("__size") >= least).join(firsts, "__sha").filter(~F.col("page_id").eqNullSafe(F.col("__page")))
+    name = F.concat_ws(":", F.lit("urn:page"), F.coalesce(F.col("__page").cast("string"), F.lit("")), F.col("__key").cast("string"))
+    again = again.select("row_key", name.alias("refers_to"))
+    decided = pages.join(slim.drop("page_id").join(again, "row_key", "left"), "row_key")
+    decided = decided.select("page_id", "row_key", "url", F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"), "__size", "__sha", "refers_to")
+    facts = slim.agg(F.sum("__size").alias("bytes"), F.count("*").alias("n")).first()
+    mean = (facts["bytes"] or 0) / max(1, facts["n"]) + 500
 
     def records(batches):
         for batch in batches:
             out, held = [], 0
             for row in zip(*batch.columns, strict=True):
-                page_id, url, html, size, digest, refers_to = (x.as_py() for x in row)
-                for r in page_records(page_id, url, (html or "").encode(), size, digest, refers_to, segment_bytes, chunk_bytes):
+                page_id, row_key, url, html, size, digest, refers_to = (x.as_py() for x in row)
+                for r in page_records(page_id, row_key, url, (html or "").encode(), size, digest, refers_to, segment_bytes, chunk_bytes):
                     out.append(r.decode())
                     held += len(r)
-                if held > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
-                    out, held = [], 0
+                    if held > 4 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+                        out, held = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
-    decided.transform(in_batches(records, "value string")).write.option("lineSep", SEPARATOR).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    writer = decided.transform(in_batches(records, "value string")).write.option("lineSep", SEPARATOR).option("compression", "gzip")
+    writer.option("maxRecordsPerFile", max(1, int(archive_bytes / min(mean, segment_bytes)))).text(path)
 
 
 def parsed(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -156,18 +173,21 @@ def verified(payload: bytes, digest: str) -> tuple[int, str]:
     return len(payload), found
 
 
-ROW = "record_id string, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, segment int, total long, data binary"
+ROW = "record_id string, page_id long, record_type string, refers_to string, payload_bytes long, payload_digest string, segment int, total long, data binary"
+
+
+DONE = "record_id string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to string"
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of each response and revisit in the folder path."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to (the response's page_id) of each response and revisit in the folder path."""
 
     def page(urn: str) -> int | None:
         number = urn.strip("<>").split(":")[2]
         return int(number) if number else None
 
     def rows(batches):
-        kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.binary())
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.binary())
         names = [x.split()[0] for x in ROW.split(", ")]
         for batch in batches:
             for content in batch.column(0):
@@ -185,7 +205,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                         held += len(block)
                     elif kind == "revisit":
                         http = dict(x.lower().split(b": ", 1) for x in block.split(b"\r\n")[1:] if b": " in x)
-                        out.append((own, page(own), kind, page(fields["warc-refers-to"]), int(http[b"content-length"]), digest.rpartition(":")[2], None, None, None))
+                        out.append((own, page(own), kind, fields["warc-refers-to"].strip("<>"), int(http[b"content-length"]), digest.rpartition(":")[2], None, None, None))
                     elif kind == "response":
                         out.append((own, page(own), kind, None, *verified(payload_of(block), digest), None, None, None))
                     if held > 8 << 20 or len(out) >= 4096:
@@ -204,15 +224,19 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     if numbers != list(range(1, len(parts) + 1)) or row["total"] != len(block):
                         raise ValueError(f"segments {numbers} of {row['record_id']} hold {len(block)} of {row['total']} bytes")
                     size, digest = verified(payload_of(block), digest)
-                done.append((row["page_id"], size, digest, row["record_type"], row["refers_to"]))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-            names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], kinds[i]) for i in range(5)], names=names)
+                done.append((row["record_id"], row["page_id"], size, digest, row["record_type"], row["refers_to"]))
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], kinds[i]) for i in range(6)], names=[x.split()[0] for x in DONE.split(", ")])
 
     found = spark.read.format("binaryFile").load(path).select("content").transform(in_batches(rows, ROW))
     first = [F.max(c).alias(c) for c in ("page_id", "record_type", "refers_to", "payload_bytes", "payload_digest", "total")]
     parts = F.sort_array(F.collect_list(F.when(F.col("segment").isNotNull(), F.struct("segment", "data")))).alias("parts")
-    return found.groupBy("record_id").agg(*first, parts).transform(in_batches(joined, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"))
+    found = written(found.groupBy("record_id").agg(*first, parts).transform(in_batches(joined, DONE)), "records")
+    targets = found.filter("record_type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("__page"), F.col("payload_digest").alias("__digest"))
+    both = found.join(targets, "refers_to", "left")
+    lost = (F.col("record_type") == "revisit") & ~F.col("payload_digest").eqNullSafe(F.col("__digest"))
+    kind = F.when(lost, F.raise_error(F.concat(F.lit("no response with its digest for the revisit "), "record_id"))).otherwise(F.col("record_type"))
+    return both.select("page_id", "payload_bytes", "payload_digest", kind.alias("record_type"), F.col("__page").alias("refers_to"))
 
 
 def warc_round_trip(pages: DataFrame, least: int = 100, segment_bytes: int = 32 << 10) -> DataFrame:

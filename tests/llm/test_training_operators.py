@@ -1,6 +1,7 @@
 """The operators against brute force, and on the odd cases: nulls, empty and long texts, repeats, empty tables, extra columns."""
 
 import collections
+import gzip
 import hashlib
 import itertools
 import re
@@ -385,6 +386,24 @@ def test_archives(spark):
     assert warc.warc_round_trip(pages.limit(0)).count() == 0
 
 
+def test_revisits_name_a_response_that_is_there(spark, tmp_path):
+    pages = spark.createDataFrame([(k, "u", "z" * 200 + str(k % 2)) for k in (4, 2, 7, 9)] + [(4, "u", "z" * 2000), (4, "u", "z" * 2000)], "page_id long, url string, html string")
+    path = str(tmp_path / "a")
+    warc.write_archives(pages, path, archive_bytes=1500, segment_bytes=900)
+    files = list((tmp_path / "a").glob("*.gz"))
+    records = [r for f in files for r in warc.parsed(gzip.open(f))]
+    ids = {f["warc-record-id"] for f, _ in records}
+    assert len(files) > 2 and len(ids) == len(records)
+    assert {f["warc-refers-to"] for f, _ in records if f["warc-type"] == "revisit"} < ids
+    got = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_archives(spark, path).collect())
+    assert got == [(2, 201, "response", None), (4, 201, "revisit", 2), (4, 2000, "response", None), (4, 2000, "response", None), (7, 201, "response", None), (9, 201, "revisit", 7)]
+    (tmp_path / "b").mkdir()
+    lone = warc.head("revisit", "urn:page:1:1", b"", WARC_Payload_Digest="sha256:00", WARC_Refers_To="<urn:page:0:0>").replace(b"Content-Length: 0", b"Content-Length: 38") + b"HTTP/1.1 200 OK\r\nContent-Length: 5\r\n\r\n"
+    (tmp_path / "b" / "x.warc").write_bytes(lone)
+    with pytest.raises(Exception, match="no response with its digest"):
+        warc.read_archives(spark, str(tmp_path / "b")).collect()
+
+
 def test_chunks():
     for data in (b"", b"a", "é日".encode() * 1000, b"x" * 4096):
         assert warc.dechunked(warc.chunked(data, 7)) == data
@@ -520,6 +539,20 @@ def test_neighbours(spark):
     assert ann.nearest(frame.filter("vec_id = 200")).count() == 0
 
 
+def test_cells_leave_out_what_is_too_far(spark, monkeypatch):
+    draw = np.random.default_rng(21)
+    x = (draw.normal(size=(12, 24))[draw.integers(0, 12, 2400)] * 6 + draw.normal(size=(2400, 24)) * 0.5).astype(np.float32)
+    x[2300:] = draw.normal(size=(100, 24)) * 5  # some lie between
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = collections.defaultdict(list)
+    for r in ann.nearest(frame, every=40, block_rows=150, block_queries=16).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    for q in range(0, 2400, 40):
+        d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(axis=1))
+        d[q] = np.inf
+        assert got[q] == np.lexsort((np.arange(2400), d))[:10].tolist()
+
+
 def test_neighbours_among_near_copies(spark):
     draw = np.random.default_rng(11)
     x = draw.normal(size=(3000, 64))
