@@ -116,19 +116,20 @@ def edited_fingerprints(docs: DataFrame, radius: int = 3) -> DataFrame:
     other fingerprints of documents are within radius bits.
     """
     docs, _ = keyed(docs.select("doc_id", text_of().alias("text")))
+    ids, docs = docs.select("row_key", "doc_id"), docs.select("row_key", "text")  # with equal columns both joins below use one shuffle of the texts
     order = successors(docs.select("row_key"))
     third = lambda n: F.floor(n / 3).cast("int")
     sizes = order.join(docs.select("row_key", F.length("text").alias("n")), "row_key").select(F.col("row_key").alias("before_key"), F.col("next_key").alias("row_key"), "n")
     heads = docs.join(sizes, "row_key").select(F.col("before_key").alias("row_key"), F.left("text", third(F.col("n"))).alias("head"))
     n = F.length("text")
-    key = ["row_key", "doc_id", "n_chars", "edited_sha256", "which"]
-    both = docs.join(heads, "row_key").select("row_key", "doc_id", n.cast("long").alias("n_chars"), "text", F.concat(F.left("text", n - third(n)), "head").alias("edited"))
+    key = ["row_key", "n_chars", "edited_sha256", "which"]
+    both = docs.join(heads, "row_key").select("row_key", n.cast("long").alias("n_chars"), "text", F.concat(F.left("text", n - third(n)), "head").alias("edited"))
     versions = F.explode(F.array(F.struct(F.lit(0).alias("which"), "text"), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))).alias("v")
-    both = both.select("row_key", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), versions)
+    both = both.select("row_key", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), versions)
     marks = written(votes(both.select(*key[:-1], "v.which", "v.text"), key, "text"), "fingerprints")
     own, edited = marks.filter("which = 0"), marks.filter("which = 1").select("row_key", F.col("fingerprint").alias("edited"))
     nexts = own.select(F.col("row_key").alias("next_key"), F.col("fingerprint").alias("following"))
-    joined = own.join(edited, "row_key").join(order, "row_key").join(nexts, "next_key").join(near_counts(own, radius), "fingerprint", "left")
+    joined = own.join(edited, "row_key").join(order, "row_key").join(ids, "row_key").join(nexts, "next_key").join(near_counts(own, radius), "fingerprint", "left")
     near_edited, near_next = (likeness(F.col("fingerprint"), F.col(c)) for c in ("edited", "following"))
     return joined.select(
         "doc_id", "n_chars", "edited_sha256", hexed(F.col("fingerprint")).alias("fingerprint"), hexed(F.col("edited")).alias("edited_fingerprint"),
