@@ -129,7 +129,8 @@ def edited_fingerprints(docs: DataFrame, radius: int = 3) -> DataFrame:
     marks = written(votes(both.select(*key[:-1], "v.which", "v.text"), key, "text"), "fingerprints")
     own, edited = marks.filter("which = 0"), marks.filter("which = 1").select("row_key", F.col("fingerprint").alias("edited"))
     nexts = own.select(F.col("row_key").alias("next_key"), F.col("fingerprint").alias("following"))
-    joined = own.join(edited, "row_key").join(order, "row_key").join(ids, "row_key").join(nexts, "next_key").join(near_counts(own, radius), "fingerprint", "left")
+    near = written(near_counts(own, radius), "near")  # a table by itself: joined to an aggregate, a fingerprint of many copies could not be split
+    joined = own.join(edited, "row_key").join(order, "row_key").join(ids, "row_key").join(nexts, "next_key").join(near, "fingerprint", "left")
     near_edited, near_next = (likeness(F.col("fingerprint"), F.col(c)) for c in ("edited", "following"))
     return joined.select(
         "doc_id", "n_chars", "edited_sha256", hexed(F.col("fingerprint")).alias("fingerprint"), hexed(F.col("edited")).alias("edited_fingerprint"),
