@@ -530,6 +530,8 @@ def crowded_windows(rows: DataFrame, span: int, many: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, span: int = 200, gram: int = 32, many: int = MANY, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text, the columns in keep, spans: array<struct<start, stop>> of bytes to remove, in any order, touching or overlapping."""
     docs, _ = keyed(docs.select("doc_id", text_of().alias("text"), *keep))
+    others = docs.select("row_key", "doc_id", *keep)
+    docs = docs.select("row_key", "text").filter("row_key is not null")  # none is; with equal columns and filters both joins of the texts use one shuffle
     each = written(anchors(docs, span, gram), "anchors")
     runs = each.filter("key is null").select("row_key", F.col("at").alias("start"), (F.col("at") + F.col("run")).alias("stop"))
     each = each.filter("key is not null").drop("run")
@@ -541,7 +543,7 @@ def repeated_spans(docs: DataFrame, span: int = 200, gram: int = 32, many: int =
     if crowded.limit(1).count():
         runs = runs.union(crowded_windows(several(crowded), span, many))
     lists = runs.groupBy("row_key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return docs.join(lists, "row_key", "left").select("doc_id", "text", *keep, "spans")
+    return docs.join(lists, "row_key", "left").join(others, "row_key").select("doc_id", "text", *keep, "spans")
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
