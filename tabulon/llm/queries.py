@@ -1,4 +1,4 @@
-"""The queries op1_ ... op10_, each with production parameters over its whole table."""
+"""The queries op1_ ... op13_, each with production parameters over its whole table."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulon.llm import ann, langid, minhash_forest, packing, pii, segmentation, simhash, suffix_dedup, url_filter, warc
+from tabulon.llm import ann, langid, minhash_forest, packing, periodic_runs, pii, segmentation, simhash, suffix_dedup, url_filter, warc
 from tabulon.llm.common import table
 
 #: verdict, host, path
@@ -54,6 +54,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(table(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digest(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -63,7 +67,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_best_fit_packing, op2_ngram_jaccard_join, op3_sentencepiece, op4_suffix_array_dedup, op5_warc,
-        op6_pii, op7_nearest_neighbours, op8_url_filter, op9_simhash, op10_language_id, pipeline,
+        op6_pii, op7_nearest_neighbours, op8_url_filter, op9_simhash, op10_language_id, op12_periodic_runs, pipeline,
     )
     return {f.__name__: f for f in own}
 
@@ -108,5 +112,24 @@ SELECT page_id, payload_bytes, p.payload_digest,
        CASE WHEN first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
 FROM p LEFT JOIN f ON f.payload_digest = p.payload_digest AND payload_bytes >= 100
+""",
+    "op12_periodic_runs": r"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\v\f\r]+'), lambda x: x <> '') AS words,
+        xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+            lambda x, y: list_reduce([xor(x, y), 0, 0, 0, 0, 0, 0, 0, 0], lambda u, v: xor(u >> 1, 3988292384 * (u & 1)))), 4294967295) AS h FROM documents),
+s AS (SELECT *, len(words) AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(words) > 0 THEN (h // 10) % len(words) END AS a FROM d),
+e AS MATERIALIZED (SELECT id, doc_id, n, CASE WHEN a IS NULL THEN words
+        ELSE list_transform(range(0, n), lambda i: CASE WHEN i < a THEN words[i + 1] ELSE words[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] END) END AS words FROM s),
+six AS MATERIALIZED (SELECT id, i, md5_number(array_to_string(words[i + 1:i + 6], ' ')) AS six FROM (SELECT id, words, unnest(range(0, n - 5)) AS i FROM e)),
+pairs AS (SELECT x.id, y.i - x.i AS p, x.i FROM six x JOIN six y ON x.id = y.id AND x.six = y.six AND x.i < y.i),
+islands AS (SELECT id, p, min(i) AS start, count(*) + 5 + p AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY id, p ORDER BY i) AS island FROM pairs) GROUP BY id, p, island),
+runs AS MATERIALIZED (SELECT id, start, length, min(p) AS period FROM islands WHERE length >= 2 * p AND length >= 12 GROUP BY id, start, length),
+r AS (SELECT id, count(*) AS n_runs, sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period)) AS runs_sha256,
+        arg_min({'start': start, 'length': length, 'period': period}, {'a': -length, 'b': start, 'c': period}) AS longest FROM runs GROUP BY id),
+gone AS (SELECT DISTINCT id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT w.id, string_agg(word, ' ' ORDER BY i) AS collapsed FROM (SELECT id, unnest(words) AS word, unnest(range(0, n)) AS i FROM e) w ANTI JOIN gone USING (id, i) GROUP BY w.id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(longest.start AS BIGINT) AS start, CAST(longest.length AS BIGINT) AS length, CAST(longest.period AS BIGINT) AS period,
+       CAST(1000 * longest.length // longest.period AS BIGINT) AS exponent_milli, coalesce(runs_sha256, sha256('')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM e LEFT JOIN r USING (id) LEFT JOIN kept USING (id)
 """,
 }
