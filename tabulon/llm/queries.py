@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulon.llm import ann, langid, minhash_forest, packing, periodic_runs, pii, segmentation, simhash, suffix_dedup, url_filter, warc
+from tabulon.llm import ann, centroids, langid, minhash_forest, packing, periodic_runs, pii, segmentation, simhash, suffix_dedup, url_filter, warc
 from tabulon.llm.common import table
 
 #: verdict, host, path
@@ -58,6 +58,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_digest(table(spark, sf_dir, "documents"))
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_digest(centroids.centroid_clusters(table(spark, sf_dir, "embeddings")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -67,13 +71,29 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_best_fit_packing, op2_ngram_jaccard_join, op3_sentencepiece, op4_suffix_array_dedup, op5_warc,
-        op6_pii, op7_nearest_neighbours, op8_url_filter, op9_simhash, op10_language_id, op12_periodic_runs, pipeline,
+        op6_pii, op7_nearest_neighbours, op8_url_filter, op9_simhash, op10_language_id, op12_periodic_runs, op13_centroid_clustering, pipeline,
     )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return ORACLE | {"op13_centroid_clustering": clustering_sql()}
+
+
+def clustering_sql(rounds: int = 10) -> str:
+    """The rounds of operator 13, one after another."""
+    near = """(SELECT id, arg_min(k, {{'d': d, 'k': k}}) AS k, min(d) AS d FROM (SELECT v.id, c.k, list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i]))) AS d
+    FROM v CROSS JOIN c{} c) GROUP BY id)"""
+    parts = ["""v AS MATERIALIZED (SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+    FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), x) - 1 AS k, x FROM v ORDER BY sha256('3:' || vec_id), x LIMIT 8)"]
+    for r in range(rounds):
+        parts.append(f"a{r} AS MATERIALIZED {near.format(r)}")
+        parts.append(f"""c{r + 1} AS MATERIALIZED (SELECT k, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN (SELECT k, list(CAST((s - (s % n + n) % n) // n AS BIGINT) ORDER BY i) AS x
+    FROM (SELECT k, i, sum(x[i]) AS s, count(*) AS n FROM (SELECT k, x, unnest(range(1, 65)) AS i FROM a{r} JOIN v USING (id)) GROUP BY k, i) GROUP BY k) m USING (k))""")
+    return f"""WITH {", ".join(parts)}, a AS MATERIALIZED {near.format(rounds)}
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c.x, ',')) AS centroid_sha256 FROM a JOIN v USING (id) JOIN c{rounds} c USING (k)"""
 
 
 #: Where SQL can express the whole result. The others are held against brute force in tests/llm.
