@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulon.llm import ann, centroids, langid, minhash_forest, packing, periodic_runs, pii, segmentation, simhash, suffix_dedup, url_filter, warc
+from tabulon.llm import ann, centroids, langid, lm_scoring, minhash_forest, packing, periodic_runs, pii, segmentation, simhash, suffix_dedup, url_filter, warc
 from tabulon.llm.common import table
 
 #: verdict, host, path
@@ -54,6 +54,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(table(spark, sf_dir, "documents"))
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_digest(table(spark, sf_dir, "documents"))
 
@@ -71,7 +75,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_best_fit_packing, op2_ngram_jaccard_join, op3_sentencepiece, op4_suffix_array_dedup, op5_warc,
-        op6_pii, op7_nearest_neighbours, op8_url_filter, op9_simhash, op10_language_id, op12_periodic_runs, op13_centroid_clustering, pipeline,
+        op6_pii, op7_nearest_neighbours, op8_url_filter, op9_simhash, op10_language_id, op11_lm_scoring, op12_periodic_runs, op13_centroid_clustering, pipeline,
     )
     return {f.__name__: f for f in own}
 
