@@ -1,71 +1,19 @@
-"""Sheets from files: every column text, blank rows gone, rows numbered from 2."""
+"""Sheets from files: every column text, blank rows gone, rows numbered from 2 by file name, then by place."""
 
 from __future__ import annotations
 
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tabulon.functions.text import blank
-from tabulon.operators.profile import ROW
-
-
-def sniff_delimiter(line: str) -> str:
-    """Of tab, semicolon and comma the first that the header line holds."""
-    return next((d for d in ("\t", ";", ",") if d in line), ",")
-
-
-def first_names(names: list[str]) -> list[str]:
-    """Stripped headers; a repeated one gets its position, so that the first keeps the name."""
-    seen: dict[str, int] = {}
-    out = []
-    for k, name in enumerate(n.strip() for n in names):
-        out.append(f"{name}__{k + 1}" if name in seen or not name else name)
-        seen.setdefault(name, k)
-    return out
-
-
-def nonblank(df: DataFrame) -> DataFrame:
-    """Rows with at least one filled cell."""
-    some = F.lit(False)
-    for c in df.columns:
-        some = some | ~blank(F.col(f"`{c}`"))
-    return df.filter(some)
-
-
-def with_rows(df: DataFrame) -> DataFrame:
-    """df with __row = 2, 3, ... in the order in which the scan yields rows."""
-    at = F.monotonically_increasing_id()
-    marked = df.withColumn("__part", F.shiftright(at, 33)).withColumn("__at", at.bitwiseAND(F.lit((1 << 33) - 1)))
-    starts, total = [], 0
-    for part, n in sorted(marked.groupBy("__part").count().collect()):  # one row for each partition
-        starts.append((part, total))
-        total += n
-    offsets = df.sparkSession.createDataFrame(starts, "__part long, __before long")
-    return marked.join(F.broadcast(offsets), "__part").select((F.col("__at") + F.col("__before") + 2).alias(ROW), *(F.col(f"`{c}`") for c in df.columns))
-
-
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV sheet with quoted line breaks, a sniffed delimiter and ragged rows; ValueError if it has no row at all."""
-    lines = spark.read.text(path).limit(1).collect()
-    if not lines:
-        raise ValueError(f"{path} is empty")
-    header = lines[0][0].removeprefix("\ufeff")
-    options = {"sep": sniff_delimiter(header), "quote": '"', "escape": '"', "multiLine": True, "encoding": "UTF-8", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    width = len(spark.read.options(**options, header=True, inferSchema=False).csv(path).columns)
-    schema = ", ".join(f"`c{k}` string" for k in range(width))
-    top = spark.read.options(**options, header=False).schema(schema).csv(path).limit(1).collect()[0]
-    names = first_names([(v or "").removeprefix("\ufeff") for v in top])
-    body = spark.read.options(**options, header=True, enforceSchema=True).schema(schema).csv(path)
-    return with_rows(nonblank(body.toDF(*names)))
+from tabulon.sources.split_csv import read_split
 
 
 def read_source(spark: SparkSession, path: str) -> DataFrame:
     """By suffix: .csv, .xlsx or .xlsm; else ValueError."""
     suffix = PurePosixPath(path).suffix.lower()
     if suffix == ".csv":
-        return read_csv(spark, path)
+        return read_split(spark, path)
     if suffix in (".xlsx", ".xlsm"):
         from tabulon.sources.xlsx import read_xlsx
 

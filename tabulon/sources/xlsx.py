@@ -14,7 +14,7 @@ from xml.etree import ElementTree
 from pyspark.sql import DataFrame, SparkSession
 
 from tabulon.operators.profile import ROW
-from tabulon.sources.files import first_names
+from tabulon.sources.split_csv import first_names
 
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
