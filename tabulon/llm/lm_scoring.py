@@ -55,7 +55,7 @@ class CountModel:
     starts: np.ndarray
     slabs: tuple[tuple[int, int], ...]
     counts: DataFrame
-    common: dict[str, int]
+    common: pa.Table
 
 
 def held_out(doc_id: Column) -> Column:
@@ -73,7 +73,7 @@ def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 
 def hashes_of(offsets: np.ndarray, numbers: np.ndarray, distinct: pa.Array, order: int) -> list[np.ndarray]:
     """The 60-bit hashes of the n-grams of 1 ... order tokens that end at each token, with starts before the first."""
-    own = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in distinct.to_pylist()), np.uint64, len(distinct))
+    own = np.array(list(map(xxhash.xxh3_64_intdigest, distinct.to_pylist())), np.uint64)
     token = own[numbers]
     out, longer = [mix64(token) >> np.uint64(4)], token
     for _ in range(1, order):  # the hash of a longer n-gram is made of that of its beginning, which ends one token earlier
@@ -137,11 +137,15 @@ def gram_counter(order: int, slot_bits: int, slice_bytes: int, hold: int):
     return count
 
 
-def positions(keys: np.ndarray, level: int, probe: int, n_bits: np.ndarray | int) -> np.ndarray:
-    """Where the pair (n-gram, level) has its bit number `probe` among n_bits bits, fewer than 2 ** 32."""
+def spots(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 32-bit numbers of the pair (n-gram, level), from which all its bits follow."""
     x = mix64((keys & LOW) + np.uint64(level * int(ODD) % (1 << 64)))
-    half = np.uint64(0xFFFFFFFF)
-    x = ((x & half) + np.uint64(probe) * (x >> np.uint64(32) | np.uint64(1))) & half
+    return x & np.uint64(0xFFFFFFFF), x >> np.uint64(32) | np.uint64(1)
+
+
+def position(spot: tuple[np.ndarray, np.ndarray], probe: int, n_bits: np.ndarray | int) -> np.ndarray:
+    """Where bit number `probe` lies among n_bits bits, fewer than 2 ** 32."""
+    x = (spot[0] + np.uint64(probe) * spot[1]) & np.uint64(0xFFFFFFFF)
     return (x * np.asarray(n_bits, dtype=np.uint64) >> np.uint64(32)).astype(np.int64)
 
 
@@ -162,9 +166,9 @@ def slot_builder(bits_each: int, probes: int, hold: int = 1 << 22):
             n_bits = min(-(-int(q.sum()) * bits_each // 64) * 64, (1 << 32) - 64)
             marked = np.zeros(n_bits, bool)
             for level in range(1, int(q.max()) + 1):
-                some = keys[q >= level]
+                spot = spots(keys[q >= level], level)
                 for probe in range(probes):
-                    marked[positions(some, level, probe, n_bits)] = True
+                    marked[position(spot, probe, n_bits)] = True
             names = ["slot", "n_bits", "bits"]
             return pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([n_bits]), pa.array([np.packbits(marked, bitorder="little").tobytes()])], names=names)
 
@@ -209,7 +213,7 @@ def token_counter(slice_bytes: int, hold: int = 1 << 19):
     return count
 
 
-def learn(texts: DataFrame, order: int = 2, bits_each: int = 8, probes: int = 4, slots: int = 4096, slab_bytes: int = 128 << 20, common: int = 1 << 18, max_token: int = 64, slice_bytes: int = 1 << 20, hold: int = 1 << 22) -> CountModel:
+def learn(texts: DataFrame, order: int = 2, bits_each: int = 8, probes: int = 4, slots: int = 4096, slab_bytes: int = 64 << 20, common: int = 1 << 18, max_token: int = 64, slice_bytes: int = 1 << 20, hold: int = 1 << 21) -> CountModel:
     """From the column text of all rows. slots: a power of two up to 65,536; a task has a slot's share of the distinct n-grams at hand."""
     slot_bits = slots.bit_length() - 1
     if 1 << slot_bits != slots or slot_bits > 16:
@@ -226,7 +230,7 @@ def learn(texts: DataFrame, order: int = 2, bits_each: int = 8, probes: int = 4,
         if room < 0:
             break
         least = r["rank"]
-    known = {r["token"]: r["n"] for r in counts.filter(short & (rank >= least)).collect()} if least is not None else {}
+    known = counts.filter(short & (rank >= least) if least is not None else F.lit(False)).toArrow().combine_chunks()
 
     grams = texts.transform(in_batches(gram_counter(order, slot_bits, slice_bytes, hold), "slot int, grams binary, counts binary"))
     grams = grams.repartition("slot").sortWithinPartitions("slot")
@@ -244,21 +248,23 @@ def learn(texts: DataFrame, order: int = 2, bits_each: int = 8, probes: int = 4,
 
 
 def quantised(keys: np.ndarray, bits: np.ndarray, starts: np.ndarray, slab: tuple[int, int], slot_bits: int, probes: int) -> np.ndarray:
-    """q of each n-gram as the slab has it; 0 where it has none or the slot is another slab's."""
+    """q of each n-gram as the slab has it; 0 where it has none or the slot is another slab's. Each different one is asked for once, in the order of slots."""
+    keys, back = np.unique(keys, return_inverse=True)
     q = np.zeros(len(keys), np.uint8)
     slot = (keys >> np.uint64(60 - slot_bits)).astype(np.int64)
     n_bits = starts[slot + 1] - starts[slot]
     alive = np.flatnonzero((slot >= slab[0]) & (slot < slab[1]) & (n_bits > 0))
-    keys, base, n_bits = keys[alive], (starts[slot] - starts[slab[0]])[alive], n_bits[alive]
+    keys, base, n_bits = keys[alive], (starts[slot] - starts[slab[0]])[alive], n_bits[alive].astype(np.uint64)
     level = 0
     while len(alive):
         level += 1
+        spot, left = spots(keys, level), np.arange(len(alive))
         for probe in range(probes):
-            at = base + positions(keys, level, probe, n_bits)
-            hit = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
-            alive, keys, base, n_bits = alive[hit], keys[hit], base[hit], n_bits[hit]
+            at = position((spot[0][left], spot[1][left]), probe, n_bits[left]) + base[left]
+            left = left[(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)]
+        alive, keys, base, n_bits = alive[left], keys[left], base[left], n_bits[left]
         q[alive] = level
-    return q
+    return q[back]
 
 
 def typical(q: np.ndarray) -> np.ndarray:
@@ -278,18 +284,18 @@ def log_probabilities(codes: list[np.ndarray], offsets: np.ndarray, tokens: int,
     return np.log10(p)
 
 
-def scored(docs: DataFrame, model: CountModel, keep: tuple[str, ...] = ("doc_id",), weight: float = 32.0, slice_bytes: int = 1 << 20) -> DataFrame:
+def scored(docs: DataFrame, model: CountModel, keep: tuple[str, ...] = ("doc_id",), weight: float = 32.0, slice_bytes: int = 2 << 20) -> DataFrame:
     """keep, n_tokens, n_known, base_score and score of each row's column text."""
     spark = docs.sparkSession
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields]
     order, tokens, kinds, texts, starts, slabs, probes = model.order, model.tokens, model.kinds, model.texts, model.starts, model.slabs, model.probes
     slot_bits = (len(starts) - 1).bit_length() - 1
-    common = spark.sparkContext.broadcast((pa.array(list(model.common), pa.string()), np.fromiter(model.common.values(), np.int64, len(model.common))))
+    common = spark.sparkContext.broadcast((pc.cast(model.common["token"].combine_chunks(), pa.string()), model.common["n"].to_numpy()))
 
     def loaded(slab: tuple[int, int]):
         """The slab's bits as a broadcast; each slot lies at its place in the whole, less the slab's first."""
         bits = np.zeros(int(starts[slab[1]] - starts[slab[0]]) // 8, np.uint8)
-        for slot, part in model.filter.filter((F.col("slot") >= slab[0]) & (F.col("slot") < slab[1])).select("slot", "bits").collect():
+        for slot, part in model.filter.filter((F.col("slot") >= slab[0]) & (F.col("slot") < slab[1])).select("slot", "bits").toLocalIterator():
             at = int(starts[slot] - starts[slab[0]]) // 8
             bits[at : at + len(part)] = np.frombuffer(part, np.uint8)
         return spark.sparkContext.broadcast(bits)
@@ -350,8 +356,11 @@ def scored(docs: DataFrame, model: CountModel, keep: tuple[str, ...] = ("doc_id"
             removed(spark, path)
         path = to
     schema = ", ".join([*fields, "n_tokens long, n_known long, base_score double, score double, rare array<struct<token: string, times: bigint>>"])
-    done = docs.transform(in_batches(finish(coded(last, loaded(last), path is not None), path is not None), schema))
+    bits = loaded(last)
+    done = docs.transform(in_batches(finish(coded(last, bits, path is not None), path is not None), schema))
     done = written(done.withColumn("row", F.monotonically_increasing_id()), "scores")
+    for sent in (bits, common):  # workers would keep them
+        sent.destroy()
     if path:
         removed(spark, path)
     if not model.kinds:
