@@ -1,35 +1,78 @@
 """Recorded corrections: keyed patches of a sheet, and what they make of the sheet's conflicts.
 
-The list of corrections is short and order-dependent, so it is folded on the driver against only the rows it refers to;
-what comes out is one frame of patched cells and one of dropped rows, and the sheet itself is never moved.
+A correction is a JSON object: action, conflict (what it answers), reason, and
+  set_value: at, column, value, from (what the cell held when the correction was first seen)
+  skip_row: at
+  merge_rows: keep, drop, field_overrides
+  change_key: column, which later references by key use
+A reference (at, keep, drop) is a key, resolved in the correction's key_column, or {"row": number}. id, key_column,
+from and source_sha256 are filled in when a correction is first applied (`completed`).
+
+Corrections come in an order, since later ones see what earlier ones did. But only those that name common rows or
+keys can see each other, so such components are folded, each in its order by its own group, against the rows they
+name. The sheet itself is never moved: what comes out is a table of patches, one of dropped rows, one of verdicts.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterable
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions.text import strip
+from tabulon.operators.components import roots
 from tabulon.operators.profile import ROW, headers
+from tabulon.sources.shared import written
 
 ACTIONS = ("set_value", "skip_row", "merge_rows", "dismiss_conflict", "change_key")
+NEEDS_REASON = ("skip_row", "dismiss_conflict", "change_key")
+#: What is filled in; it doesn't make a correction another one.
+FILLED = ("id", "by", "created_at", "created_by", "key_column", "from", "source_sha256", "reason", "note", "revoked_at", "revoked_reason")
+
+
+def text(value: object) -> str:
+    return "" if value is None else str(value).strip()
+
+
+def normal(c: dict) -> dict:
+    """The correction with today's names for what has had others (ref, to, rows, values)."""
+    out = dict(c)
+    if "ref" in out:
+        out.setdefault("at", out.pop("ref"))
+    if "to" in out:
+        out.setdefault("value", out.pop("to"))
+    if "rows" in out:
+        named = out.pop("rows")
+        out.setdefault("drop", [r for r in named if r != out.get("keep")])
+        if out.get("keep") not in named:
+            out.pop("keep", None)
+    if "values" in out:
+        out.setdefault("field_overrides", out.pop("values"))
+    return out
 
 
 def identity(correction: dict) -> str:
-    """The same for corrections that say the same."""
-    said = {k: v for k, v in correction.items() if k not in ("id", "at", "by", "revoked_at", "revoked_reason")}
+    """The same for corrections that decide the same."""
+    said = {k: v for k, v in normal(correction).items() if k not in FILLED and not (v is None or v == {})}
+    if isinstance(said.get("drop"), list):
+        said["drop"] = sorted(said["drop"], key=lambda r: json.dumps(r, sort_keys=True, default=str))
     return hashlib.sha256(json.dumps(said, sort_keys=True, default=str).encode()).hexdigest()[:12]
 
 
 def added(corrections: list[dict], new: dict) -> list[dict]:
-    """corrections with new, once."""
+    """corrections with new, once: one that is in force already isn't added, a revoked one may be decided anew."""
     check(new)
-    named = {"id": identity(new)} | new
-    return corrections if any(identity(c) == identity(new) for c in active(corrections)) else [*corrections, named]
+    if any(identity(c) == identity(new) for c in active(corrections)):
+        return corrections
+    name, taken = identity(new), {c.get("id") for c in corrections}
+    named = name if name not in taken else next(f"{name}-{k}" for k in range(2, len(taken) + 3) if f"{name}-{k}" not in taken)
+    return [*corrections, {"id": named} | new]
 
 
 def revoked(corrections: list[dict], correction_id: str, at: str, reason: str = "reverted") -> list[dict]:
@@ -51,119 +94,336 @@ def merged(recorded: list[dict], completed: list[dict]) -> list[dict]:
     return out
 
 
+def _refs(c: dict) -> list:
+    if c.get("action") == "merge_rows":
+        return [c.get("keep"), *(c["drop"] if isinstance(c.get("drop"), list) else [])]
+    return [c.get("at")] if c.get("action") in ("set_value", "skip_row") else []
+
+
+def wrong(correction: dict, columns: Iterable[str] | None = None) -> str:
+    """Why a correction can't be used at all, or ''. columns: the sheet's, where they are known."""
+    c = normal(correction)
+    action, known = c.get("action"), None if columns is None else set(columns)
+    if action not in ACTIONS:
+        return f"unknown action {action!r}"
+    if action in NEEDS_REASON and not text(c.get("reason")):
+        return f"{action} needs a reason"
+    if action == "dismiss_conflict" and not text(c.get("conflict")):
+        return "dismiss_conflict needs a conflict"
+    for ref in _refs(c):
+        number = ref.get("row") if isinstance(ref, dict) and set(ref) == {"row"} else None
+        if not (isinstance(ref, str) or isinstance(number, int) and not isinstance(number, bool)):
+            return 'a row is referred to by its key (a string) or {"row": number}'
+    written_to = list(c.get("field_overrides") or {}) if action == "merge_rows" else []
+    if action in ("set_value", "change_key"):
+        if not text(c.get("column")):
+            return f"{action} needs a column"
+        written_to = [c["column"]]
+    if action == "set_value" and "value" not in c:
+        return "set_value needs a value"
+    if action == "merge_rows":
+        if "keep" not in c or not isinstance(c.get("drop"), list):
+            return "merge_rows needs the row to keep and a list of those to drop"
+        if c["keep"] in c["drop"]:
+            return "merge_rows drops the row that it keeps"
+    unknown = [w for w in written_to if known is not None and w not in known]
+    return f"no column {', '.join(map(repr, unknown))} in this sheet" if unknown else ""
+
+
 def check(correction: dict) -> None:
     """Raises ValueError for a correction of the wrong shape."""
-    action = correction.get("action")
-    if action not in ACTIONS:
-        raise ValueError(f"unknown action {action!r}")
-    if not correction.get("reason"):
-        raise ValueError(f"{action} needs a reason")
-    if action == "dismiss_conflict" and not correction.get("conflict"):
-        raise ValueError("dismiss_conflict needs a conflict")
-    if action == "change_key" and not correction.get("column"):
-        raise ValueError("change_key needs a column")
-    refs = correction.get("rows", []) if action == "merge_rows" else [correction.get("ref")] if action in ("set_value", "skip_row") else []
-    if action == "merge_rows" and (len(refs) < 2 or correction.get("keep") not in refs):
-        raise ValueError("merge_rows needs rows, and which of them to keep")
-    for ref in refs:
-        if not (isinstance(ref, str) and ref or isinstance(ref, dict) and isinstance(ref.get("row"), int)):
-            raise ValueError('a row is referred to by its key or {"row": number}')
+    if why := wrong(correction):
+        raise ValueError(why)
 
 
-def _refs(correction: dict) -> list:
-    return correction.get("rows", []) if correction.get("action") == "merge_rows" else [correction["ref"]] if "ref" in correction else []
+def fingerprint(sheet: DataFrame) -> str:
+    """A hash of headers, rows and their numbers, to tell whether a source is still the one that corrections were made on."""
+    cells = F.array(F.col(ROW).cast("string"), *(F.coalesce(F.col(f"`{h}`").cast("string"), F.lit("")) for h in headers(sheet)))
+    halves = [F.sum(F.xxhash64(F.lit(salt), cells).cast("decimal(38,0)")) for salt in (1, 2)]
+    return hashlib.sha256(json.dumps([headers(sheet), *map(str, sheet.agg(F.count("*"), *halves).first())]).encode()).hexdigest()
 
 
 def resolve(sheet: DataFrame, key: str, refs: Iterable[str]) -> DataFrame:
     """ref, hits, __row (where exactly one row has the key)."""
     wanted = sheet.sparkSession.createDataFrame([(r,) for r in sorted(set(refs))], "ref string")
     keyed = sheet.select(strip(F.col(f"`{key}`")).alias("ref"), ROW)
-    hits = keyed.join(F.broadcast(wanted), "ref", "left_semi").groupBy("ref").agg(F.count("*").alias("hits"), F.min(ROW).alias(ROW))
+    hits = keyed.join(wanted, "ref", "left_semi").groupBy("ref").agg(F.count("*").alias("hits"), F.min(ROW).alias(ROW))
     out = wanted.join(hits, "ref", "left")
     return out.select("ref", F.coalesce("hits", F.lit(0)).cast("long").alias("hits"), F.when(F.col("hits") == 1, F.col(ROW)).alias(ROW))
 
 
-def fold(sheet: DataFrame, key: str, corrections: list[dict], same_source: bool = True) -> tuple[dict[int, dict[str, str]], set[int], dict[str, dict]]:
-    """(patches by row and column, dropped rows, verdicts by correction), applying corrections one after another.
+# ---------------------------------------------------------------- the fold of one component
+
 
-    same_source: the sheet is the one the corrections were made on; else references by row number don't hold.
+class Rows:
+    """The rows that a component names, and which of them have which keys.
+
+    many: keys with so many rows that corrections can't make them single; their rows aren't here.
     """
-    corrections = active(corrections)
-    columns = {key} | {c["column"] for c in corrections if c.get("action") == "change_key" and c.get("column") in sheet.columns}
-    names = {r for c in corrections for r in _refs(c) if isinstance(r, str)}
-    numbers = {r["row"] for c in corrections for r in _refs(c) if isinstance(r, dict)}
-    wanted = sheet.filter(F.col(ROW).isin(*sorted(numbers)))
-    # a correction drops one row of a key at a time, but for merges; so many rows of each key tell whether one is left
-    most = 2 + sum(max(1, len(_refs(c))) for c in corrections)
-    for column in sorted(columns) if names else ():
-        place = F.row_number().over(Window.partitionBy("__key").orderBy(ROW))
-        keyed = sheet.withColumn("__key", strip(F.col(f"`{column}`"))).filter(F.col("__key").isin(*sorted(names)))
-        wanted = wanted.union(keyed.withColumn("__k", place).filter(F.col("__k") <= most).select(*sheet.columns))
-    rows = {r[ROW]: {h: r[h] or "" for h in headers(sheet)} for r in wanted.collect()}  # references x most rows
-    patches: dict[int, dict[str, str]] = {}
-    dropped: set[int] = set()
-    verdicts: dict[str, dict] = {}
-    at_key = key
-
-    def find(ref) -> int | None:
+
+    def __init__(self, keys: Iterable[tuple[str, str]], many: Iterable[tuple[str, str]]) -> None:
+        self.cells: dict[int, dict[str, str]] = {}
+        self.having: dict[tuple[str, str], set[int]] = {k: set() for k in keys}
+        self.many, self.dropped, self.changed = set(many), set(), defaultdict(dict)
+        self.columns = {c for c, _ in self.having}
+
+    def add(self, number: int, cells: dict[str, str]) -> None:
+        self.cells[number] = cells
+        for column in self.columns:
+            if (column, text(cells.get(column))) in self.having:
+                self.having[column, text(cells.get(column))].add(number)
+
+    def put(self, number: int, column: str, value: object) -> None:
+        value = "" if value is None else str(value)
+        if column in self.columns:
+            self.having.get((column, text(self.cells[number].get(column))), set()).discard(number)
+            self.having.get((column, text(value)), set()).add(number)
+        self.cells[number][column] = self.changed[number][column] = value
+
+    def find(self, ref: str | dict, key_column: str, same_source: bool) -> tuple[int | None, str]:
+        """(row, '') or (None, why there is none). Dropped rows count: what a key means doesn't change by dropping."""
         if isinstance(ref, dict):
-            return ref["row"] if same_source and ref["row"] in rows and ref["row"] not in dropped else None
-        hits = [n for n, row in rows.items() if n not in dropped and (row.get(at_key) or "").strip() == ref]
-        return hits[0] if len(hits) == 1 else None
-
-    for k, c in enumerate(corrections):
-        why, name = "", str(c.get("id", k))
-        try:
-            check(c)
-        except ValueError as e:
-            verdicts[name] = {"applicable": False, "invalid": True, "why": str(e)}
-            continue
-        found = [find(r) for r in _refs(c)]
-        if None in found:
-            why = "no single row matches"
-        elif c["action"] == "set_value":
-            row, column = rows[found[0]], c.get("column")
-            if column not in row:
-                why = f"no column {column}"
-            elif c.get("from") is not None and row[column] != c["from"]:
-                why = "the value has changed"
-            else:
-                row[column] = c.get("to", "")
-                patches.setdefault(found[0], {})[column] = row[column]
+            if not same_source:
+                return None, "the sheet has changed since the correction was made, so its row number may mean another row"
+            return (ref["row"], "") if ref["row"] in self.cells else (None, f"no row {ref['row']} in this sheet")
+        if not key_column:
+            return None, "no key column is known"
+        found = self.having.get((key_column, ref), set())
+        if (key_column, ref) in self.many or len(found) > 1:
+            return None, f"several rows have {key_column} = {ref!r}; name one by its number"
+        return (next(iter(found)), "") if found else (None, f"no row has {key_column} = {ref!r}")
+
+    def apply(self, c: dict, key_column: str, same_source: bool) -> str:
+        """Why the correction doesn't apply, or ''."""
+        found = []
+        for ref in _refs(c):
+            number, why = self.find(ref, key_column, same_source)
+            if why:
+                return why
+            if not found and number in self.dropped and c["action"] != "skip_row":  # what is set or kept must be there
+                return "the row was dropped by an earlier correction"
+            if found and number == found[0]:
+                return "the row to keep is also to be dropped"
+            found.append(number)
+        if c["action"] == "set_value":
+            now = text(self.cells[found[0]].get(c["column"]))
+            if text(c.setdefault("from", now)) != now:
+                return f"the cell now holds {now!r}, not {text(c['from'])!r}"
+            self.put(found[0], c["column"], c["value"])
         elif c["action"] == "skip_row":
-            dropped.add(found[0])
+            self.dropped.add(found[0])  # a row that is gone already is what was wanted
         elif c["action"] == "merge_rows":
-            keep = find(c["keep"])
-            for column, value in (c.get("values") or {}).items():
-                if column in rows[keep]:
-                    rows[keep][column] = value
-                    patches.setdefault(keep, {})[column] = value
-            dropped.update(n for n in found if n != keep)
-        elif c["action"] == "change_key":
-            why = "" if c["column"] in sheet.columns else f"no column {c['column']}"
-            at_key = at_key if why else c["column"]
-        verdicts[name] = {"applicable": not why, "invalid": False, "why": why}
-    return patches, dropped, verdicts
-
-
-def applied(sheet: DataFrame, patches: dict[int, dict[str, str]], dropped: set[int]) -> DataFrame:
+            for column, value in (c.get("field_overrides") or {}).items():
+                self.put(found[0], column, value)
+            self.dropped.update(found[1:])
+        return ""
+
+
+# ---------------------------------------------------------------- corrections as a table
+
+
+@dataclass(frozen=True)
+class Outcome:
+    """verdicts: seq, id, action, conflict, applicable, invalid, why, completed (the correction's JSON, filled in);
+    patches: __row, patch (map of cells); dropped: __row; key: the key column after all changes of key."""
+
+    verdicts: DataFrame
+    patches: DataFrame
+    dropped: DataFrame
+    key: str
+
+
+def as_table(spark: SparkSession, corrections: list[dict]) -> DataFrame:
+    """seq, body of the corrections of a list that are in force."""
+    return spark.createDataFrame([(k, json.dumps(c, default=str)) for k, c in enumerate(active(corrections))], "seq long, body string")
+
+
+READ = "seq long, body string, id string, action string, conflict string, why string, new_key string, own_key string, keys array<string>, numbers array<bigint>, writes array<struct<column: string, value: string>>"
+
+
+def _read(columns: list[str]):
+    """What the plan needs to know of each correction."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for seq, body in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                c = normal(json.loads(body))
+                why, refs = wrong(c, columns), [] if wrong(c, columns) else _refs(c)
+                writes = dict(c.get("field_overrides") or {}) if c.get("action") == "merge_rows" else {c["column"]: c["value"]} if c.get("action") == "set_value" and not why else {}
+                out.append({
+                    "seq": seq, "body": json.dumps(c, default=str), "id": text(c.get("id")) or f"c{seq + 1}", "action": text(c.get("action")), "conflict": text(c.get("conflict")), "why": why,
+                    "new_key": c["column"] if c.get("action") == "change_key" and c.get("column") in columns else None, "own_key": c.get("key_column"),
+                    "keys": [r for r in refs if isinstance(r, str)], "numbers": [r["row"] for r in refs if isinstance(r, dict)],
+                    "writes": [] if why else [{"column": k, "value": text(v)} for k, v in writes.items()],
+                })
+            yield from pa.Table.from_pylist(out, schema=READ_ARROW).to_batches()
+
+    return run
+
+
+READ_ARROW = pa.schema([
+    ("seq", pa.int64()), ("body", pa.string()), ("id", pa.string()), ("action", pa.string()), ("conflict", pa.string()), ("why", pa.string()), ("new_key", pa.string()), ("own_key", pa.string()),
+    ("keys", pa.list_(pa.string())), ("numbers", pa.list_(pa.int64())), ("writes", pa.list_(pa.struct([("column", pa.string()), ("value", pa.string())]))),
+])
+
+
+def carried(df: DataFrame, order: str, value: str, first: str) -> DataFrame:
+    """df with value replaced by its last one that isn't null in the rows before, at the beginning `first`."""
+    part = F.spark_partition_id()
+    ranged = written(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__part", part), "ranged")
+    ends, now, begins = ranged.groupBy("__part").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("v")).orderBy("__part").collect(), first, []
+    for r in ends:  # one row a partition
+        begins.append((r["__part"], now))
+        now = r["v"] or now
+    before = Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    known = ranged.sparkSession.createDataFrame([*begins, (-1, now)], "__part int, __first string")
+    return ranged.join(F.broadcast(known), "__part").withColumn(value, F.coalesce(F.last(value, True).over(before), "__first")).drop("__part", "__first")
+
+
+def fold(sheet: DataFrame, key: str, corrections: DataFrame, sha256: str = "", apart: bool = True) -> Outcome:
+    """Applies corrections (seq, body; those in force) in the order of seq.
+
+    sha256: the sheet's fingerprint; a correction that carries another one can't name rows by number. apart: fold
+    components by themselves; a short list is as well folded as one. A key that more rows have than corrections write
+    to its column can't become single, so its rows are left out.
+    """
+    names = headers(sheet)
+    read = written(corrections.select("seq", "body").mapInArrow(_read(names), READ), "corrections")
+    last_key = read.agg(F.max_by("new_key", F.when(F.col("new_key").isNotNull(), F.col("seq")))).first()[0] or key
+    read = carried(read, "seq", "new_key", key).withColumn("key_column", F.coalesce("own_key", "new_key"))
+    first = read.groupBy("id").agg(F.min("seq").alias("__seq"))
+    read = read.join(first, "id").withColumn("why", F.when(F.col("seq") > F.col("__seq"), F.concat(F.lit("the id "), "id", F.lit(" is used twice"))).otherwise(F.col("why"))).drop("__seq")
+    read = written(read, "corrections")
+    good = read.filter("why = ''")
+
+    keys = good.select("seq", F.col("key_column").alias("column"), F.explode("keys").alias("value"))
+    wanted = written(keys.select("column", "value").distinct(), "keys")
+    used = [r[0] for r in wanted.select("column").distinct().collect() if r[0] in names]  # columns of the sheet at most
+    writes = good.select("seq", F.explode("writes").alias("w")).select("seq", "w.column", "w.value")
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), strip(F.col(f"`{c}`")).alias("value")) for c in used))) if used else None
+    none = sheet.sparkSession.createDataFrame([], f"column string, value string, {ROW} long")
+    having = sheet.select(ROW, pairs.alias("p")).select(ROW, "p.column", "p.value").join(wanted, ["column", "value"], "left_semi") if used else none
+    having = written(having.select("column", "value", ROW), "having")
+    often = having.groupBy("column", "value").count().join(writes.groupBy("column").agg(F.count("*").alias("writes")), "column", "left")
+    many = often.filter(F.col("count") > F.coalesce("writes", F.lit(0)) + 1).select("column", "value")
+    single = having.join(many, ["column", "value"], "left_anti")
+
+    of_key, of_row, of_seq = (lambda: F.xxhash64(F.lit("key"), "column", "value")), (lambda c=ROW: F.xxhash64(F.lit("row"), F.col(c).cast("long"))), (lambda: F.xxhash64(F.lit("seq"), "seq"))
+    by_number = good.select("seq", F.explode("numbers").alias(ROW))
+    new_keys = writes.join(wanted, ["column", "value"], "left_semi")  # a write may give a row a key that another correction names
+    edges = keys.select(of_seq().alias("a"), of_key().alias("b")).union(by_number.select(of_seq(), of_row())).union(new_keys.select(of_seq(), of_key())).union(single.select(of_key(), of_row()))
+    group = roots(edges) if apart else None
+
+    def grouped(df: DataFrame, node):
+        if group is None:
+            return df.withColumn("part", F.lit(0).cast("long"))
+        return df.withColumn("node", node).join(group, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("node", "root")
+
+    body = F.to_json(F.struct(*(F.coalesce(F.col(f"`{h}`").cast("string"), F.lit("")).alias(h) for h in names)))
+    numbers = single.select(ROW).union(by_number.select(ROW)).distinct()
+    said = F.to_json(F.struct("column", "value", F.col("many").alias("many")))
+    keyed = wanted.join(many.withColumn("many", F.lit(True)), ["column", "value"], "left")
+    rows = [
+        grouped(keyed, of_key()).select("part", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("seq"), said.alias("body"), F.lit("").alias("key_column")),
+        grouped(sheet.join(numbers, ROW, "left_semi"), of_row()).select("part", F.lit(1), F.col(ROW), body, F.lit("")),
+        grouped(good, of_seq()).select("part", F.lit(2), "seq", "body", "key_column"),
+    ]
+    packed = rows[0].union(rows[1]).union(rows[2]).repartition("part").sortWithinPartitions("part", "kind", "seq")
+    folded = written(packed.mapInArrow(_folder(sha256), "kind int, seq long, why string, said string"), "folded")
+    judged = folded.filter("kind = 2").select("seq", F.col("why").alias("said_why"), "said")
+    verdicts = read.join(judged, "seq", "left")
+    why = F.when(F.col("why") != "", F.col("why")).otherwise(F.coalesce("said_why", F.lit("")))
+    verdicts = verdicts.select("seq", "id", "action", "conflict", (why == "").alias("applicable"), (F.col("why") != "").alias("invalid"), why.alias("why"), F.coalesce("said", "body").alias("completed"))
+    patches = folded.filter("kind = 1").select(F.col("seq").alias(ROW), F.from_json("said", "map<string,string>").alias("patch"))
+    return Outcome(verdicts, patches, folded.filter("kind = 0").select(F.col("seq").alias(ROW)), last_key)
+
+
+def _folder(sha256: str):
+    """From rows (part, kind, seq, body, key_column) of keys, rows and corrections, sorted: kind 0 dropped rows, 1 patches, 2 verdicts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("kind", pa.int32()), ("seq", pa.int64()), ("why", pa.string()), ("said", pa.string())])
+        part, keys, rows, out = None, {}, None, []
+
+        def ended():
+            if rows is not None:
+                out.extend({"kind": 0, "seq": n} for n in sorted(rows.dropped))
+                out.extend({"kind": 1, "seq": n, "said": json.dumps(p)} for n, p in sorted(rows.changed.items()))
+
+        for batch in batches:
+            for p, kind, seq, body, key_column in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if p != part:
+                    ended()
+                    part, keys, rows = p, {}, None
+                said = json.loads(body)
+                if kind == 0:
+                    keys[said["column"], said["value"]] = bool(said.get("many"))
+                    continue
+                rows = rows or Rows(keys, [k for k, much in keys.items() if much])
+                if kind == 1:
+                    rows.add(seq, said)
+                    continue
+                same = not (sha256 and said.get("source_sha256")) or said["source_sha256"] == sha256
+                why = rows.apply(said, key_column, same)
+                if any(isinstance(r, str) for r in _refs(said)):
+                    said.setdefault("key_column", key_column)
+                if sha256:
+                    said.setdefault("source_sha256", sha256)
+                out.append({"kind": 2, "seq": seq, "why": why, "said": json.dumps(said)})
+            yield from pa.Table.from_pylist(out, schema=schema).to_batches()
+            out = []
+        ended()
+        yield from pa.Table.from_pylist(out, schema=schema).to_batches()
+
+    return run
+
+
+def applied(sheet: DataFrame, outcome: Outcome) -> DataFrame:
     """The sheet with patched cells and without dropped rows; row numbers stay."""
-    spark = sheet.sparkSession
-    if dropped:
-        sheet = sheet.join(F.broadcast(spark.createDataFrame([(n,) for n in sorted(dropped)], f"{ROW} long")), ROW, "left_anti")
-    columns = sorted({c for p in patches.values() for c in p})
-    if not columns:
-        return sheet
-    given = spark.createDataFrame([(n, dict(p)) for n, p in sorted(patches.items())], f"{ROW} long, __patch map<string,string>")
-    joined = sheet.join(F.broadcast(given), ROW, "left")
-    new = {c: F.coalesce(F.try_element_at("__patch", F.lit(c)), F.col(f"`{c}`").cast("string")) for c in columns}
+    joined = sheet.join(outcome.dropped, ROW, "left_anti").join(outcome.patches, ROW, "left")
+    columns = [r[0] for r in outcome.patches.select(F.explode(F.map_keys("patch"))).distinct().collect()]  # columns of the sheet at most
+    new = {c: F.coalesce(F.try_element_at("patch", F.lit(c)), F.col(f"`{c}`").cast("string")) for c in columns if c in sheet.columns}
     return joined.withColumns(new).select(*(F.col(f"`{c}`") for c in sheet.columns))
 
 
+@dataclass(frozen=True)
+class Worked:
+    """sheet: corrected; verdicts by id; corrections: the list with its active ones completed; key: the column in force at the end."""
+
+    sheet: DataFrame
+    verdicts: dict[str, dict]
+    corrections: list[dict]
+    key: str
+
+
+def worked(sheet: DataFrame, key: str, corrections: list[dict], sha256: str = "") -> Worked:
+    """A list of corrections applied, and the list as it is to be recorded."""
+    if not active(corrections):
+        return Worked(sheet, {}, corrections, key)
+    outcome = fold(sheet, key, as_table(sheet.sparkSession, numbered_ids(corrections)), sha256, apart=False)
+    rows = outcome.verdicts.orderBy("seq").collect()  # one for each of the list
+    verdicts = {r["id"]: {"applicable": r["applicable"], "invalid": r["invalid"], "why": r["why"]} for r in rows}
+    return Worked(applied(sheet, outcome), verdicts, merged(corrections, [json.loads(r["completed"]) | {"id": r["id"]} for r in rows]), outcome.key)
+
+
 def prepared(sheet: DataFrame, key: str, corrections: list[dict], same_source: bool = True) -> tuple[DataFrame, dict[str, dict]]:
-    """(the corrected sheet, verdicts)."""
-    patches, dropped, verdicts = fold(sheet, key, corrections, same_source)
-    return applied(sheet, patches, dropped), verdicts
+    """(the corrected sheet, verdicts by id). same_source False: references by row number don't hold."""
+    done = worked(sheet, key, corrections if same_source else [c | {"source_sha256": "another"} for c in corrections], "" if same_source else "this")
+    return done.sheet, done.verdicts
+
+
+def numbered_ids(corrections: list[dict]) -> list[dict]:
+    """Those in force, where one without id gets the next free of c1, c2, ..."""
+    taken, n, out = {text(c.get("id")) for c in active(corrections)}, 0, []
+    for c in active(corrections):
+        if not text(c.get("id")):
+            n += 1
+            while f"c{n}" in taken:
+                n += 1
+            c = c | {"id": f"c{n}"}
+        out.append(c)
+    return out
 
 
 def conflict_status(fresh: DataFrame, previous: DataFrame, answers: DataFrame, hash_changed: bool) -> DataFrame:

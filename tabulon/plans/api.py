@@ -27,6 +27,8 @@ class Import:
     create: DataFrame
     errors: DataFrame | None = None
     verdicts: dict = field(default_factory=dict)
+    corrections: list = field(default_factory=list)
+    sha256: str = ""
 
 
 def map_sheet(sheet: DataFrame, meta: TableMeta, overrides: dict | None = None) -> matching.Mapping:
@@ -41,17 +43,24 @@ def clean(sheet: DataFrame, key: str | None = None, required: list[str] | None =
 
 def import_sheet(
     sheet: DataFrame, meta: TableMeta, target: DataFrame, linked: dict[str, DataFrame], key: str | None = None,
-    overrides: dict | None = None, fixes: list[dict] | None = None, id_field: str = "name", previous: DataFrame | None = None,
+    overrides: dict | None = None, fixes: list[dict] | None = None, id_field: str = "name", previous: DataFrame | None = None, previous_sha256: str = "",
 ) -> Import:
-    """Plan from the raw sheet, payloads from the corrected one, conflicts, the gate, and what is new."""
+    """Plan from the raw sheet, payloads from the corrected one, conflicts, the gate, and what is new.
+
+    corrections: fixes as they are to be recorded, each with its id, key column, first sighting and the sheet's
+    fingerprint (sha256), by which a later import sees that row numbers may no longer hold. previous, previous_sha256:
+    the conflicts and the fingerprint of the import before.
+    """
     mapping = map_sheet(sheet, meta, overrides)
     targets = {m.header: m.path for m in mapping.matches if m.path}
     key = dedup.infer_key_column(headers(sheet), targets, id_field, key)
-    fixed, verdicts = corrections.prepared(sheet, key, fixes or []) if key else (sheet, {})
+    sha256 = corrections.fingerprint(sheet) if fixes or previous_sha256 else ""
+    done = corrections.worked(sheet, key or "", fixes or [], sha256)
+    fixed, key = done.sheet, done.key or key
     conflicts = analysis.analyse(sheet, mapping, meta, key, linked)
     spark = sheet.sparkSession
     known = previous if previous is not None else spark.createDataFrame([], "conflict_key string, severity string, status string")
-    found = corrections.conflict_status(conflicts, known, _answers(sheet, fixes, verdicts), False)
+    found = corrections.conflict_status(conflicts, known, _answers(spark, done), bool(previous_sha256 and previous_sha256 != sha256))
     plan = mapping.plan()
     payloads = transform.payloads(fixed, plan)
     if meta.name == "Employee" and "employee_number" in payloads.columns:
@@ -66,7 +75,7 @@ def import_sheet(
     statuses = dedup.dedup_status(payloads, spec, existing)
     create = dedup.to_create(statuses)
     blocked = bool(corrections.blocking(found).take(1))
-    return Import(mapping, found, blocked, statuses, tree.parents_first(create) if "level" in create.columns else create, transform.payload_errors(fixed, plan), verdicts)
+    return Import(mapping, found, blocked, statuses, tree.parents_first(create) if "level" in create.columns else create, transform.payload_errors(fixed, plan), done.verdicts, done.corrections, sha256)
 
 
 def import_parties(sheet: DataFrame, parties: DataFrame, contacts: DataFrame, addresses: DataFrame) -> DataFrame:
@@ -91,25 +100,28 @@ class PartyImport:
     contacts: DataFrame
     addresses: DataFrame
     verdicts: dict = field(default_factory=dict)
+    corrections: list = field(default_factory=list)
+    sha256: str = ""
 
 
 def import_party_sheet(
-    sheet: DataFrame, metas: dict[str, TableMeta], linked: dict[str, DataFrame], mappings: dict[str, str | None] | None = None, fixes: list[dict] | None = None, previous: DataFrame | None = None,
+    sheet: DataFrame, metas: dict[str, TableMeta], linked: dict[str, DataFrame], mappings: dict[str, str | None] | None = None, fixes: list[dict] | None = None, previous: DataFrame | None = None, previous_sha256: str = "",
 ) -> PartyImport:
     """A flat sheet analysed as it is, corrected, gated, split in three and converted to the fields' types."""
     spec, spark = _party(sheet), sheet.sparkSession
     extra, types = party.extensions(mappings or {}), party.type_maps(_party(sheet), metas)
-    conflicts = parties.analyse(sheet, spec, metas, linked, extra)
-    fixed, verdicts = corrections.prepared(sheet, spec.name_column, fixes or [])
+    sha256 = corrections.fingerprint(sheet) if fixes or previous_sha256 else ""
+    done = corrections.worked(sheet, spec.name_column, fixes or [], sha256)
+    fixed, conflicts = done.sheet, parties.analyse(sheet, spec, metas, linked, extra, done.key)
     known = previous if previous is not None else spark.createDataFrame([], "conflict_key string, severity string, status string")
-    found, blocked = parties.gate(conflicts, known, _answers(sheet, fixes, verdicts))
+    found, blocked = parties.gate(conflicts, known, _answers(spark, done), bool(previous_sha256 and previous_sha256 != sha256))
     of = lambda kind: (extra.get(kind), types.get(kind))
-    return PartyImport(found, blocked, party.split_party(fixed, spec, *of(spec.key)), party.split_contact(fixed, *of("contact")), party.split_address(fixed, spec, *of("address")), verdicts)
+    return PartyImport(found, blocked, party.split_party(fixed, spec, *of(spec.key)), party.split_contact(fixed, *of("contact")), party.split_address(fixed, spec, *of("address")), done.verdicts, done.corrections, sha256)
 
 
-def _answers(sheet: DataFrame, fixes: list[dict] | None, verdicts: dict) -> DataFrame:
-    rows = [(str(f.get("conflict")), f["action"], verdicts.get(str(f.get("id", k)), {}).get("applicable", False)) for k, f in enumerate(corrections.active(fixes or []))]
-    return sheet.sparkSession.createDataFrame(rows, "conflict_key string, action string, applicable boolean")
+def _answers(spark, done: corrections.Worked) -> DataFrame:
+    rows = [(str(c.get("conflict")), c["action"], done.verdicts[c["id"]]["applicable"]) for c in corrections.active(done.corrections)]
+    return spark.createDataFrame(rows, "conflict_key string, action string, applicable boolean")
 
 
 # Verbs that change something give the journal's entries with it, so that `revert` can undo them.

@@ -328,13 +328,6 @@ def test_verbs_and_revert(spark, tmp_path):
     assert settings["Customer"]["mappings"] == {"Vip": "tax_id"} and corrections.active(left) == [] and len(left) == 1
 
 
-def test_corrections_see_rows_beyond_the_first_of_a_key(spark):
-    rows = sheet(spark, ["Name", "V"], [("k", str(n)) for n in range(9)])
-    fixes = [{"id": str(n), "action": "skip_row", "reason": "r", "ref": {"row": n + 2}} for n in range(8)] + [{"id": "last", "action": "set_value", "reason": "r", "ref": "k", "column": "V", "to": "new"}]
-    out, verdicts = corrections.prepared(rows, "Name", fixes)
-    assert verdicts["last"]["applicable"] and [(r["__row"], r.V) for r in out.collect()] == [(10, "new")]
-
-
 def test_import_marks_groups_and_reads_numbers(spark):
     meta = schema.TableMeta("Territory", (schema.FieldMeta("territory_name", "Territory Name", required=True), schema.FieldMeta("parent", "Parent", "Link", options="Territory"), schema.FieldMeta("is_group", "Is Group", "Check"), schema.FieldMeta("size", "Size", "Int")))
     rows = spark.createDataFrame([(2, "leaf", "mid", "", 12.5), (3, "mid", "top", None, -3.9), (4, "top", "", "yes", None), (5, "solo", "", "No", 1.0)], "__row long, `Territory Name` string, Parent string, `Is Group` string, Size double")
