@@ -238,6 +238,17 @@ def as_table(spark: SparkSession, corrections: list[dict]) -> DataFrame:
     return spark.createDataFrame([(k, json.dumps(c, default=str)) for k, c in enumerate(active(corrections))], "seq long, body string")
 
 
+def in_force(recorded: DataFrame) -> DataFrame:
+    """Those of a table (seq, body) that aren't revoked."""
+    return recorded.filter(F.get_json_object("body", "$.revoked_at").isNull())
+
+
+def completed(recorded: DataFrame, outcome: Outcome) -> DataFrame:
+    """seq, body of a table with its active corrections filled in, revoked ones as they are."""
+    done = outcome.verdicts.select("seq", F.col("completed").alias("filled"))
+    return recorded.select("seq", "body").join(done, "seq", "left").select("seq", F.coalesce("filled", "body").alias("body"))
+
+
 READ = "seq long, body string, id string, action string, conflict string, why string, new_key string, own_key string, keys array<string>, numbers array<bigint>, writes array<struct<column: string, value: string>>"
 
 

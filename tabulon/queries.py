@@ -6,6 +6,7 @@ A table becomes a sheet by its dense primary key: `__row` is the key plus 2.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,15 +105,25 @@ CUSTOMER_META = schema.TableMeta(
 )
 
 
+_DESCRIBED = ("documents", "embeddings", "events", "lineitem", "orders")
+
+
 @query(
     "describe_schema",
-    """select * from (values
-        ('customer_name', 'Data', true, ''), ('customer_type', 'Select', false, ''), ('customer_group', 'Link', false, 'Customer Group'),
-        ('territory', 'Link', true, 'Territory'), ('email_id', 'Data', false, ''), ('credit_limits', 'Table', false, ''),
-        ('credit_limits.credit_limit', 'Currency', true, ''), ('credit_limits.company', 'Link', false, 'Company')) t(path, fieldtype, required, link)""",
+    f"""select table_name as source, column_name as path, case data_type when 'BIGINT' then 'Int' when 'INTEGER' then 'Int' when 'DOUBLE' then 'Float' when 'TIMESTAMP' then 'Datetime' else 'Data' end as fieldtype, false as required
+    from information_schema.columns where table_name in {_DESCRIBED}
+    union all select 'orders', 'priority_class', 'Select', false union all select 'orders', 'lines', 'Table', false
+    union all select 'orders', 'lines.' || column_name, case data_type when 'BIGINT' then 'Int' when 'INTEGER' then 'Int' when 'DOUBLE' then 'Float' when 'TIMESTAMP' then 'Datetime' else 'Data' end, false from information_schema.columns where table_name = 'lineitem'""",
 )
 def describe_schema(spark, d):
-    return schema.describe(spark, CUSTOMER_META.with_custom([schema.FieldMeta("tax_id", "Other")])).select("path", "fieldtype", "required", "link")
+    """Every field of some tables; orders with a custom field and its lines as child table."""
+    metas = {t: schema.from_struct(t, table(spark, d, t).schema) for t in _DESCRIBED}
+    metas["orders"] = metas["orders"].with_child("lines", metas["lineitem"]).with_custom([schema.FieldMeta("priority_class", "Priority Class", "Select", options="high\nlow")])
+    out = None
+    for t, meta in metas.items():
+        one = schema.describe(spark, meta, all_fields=True).select(F.lit(t).alias("source"), "path", "fieldtype", "required")
+        out = one if out is None else out.union(one)
+    return out
 
 
 @query(
@@ -212,25 +223,39 @@ def identifier_columns(spark, d):
 
 # ---------------------------------------------------------------- matching
 
-HEADERS = ["Customer Name", "customer type", "Group", "Territory", "Email", "TaxID", "Credit Limit", "Vendor Rating"]
+_MATCHED = ("customer", "documents", "orders", "supplier")
+
+
+def _disguised(name: str, place: int) -> str:
+    """A column's name as a sheet might have it: as it is, in other letters, or with a word more."""
+    return (f"{name} given", name, name.upper().replace("_", " "))[place % 3]
 
 
 @query(
     "match_columns",
-    """select header, path, cast(confidence as double) as confidence, method, rivals from (values
-        ('Customer Name', 'customer_name', 1.0, 'exact', ''), ('customer type', 'customer_type', 0.95, 'normalized', ''), ('Group', 'customer_group', 0.85, 'token', ''),
-        ('Territory', 'territory', 1.0, 'exact', ''), ('Email', 'email_id', 0.85, 'token', ''), ('TaxID', 'tax_id', 0.95, 'normalized', ''),
-        ('Credit Limit', 'credit_limits.credit_limit', 0.95, 'normalized', ''), ('Vendor Rating', null, 0.0, 'none', '')) t(header, path, confidence, method, rivals)""",
+    f"""select table_name as source, header, column_name as path, case ordinal_position % 3 when 1 then 1.0::double when 2 then 0.95::double else 0.85::double end as confidence,
+        case ordinal_position % 3 when 1 then 'exact' when 2 then 'normalized' else 'token' end as method, case when column_name like '_~_name' escape '~' or column_name like '%~_id' escape '~' then 'name' else '' end as rivals
+    from (select *, case ordinal_position % 3 when 0 then column_name || ' given' when 1 then column_name else replace(upper(column_name), '_', ' ') end as header from information_schema.columns where table_name in {_MATCHED})
+    union all select table_name, 'Vendor Rating', null, 0.0, 'none', '' from information_schema.columns where table_name in {_MATCHED} and ordinal_position = 1""",
 )
 def match_columns(spark, d):
-    found = matching.as_frame(spark, matching.suggest(HEADERS, CUSTOMER_META))
-    return found.withColumn("rivals", F.array_join("rivals", ","))
+    """The columns of some tables, disguised, and one that no field has."""
+    out = None
+    for t in _MATCHED:
+        meta = schema.from_struct(t, table(spark, d, t).schema)
+        heads = [_disguised(f.name, k + 1) for k, f in enumerate(meta.fields)]
+        one = matching.as_frame(spark, matching.suggest([*heads, "Vendor Rating"], meta)).withColumn("rivals", F.array_join("rivals", ",")).withColumn("source", F.lit(t))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
-@query("required_missing", "select 'territory' as field")
+@query("required_missing", "select column_name as field from information_schema.columns where table_name = 'lineitem' and column_name like '%key' and ordinal_position % 2 = 0")
 def required_missing(spark, d):
-    mapping = matching.suggest([h for h in HEADERS if h != "Territory"], CUSTOMER_META)
-    return spark.createDataFrame([(f,) for f in matching.required_missing(mapping)], "field string")
+    """Every key of a line is required; a sheet that has each second column only lacks those."""
+    meta = schema.from_struct("lineitem", table(spark, d, "lineitem").schema)
+    heads = [f.name for f in meta.fields][::2]
+    meta = replace(meta, fields=tuple(replace(f, required=f.name.endswith("key")) for f in meta.fields))
+    return spark.createDataFrame([(f,) for f in matching.required_missing(matching.suggest(heads, meta))], "field string")
 
 
 @query("apply_override_projection", "select c_custkey + 2 as row_no, c_name as customer_name, 'Company' as customer_type, c_mktsegment as tax_id from customer")
@@ -654,10 +679,14 @@ ADDRESS_META = schema.TableMeta(
 PARTY_METAS = {"Customer": CUSTOMER_META.with_custom([schema.FieldMeta("is_vip", "VIP", "Check")]), "Contact": CONTACT_META, "Address": ADDRESS_META}
 
 
-@query("flat_extra_columns", "select * from (values ('Rating', 'create', 'customer.rating'), ('VIP', 'extend', 'customer.is_vip')) t(header, advice, target)")
+@query(
+    "flat_extra_columns",
+    "select distinct c_mktsegment as header, 'create' as advice, 'customer.' || lower(c_mktsegment) as target from customer union all select 'VIP', 'extend', 'customer.is_vip' from (select count(*) as n from customer) where n > 0",
+)
 def flat_extra_columns(spark, d):
-    """Columns outside the contract of a flat sheet: a field that fits, or one to create."""
-    return parties.extra_columns(_party_sheet(spark, d), party.PARTIES["Customer"], PARTY_METAS)
+    """Columns outside the contract of a flat sheet: a field that fits, or one to create. The segments are columns here, as in a sheet that counts by them."""
+    wide = table(spark, d, "customer").groupBy(F.col("c_name").alias("Customer Name")).pivot("c_mktsegment").count()
+    return parties.extra_columns(wide.withColumn("VIP", F.lit("yes")), party.PARTIES["Customer"], PARTY_METAS)
 
 
 @query(
@@ -814,43 +843,82 @@ def apply_revoked(spark, d):
     return _fixed(spark, d, corrections.revoked(FIXES[:3], "1", "2024-01-01"))
 
 
-@query("merged_corrections", "select * from (values ('1', true, ''), ('2', false, 'name'), ('3', false, 'name')) t(id, is_revoked, key_column)")
+@query(
+    "merged_corrections",
+    """select s_suppkey as seq, 'c' || (s_suppkey + 1) as id, s_suppkey % 4 = 0 as is_revoked, case when s_suppkey % 4 = 0 then null when s_suppkey % 4 = 2 then null else 'name' end as key_column,
+        case when s_suppkey % 4 = 0 then null when s_suppkey % 4 = 3 then '-1' else cast(s_nationkey as varchar) end as seen from supplier""",
+)
 def merged_corrections(spark, d):
-    """The record with its active corrections completed and the revoked ones as they were."""
-    recorded = corrections.revoked(FIXES[:3], "1", "2024-01-01")
-    done = corrections.merged(recorded, [c | {"key_column": "name"} for c in corrections.active(recorded)])
-    return spark.createDataFrame([(c["id"], "revoked_at" in c, c.get("key_column", "")) for c in done], "id string, is_revoked boolean, key_column string")
+    """One correction for each supplier; the record has the active ones completed and the revoked ones as they were."""
+    s = F.col("s_suppkey")
+    at = F.when(s % 4 == 2, F.concat(F.lit('{"row": '), (s + 2).cast("string"), F.lit("}"))).otherwise(F.concat(F.lit('"Supplier '), s.cast("string"), F.lit('"')))
+    extra = F.when(s % 4 == 3, ', "from": "-1"').otherwise(F.when(s % 4 == 0, ', "revoked_at": "2024"').otherwise(""))
+    body = F.concat(F.lit('{"action": "set_value", "column": "nation", "value": "99", "at": '), at, extra, F.lit("}"))
+    recorded = table(spark, d, "supplier").select(s.alias("seq"), body.alias("body"))
+    outcome = corrections.fold(_suppliers(spark, d), "name", corrections.in_force(recorded))
+    done = corrections.completed(recorded, outcome)
+    part = lambda name: F.get_json_object("body", f"$.{name}")
+    return done.select("seq", F.coalesce(part("id"), F.concat(F.lit("c"), F.col("seq") + 1)).alias("id"), part("revoked_at").isNotNull().alias("is_revoked"), part("key_column").alias("key_column"), part("from").alias("seen"))
 
 
-@query("corrections_applied", "select * from (values ('1', true), ('2', false), ('3', true), ('4', true), ('5', false)) t(id, applicable)")
+@query(
+    "corrections_applied",
+    "select id, applicable from (values ('1', true), ('2', (select s_nationkey = -1 from supplier where s_suppkey = 4)), ('3', true), ('4', true), ('5', (select count(*) = 1 from supplier where s_suppkey = 5))) t(id, applicable)",
+)
 def corrections_applied(spark, d):
     _, verdicts = corrections.prepared(_suppliers(spark, d), "name", FIXES)
     return spark.createDataFrame([(k, v["applicable"]) for k, v in verdicts.items()], "id string, applicable boolean")
 
 
+@query(
+    "corrections_of_orders",
+    """select 2 * o_orderkey as seq, case o_orderkey % 5 when 0 then o_orderstatus = 'O' when 2 then n = 1 when 4 then false else true end as applicable
+    from (select o_orderkey, o_orderstatus, count(*) over (partition by o_custkey) as n from orders)
+    union all select 2 * o_orderkey + 1, true from orders where o_orderkey % 5 = 1""",
+)
+def corrections_of_orders(spark, d):
+    """A correction or two for each order, folded by components: cells by number and by customer, skips and second skips, merges, cells of merged rows."""
+    orders = table(spark, d, "orders")
+    k, row = F.col("o_orderkey"), lambda n: F.concat(F.lit('{"row": '), n.cast("string"), F.lit("}"))
+    cell = lambda at, more="": F.concat(F.lit('{"action": "set_value", "column": "status", "value": "X"' + more + ', "at": '), at, F.lit("}"))
+    skip = F.concat(F.lit('{"action": "skip_row", "reason": "twice", "at": '), row(k + 2), F.lit("}"))
+    merge = F.concat(F.lit('{"action": "merge_rows", "keep": '), row(k + 2), F.lit(', "drop": ['), row(k + 1), F.lit("]}"))
+    by_customer = cell(F.concat(F.lit('"'), F.col("o_custkey").cast("string"), F.lit('"')))
+    body = F.when(k % 5 == 0, cell(row(k + 2), ', "from": "O"')).when(k % 5 == 1, skip).when(k % 5 == 2, by_customer).when(k % 5 == 3, merge).otherwise(cell(row(k)))
+    fixes = orders.select((2 * k).alias("seq"), body.alias("body")).union(orders.filter("o_orderkey % 5 = 1").select(2 * k + 1, skip))
+    done = corrections.fold(sheet(orders, "o_orderkey", customer="o_custkey", status="o_orderstatus"), "customer", fixes)
+    return done.verdicts.select("seq", "applicable")
+
+
 @query("resolve_ref", "select ref, hits, case when hits = 1 then first_row end as row_no from (select x.ref, count(s.s_suppkey) as hits, min(s.s_suppkey) + 2 as first_row from (values ('0'), ('24'), ('none')) x(ref) left join supplier s on cast(s.s_nationkey as varchar) = x.ref group by x.ref)")
 def resolve_ref(spark, d):
     return corrections.resolve(_suppliers(spark, d), "nation", ["0", "24", "none"]).withColumnRenamed("__row", "row_no")
 
 
-def _conflicts(spark):
-    fresh = spark.createDataFrame([("a", "error"), ("b", "error"), ("c", "error"), ("d", "warning"), ("e", "error")], "conflict_key string, severity string")
-    before = spark.createDataFrame([("a", "error", "open"), ("b", "error", "open"), ("x", "error", "corrected"), ("y", "error", "open")], "conflict_key string, severity string, status string")
-    answers = spark.createDataFrame([("a", "set_value", True), ("b", "set_value", True), ("b", "skip_row", False), ("c", "dismiss_conflict", False), ("x", "set_value", True)], "conflict_key string, action string, applicable boolean")
+def _conflicts(spark, d):
+    """Suppliers as conflicts: some detected, some known from before, some answered."""
+    s = table(spark, d, "supplier").withColumn("conflict_key", F.concat(F.lit("link:"), F.col("s_suppkey").cast("string"))).withColumn("severity", F.when(F.col("s_acctbal") < 5000, "error").otherwise("warning"))
+    fresh = s.filter("s_suppkey % 7 <> 0").select("conflict_key", "severity")
+    before = s.filter("s_suppkey % 3 <> 0").select("conflict_key", "severity", F.when(F.col("s_suppkey") % 3 == 1, "open").otherwise("corrected").alias("status"))
+    answers = s.filter("s_suppkey % 2 = 0").select("conflict_key", F.lit("set_value").alias("action"), (F.col("s_suppkey") % 4 == 0).alias("applicable"))
+    answers = answers.union(s.filter("s_suppkey % 10 = 6").select("conflict_key", F.lit("dismiss_conflict"), F.lit(False)))
     return corrections.conflict_status(fresh, before, answers, True)
 
 
-_CONFLICTS = "select * from (values ('a','error','corrected','corrected'), ('b','error','stale','stale'), ('c','error','waived','detected,waived'), ('d','warning','open','detected'), ('e','error','open','detected'), ('x','error','stale','stale'), ('y','error','resolved','resolved')) t(conflict_key, severity, status, event)"
+_CONFLICTS = """select conflict_key, severity, status, case when was is null and status = 'open' then 'detected' when was is null then 'detected,' || status when status <> was then status end as event
+    from (select 'link:' || s_suppkey as conflict_key, case when s_acctbal < 5000 then 'error' else 'warning' end as severity, case s_suppkey % 3 when 1 then 'open' when 2 then 'corrected' end as was,
+        case when s_suppkey % 7 = 0 then case when s_suppkey % 2 = 0 then 'stale' else 'resolved' end when s_suppkey % 10 = 6 then 'waived' when s_suppkey % 2 = 1 then 'open' when s_suppkey % 4 = 0 then 'corrected' else 'stale' end as status
+        from supplier where s_suppkey % 7 <> 0 or s_suppkey % 3 <> 0)"""
 
 
 @query("conflict_status", _CONFLICTS)
 def conflict_status(spark, d):
-    return _conflicts(spark)
+    return _conflicts(spark, d)
 
 
 @query("blocking_conflicts", f"select conflict_key from ({_CONFLICTS}) where severity = 'error' and status in ('open', 'stale')")
 def blocking_conflicts(spark, d):
-    return corrections.blocking(_conflicts(spark)).select("conflict_key")
+    return corrections.blocking(_conflicts(spark, d)).select("conflict_key")
 
 
 # ---------------------------------------------------------------- logs
@@ -959,10 +1027,14 @@ def requirement_coverage(spark, d):
     return journal.covered(wanted, made).select("id", F.size("missing").cast("long").alias("n_missing"), "satisfied")
 
 
-@query("stall_rounds", "select * from (values (1, 2, 0), (2, 2, 1), (3, 2, 2), (4, 1, 0), (5, 1, 1), (6, 2, 0)) t(round, conflicts, stalled)")
+@query(
+    "stall_rounds",
+    """with s as (select event_id // 8 as round, list_sort(list(distinct event_type)) as f from events group by 1), m as (select round, len(f) as conflicts, coalesce(f = lag(f) over (order by round), false) as same from s),
+    r as (select *, sum(case when same then 0 else 1 end) over (order by round) as run from m) select round, conflicts, cast(row_number() over (partition by run order by round) - 1 as bigint) as stalled from r""",
+)
 def stall_rounds(spark, d):
-    rounds = {1: "ab", 2: "ab", 3: "ab", 4: "a", 5: "a", 6: "ac"}
-    return journal.stall_rounds(spark.createDataFrame([(k, c) for k, v in rounds.items() for c in v], "round int, fingerprint string"))
+    """Eight events are a round; their kinds are its outstanding errors."""
+    return journal.stall_rounds(table(spark, d, "events").select(F.expr("event_id div 8").alias("round"), F.col("event_type").alias("fingerprint")))
 
 
 def queries() -> dict[str, Query]:

@@ -46,6 +46,9 @@ class TableMeta:
         """Custom fields added; the base schema wins where names clash."""
         return replace(self, fields=(*self.fields, *(f for f in custom if self.field(f.name) is None)))
 
+    def with_child(self, name: str, child: TableMeta) -> TableMeta:
+        return replace(self, fields=(*self.fields, FieldMeta(name, name, "Table", options=child.name)), children=(*self.children, (name, child)))
+
     def struct(self) -> T.StructType:
         fields = []
         for f in self.fields:
@@ -59,7 +62,7 @@ class TableMeta:
 
 def from_struct(name: str, schema: T.StructType) -> TableMeta:
     """The schema of a DataFrame as target metadata."""
-    kinds = {"bigint": "Int", "int": "Int", "double": "Float", "float": "Float", "date": "Date", "timestamp": "Datetime", "boolean": "Check"}
+    kinds = {"bigint": "Int", "int": "Int", "double": "Float", "float": "Float", "date": "Date", "timestamp": "Datetime", "timestamp_ntz": "Datetime", "boolean": "Check"}
     fields, children = [], []
     for f in schema.fields:
         m = f.metadata
