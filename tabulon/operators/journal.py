@@ -20,6 +20,21 @@ def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return read.filter("_corrupt_record is null").drop("_corrupt_record")
 
 
+def read_runs(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """All logs of a folder: run (the file's name without suffix), modified (when it was written last), seq (the line's order in its file), and the fields.
+
+    A line's place is that of its block and its order in the block, whatever order Spark deals blocks out in.
+    """
+    read = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(folder)
+    at, place = F.monotonically_increasing_id(), ("__file", "__block")
+    lines = read.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.col("_metadata.file_modification_time").alias("modified"))
+    lines = written(lines.withColumn("__at", at), "log")
+    first = lines.groupBy(*place).agg(F.min("__at").alias("__first"))
+    named = F.regexp_extract("__file", r"([^/]+?)(\.[^./]*)*$", 1)
+    out = lines.filter("_corrupt_record is null").join(first, list(place)).withColumn("run", named).withColumn("seq", F.col("__block") + F.col("__at") - F.col("__first"))
+    return out.drop("_corrupt_record", "__at", "__first", *place)
+
+
 def log_counts(log: DataFrame) -> DataFrame:
     """status, count."""
     return log.groupBy("status").agg(F.count("*").alias("count"))

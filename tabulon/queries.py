@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from tabulon.functions import convert, text
 from tabulon.operators import corrections, dedup, employees, journal, links, neardup, party, profile, quality, transform, tree
 from tabulon.plans import analysis, matching, parties
-from tabulon.sources import files, records, schema
+from tabulon.sources import files, records, schema, sink
+from tabulon.sources.shared import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -60,6 +61,24 @@ def scan_nonblank_rows(spark, d):
     return dedup.numbered(kept, "event_id").select(F.col("__row").alias("row_no"), "event_type", "props")
 
 
+_LINES = "replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+
+
+@query(
+    "scan_split_csv",
+    f"""select row_number() over (order by doc_id) + 1 as row_no, doc_id, length({_LINES}) as n_chars, sha256({_LINES}) as digest, coalesce(lang, '') as lang from documents where doc_id is not null""",
+)
+def scan_split_csv(spark, d):
+    """Documents written as quoted CSV files, whose cells hold line breaks, and read back by as many tasks as they have blocks."""
+    path = f"{new_folder(spark, 'sheet')}.csv"
+    docs = table(spark, d, "documents").filter("doc_id is not null").select("doc_id", "text", "lang")
+    options = {"header": True, "quoteAll": True, "escape": '"', "emptyValue": "", "nullValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.options(**options).csv(path)
+    rows = files.read_source(spark, path)
+    cell = F.coalesce("text", F.lit(""))
+    return rows.select(F.col("__row").alias("row_no"), F.col("doc_id").cast("long").alias("doc_id"), F.length(cell).cast("long").alias("n_chars"), F.sha2(cell, 256).alias("digest"), F.coalesce("lang", F.lit("")).alias("lang"))
+
+
 @query("filter_eq", "select o_orderkey, o_custkey from orders where o_orderstatus = 'F'")
 def filter_eq(spark, d):
     return records.list_records(table(spark, d, "orders"), [("o_orderstatus", "=", "F")], ["o_orderkey", "o_custkey"])
@@ -136,6 +155,37 @@ def load_outcome(spark, d):
     return records.load_outcome(supplier.select("s_suppkey"), "s_suppkey", there, F.col("s_suppkey") % 10 != 0, "no nation")
 
 
+@query(
+    "sink_outcomes",
+    """with p as (select s_suppkey + 2 as row_no, case s_suppkey % 9 when 8 then 'twin' when 7 then '' else s_name end as key, s_acctbal < 0 as owes, s_suppkey % 10 = 1 and s_suppkey % 9 not in (7, 8) as there from supplier),
+    f as (select min(row_no) as first from p where key = 'twin' and not owes), n as (select count(distinct key) as n_after from p where there or key <> '' and not owes)
+    select row_no, key, there or key <> '' and not owes as ok, there or key = 'twin' and not owes and row_no > first as skipped, case when there then null when key = '' then 'no key' when owes then 'owes' end as error, n_after from p, f, n""",
+)
+def sink_outcomes(spark, d):
+    """Suppliers added to a table that has some: those that owe and those without a name are refused, repeated names and what is there are skipped."""
+    s, path = F.col("s_suppkey"), new_folder(spark, "target")
+    rows = table(spark, d, "supplier").select((s + 2).alias("__row"), F.when(s % 9 == 8, "twin").when(s % 9 == 7, "").otherwise(F.col("s_name")).alias("name"), F.col("s_acctbal").alias("balance"))
+    rows.filter("(__row - 2) % 10 = 1 and name not in ('twin', '')").drop("__row").write.parquet(path)
+    done = sink.stored_in(rows, "name", path, F.col("balance") >= 0, "owes")
+    after = spark.read.parquet(path).agg(F.count("*").alias("n_after"))
+    return done.select(F.col("__row").alias("row_no"), "key", "ok", "skipped", "error").join(F.broadcast(after))
+
+
+@query(
+    "import_outcomes",
+    """select o_orderkey + 2 as row_no, case when o_orderkey % 7 = 6 then '' else 'ORD-' || o_orderkey end as key, case when o_orderstatus = 'F' then 'created' else 'failed' end as status,
+        case when o_orderstatus = 'F' then null when o_orderkey % 5 = 0 then 'server error' else 'no customer ' || o_custkey || '; retry' end as message
+    from orders where case when o_orderstatus = 'F' then o_orderkey % 7 <> 6 else o_orderkey % 5 <> 1 end""",
+)
+def import_outcomes(spark, d):
+    """The log of a bulk import of orders, as one outcome for each record."""
+    k = F.col("o_orderkey")
+    listed = F.to_json(F.array(F.struct(F.concat(F.lit("no customer "), F.col("o_custkey").cast("string")).alias("message")), F.struct(F.lit("retry").alias("message"))))
+    messages = F.when(k % 5 == 0, "server error").when(k % 5 != 1, listed)
+    log = table(spark, d, "orders").select(F.to_json(F.array(k + 2, k + 3)).alias("row_indexes"), F.when(k % 7 != 6, F.concat(F.lit("ORD-"), k.cast("string"))).alias("docname"), (F.col("o_orderstatus") == "F").alias("success"), messages.alias("messages"))
+    return sink.import_outcomes(log).withColumnRenamed("__row", "row_no")
+
+
 @query("update_record", "select c_custkey, case when c_custkey % 3 = 0 then 'CLOSED' else c_mktsegment end as c_mktsegment from customer")
 def update_record(spark, d):
     customer = table(spark, d, "customer").select("c_custkey", "c_mktsegment")
