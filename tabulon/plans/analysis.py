@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabulon.operators import links, neardup, profile, quality
+from tabulon.operators import links, neardup, pair_report, profile, quality
 from tabulon.plans.matching import Mapping, required_columns, required_missing
 from tabulon.sources.schema import TableMeta
 from tabulon.sources.shared import spread_out
@@ -78,3 +78,24 @@ def analyse(sheet: DataFrame, mapping: Mapping, meta: TableMeta, key: str | None
 def exit_code(conflicts: DataFrame) -> int:
     """2 with an error, else 0."""
     return 2 if conflicts.filter("severity = 'error'").take(1) else 0
+
+
+DETAIL = "conflict_key string, kind string, place int, rows array<long>, values array<string>, signals array<string>, fields array<string>"
+
+
+def details(sheet: DataFrame, key: str, required: list[str] | None = None, compare: list[str] | None = None, cap: int = 25) -> DataFrame:
+    """What stands behind the conflicts of `clean`: the first `cap` groups of repeated keys, rows with blank cells (one row a column), and near pairs.
+
+    place counts from 1 by rows. rows and values are those of the group or pair, fields what differs in it, signals why a pair is one.
+    """
+    sheet = spread_out(sheet)
+    of = lambda kind, source: (F.concat_ws(":", F.lit(kind), source).alias("conflict_key"), F.lit(kind).alias("kind"))
+    place = lambda *order: F.row_number().over(Window.orderBy(*order)).cast("int").alias("place")  # noqa: E731  over at most `cap` rows
+    none = F.lit(None).cast("array<string>")
+    groups = quality.duplicate_groups(sheet, key, compare, cap).orderBy("first_row").limit(cap)
+    out = groups.select(*of("duplicate_row", F.lit(key)), place("first_row"), F.col("rows").cast("array<long>").alias("rows"), "values", none.alias("signals"), F.col("differing_fields").alias("fields"))
+    missing = quality.missing_values(sheet, key, required or [], cap)
+    out = out.union(missing.select(*of("missing_value", F.col("header")), F.lit(1), "rows", none, none, F.array("header")))
+    identifiers = [r["header"] for r in profile.identifier_columns(profile.profile_columns(sheet), key).collect()]  # at most five
+    pairs = pair_report.first_pairs(sheet, key, identifiers, compare, cap)
+    return out.union(pairs.select(*of("possible_duplicate_row", F.lit(key)), place("a_row", "b_row"), F.array("a_row", "b_row"), F.array("a_value", "b_value"), "signals", "differing_fields"))

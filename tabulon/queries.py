@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.functions import convert, text
-from tabulon.operators import corrections, dedup, employees, journal, links, neardup, party, profile, quality, transform, tree
+from tabulon.operators import corrections, dedup, employees, journal, links, neardup, pair_report, party, profile, quality, transform, tree
 from tabulon.plans import analysis, matching, parties
 from tabulon.sources import files, records, schema, sink
 from tabulon.sources.shared import new_folder
@@ -473,10 +473,41 @@ SELECT kind, severity, source, CAST(n AS BIGINT) AS n FROM found WHERE n > 0""",
 )
 def clean_names(spark, d):
     """A sheet with all three kinds of conflicts: repeated and near names, blank cells."""
+    return analysis.clean(_dirty(spark, d), "name", ["brand"]).select("kind", "severity", "source", F.col("count").alias("n"))
+
+
+def _dirty(spark, d):
     key = F.col("p_partkey")
     name = F.when(key % 50 == 0, "").when(key % 97 == 1, F.concat("p_name", F.lit("x"))).when(key % 89 == 2, F.upper("p_name")).otherwise(F.col("p_name"))
-    rows = sheet(table(spark, d, "part"), "p_partkey", name=name, brand=F.when(key % 40 != 0, F.col("p_brand")))
-    return analysis.clean(rows, "name", ["brand"]).select("kind", "severity", "source", F.col("count").alias("n"))
+    return sheet(table(spark, d, "part"), "p_partkey", name=name, brand=F.when(key % 40 != 0, F.col("p_brand")))
+
+
+_FIRST_PAIRS = f"""select a_row, b_row, a.name as a_value, b.name as b_value, near, reordered, a.brand <> b.brand as differs from (select * from (
+    select x.row_no as a_row, y.row_no as b_row, levenshtein(lower(x.name), lower(y.name)) <= 2 as near, list_sort(string_split(lower(x.name), ' ')) = list_sort(string_split(lower(y.name), ' ')) as reordered
+    from {_DIRTY} x join {_DIRTY} y on x.row_no < y.row_no and x.name <> '' and y.name <> '' and lower(x.name) <> lower(y.name)) where near or reordered order by a_row, b_row limit 25)
+    join {_DIRTY} a on a.row_no = a_row join {_DIRTY} b on b.row_no = b_row"""
+
+
+@query("near_dup_first", _FIRST_PAIRS)
+def near_dup_first(spark, d):
+    """The first 25 pairs of a sheet that has far more."""
+    found = pair_report.first_pairs(_dirty(spark, d), "name", [])
+    has = lambda name: F.array_contains("signals", name)
+    return found.select("a_row", "b_row", "a_value", "b_value", has("key_fuzzy").alias("near"), has("token_reorder").alias("reordered"), (F.size("differing_fields") > 0).alias("differs"))
+
+
+@query(
+    "analysis_details",
+    f"""with dups as (select min(row_no) as first, list(row_no order by row_no)[1:25] as rows, min(brand) <> max(brand) as differs from {_DIRTY} where name <> '' group by lower(name) having count(*) > 1)
+    select 'duplicate_row:name' as conflict_key, row_number() over (order by first) as place, array_to_string(rows, ',') as rows, case when differs then 'brand' else '' end as fields, '' as signals from (select * from dups order by first limit 25)
+    union all select 'missing_value:' || c, 1, array_to_string(list(row_no order by row_no)[1:25], ','), c, '' from (select 'name' as c, row_no from {_DIRTY} where name = '' union all select 'brand', row_no from {_DIRTY} where brand = '') group by c
+    union all select 'possible_duplicate_row:name', row_number() over (order by a_row, b_row), a_row || ',' || b_row, case when differs then 'brand' else '' end, concat_ws(',', case when near then 'key_fuzzy' end, case when reordered then 'token_reorder' end) from ({_FIRST_PAIRS})""",
+)
+def analysis_details(spark, d):
+    """The groups, rows and pairs behind the conflicts of a sheet."""
+    text_of = lambda c: F.array_join(F.coalesce(c, F.array().cast("array<string>")), ",")
+    found = analysis.details(_dirty(spark, d), "name", ["brand"])
+    return found.select("conflict_key", F.col("place").cast("long").alias("place"), text_of(F.col("rows").cast("array<string>")).alias("rows"), text_of(F.col("fields")).alias("fields"), text_of(F.col("signals")).alias("signals"))
 
 
 # ---------------------------------------------------------------- links
