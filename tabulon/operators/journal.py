@@ -20,8 +20,8 @@ def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return read.filter("_corrupt_record is null").drop("_corrupt_record")
 
 
-def read_runs(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """All logs of a folder: run (the file's name without suffix), modified (when it was written last), seq (the line's order in its file), and the fields.
+def read_runs(spark: SparkSession, folder: str | list[str], schema: str) -> DataFrame:
+    """All logs of a folder, or those named: run (the file's name without suffix), modified (when it was written last), seq (the line's order in its file), and the fields.
 
     A line's place is that of its block and its order in the block, whatever order Spark deals blocks out in.
     """

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.operators import corrections, dedup, journal, party, transform, tree
+from tabulon.operators import corrections, dedup, journal, party, revert, transform, tree
 from tabulon.operators.employees import generate_ids, manager_links
 from tabulon.operators.profile import headers
 from tabulon.plans import analysis, infer, matching, parties
@@ -171,4 +171,4 @@ def link_managers(sheet: DataFrame, number: str, name: str, manager: str, site:
 
 
 describe, list_records, get_record = schema.describe, records.list_records, records.get_record
-status, revert_plan, revert = journal.log_counts, journal.revert_plan, journal.undone
+status, revert_plan, revert_run, revert = journal.log_counts, journal.revert_plan, revert.reverted, journal.undone

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.functions import convert, text
-from tabulon.operators import corrections, dedup, employees, journal, links, neardup, pair_report, party, profile, quality, transform, tree
+from tabulon.operators import corrections, dedup, employees, journal, links, neardup, pair_report, party, profile, quality, revert, transform, tree
 from tabulon.plans import analysis, matching, parties
 from tabulon.sources import files, records, schema, sink
 from tabulon.sources.shared import new_folder
@@ -1049,6 +1049,26 @@ def revert_apply(spark, d):
     return out.select("s_suppkey", "s_name", F.array_join(F.transform("links", lambda x: x["link_name"]), ",").alias("links"))
 
 
+@query(
+    "revert_outcomes",
+    """with e as (select event_id as seq, user_id, case when event_id % 50 = 0 then 'delete_record' when event_id % 5 = 1 then 'restore_record' when event_id % 5 = 2 then 'remove_record_link' when event_id % 5 = 3 then 'fly' end as op from events where event_id % 50 = 0 or event_id % 5 in (1, 2, 3)),
+    d as (select user_id, max(seq) as gone_at from e where op = 'delete_record' group by 1),
+    w as (select distinct user_id, 'Nation' as by from d join supplier on s_suppkey = user_id join nation on n_nationkey = user_id)
+    select seq, op, case when op = 'fly' then false when op = 'delete_record' then w.user_id is null else s_suppkey is not null and not coalesce(gone_at > seq and w.user_id is null, false) end as ok,
+        case when op = 'fly' then 'unknown effect fly' when op = 'delete_record' and w.user_id is not null then 'still referred to by Nation/' || e.user_id when op in ('restore_record', 'remove_record_link') and (s_suppkey is null or coalesce(gone_at > seq and w.user_id is null, false)) then 'no record Supplier/' || e.user_id else '' end as error
+    from e left join supplier on s_suppkey = e.user_id left join d using (user_id) left join w using (user_id)""",
+)
+def revert_outcomes(spark, d):
+    """What becomes of each effect of the journal: some are unknown, some records aren't there or are gone by then, and nations keep the suppliers of their number."""
+    pair = lambda name: F.struct(F.lit("Nation").alias("link_doctype"), F.lit(name).alias("link_name"))
+    suppliers = table(spark, d, "supplier").select("s_suppkey", "s_name", F.array(pair("0"), pair("1")).alias("links"))
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("name"), F.col("n_nationkey").alias("supplier"))
+    strange = table(spark, d, "events").filter("event_id % 5 = 3").select(F.col("event_id").alias("seq"), F.lit("effect").alias("event"), F.lit("fly").alias("op"), F.lit("Supplier").alias("doctype"), F.col("user_id").cast("string").alias("name"))
+    log = _effects(spark, d).unionByName(strange, allowMissingColumns=True)
+    done = revert.reverted({"Supplier": suppliers, "Nation": nations}, log, {"Supplier": "s_suppkey"}, (revert.Reference("Nation", "supplier", "Supplier"),))
+    return done.results.select("seq", "op", "ok", "error")
+
+
 def _runs(spark, d):
     """Users as runs: views are effects; where the user's last event is an error, that marks a whole revert."""
     e = table(spark, d, "events")

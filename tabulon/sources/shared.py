@@ -29,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def _hadoop(spark: SparkSession, path: str):
+def hadoop(spark: SparkSession, path: str):
     """(file system, path) of Hadoop."""
     of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return of.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), of
@@ -41,7 +41,7 @@ def session_folder(spark: SparkSession) -> str:
     if known and known.startswith(top + "/"):
         return known
     made = f"{top}/tabulon-{uuid.uuid4().hex}"
-    files, path = _hadoop(spark, made)
+    files, path = hadoop(spark, made)
     files.mkdirs(path)
     files.deleteOnExit(path)
     spark.conf.set(FOLDER, made)
@@ -55,7 +55,7 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 def removed(spark: SparkSession, path: str) -> None:
     """Deletes a table that nothing reads any more."""
-    files, of = _hadoop(spark, path)
+    files, of = hadoop(spark, path)
     files.delete(of, True)
 
 
