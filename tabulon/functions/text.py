@@ -5,6 +5,8 @@ Null and empty are the same everywhere: functions of a null give what they give
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,8 +30,21 @@ def blank(c: Column | str) -> Column:
     return strip(c) == ""
 
 
+@functools.cache
+def foldings() -> tuple[str, str, dict[str, str]]:
+    """(lower-case letters with a single other folding, those foldings, letters that fold to several), by Unicode's rule."""
+    other = {c: c.casefold() for c in map(chr, range(0x110000)) if c.lower() == c != c.casefold()}
+    one = {c: f for c, f in other.items() if len(f) == 1}
+    return "".join(one), "".join(one.values()), {c: f for c, f in other.items() if len(f) > 1}
+
+
 def casefold(c: Column | str) -> Column:
-    return F.replace(F.lower(filled(c)), F.lit("ß"), F.lit("ss"))
+    """Full case folding. Letters that become several are rare, so only texts that hold one are taken apart."""
+    single, to, several = foldings()
+    low = F.translate(F.lower(filled(c)), single, to)
+    table = F.create_map(*(F.lit(x) for pair in several.items() for x in pair))
+    apart = F.array_join(F.transform(F.split(low, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+    return F.when(low.rlike(f"[{''.join(several)}]"), apart).otherwise(low)
 
 
 def duplicate_key(c: Column | str) -> Column:

@@ -103,9 +103,3 @@ def numbered(df: DataFrame, *order: str | Column, name: str = ROW, first: int =
         total += n
     offsets = spark.createDataFrame(starts, "__part long, __before long")
     return ordered.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__at") + F.col("__before")).drop("__part", "__at", "__before")
-
-
-def first_of(df: DataFrame, by: str, order: str) -> DataFrame:
-    """The first row of each value."""
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(order))
-    return df.withColumn("__k", rank).filter("__k = 1").drop("__k")

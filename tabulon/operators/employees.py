@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions.text import blank, strip
-from tabulon.operators.profile import ROW
+from tabulon.operators.profile import ROW, headers
 
 # Normalised headers of the employee's number, full name and own fields.
 ID_HEADERS = frozenset({
@@ -16,6 +18,8 @@ ID_HEADERS = frozenset({
 NAME_HEADERS = frozenset({"fullname", "employeename"})
 OWN_FIELDS = {"bankbranch": ("bank_branch", "Bank Branch", "Data")}
 ID_FIELD = "employee_number"
+DEPARTMENT_HEADERS = frozenset({"department", "dept"})
+COMPANY_HEADERS = frozenset({"company"})
 
 
 def numbering(rows: DataFrame, field: str = ID_FIELD) -> tuple[str, int, int]:
@@ -60,6 +64,35 @@ def department_map(sheet: DataFrame, department: str, company: str, existing: Da
     return out.join(F.broadcast(one.filter("one")), how="cross").select("value", "target")
 
 
+def column_named(sheet: DataFrame, names: frozenset[str]) -> str | None:
+    """The first column whose normalised header is one of names."""
+    return next((h for h in headers(sheet) if re.sub("[^a-z0-9]+", "", h.lower()) in names), None)
+
+
+def departments(sheet: DataFrame, existing: DataFrame, companies: DataFrame) -> DataFrame | None:
+    """value, target, made, company of an employee sheet's departments; None for a sheet without one.
+
+    existing: name, department_name. A department that exists under that name keeps its record's, also one made by hand;
+    else it is made as '<value> - <abbreviation of the company>'. No rows without exactly one company, or if that has no abbreviation.
+    """
+    department, company = column_named(sheet, DEPARTMENT_HEADERS), column_named(sheet, COMPANY_HEADERS)
+    if department is None or company is None:
+        return None
+    text = lambda h: strip(F.col(f"`{h}`"))
+    one = sheet.filter(~blank(F.col(f"`{company}`"))).agg(F.min(text(company)).alias("company"), F.max(text(company)).alias("last")).filter("company = last").select("company")
+    own = one.join(companies.select(F.col("name").alias("company"), "abbr"), "company").filter("abbr <> ''").limit(1)
+    known = existing.filter("department_name <> ''").groupBy(F.col("department_name").alias("value")).agg(F.max("name").alias("there"))
+    values = sheet.select(text(department).alias("value")).filter("value <> ''").distinct().join(known, "value", "left")
+    rows = values.join(F.broadcast(own), how="cross")  # one row at most
+    return rows.select("value", F.coalesce("there", F.concat("value", F.lit(" - "), "abbr")).alias("target"), F.col("there").isNull().alias("made"), "company")
+
+
+def in_departments(payloads: DataFrame, known: DataFrame, field: str = "department") -> DataFrame:
+    """payloads with department names in place of the sheet's values."""
+    joined = payloads.join(known.select(F.col("value").alias("__value"), F.col("target").alias("__target")), F.col(field) == F.col("__value"), "left")
+    return joined.withColumn(field, F.coalesce("__target", field)).select(*payloads.columns)
+
+
 def manager_links(sheet: DataFrame, number: str, name: str, manager: str, site: DataFrame) -> DataFrame:
     """__row, own, manager_number, status of rows that name a manager.
 

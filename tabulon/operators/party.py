@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tabulon.functions.convert import converted
 from tabulon.functions.text import blank, filled, split_name, strip
 from tabulon.operators.dedup import dedup_status
+from tabulon.operators.links import merge_links
 from tabulon.operators.profile import ROW
 from tabulon.sources.schema import TableMeta
 
@@ -133,3 +134,40 @@ def new_links(sheet: DataFrame, spec: PartySpec) -> DataFrame:
     """email, link_doctype, link_name: the links that a sheet's contacts get."""
     rows = sheet.select(filled(_cell(sheet, "Email")).alias("email"), _cell(sheet, spec.name_column).alias("link_name"))
     return rows.filter("email <> '' and link_name is not null").select("email", F.lit(spec.doctype).alias("link_doctype"), "link_name").distinct()
+
+
+@dataclass(frozen=True)
+class Upsert:
+    """What importing a flat sheet does: each row's party, contact and address with key and status, and the links that
+    contacts and addresses have then (key, links), for those that the sheet names."""
+
+    parties: DataFrame
+    contacts: DataFrame
+    addresses: DataFrame
+    contact_links: DataFrame
+    address_links: DataFrame
+
+
+def _links_after(rows: DataFrame, spec: PartySpec, existing: DataFrame) -> DataFrame:
+    """key, links of rows (key, party), after those that existing has."""
+    new = rows.filter("party is not null").select("key", F.lit(spec.doctype).alias("link_doctype"), F.col("party").alias("link_name")).distinct()
+    none = F.array().cast("array<struct<link_doctype:string,link_name:string>>")
+    held = existing.select("key", F.col("links") if "links" in existing.columns else none.alias("links")).join(new.select("key").distinct(), "key", "left_semi")
+    return merge_links(held, new, "key")
+
+
+def upsert(sheet: DataFrame, spec: PartySpec, parties: DataFrame, contacts: DataFrame, addresses: DataFrame, extra: dict[str, dict[str, str]] | None = None, types: dict[str, dict[str, str]] | None = None) -> Upsert:
+    """The rows behind upsert_counts. The others hold a column `key` of what exists, contacts and addresses perhaps `links`.
+
+    created is to be made, linked gets a link only, skipped is there, failed has no party name.
+    """
+    extra, types = extra or {}, types or {}
+    name = spec.columns[spec.name_column]
+    party = dedup_status(split_party(sheet, spec, extra.get(spec.key), types.get(spec.key)), name, parties)
+    named = party.filter("status <> 'failed'").select(ROW, F.col("key").alias("party"))
+    said = lambda df, again: df.withColumn("status", F.when(F.col("status") == "create", "created").when(F.col("status") == "skipped", again).otherwise(F.col("status")))
+    contact = split_contact(sheet, extra.get("contact"), types.get("contact")).filter("email_ids is not null").join(named, ROW)
+    contact = said(dedup_status(contact, "email_ids.email_id", contacts), "linked")
+    address = split_address(sheet, spec, extra.get("address"), types.get("address")).filter("address_line1 is not null").join(named, ROW)
+    address = said(dedup_status(address, ("address_title", "address_type"), addresses), "linked")
+    return Upsert(said(party, "skipped"), contact, address, _links_after(contact, spec, contacts), _links_after(address, spec, addresses))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulon.functions.convert import converted, from_number
-from tabulon.functions.text import blank, filled
+from tabulon.functions.text import blank, filled, strip
 from tabulon.operators.links import mapped
 from tabulon.operators.profile import ROW
 from tabulon.sources.shared import spread_out
@@ -99,7 +99,7 @@ def payloads(sheet: DataFrame, plan: Plan) -> DataFrame:
 
 def inject_id(payloads: DataFrame, sheet: DataFrame, id_column: str, id_field: str) -> DataFrame:
     """payloads with id_field from a column of the sheet, where that is filled."""
-    ids = sheet.select(ROW, F.when(~blank(F.col(f"`{id_column}`")), F.trim(F.col(f"`{id_column}`"))).alias("__id"))
+    ids = sheet.select(ROW, F.when(~blank(F.col(f"`{id_column}`")), strip(F.col(f"`{id_column}`"))).alias("__id"))
     joined = payloads.join(ids, ROW, "left")
     value = F.coalesce("__id", F.col(id_field)) if id_field in payloads.columns else F.col("__id")
     return joined.withColumn(id_field, value).drop("__id")

@@ -62,17 +62,21 @@ def analyse(sheet: DataFrame, mapping: Mapping, meta: TableMeta, key: str | None
     else:
         missing = quality.missing_values(sheet, None, required_columns(mapping))
         out = out.union(conflict(missing, "missing_value", "error", F.col("header"), None, F.col("role"), F.col("count")))
+    columns = []
     for m in mapping.matches:
         f = meta.field(m.path) if m.path else None
         if f is None or not f.link or f.link not in linked:
             continue
         own = next((x.header for x in mapping.matches if x.path in ("name", f"{meta.name.lower().replace(' ', '_')}_name")), None) if f.link == meta.name else None
-        absent = links.missing_links(sheet, m.header, linked[f.link], "name", mapping.value_maps.get(m.path), own)
-        out = out.union(conflict(links.listed(absent), "link_value_conflict", "error", m.header, m.path, F.array_join("values", ", "), F.col("count")))
-        if (meta.name, m.path) in links.LEAF_ONLY and "is_group" in linked[f.link].columns:
-            groups = links.group_nodes(sheet, m.header, linked[f.link], "name", "is_group", mapping.value_maps.get(m.path))
-            out = out.union(conflict(links.listed(groups), "link_group_node", "error", m.header, m.path, F.array_join("values", ", "), F.col("count")))
-    return out
+        columns.append(links.LinkColumn(m.header, f.link, m.path, m.path if (meta.name, m.path) in links.LEAF_ONLY else "", mapping.value_maps.get(m.path), own))
+    return out.union(link_conflicts(sheet, columns, linked))
+
+
+def link_conflicts(sheet: DataFrame, columns: list[links.LinkColumn], linked: dict[str, DataFrame]) -> DataFrame:
+    """The conflicts of all link columns, in the columns of CONFLICT."""
+    found = links.link_problems(sheet, columns, linked)
+    key = F.concat_ws(":", "kind", "header")
+    return found.select(key.alias("conflict_key"), "kind", F.lit("error").alias("severity"), F.col("header").alias("source"), "target", F.array_join("values", ", ").alias("detail"), "count")
 
 
 def exit_code(conflicts: DataFrame) -> int:

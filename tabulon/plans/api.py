@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.operators import corrections, dedup, journal, party, revert, transform, tree
+from tabulon.operators import corrections, dedup, employees, journal, party, revert, transform, tree
 from tabulon.operators.employees import generate_ids, manager_links
 from tabulon.operators.profile import headers
 from tabulon.plans import analysis, infer, matching, parties
@@ -29,6 +29,7 @@ class Import:
     verdicts: dict = field(default_factory=dict)
     corrections: list = field(default_factory=list)
     sha256: str = ""
+    departments: DataFrame | None = None
 
 
 def map_sheet(sheet: DataFrame, meta: TableMeta, overrides: dict | None = None) -> matching.Mapping:
@@ -44,12 +45,15 @@ def clean(sheet: DataFrame, key: str | None = None, required: list[str] | None =
 def import_sheet(
     sheet: DataFrame, meta: TableMeta, target: DataFrame, linked: dict[str, DataFrame], key: str | None = None,
     overrides: dict | None = None, fixes: list[dict] | None = None, id_field: str = "name", previous: DataFrame | None = None, previous_sha256: str = "",
+    id_column: str | None = None, companies: DataFrame | None = None,
 ) -> Import:
     """Plan from the raw sheet, payloads from the corrected one, conflicts, the gate, and what is new.
 
     corrections: fixes as they are to be recorded, each with its id, key column, first sighting and the sheet's
     fingerprint (sha256), by which a later import sees that row numbers may no longer hold. previous, previous_sha256:
-    the conflicts and the fingerprint of the import before.
+    the conflicts and the fingerprint of the import before. id_column: a column whose values are the records' ids, also
+    where no field takes it. companies: name, abbr of the target's companies, by which an employee sheet's departments get
+    their records' names (linked["Department"] has name and department_name); those to be made come in `departments`.
     """
     mapping = map_sheet(sheet, meta, overrides)
     targets = {m.header: m.path for m in mapping.matches if m.path}
@@ -57,12 +61,21 @@ def import_sheet(
     sha256 = corrections.fingerprint(sheet) if fixes or previous_sha256 else ""
     done = corrections.worked(sheet, key or "", fixes or [], sha256)
     fixed, key = done.sheet, done.key or key
+    departments = None
+    if meta.name == "Employee" and companies is not None and "Department" in linked:
+        departments = employees.departments(fixed, linked["Department"], companies)
+    if departments is not None:  # what is about to be made is no missing link
+        linked = linked | {"Department": linked["Department"].select("name").union(departments.select("value"))}
     conflicts = analysis.analyse(sheet, mapping, meta, key, linked)
     spark = sheet.sparkSession
     known = previous if previous is not None else spark.createDataFrame([], "conflict_key string, severity string, status string")
     found = corrections.conflict_status(conflicts, known, _answers(spark, done), bool(previous_sha256 and previous_sha256 != sha256))
     plan = mapping.plan()
     payloads = transform.payloads(fixed, plan)
+    if id_column and id_column in sheet.columns and id_column not in targets:
+        payloads = transform.inject_id(payloads, fixed, id_column, id_field)
+    if departments is not None and "department" in payloads.columns:
+        payloads = employees.in_departments(payloads, departments)
     if meta.name == "Employee" and "employee_number" in payloads.columns:
         payloads = generate_ids(payloads)
     own = next((f for f in meta.fields if f.link == meta.name and f.name in payloads.columns), None)
@@ -75,7 +88,7 @@ def import_sheet(
     statuses = dedup.dedup_status(payloads, spec, existing)
     create = dedup.to_create(statuses)
     blocked = bool(corrections.blocking(found).take(1))
-    return Import(mapping, found, blocked, statuses, tree.parents_first(create) if "level" in create.columns else create, transform.payload_errors(fixed, plan), done.verdicts, done.corrections, sha256)
+    return Import(mapping, found, blocked, statuses, tree.parents_first(create) if "level" in create.columns else create, transform.payload_errors(fixed, plan), done.verdicts, done.corrections, sha256, departments)
 
 
 def import_parties(sheet: DataFrame, parties: DataFrame, contacts: DataFrame, addresses: DataFrame) -> DataFrame:
@@ -83,6 +96,28 @@ def import_parties(sheet: DataFrame, parties: DataFrame, contacts: DataFrame, ad
     return party.upsert_counts(sheet, _party(sheet), parties, contacts, addresses)
 
 
+def upsert_parties(
+    sheet: DataFrame, target: dict[str, DataFrame], metas: dict[str, TableMeta] | None = None, mappings: dict[str, str | None] | None = None,
+) -> tuple[party.Upsert, DataFrame]:
+    """(parties, contacts, addresses and links after importing a flat sheet, entries that undo it).
+
+    target: party, contact and address to a frame with `key`, the latter two perhaps with `links`.
+    """
+    spec = _party(sheet)
+    done = party.upsert(sheet, spec, target["party"], target["contact"], target["address"], party.extensions(mappings or {}), party.type_maps(spec, metas or {}))
+    made = lambda df, doctype: journal.entries(df.filter("status = 'created'").select(F.col("key").alias("name")), doctype, "name", "delete_record")
+    entries = made(done.parties, spec.doctype).union(made(done.contacts, "Contact")).union(made(done.addresses, "Address"))
+    for rows, doctype, there in ((done.contacts, "Contact", target["contact"]), (done.addresses, "Address", target["address"])):
+        pairs = lambda df: df.select("key", "party").distinct()
+        added = pairs(rows.filter("status = 'linked'")).join(pairs(rows.filter("status = 'created'")), ["key", "party"], "left_anti")
+        if "links" in there.columns:  # only what wasn't linked before is undone
+            held = there.select("key", F.explode("links").alias("l")).filter(F.col("l.link_doctype") == spec.doctype).select("key", F.col("l.link_name").alias("party"))
+            added = added.join(held, ["key", "party"], "left_anti")
+        cut = added.select(F.lit("effect").alias("event"), F.lit("remove_record_link").alias("op"), F.lit(doctype).alias("doctype"), F.col("key").alias("name"), F.lit(spec.doctype).alias("link_doctype"), F.col("party").alias("link_name"))
+        entries = entries.unionByName(cut, allowMissingColumns=True)
+    return done, entries
+
+
 def _party(sheet: DataFrame) -> party.PartySpec:
     kind = infer.party_of(headers(sheet))
     if kind is None:

@@ -47,19 +47,11 @@ def link_columns(sheet: DataFrame, spec: PartySpec, metas: dict[str, TableMeta],
 
 def link_conflicts(sheet: DataFrame, spec: PartySpec, metas: dict[str, TableMeta], linked: dict[str, DataFrame], extra: dict[str, dict[str, str]] | None = None) -> DataFrame:
     """Values of rows with a party name that linked tables lack, or that are groups where a leaf is needed: one row for each column and table, with all its targets."""
-    rows = sheet.filter(links.importable(spec.name_column))
-    out = analysis.nothing(sheet.sparkSession)
+    columns = []
     for (header, table), fed in link_columns(sheet, spec, metas, extra).items():
-        if table not in linked:  # couldn't be read
-            continue
-        targets = ", ".join(sorted({f"{k}.{f}" for k, f in fed}))
-        found = links.listed(links.missing_links(rows, header, linked[table], "name"))
-        out = out.union(analysis.conflict(found, "link_value_conflict", "error", header, targets, F.array_join("values", ", "), F.col("count")))
         leaves = sorted(f"{k}.{f}" for k, f in fed if (TARGETS[k], f) in links.LEAF_ONLY)
-        if leaves and "is_group" in linked[table].columns:
-            found = links.listed(links.group_nodes(rows, header, linked[table], "name", "is_group"))
-            out = out.union(analysis.conflict(found, "link_group_node", "error", header, ", ".join(leaves), F.array_join("values", ", "), F.col("count")))
-    return out
+        columns.append(links.LinkColumn(header, table, ", ".join(sorted({f"{k}.{f}" for k, f in fed})), ", ".join(leaves)))
+    return analysis.link_conflicts(sheet.filter(links.importable(spec.name_column)), columns, linked)
 
 
 def required_columns(sheet: DataFrame, spec: PartySpec, metas: dict[str, TableMeta], extra: dict[str, dict[str, str]] | None = None) -> list[str]:

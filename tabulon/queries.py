@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tabulon.functions import convert, text
 from tabulon.operators import corrections, dedup, employees, journal, links, neardup, pair_report, party, profile, quality, revert, transform, tree
 from tabulon.plans import analysis, matching, parties
-from tabulon.sources import files, records, schema, sink
+from tabulon.sources import files, records, schema, sink, versions
 from tabulon.sources.shared import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -193,6 +193,17 @@ def update_record(spark, d):
     return records.update_records(customer, patch, "c_custkey")
 
 
+@query("copy_on_write", "select o_orderkey, case when o_orderkey between (select count(*) from orders) // 2 and (select count(*) from orders) // 2 + 99 then 'X' else o_orderstatus end as o_orderstatus from orders where o_orderkey >= 50")
+def copy_on_write(spark, d):
+    """Orders by key, a patch of neighbouring keys and a deletion of the first ones; only the files with such keys are written again."""
+    path, orders = new_folder(spark, "orders"), table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    n = orders.count()
+    versions.create(orders.repartitionByRange(16, "o_orderkey"), path)
+    versions.update(spark, path, orders.filter(F.col("o_orderkey").between(n // 2, n // 2 + 99)).select("o_orderkey", F.lit("X").alias("o_orderstatus")), "o_orderkey")
+    versions.delete(spark, path, orders.filter("o_orderkey < 50"), "o_orderkey")
+    return versions.read(spark, path)
+
+
 @query("update_before_image", "select c_custkey, c_mktsegment from customer where c_custkey % 3 = 0")
 def update_before_image(spark, d):
     customer = table(spark, d, "customer")
@@ -822,6 +833,21 @@ def party_counts(spark, d):
     return party.upsert_counts(_party_sheet(spark, d), party.PARTIES["Customer"], none, none, none).withColumnRenamed("count", "n")
 
 
+@query(
+    "party_links",
+    f"""select email as key, concat_ws(',', case when min(c_custkey // 3) % 4 = 0 then 'Old' end, array_to_string(list_sort(list(distinct party)), ',')) as links, count(*) filter (where k = 1 and (c_custkey // 3) % 4 <> 0) as n_created
+    from (select *, row_number() over (partition by email order by row_no) as k from {_PARTY} where party is not null and email is not null) group by email""",
+)
+def party_links(spark, d):
+    """The links of contacts after importing a flat sheet, where a quarter of the contacts is there already."""
+    none, key = spark.createDataFrame([], "key string"), F.floor(F.col("c_custkey") / 3)
+    old = F.array(F.struct(F.lit("Customer").alias("link_doctype"), F.lit("Old").alias("link_name")))
+    there = table(spark, d, "customer").filter(key % 4 == 0).select(F.concat(F.lit("a"), key.cast("string"), F.lit("@x.org")).alias("key"), old.alias("links")).dropDuplicates(["key"])
+    done = party.upsert(_party_sheet(spark, d), party.PARTIES["Customer"], none, there, none)
+    made = done.contacts.groupBy("key").agg(F.count(F.when(F.col("status") == "created", 1)).alias("n_created"))
+    return done.contact_links.join(made, "key").select("key", F.array_join(F.transform("links", lambda x: x["link_name"]), ",").alias("links"), "n_created")
+
+
 @query(
     "self_join_manager",
     """with r as (select s_suppkey, s_suppkey + 2 as row_no, cast(s_suppkey as varchar) as own, cast(s_suppkey // 3 as varchar) as boss from supplier)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.functions.text import filled, snake
+from tabulon.functions.text import filled
 
 Filter = tuple[str, str, object]
 
@@ -81,8 +81,3 @@ def load_outcome(payloads: DataFrame, key: str, existing: DataFrame, valid: Colu
     skipped = F.col("__k").isNotNull()
     error = F.when(skipped, F.lit(None)).when(filled(key) == "", F.lit("no key")).when(~good, F.lit(why))
     return joined.select(*payloads.columns, (~skipped & error.isNull()).alias("ok"), skipped.alias("skipped"), error.alias("error"))
-
-
-def new_field(label: Column) -> Column:
-    """The field name that a label gets."""
-    return snake(label)

@@ -11,9 +11,12 @@ import zipfile
 from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tabulon.operators.profile import ROW
+from tabulon.sources.shared import written
 from tabulon.sources.split_csv import first_names
 
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -82,11 +85,29 @@ def rows_of(data: bytes) -> list[list[str]]:
 
 
 def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
-    """A workbook holds at most 1,048,576 rows a sheet, so one sheet is read as one piece."""
-    files = spark.read.format("binaryFile").load(path).select("content").limit(1).collect()
-    rows = rows_of(bytes(files[0][0])) if files else []
-    if not rows:
+    """The first sheets of a workbook, or of a folder's workbooks in the order of their names; each has a header, the first one's counts.
+
+    A workbook holds at most 1,048,576 rows a sheet, so one is one task's; its rows go to the shared folder, not to the driver.
+    """
+
+    def parse(batches):
+        for batch in batches:
+            for name, content in zip(batch.column(0), batch.column(1), strict=True):
+                rows = rows_of(bytes(content.as_buffer()))
+                for low in range(0, len(rows), 10_000):
+                    part = rows[low : low + 10_000]
+                    columns = [pa.array([name.as_py()] * len(part)), pa.array(range(low, low + len(part)), pa.int64()), pa.array(part, pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["file", "at", "cells"])
+
+    books = spark.read.format("binaryFile").load(path).select("path", "content")
+    rows = written(books.mapInArrow(parse, "file string, at long, cells array<string>"), "workbook")
+    before, starts = 0, []
+    for file, n in sorted(tuple(r) for r in rows.groupBy("file").count().collect()):  # one row a workbook
+        starts.append((file, before))
+        before += n - 1
+    if not starts:
         raise ValueError(f"{path} is empty")
-    names = first_names(rows[0])
-    body = [(k + 2, *(row + [""] * len(names))[: len(names)]) for k, row in enumerate(rows[1:])]
-    return spark.createDataFrame(body, ", ".join([f"{ROW} long", *(f"`{n}` string" for n in names)]))
+    names = first_names(rows.filter((F.col("file") == starts[0][0]) & (F.col("at") == 0)).first()["cells"])
+    numbered = rows.filter("at > 0").join(F.broadcast(spark.createDataFrame(starts, "file string, before long")), "file")
+    cells = [F.coalesce(F.get("cells", F.lit(k)), F.lit("")).alias(n) for k, n in enumerate(names)]
+    return numbered.select((F.col("at") + F.col("before") + 1).alias(ROW), *cells)
