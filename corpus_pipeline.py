@@ -19,7 +19,11 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in no language: no text, or no letter in it. lang becomes the prediction, or stays where no language could be learned."""
+    """Drops documents in no language. lang becomes the prediction, or stays where no language could be learned.
+
+    Null texts, empty ones and those without a letter go; without documents none are learned from and none are left;
+    rows are judged each; other columns than COLUMNS, whatever their names, are left out.
+    """
     model = langid.learn(docs)
     if not model.languages:
         return docs.filter(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
@@ -28,27 +32,43 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near duplicates the document with the smallest doc_id."""
+    """Keeps of each group of near duplicates the document with the smallest doc_id (of equal or missing ids, that whose row comes first).
+
+    Texts without words, null ones among them, are no duplicates of each other and stay; no documents give none; other
+    columns than COLUMNS are left out.
+    """
     docs, _ = keyed(docs)
     judged = minhash_forest.linked_rows(docs.select("row_key", text_of().alias("text")))
     return docs.join(judged.filter("row_key = group_id").select("row_key"), "row_key", "left_semi").select(*COLUMNS)
 
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes what repeats across or within documents."""
+    """Removes what repeats across or within documents.
+
+    Each row stays, if only with an empty text; null texts become empty; n_chars is counted anew; no documents give none;
+    other columns than COLUMNS are left out.
+    """
     kept = suffix_dedup.kept_texts(suffix_dedup.repeated_spans(docs, keep=("lang", "source")), ("lang", "source"))
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by its kind in angle brackets."""
+    """Replaces personal data by its kind in angle brackets.
+
+    Each row stays; null and empty texts are empty; n_chars is counted anew; without documents nothing is learned and none
+    are given; other columns than COLUMNS are left out.
+    """
     found = pii.pii_spans(docs, keep=("text", "lang", "source"))
     clean = found.withColumn("text", pii.masked(F.col("text"), F.col("spans")))
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokenises and packs; one row for each piece."""
+    """Tokenises and packs; one row for each piece.
+
+    Null and empty texts are their end token alone; rows with one doc_id, or none, are packed each by itself; very long texts
+    are cut; no documents give no rows; other columns are left out.
+    """
     return packing.best_fit_packing(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
