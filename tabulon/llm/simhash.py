@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm.common import keyed, text_of
@@ -86,12 +86,10 @@ def near_counts(fingerprints: DataFrame, radius: int = 3, blocks: int = 6) -> Da
     tables = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.lit(m).cast("long").alias("m")) for t, m in enumerate(masks)))).alias("c")
     rows = fingerprints.select("fingerprint").distinct().select("fingerprint", tables)
     rows = rows.select("fingerprint", F.col("c.t").alias("t"), F.col("fingerprint").bitwiseAND(F.col("c.m")).alias("key"))
-    key = Window.partitionBy("t", "key")
-    number = F.row_number().over(key.orderBy("fingerprint"))
-    rows = rows.withColumn("packet", F.floor((number - 1) / PACKET).cast("int"))
+    # counts by aggregate and packets by hash, so that no task holds all fingerprints of a key
+    several = rows.groupBy("t", "key").agg(F.ceil(F.count("*") / PACKET).cast("int").alias("packets"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    rows = rows.join(several, ["t", "key"]).withColumn("packet", F.pmod(F.xxhash64("fingerprint"), F.col("packets")).cast("int"))
     packets = rows.groupBy("t", "key", "packet").agg(F.collect_list("fingerprint").alias("them"))
-    several = packets.groupBy("t", "key").agg(F.sum(F.size("them")).alias("n")).filter("n > 1").select("t", "key")
-    packets = packets.join(several, ["t", "key"], "left_semi")
 
     def earlier(t: Column, a: Column, b: Column) -> Column:
         """True where a table before t holds both."""
