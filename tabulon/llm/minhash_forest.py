@@ -6,10 +6,13 @@
    share a prefix of a label lie below one node of that trie. `floor_depth` is the shortest prefix that the target
    recall can ask for, at the threshold; the nodes of that depth are dealt out as tasks.
 3. Below a node, labels are sorted, and each class walks up from its whole label to shorter prefixes (`walk`). At
-   each step it compares whole signatures with the classes that share the prefix. The similarities of those it has
+   each step it compares whole signatures with the classes that share the prefix, which is a range of the sorted labels. The similarities of those it has
    met so far, each weighted by the chance of meeting it, estimate the recall that all tries together reach with
    this prefix; one more pair at the threshold is assumed unseen. The class stops as soon as the estimate reaches the
    target: among many close copies at long prefixes, without any only at the floor.
+   Below a crowded node (`PACKET`) classes are first linked to their neighbours in sorted order (`neighbours`); what all
+   trees have linked so is one set, and only classes of different sets are compared (`across`). So work among many close
+   copies grows with their number, not with its square.
 4. A spanning forest of the likely pairs links classes into candidate groups. No row exists for a pair.
 5. Pairs of a candidate group are verified exactly on their shingle sets, in blocks of at most `BLOCK` classes and
    about `BLOCK_BYTES` bytes against each other. Classes lie in bands of size, and only sets of one or of adjacent bands can be
@@ -146,19 +149,6 @@ def signed(docs: DataFrame, size: int, functions: int) -> DataFrame:
     return docs.select("row_key", "text").transform(in_batches(sign, SIGNED))
 
 
-def dealt(rows: DataFrame, group: list[str], size: int) -> DataFrame:
-    """rows of groups of several, dealt into blocks of about `size`, and each row to all pairs of blocks i <= j that hold its block.
-
-    Adds i, j, left and right (whether the row is in block i, in block j). Counts come from a hash aggregate and a join, so
-    no task holds a group.
-    """
-    counts = rows.groupBy(*group).agg(F.ceil(F.count("*") / size).cast("int").alias("__blocks"), F.count("*").alias("__n")).filter("__n > 1").drop("__n")
-    rows = rows.join(counts, group).withColumn("__side", F.pmod(F.xxhash64("class_id"), F.col("__blocks")).cast("int"))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)).alias("__other"))
-    rows = rows.select("*", F.least("__side", "__other").alias("i"), F.greatest("__side", "__other").alias("j"))
-    return rows.select("*", (F.col("__side") == F.col("i")).alias("left"), (F.col("__side") == F.col("j")).alias("right")).drop("__side", "__other", "__blocks")
-
-
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest place connected with each of n places by the edges a - b."""
     root = np.arange(n)
@@ -191,25 +181,30 @@ def walk(values: np.ndarray, below: np.ndarray, left: np.ndarray, right: np.ndar
     """
     out_a, out_b = [], []
     deepest = floor + 4
-    right = right[np.argsort(below[right], kind="stable")]
+    left, right = left[np.argsort(below[left], kind="stable")], right[np.argsort(below[right], kind="stable")]
+    labels = below[right]
     for p in range(0, len(left), 64):
         part = left[p : p + 64]
-        apart = below[part][:, None] ^ below[right][None]
-        likeness = np.zeros(apart.shape, np.float32)
+        own = below[part]
+        likeness = np.zeros((len(part), len(right)), np.float32)
         active, waiting = np.ones(len(part), bool), part[:, None] != right[None]
         for depth in range(deepest, floor - 1, -1):
+            # those that share a prefix lie side by side: its range in the sorted labels
             bits = np.uint64(16 * (deepest - depth))
-            reached = waiting & active[:, None] if depth == floor else waiting & active[:, None] & (apart >> bits == 0)
+            rest = (np.uint64(1) << bits) - np.uint64(1) if depth > floor else np.uint64((1 << 64) - 1)
+            low, high = np.searchsorted(labels, own & ~rest, "left"), np.searchsorted(labels, own | rest, "right")
+            first, last = int(low[active].min()), int(high[active].max())
+            places = np.arange(first, last)
+            reached = waiting[:, first:last] & active[:, None] & (places >= low[:, None]) & (places < high[:, None])
             rows, columns = np.flatnonzero(reached.any(axis=1)), np.flatnonzero(reached.any(axis=0))
             if len(rows):
-                block = np.ix_(rows, columns)
-                equal = equal_values(values[part[rows]], values[right[columns]])
-                good = reached[block] & (equal >= least_equal)
+                equal = equal_values(values[part[rows]], values[right[first + columns]])
+                good = reached[np.ix_(rows, columns)] & (equal >= least_equal)
                 u, v = np.nonzero(good)
                 out_a.append(part[rows[u]])
-                out_b.append(right[columns[v]])
-                likeness[rows[u], columns[v]] = equal[u, v] / values.shape[1]
-                waiting &= ~reached
+                out_b.append(right[first + columns[v]])
+                likeness[rows[u], first + columns[v]] = equal[u, v] / values.shape[1]
+                waiting[:, first:last] &= ~reached
             if depth == floor:
                 break
             u, v = np.nonzero(likeness)
@@ -223,6 +218,95 @@ def walk(values: np.ndarray, below: np.ndarray, left: np.ndarray, right: np.ndar
     return np.concatenate([*out_a, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*out_b, np.zeros(0, np.int64)]).astype(np.int64)
 
 
+NEIGHBOURS = 4
+
+
+def neighbours(members: DataFrame, depth: int, least_equal: int) -> DataFrame:
+    """Spanning edges (a, b) of classes that lie next to each other, up to NEIGHBOURS apart, in the sorted labels below a node, and whose signatures agree.
+
+    members: tree, node, class_id, signature. The sort is one over all nodes, cut anywhere, so no node is one task's; a
+    row is looked at with a few others, however many its node has.
+    """
+
+    def compare(batches):
+        held, kept = [], np.zeros((0, 0), np.uint16)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint16).reshape(batch.num_rows, -1)
+            keys = [batch.column(k).to_numpy() for k in range(3)]
+            if len(kept):
+                values, keys = np.concatenate((kept, values)), [np.concatenate(x) for x in zip(held, keys, strict=True)]
+            out_a, out_b, old = [], [], len(kept)
+            for step in range(1, min(NEIGHBOURS, len(values) - 1) + 1):
+                late = np.arange(max(step, old), len(values))
+                late = late[(keys[0][late] == keys[0][late - step]) & (keys[1][late] == keys[1][late - step])]
+                alike = late[(values[late] == values[late - step]).sum(axis=1) >= least_equal]
+                out_a.append(alike)
+                out_b.append(alike - step)
+            none = np.zeros(0, np.int64)
+            root = roots(len(values), np.concatenate([*out_a, none]), np.concatenate([*out_b, none]))  # an edge for each row at most
+            far = np.flatnonzero(root != np.arange(len(values)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[2][far]), pa.array(keys[2][root[far]])], names=["a", "b"])
+            held, kept = [k[-NEIGHBOURS:] for k in keys], values[-NEIGHBOURS:]
+
+    order = ["tree", "node", "label", "class_id"]
+    rows = members.withColumn("label", F.expr(f"substring(signature, {2 * depth} * tree + 1, {2 * depth})"))
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return ordered.select("tree", "node", "class_id", "signature").transform(in_batches(compare, "a long, b long"))
+
+
+def across(rows: DataFrame, size: int) -> DataFrame:
+    """rows (tree, node, class_id, root) of crowded nodes, dealt so that all pairs meet but those within the node's largest set of one root.
+
+    Sets are linked already. The rows outside the largest one are dealt into blocks of about `size`, as are those in it;
+    a block of the former meets all blocks. So in a node of close copies the few that are left over meet all others, and
+    a node with nothing left over is done. Adds i, j, left and right (whether the row is in block i, in block j), i <= j.
+    """
+    key = ["tree", "node"]
+    sets = rows.groupBy(*key, "root").agg(F.count("*").alias("n"))
+    facts = sets.groupBy(*key).agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("in_main"), F.sum("n").alias("n")).filter("n > in_main")
+    blocks = lambda c: F.ceil(c / size).cast("int")
+    facts = facts.select(*key, "main", blocks(F.col("n") - F.col("in_main")).alias("others"), blocks(F.col("in_main")).alias("mains"))
+    rows = rows.join(facts, key).withColumn("inside", F.col("root") == F.col("main"))
+    at = F.xxhash64("class_id")
+    side = F.when(F.col("inside"), F.col("others") + F.pmod(at, F.col("mains"))).otherwise(F.pmod(at, F.col("others"))).cast("int")
+    last = F.when(F.col("inside"), F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1
+    rows = rows.withColumn("side", side).select("*", F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    rows = rows.select("class_id", *key, F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side")
+    return rows.select("class_id", *key, "i", "j", (F.col("side") == F.col("i")).alias("left"), (F.col("side") == F.col("j")).alias("right"))
+
+
+def candidate_groups(able: DataFrame, trees: int, depth: int, floor: int, threshold: float, target: float, least_equal: int, packet: int) -> DataFrame:
+    """node, root: classes (class_id, signature) that likely pairs connect, but the roots themselves.
+
+    Below a node of up to `packet` classes they are compared by `walk`. Below a crowded one, neighbours in sorted order are
+    linked first, which all trees together make few sets of many close copies; then only classes of different sets meet.
+    """
+    signature = able.select("class_id", "signature")
+    placed = written(nodes(able, trees, depth, floor), "nodes")
+    counts = written(placed.groupBy("tree", "node").agg(F.count("*").alias("n")).filter("n > 1"), "counts")
+    few = placed.join(counts.filter(F.col("n") <= packet).select("tree", "node"), ["tree", "node"])
+    few = few.select("class_id", "tree", "node", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(True).alias("left"), F.lit(True).alias("right"))
+    compared = lambda rows: likely(rows.join(signature, "class_id"), trees, depth, floor, threshold, target, least_equal)
+    crowded = counts.filter(F.col("n") > packet).select("tree", "node")
+    if not crowded.limit(1).count():
+        return components(compared(few))
+    rows = placed.join(crowded, ["tree", "node"])
+    sets = components(compared(few).union(neighbours(rows.join(signature, "class_id"), depth, least_equal)))
+    named = sets.select(F.col("node").alias("class_id"), "root")
+    rest = written(across(rows.join(named, "class_id", "left").withColumn("root", F.coalesce("root", "class_id")), packet), "across")
+    if not rest.limit(1).count():
+        return sets
+    more = compared(rest)
+    of = lambda c: named.select(F.col("class_id").alias(c), F.col("root").alias(f"root_{c}"))
+    more = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    over = components(more)  # of sets
+    later = over.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    moved = sets.join(later, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return moved.union(over.join(sets.select("node"), "node", "left_anti"))
+
+
 def likely(members: DataFrame, trees: int, depth: int, floor: int, threshold: float, target: float, least_equal: int) -> DataFrame:
     """Spanning edges (a, b) of the classes that meet below the nodes and whose signatures agree in at least least_equal places."""
 
@@ -278,9 +362,6 @@ def overlaps(sets: list[np.ndarray], others: list[np.ndarray] | None) -> np.ndar
     return total
 
 
-VERIFIED = "class_id long, links long, root long"
-
-
 def banded(classes: DataFrame, threshold: float) -> DataFrame:
     """class_id, size, root and the block pairs (bands, i, j) in which the class is verified, with left and right.
 
@@ -381,10 +462,9 @@ def linked_rows(docs: DataFrame, threshold: float = 0.8, size: int = 5, trees: i
     classes = written(of.groupBy("key_a", "key_b").agg(F.min("row_key").alias("class_id"), F.count("*").alias("size"), F.min("n").alias("n"), F.min("signature").alias("signature")), "classes")
     able = classes.filter(F.col("signature").isNotNull() & (F.col("n") >= threshold / (1 - threshold) - 1e-6))
     floor = floor_depth(threshold, trees, depth, target)
-    together = dealt(nodes(able, trees, depth, floor), ["tree", "node"], PACKET).join(able.select("class_id", "signature"), "class_id")
     spread_of = (threshold * (1 - threshold) * trees * depth) ** 0.5
     least_equal = int(threshold * trees * depth - 4 * spread_of)
-    near = components(likely(together, trees, depth, floor, threshold, target, least_equal))
+    near = candidate_groups(able, trees, depth, floor, threshold, target, least_equal, PACKET)
     near = near.select(F.col("node").alias("class_id"), "root").union(near.select(F.col("root").alias("class_id"), "root").distinct())
     near = near.join(able.select("class_id", "size", "n"), "class_id")
     texts = docs.select(F.col("row_key").alias("class_id"), "text").join(near.select("class_id"), "class_id", "left_semi")
