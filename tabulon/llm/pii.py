@@ -3,15 +3,18 @@
 1. Candidates. One regular expression for each source marks its matches in the text; their places follow from the
    lengths of the parts between the marks. The base rules give four kinds; wider sources add what they miss: addresses
    spelt with (at) and (dot), numbers without a country's code, long tokens that could be secrets, pairs of capitalised words.
-2. Labelers vote on each candidate: form (regex), gazetteer, cue words to the left and to the right (context), and
-   what touches it. A vote is 1, -1 or 0 (abstains).
+2. Labelers vote on each candidate: form (regex), gazetteer, cue words to the left and to the right (context),
+   what touches it, and cue words that are learned: over all documents the words next to matches of the base rules (of
+   kinds without one, next to what the gazetteer names) are counted, and a word that is there far more often than next
+   to candidates at large speaks for that kind. A vote is 1, -1 or 0 (abstains).
 3. The counts of each pattern of votes, over all documents, feed an expectation-maximisation that estimates for each
    kind how each labeler votes on personal data and on the rest. Matches of the base rules are known examples.
 4. A logistic span classifier is fitted to the probabilities of a bounded sample of candidates. Its features are its own, beside
    the votes: length, shares of digits and capitals, separators, the characters and the words next to the span. It
    decides on the candidates beyond the base rules; matches of the base rules always stay.
 
-What is collected is one row for each pattern of votes, at most kinds x 2 x 3 ^ labelers, and the sample.
+What is collected is one row for each pattern of votes, at most kinds x 2 x 3 ^ labelers, one for each kind and
+bucket of neighbouring words, and the sample.
 
 Loops over groups in Java's regular expressions recurse and overflow on long texts, so repeated
 groups are written as single character classes over a text whose inner separators are marked first,
@@ -39,7 +42,11 @@ BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret", "person")
 #: Where candidates come from, with their kind.
 SOURCES = {**{k: k for k in KINDS}, "spelt_email": "email", "local_phone": "phone"}
-LABELERS = ("form", "gazetteer", "left", "right", "edge")
+LABELERS = ("form", "gazetteer", "left", "right", "edge", "learned")
+#: Those that vote as candidates are found; what is learned comes after.
+AT_ONCE = LABELERS[:-1]
+#: Buckets of words next to a candidate, and how much more often than elsewhere a learned cue is there.
+CUE_BUCKETS, CUE_RATIO, CUE_LEAST = 4096, 8.0, 8
 #: The classifier's own features, with how many values each has.
 FEATURES = {"size": 8, "digits": 5, "capitals": 5, "separators": 5, "before": 7, "after": 7, "word_before": 32, "word_after": 32}
 
@@ -120,7 +127,7 @@ def any_of(words: list[str]) -> str:
 
 
 def votes(kind: str, match: Column, left: Column, right: Column) -> list[Column]:
-    """What LABELERS say about a match."""
+    """What AT_ONCE say about a match."""
     titled = r"(?<![A-Za-z])(?:" + "|".join(TITLES) + r")\.?\x20$"
     first, second = F.substring_index(match, " ", 1), F.substring_index(match, " ", -1)
     form = {
@@ -155,15 +162,26 @@ def features(match: Column, left: Column, right: Column) -> list[Column]:
     """What the classifier sees, as numbers below FEATURES."""
     share = lambda what: F.least(F.floor(5 * F.length(F.regexp_replace(match, what, "")) / F.greatest(F.length(match), F.lit(1))), F.lit(4))
     kind_of = lambda c: F.when(c == "", 0).when(c.rlike(r"\s"), 1).when(c.rlike("[\"'`]"), 2).when(c.rlike("[=:]"), 3).when(c.rlike("[.,;!?]"), 4).when(c.rlike(r"\w"), 5).otherwise(6)
-    word = lambda c, pattern: F.pmod(F.crc32(F.lower(F.regexp_extract(c, pattern, 1)).cast("binary")), F.lit(32))
+    before, after, _ = neighbours(left, right)
     return [
         F.least(F.floor(F.log2(F.greatest(F.length(match), F.lit(1)))), F.lit(7)), share("[^0-9]"), share("[^A-Z]"), F.least(F.length(F.regexp_replace(match, "[A-Za-z0-9]", "")), F.lit(4)),
-        kind_of(F.right(left, F.lit(1))), kind_of(F.left(right, F.lit(1))), word(left, r"([A-Za-z]+)[^A-Za-z]*$"), word(right, r"^[^A-Za-z]*([A-Za-z]+)"),
+        kind_of(F.right(left, F.lit(1))), kind_of(F.left(right, F.lit(1))), before % 32, after % 32,
     ]
 
 
+def neighbours(left: Column, right: Column) -> tuple[Column, Column, Column]:
+    """The buckets of the words before and after a candidate, and of one that stands further off; 0 where there is none."""
+
+    def bucket(c: Column, pattern: str) -> Column:
+        word = F.lower(F.regexp_extract(c, pattern, 1))
+        return F.when(word == "", 0).otherwise(F.pmod(F.crc32(word.cast("binary")), F.lit(CUE_BUCKETS - 1)) + 1).cast("short")
+
+    return bucket(left, r"(\p{L}++)\P{L}*+$"), bucket(right, r"^\P{L}*+(\p{L}++)"), bucket(left, r"^\S*+\s++\P{L}*+(\p{L}++)\s")
+
+
 NAMES = (*LABELERS, *FEATURES)
-TYPE = "array<struct<kind:tinyint,start:int,stop:int,base:boolean," + ",".join(f"{x}:tinyint" for x in NAMES) + ">>"
+FOUND = (*AT_ONCE, *FEATURES)
+TYPE = "array<struct<kind:tinyint,start:int,stop:int,base:boolean," + ",".join(f"{x}:tinyint" for x in FOUND) + ",cue_before:smallint,cue_after:smallint,cue_far:smallint>>"
 
 
 def candidates(text: Column, source: str, reach: int = 32) -> Column:
@@ -183,10 +201,11 @@ def candidates(text: Column, source: str, reach: int = 32) -> Column:
             if source == "card":
                 match = F.translate(match, JOIN, "-")
             right = F.left(F.translate(F.coalesce(F.get(parts, i + 1), F.lit("")), DOT, "."), F.lit(reach))
-            fields = zip(NAMES, [*votes(kind, match, left, right), *features(match, left, right)], strict=True)
+            fields = zip(FOUND, [*votes(kind, match, left, right), *features(match, left, right)], strict=True)
+            before, after, far = neighbours(left, right)
             return F.struct(
                 F.lit(KINDS.index(kind)).cast("byte").alias("kind"), F.get(ends, i - 1).alias("start"), F.get(ends, i).alias("stop"),
-                (passes(source, match) if source in BASE else F.lit(False)).alias("base"), *(v.cast("byte").alias(n) for n, v in fields),
+                (passes(source, match) if source in BASE else F.lit(False)).alias("base"), *(v.cast("byte").alias(n) for n, v in fields), before.alias("cue_before"), after.alias("cue_after"), far.alias("cue_far"),
             )
 
         both = F.array(F.struct(parts.alias("parts"), ends.alias("ends")))
@@ -213,14 +232,15 @@ def reliabilities(counts: dict[Pattern, float], rounds: int = 40, weight: float
     rather right than wrong and that most of what no rule matches is not personal, so the two classes can't change places.
     """
     belief = 1 + weight * sum(counts.values())
-    tables, prior = [{v: (YES[v], YES[-v]) for v in (-1, 0, 1)} for _ in LABELERS], 0.1
+    labelers = len(next(iter(counts))[0])
+    tables, prior = [{v: (YES[v], YES[-v]) for v in (-1, 0, 1)} for _ in range(labelers)], 0.1
     chance: dict[Pattern, float] = {}
     for step in range(rounds):
         if step:
             free = [(n, chance[p]) for p, n in counts.items() if not p[1]]
             prior = (sum(n * c for n, c in free) + 2 * belief) / (sum(n for n, _ in free) + 20 * belief)
             tables = []
-            for k in range(len(LABELERS)):
+            for k in range(labelers):
                 yes, no = ({v: (YES[w * v]) * belief for v in (-1, 0, 1)} for w in (1, -1))
                 for p, n in counts.items():
                     yes[p[0][k]] += n * chance[p]
@@ -248,8 +268,12 @@ def columns_of(rows: np.ndarray) -> np.ndarray:
     return rows + shift + (np.cumsum(sizes) - sizes)
 
 
-def classifier(rows: np.ndarray, chance: np.ndarray, rounds: int = 300, rate: float = 1.0, decay: float = 0.002) -> tuple[float, np.ndarray]:
-    """(bias, weight of each one-hot column) of a logistic regression fitted to probabilities."""
+def classifier(rows: np.ndarray, chance: np.ndarray, rounds: int = 600, decay: float = 0.002) -> tuple[float, np.ndarray]:
+    """(bias, weight of each one-hot column) of a logistic regression fitted to probabilities.
+
+    A row has a column of each vote and feature, so the loss bends at most a quarter of their number; a longer step would swing.
+    """
+    rate = 4 / (rows.shape[1] + 1)
     width = 3 * len(LABELERS) + sum(FEATURES.values())
     weights, bias, at = np.zeros(width), 0.0, columns_of(rows)
     for _ in range(rounds):
@@ -260,6 +284,44 @@ def classifier(rows: np.ndarray, chance: np.ndarray, rounds: int = 300, rate: fl
     return bias, weights
 
 
+Cues = dict[int, tuple[str, str]]
+
+
+def learned_cues(found: DataFrame) -> Cues:
+    """Of each kind a mark for every bucket of words before a candidate, and after one: '+' for a cue, else '0'.
+
+    Counts cover all candidates: how often a word is next to known examples of a kind, against how often it stands near
+    candidates without being next to them. A word that is next to all candidates of the kind alike tells nothing.
+    """
+    known = F.col("base") | ((F.col("kind") >= len(BASE)) & (F.col("gazetteer") == 1))
+    side = lambda name: F.struct(F.lit(name).alias("side"), F.col(f"cue_{name}").alias("bucket"))
+    rows = found.select("kind", known.alias("known"), F.explode(F.array(*map(side, ("before", "after", "far")))).alias("s")).filter("s.bucket > 0")
+    own, every = defaultdict(lambda: np.zeros(CUE_BUCKETS)), np.zeros(CUE_BUCKETS)
+    for kind, is_known, side_of, bucket, n in rows.groupBy("kind", "known", "s.side", "s.bucket").count().collect():  # kinds x 2 x 3 x CUE_BUCKETS rows at most
+        if side_of == "far":
+            every[bucket] += n
+        else:
+            own[kind, side_of, is_known][bucket] += n
+
+    def marks(kind: int, side: str) -> str:
+        near, other = own[kind, side, True], own[kind, side, False]
+        share = near / max(near.sum(), 1)
+        cue = (near >= CUE_LEAST) & (share >= CUE_RATIO * (every + 1) / (every.sum() + 1)) & (share >= 1.5 * other / max(other.sum(), 1))
+        return "".join("+" if c else "0" for c in cue)
+
+    return {kind: (marks(kind, "before"), marks(kind, "after")) for kind in range(len(KINDS))}
+
+
+def learned_vote(cues: Cues, kind: Column, before: Column, after: Column) -> Column:
+    """1 where a learned cue stands next to the candidate, else 0."""
+    out = F.lit(0)
+    for number, (left, right) in cues.items():
+        if "+" in left or "+" in right:
+            marked = (F.substring(F.lit(left), before.cast("int") + 1, F.lit(1)) == "+") | (F.substring(F.lit(right), after.cast("int") + 1, F.lit(1)) == "+")
+            out = F.when((kind == number) & marked, 1).otherwise(out)
+    return out.cast("byte")
+
+
 def fitted(found: DataFrame, sample: int) -> dict[int, tuple[float, np.ndarray]]:
     """The classifier of each kind, from rows of candidates; about `sample` of a kind are looked at one by one."""
     patterns: dict[int, dict[Pattern, float]] = defaultdict(dict)
@@ -286,7 +348,9 @@ def pii_spans(docs: DataFrame, threshold: float = 0.5, keep: tuple[str, ...] = (
     text = text_of()
     found = F.concat(*(candidates(text, source) for source in SOURCES))
     docs = written(docs.select("doc_id", *keep, found.alias("__found")), "pii")
-    models = fitted(docs.select(F.xxhash64("doc_id").alias("__id"), F.explode("__found").alias("c")).select("__id", "c.*"), sample)
+    each = docs.select(F.xxhash64("doc_id").alias("__id"), F.explode("__found").alias("c")).select("__id", "c.*")
+    cues = learned_cues(each)
+    models = fitted(each.withColumn("learned", learned_vote(cues, F.col("kind"), F.col("cue_before"), F.col("cue_after"))), sample)
 
     def accepted(c: Column) -> Column:
         ok = c["base"]
@@ -294,7 +358,8 @@ def pii_spans(docs: DataFrame, threshold: float = 0.5, keep: tuple[str, ...] = (
             score, at = F.lit(float(bias)), 0
             for name in NAMES:
                 size = FEATURES.get(name, 3)
-                place = c[name].cast("int") + (1 if name in FEATURES else 2)
+                value = learned_vote(cues, c["kind"], c["cue_before"], c["cue_after"]) if name == "learned" else c[name]
+                place = value.cast("int") + (1 if name in FEATURES else 2)
                 score = score + F.element_at(F.array(*(F.lit(float(w)) for w in weights[at : at + size])), place)
                 at += size
             ok = ok | ((c["kind"] == kind) & (score > math.log(threshold / (1 - threshold))))
