@@ -14,7 +14,8 @@ The vocabulary holds merge ranks, not probabilities; a piece of rank r scores -l
 (Zipf's law). A character that no piece holds is spelt in byte pieces.
 
 Defined cases: null and empty texts have one path without pieces; a literal space mark counts as a space, so round_trip is false for such a text; ties go to
-the path whose last pieces are longer; repeated rows are encoded each; an empty table gives no rows; other columns are
+the path whose last pieces are longer; a very long text is held alone, and a very long word takes a step for each of its
+characters, in memory of its own size; repeated rows are encoded each; an empty table gives no rows; other columns are
 ignored.
 """
 

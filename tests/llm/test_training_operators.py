@@ -614,6 +614,8 @@ def test_held_out_hosts_and_suffixes(spark):
     out = {r.page_id: r for r in url_filter.url_verdicts(frame, rules).collect()}
     assert all(out[k].rule == ("net/x" if ".net" in u else "com/") for k, u in rows[:3000])
     assert sum(out[10_000 + k].verdict == "allow" for k in range(300)) >= 285
+    area, caught, wrong = url_filter.quality(frame, rules)
+    assert area > 0.97 and caught > 0.9 and wrong < 0.1
     x = np.array([[float(len(u)), u.count("-"), sum(c.isdigit() for c in u)] + [0.0] * 6 for _, u in rows[:3000]])
     y = np.array([float(".net" in u) for _, u in rows[:3000]])
     assert url_filter.held_out_area(x, y, np.array([k % 400 % 5 for k in range(3000)])) > 0.95
@@ -621,6 +623,20 @@ def test_held_out_hosts_and_suffixes(spark):
     assert url_filter.url_verdicts(spark.createDataFrame([(None, "http://a.net/x"), (None, None), (None, None)], "page_id long, url string"), rules).count() == 3
 
 
+def test_a_two_sided_suffix_is_seen_and_an_unknown_one_says_nothing(spark):
+    """Of two suffixes with both verdicts one is mostly blocked; looks tell nothing. Where the suffix isn't known, nothing speaks for blocking."""
+    draw = np.random.default_rng(4)
+    rows = []
+    for k in range(4000):
+        suffix, bad = ("aa", k % 10 != 0) if k % 4 < 2 else ("bb", k % 10 == 0)
+        rows.append((k, f"http://{''.join(draw.choice(list('abcdefgh'), 8))}{k}.{suffix}/{'x' if bad else 'y'}{''.join(draw.choice(list('abcdefgh'), 5))}"))
+    rows += [(10_000 + k, f"http://{''.join(draw.choice(list('abcdefgh'), 8))}{k}.{'aa' if k % 3 == 0 else 'bb' if k % 3 == 1 else 'cc'}/z{''.join(draw.choice(list('abcdefgh'), 5))}") for k in range(600)]
+    rules = [(v, s, p) for s in ("aa", "bb") for v, p in (("block", "/x"), ("allow", "/y"))]
+    out = {r.page_id: r for r in url_filter.url_verdicts(spark.createDataFrame(rows, "page_id long, url string"), rules, wrong=0.15).collect()}
+    share = [np.mean([out[10_000 + k].verdict == "block" for k in range(n, 600, 3)]) for n in range(3)]
+    assert share[0] > 0.9 and share[1] < 0.1 and share[2] < 0.6
+
+
 def test_trees_learn():
     draw = np.random.default_rng(5)
     x = draw.uniform(size=(2000, len(url_filter.FEATURES)))
