@@ -145,9 +145,11 @@ def coarse(sample: np.ndarray, count: int, rounds: int = 10, seed: int = 5) -> n
 
 def nearest(vectors: DataFrame, k: int = 10, every: int = 100, sample: int = 8000, block_rows: int = 8192, block_queries: int = 8192, rerank: int = 100, cells: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of each row whose vec_id is divisible by every."""
+    kind = vectors.schema["embedding"].dataType.elementType.simpleString()
+    kind = "array<double>" if kind not in ("float", "tinyint", "smallint") else "array<float>"  # exact in either case
     ok = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull()
     sound = ok & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    clean = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")).filter(F.coalesce(sound, F.lit(False)))
+    clean = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding")).filter(F.coalesce(sound, F.lit(False)))
     sizes = clean.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n"), F.sum((F.col("vec_id") % every == 0).cast("long")).alias("q")).orderBy(F.desc("n"), "d").first()
     schema = "query_id long, vec_id long, score double"
     if sizes is None:
@@ -173,7 +175,7 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, sample: int = 800
             codes = [c.tobytes() for c in encode(x, books, weight)] if len(x) else []
             yield frame.assign(cell=cell.astype(np.int32), away=away[np.arange(len(x)), cell], codes=codes)
 
-    kept = written(rows.mapInPandas(coded, "vec_id long, embedding array<float>, cell int, away double, codes binary"), "codes")
+    kept = written(rows.mapInPandas(coded, f"vec_id long, embedding {kind}, cell int, away double, codes binary"), "codes")
     facts = {r["cell"]: (r["n"], r["far"]) for r in kept.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("far")).collect()}  # at most `cells` rows
     reach = np.array([facts.get(c, (0, -1.0))[1] for c in range(len(centres))])
     blocks = {c: -(-n // block_rows) for c, (n, _) in facts.items()}
@@ -246,7 +248,7 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, sample: int = 800
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
         return found.distinct().withColumn("rank", rank).filter(F.col("rank") <= k)
 
-    wanted = "vec_id long, embedding array<float>, radius double, cell int"
+    wanted = f"vec_id long, embedding {kind}, radius double, cell int"
     near = written(leaders(compared(asked.mapInPandas(lambda frames: needing(frames, True), wanted))), "near")
     bound = near.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("radius"))
     bounded = asked.join(bound, "vec_id", "left").withColumn("radius", F.coalesce("radius", F.lit(float("inf"))))
