@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.functions.text import blank, compare_key, duplicate_key, filled, strip, token_signature, within_distance
+from tabulon.functions.text import blank, strip, with_keys, within_distance
 from tabulon.operators.profile import ROW, headers
 from tabulon.sources.shared import written
 
@@ -25,7 +25,7 @@ CROWDED = 32
 def keyed_rows(sheet: DataFrame, key: str) -> DataFrame:
     """__row, value, ckey, signature, dkey of rows whose key is not blank. Equal dkeys have equal ckeys, and those equal signatures."""
     cell = F.col(f"`{key}`")
-    return sheet.filter(~blank(cell)).select(ROW, strip(cell).alias("value"), compare_key(strip(cell)).alias("ckey"), token_signature(strip(cell)).alias("signature"), duplicate_key(cell).alias("dkey"))
+    return with_keys(sheet.filter(~blank(cell)).select(ROW, strip(cell).alias("value")), "value").select(ROW, "value", "ckey", "signature", "dkey")
 
 
 def deletions(c: Column, k: int) -> Column:
