@@ -11,6 +11,11 @@ from tabulon.operators.profile import ROW
 from tabulon.sources.shared import new_folder, removed, stored
 
 
+def _met(left: DataFrame, right: DataFrame, on) -> DataFrame:
+    """A left join by shuffles: files of names are small next to what they hold, so Spark would send them through the driver, in each round."""
+    return left.join(right.hint("merge"), on, "left")
+
+
 def levels(sheet: DataFrame, name: str, parent: str) -> DataFrame:
     """sheet with level: 0 without a parent in the sheet, else one more than the parent's; null in a cycle or below one.
 
@@ -19,7 +24,7 @@ def levels(sheet: DataFrame, name: str, parent: str) -> DataFrame:
     """
     rows = sheet.withColumn("__name", strip(F.col(f"`{name}`"))).withColumn("__parent", strip(F.col(f"`{parent}`")))
     names = rows.filter("__name <> ''").select(F.col("__name").alias("__known")).distinct()
-    edges = rows.select("__name", "__parent", ROW).join(names, F.col("__parent") == F.col("__known"), "left").select("__name", F.col("__known").alias("up"), ROW)
+    edges = _met(rows.select("__name", "__parent", ROW), names, F.col("__parent") == F.col("__known")).select("__name", F.col("__known").alias("up"), ROW)
     # a name is free as soon as one of its rows is; else it hangs on its first row's parent
     steps = edges.filter("__name <> ''").groupBy("__name").agg(F.max(F.col("up").isNull().cast("int")).alias("free"), F.min_by("up", ROW).alias("up"))
     path = new_folder(sheet.sparkSession, "tree")
@@ -29,12 +34,12 @@ def levels(sheet: DataFrame, name: str, parent: str) -> DataFrame:
     while reach <= total and steps.filter("up is not null").limit(1).count():
         above = steps.select(F.col("n").alias("up"), F.col("up").alias("up2"), F.col("d").alias("d2"))
         before, path = path, new_folder(sheet.sparkSession, "tree")
-        steps = stored(steps.join(above, "up", "left").select("n", F.col("up2").alias("up"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d")), path)
+        steps = stored(_met(steps, above, "up").select("n", F.col("up2").alias("up"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d")), path)
         removed(sheet.sparkSession, before)
         reach *= 2
     known = steps.filter("up is null").select(F.col("n").alias("__parent"), (F.col("d") + 1).alias("__above"))
     inside = names.select(F.col("__known").alias("__parent"), F.lit(True).alias("__inside"))
-    out = rows.join(known, "__parent", "left").join(inside, "__parent", "left")
+    out = _met(_met(rows, known, "__parent"), inside, "__parent")
     return out.withColumn("level", F.when(F.col("__inside").isNull(), F.lit(0).cast("long")).otherwise(F.col("__above"))).select(*sheet.columns, "level")
 
 
