@@ -17,8 +17,9 @@ def roots(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     path = new_folder(spark, "stars")
     now = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), path)
-    mark = None
-    while True:
+    marked = lambda edges: tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    mark = marked(now)  # stars already need one round only
+    while mark[0]:
         ways = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hub = ways.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = ways.join(hub, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -27,6 +28,7 @@ def roots(edges: DataFrame) -> DataFrame:
         old, path = path, new_folder(spark, "stars")
         now = stored(small.union(hub.select("a", F.col("m").alias("b"))).filter("a <> b").distinct(), path)
         removed(spark, old)
-        before, mark = mark, tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        before, mark = mark, marked(now)
         if before == mark:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            break
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabulon.operators import corrections
+from tabulon.operators.components import roots
 from tabulon.plans import api
 from tabulon.sources import schema
 
@@ -186,3 +187,18 @@ def test_an_edited_sheet_makes_row_references_inert_and_answers_stale(spark):
     assert same.sha256 == first.sha256 and same.verdicts["c1"]["applicable"]
     edited = run([("New", "n"), *rows], first.corrections, previous=first.conflicts, previous_sha256=first.sha256)
     assert not edited.verdicts["c1"]["applicable"] and edited.create.count() == 3
+
+
+def test_a_common_key_and_lone_corrections_link_nothing(spark, monkeypatch):
+    """Only corrections that can see each other are linked: neither those that name a key of many rows nor those alone with their row."""
+    seen = []
+    monkeypatch.setattr(corrections, "roots", lambda edges: (seen.append(edges.count()), roots(edges))[1])
+    cells = {n + 2: {"Name": "common" if n < 40 else f"k{n}", "City": "x"} for n in range(100)}
+    fixes = [{"action": "set_value", "at": "common", "column": "City", "value": str(k)} for k in range(30)] + [{"action": "set_value", "at": {"row": n}, "column": "City", "value": "y"} for n in range(2, 90)]
+    fixes += [{"action": "skip_row", "reason": "r", "at": {"row": 5}}, {"action": "set_value", "at": "k95", "column": "City", "value": "z"}]
+    rows = spark.createDataFrame([(n, *c.values()) for n, c in cells.items()], "__row long, Name string, City string")
+    done = corrections.fold(rows, "Name", corrections.as_table(spark, fixes))
+    out, verdicts = plain_fold(cells, fixes, "Name")
+    assert [r["applicable"] for r in done.verdicts.orderBy("seq").collect()] == verdicts and verdicts.count(False) == 30
+    assert {r["__row"]: {h: r[h] for h in ("Name", "City")} for r in corrections.applied(rows, done).collect()} == out
+    assert seen == [1]
