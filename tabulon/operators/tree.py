@@ -16,31 +16,72 @@ def _met(left: DataFrame, right: DataFrame, on) -> DataFrame:
     return left.join(right.hint("merge"), on, "left")
 
 
+def _climbed(steps: DataFrame, path: str) -> DataFrame:
+    """n, d, at from steps (n, up, d, at): d is the way from n to the end above it, null in a cycle, below one or where the end's d is; at is the end's.
+
+    An end has no up. Pointers double: after r rounds each name knows its ancestor 2^r steps up, so a chain of a billion
+    names takes thirty rounds. A round that finds nobody's end is the last: a longer way would lead through a name that it found.
+    """
+    spark, turn = steps.sparkSession, 0
+    steps, left = stored(steps, f"{path}/0"), None
+    while (under := steps.filter("up is not null").count()) not in (0, left):
+        left, turn = under, turn + 1
+        above = steps.select(F.col("n").alias("up"), F.col("up").alias("up2"), F.col("d").alias("d2"), F.col("at").alias("at2"))
+        moved = _met(steps.filter("up is not null").drop("at"), above, "up").select("n", F.col("up2").alias("up"), (F.col("d") + F.col("d2")).alias("d"), F.col("at2").alias("at"))
+        steps = stored(steps.filter("up is null").unionByName(moved), f"{path}/{turn}")
+        removed(spark, f"{path}/{turn - 1}")
+    ended = F.col("up").isNull()
+    return steps.select("n", F.when(ended, F.col("d")).alias("d"), F.when(ended, F.col("at")).alias("at"))
+
+
+def _lowest(ways: DataFrame, path: str) -> DataFrame:
+    """n, d: the shortest way out of n by ways (n, at, d: at is d steps above n, or, if null, the way is out), null without one.
+
+    Each n takes the way that is best by what is known, all climb what they took, and so on until no way is better than
+    what its n has. A turn settles at least the names one more way off, mostly far more. Of equal ways, as those of names
+    that know no way out yet, the name that sorts first is taken: where names follow an order all try one direction.
+    """
+    spark, turn, far = ways.sparkSession, 0, F.lit(1 << 62)
+    known = ways.select("n").distinct().withColumn("d", F.lit(None).cast("long"))
+    while True:
+        out = ways.filter("at is null").select("n", "at", "d", F.col("d").alias("all"))
+        over = _met(ways.filter("at is not null"), known.select(F.col("n").alias("at"), F.col("d").alias("rest")), "at").select("n", "at", "d", F.coalesce(F.col("d") + F.col("rest"), far).alias("all"))
+        best = out.unionByName(over).groupBy("n").agg(F.min_by(F.struct("at", "d"), F.struct("all", "at")).alias("way"), F.min("all").alias("all"))
+        taken = stored(_met(best, known, "n").select("n", F.col("way.at").alias("up"), F.col("way.d").alias("d"), F.lit(None).cast("string").alias("at"), (F.col("all") < F.coalesce("d", far)).alias("better")), f"{path}/taken-{turn}")
+        if not taken.filter("better").limit(1).count():
+            return known
+        known = _climbed(taken.drop("better"), f"{path}/{turn}").select("n", "d")
+        removed(spark, f"{path}/taken-{turn}")
+        removed(spark, f"{path}/{turn - 1}")
+        turn += 1
+
+
 def levels(sheet: DataFrame, name: str, parent: str) -> DataFrame:
     """sheet with level: 0 without a parent in the sheet, else one more than the parent's; null in a cycle or below one.
 
-    Of rows with one name the lowest level counts for their children. Pointers double: after r rounds each name knows
-    its ancestor 2^r steps up, so a chain of a billion names takes thirty rounds.
+    Of rows with one name the lowest level counts for their children. Names with one parent climb to where the way out is
+    known or to a name with several; only between those ways are compared.
     """
     rows = sheet.withColumn("__name", strip(F.col(f"`{name}`"))).withColumn("__parent", strip(F.col(f"`{parent}`")))
     names = rows.filter("__name <> ''").select(F.col("__name").alias("__known")).distinct()
-    edges = _met(rows.select("__name", "__parent", ROW), names, F.col("__parent") == F.col("__known")).select("__name", F.col("__known").alias("up"), ROW)
-    # a name is free as soon as one of its rows is; else it hangs on its first row's parent
-    steps = edges.filter("__name <> ''").groupBy("__name").agg(F.max(F.col("up").isNull().cast("int")).alias("free"), F.min_by("up", ROW).alias("up"))
+    edges = _met(rows.filter("__name <> ''").select(F.col("__name").alias("n"), "__parent"), names, F.col("__parent") == F.col("__known")).select("n", F.col("__known").alias("up"))
+    # a name is free as soon as one of its rows is; to hang on itself leads nowhere
+    other = F.when(F.col("up") != F.col("n"), F.col("up"))
+    facts = edges.groupBy("n").agg(F.max(F.col("up").isNull()).alias("free"), F.min(other).alias("low"), F.max(other).alias("high"))
+    fork = ~F.col("free") & (F.col("low") != F.col("high"))
     path = new_folder(sheet.sparkSession, "tree")
-    steps = stored(steps.select(F.col("__name").alias("n"), F.when(F.col("free") == 1, None).otherwise(F.col("up")).alias("up"), F.when(F.col("free") == 1, 0).otherwise(1).cast("long").alias("d")), path)
-    total = steps.count()
-    reach = 1
-    while reach <= total and steps.filter("up is not null").limit(1).count():
-        above = steps.select(F.col("n").alias("up"), F.col("up").alias("up2"), F.col("d").alias("d2"))
-        before, path = path, new_folder(sheet.sparkSession, "tree")
-        steps = stored(_met(steps, above, "up").select("n", F.col("up2").alias("up"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d")), path)
-        removed(sheet.sparkSession, before)
-        reach *= 2
-    known = steps.filter("up is null").select(F.col("n").alias("__parent"), (F.col("d") + 1).alias("__above"))
-    inside = names.select(F.col("__known").alias("__parent"), F.lit(True).alias("__inside"))
-    out = _met(_met(rows, known, "__parent"), inside, "__parent")
-    return out.withColumn("level", F.when(F.col("__inside").isNull(), F.lit(0).cast("long")).otherwise(F.col("__above"))).select(*sheet.columns, "level")
+    steps = facts.select("n", F.when(~F.col("free") & (F.col("low") == F.col("high")), F.col("low")).alias("up"), F.when(F.col("free") | fork, 0).when(F.col("low").isNotNull(), 1).cast("long").alias("d"), F.when(fork, F.col("n")).alias("at"))
+    climbed = _climbed(steps, f"{path}/names")
+    forks = climbed.filter("n = at").select("n")
+    if forks.limit(1).count():
+        several = edges.join(forks.hint("merge"), "n", "left_semi").filter("up <> n").distinct()
+        ways = _met(several, climbed.select(F.col("n").alias("up"), (F.col("d") + 1).alias("d"), "at"), "up").filter("d is not null and (at is null or at <> n)")
+        ways = stored(ways.groupBy("n", "at").agg(F.min("d").alias("d")), f"{path}/ways")
+        rest = _lowest(ways, f"{path}/forks").select(F.col("n").alias("at"), F.col("d").alias("rest"))
+        below = _met(climbed.filter("at is not null"), rest, "at").select("n", (F.col("d") + F.col("rest")).alias("d"))
+        climbed = climbed.filter("at is null").select("n", "d").unionByName(below)
+    known = climbed.select(F.col("n").alias("__parent"), (F.col("d") + 1).alias("__above"), F.lit(True).alias("__inside"))
+    return _met(rows, known, "__parent").withColumn("level", F.when(F.col("__inside").isNull(), F.lit(0).cast("long")).otherwise(F.col("__above"))).select(*sheet.columns, "level")
 
 
 def parents_first(levelled: DataFrame) -> DataFrame:
